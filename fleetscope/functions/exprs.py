@@ -43,51 +43,53 @@ def elapsed_whole_s(end, start) -> Column:
 
 
 def _floor_div(a: Column, b: Column) -> Column:
-    """Exact floor division of non-negative decimals ``a`` by positive ``b``."""
+    """Exact floor division of decimal ``a`` by positive decimal ``b``."""
     return ((a - F.pmod(a, b)) / b).cast("decimal(38,0)")
 
 
-def round_div(num, den, digits: int = 0, scale: int = 0) -> Column:
-    """``round(num / den, digits)`` with half-away-from-zero rounding done in
-    exact decimal arithmetic, returned as DOUBLE; NULL when ``den`` is 0.
+def round_div(num, den, digits: int = 0, scale: int = 0, signed: bool = False) -> Column:
+    """``round(num / den, digits)`` rounded half away from zero in exact
+    decimal arithmetic, returned as DOUBLE; NULL when ``den`` is 0.
 
     ``scale`` is the number of decimal places of the inputs (they are scaled
     to integers first). Exact arithmetic keeps results identical across
-    engines where float rounding would differ on ties.
+    engines where float rounding would differ on ties. With ``signed=False``
+    the inputs are taken as non-negative (counts, sizes, durations), which
+    keeps the generated code small.
     """
-    n = (col(num).cast(f"decimal(38,{scale})") * F.lit(10 ** scale)).cast("decimal(38,0)")
-    d = (col(den).cast(f"decimal(38,{scale})") * F.lit(10 ** scale)).cast("decimal(38,0)")
+    n = (col(num) * F.lit(10 ** scale)).cast("decimal(38,0)")
+    d = (col(den) * F.lit(10 ** scale)).cast("decimal(38,0)")
     k = 10 ** digits
-    mag = _floor_div((F.lit(2 * k) * F.abs(n) + F.abs(d)).cast("decimal(38,0)"),
-                     (F.lit(2) * F.abs(d)).cast("decimal(38,0)"))
-    signed = mag * F.signum(n).cast("int") * F.signum(d).cast("int")
-    return F.when(d == 0, F.lit(None).cast("double")).otherwise(signed.cast("double") / F.lit(k))
+    if signed:
+        mag = _floor_div(F.lit(2 * k) * F.abs(n) + F.abs(d), F.lit(2) * F.abs(d))
+        q = mag * F.signum(n).cast("int") * F.signum(d).cast("int")
+    else:
+        q = _floor_div(F.lit(2 * k) * n + d, F.lit(2) * d)
+    return F.when(d != 0, q.cast("double") / F.lit(k))
 
 
-def pct(num, den, digits: int = 2, scale: int = 0) -> Column:
+def pct(num, den, digits: int = 2, scale: int = 0, signed: bool = False) -> Column:
     """``round(100 * num / nullif(den, 0), digits)`` as DOUBLE, exact."""
-    return round_div(col(num) * F.lit(100), den, digits, scale)
+    return round_div(col(num) * F.lit(100), den, digits, scale, signed)
 
 
 def pretty_bytes(n) -> Column:
     """Human-readable size: ``N bytes`` below 10240, else the first of kB, MB,
     GB, TB, PB whose half-unit count is below 20479, printed rounded half away
-    from zero with the sign kept."""
-    v = col(n).cast("decimal(38,0)")
+    from zero with the sign kept. Shifts on BIGINT keep it exact and cheap."""
+    v = col(n).cast("bigint")
     a = F.abs(v)
     sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
 
-    def unit(shift_halves: int, name: str) -> tuple[Column, Column]:
-        halves = _floor_div(a, F.lit(512 * 1024 ** shift_halves).cast("decimal(38,0)"))
-        shown = _floor_div((halves + 1).cast("decimal(38,0)"), F.lit(2).cast("decimal(38,0)"))
-        text = F.concat(sign, shown.cast("string"), F.lit(" " + name))
-        return halves, text
-
-    kb_h, kb = unit(0, "kB")
-    mb_h, mb = unit(1, "MB")
-    gb_h, gb = unit(2, "GB")
-    tb_h, tb = unit(3, "TB")
-    _, pb = unit(4, "PB")
+    def unit(shift: int, name: str) -> tuple[Column, Column]:
+        halves = F.shiftright(a, shift)
+        return halves, F.concat(sign, F.shiftright(halves + 1, 1).cast("string"), F.lit(" " + name))
+
+    kb_h, kb = unit(9, "kB")
+    mb_h, mb = unit(19, "MB")
+    gb_h, gb = unit(29, "GB")
+    tb_h, tb = unit(39, "TB")
+    _, pb = unit(49, "PB")
     return (F.when(v.isNull(), F.lit(None).cast("string"))
             .when(a < 10240, F.concat(v.cast("string"), F.lit(" bytes")))
             .when(kb_h < 20479, kb)

@@ -177,15 +177,15 @@ def top_statements(statements: DataFrame, by: str = "db_time", n: int = 10) -> D
               F.avg("stddev_exec_time").alias("_avg_stddev")))
     g = with_totals(g, {f"_tot{c}": F.sum(c) for c in ["_db_time", "_cpu_time", "_io_time", "_calls", "_wal"]})
 
-    def share(c, scale=4):
-        return F.coalesce(pct(c, f"_tot{c}", 2, scale=scale), F.lit(0.0))
+    def share(c, scale=4, signed=False):
+        return F.coalesce(pct(c, f"_tot{c}", 2, scale=scale, signed=signed), F.lit(0.0))
 
     out = g.select(
         *SCOPE, "queryid",
         share("_db_time").alias("t_db_time_pct"),
         round_div("_exec_time", F.lit(1), 2, scale=4).alias("t_db_time_ms"),
-        share("_cpu_time").alias("t_cpu_pct"),
-        round_div("_cpu_time", F.lit(1), 2, scale=4).alias("t_cpu_time_ms"),
+        share("_cpu_time", signed=True).alias("t_cpu_pct"),
+        round_div("_cpu_time", F.lit(1), 2, scale=4, signed=True).alias("t_cpu_time_ms"),
         share("_io_time").alias("t_io_pct"),
         round_div("_io_time", F.lit(1), 2, scale=4).alias("t_io_time_ms"),
         share("_calls", 0).alias("t_calls_pct"),

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetscope.plans import activity as act
+from fleetscope.plans import instance as inst
 from fleetscope.session import configure
 from fleetscope.sources.fixtures import load
 
@@ -24,6 +25,19 @@ def _q(fn: Callable[..., DataFrame], *tables: str, **kwargs) -> Callable[[SparkS
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "instance_uptime": _q(inst.instance_uptime, "instances"),
+        "role_settings": _q(inst.role_settings, "instances", "settings"),
+        "settings_non_default": _q(inst.settings_non_default, "settings"),
+        "settings_check": _q(inst.settings_check, "settings"),
+        "checkpoint_settings": _q(inst.checkpoint_settings, "settings"),
+        "replication_settings": _q(inst.replication_settings, "settings"),
+        "databases_overview": _q(inst.databases_overview, "databases", "tablespaces"),
+        "cluster_size": _q(inst.cluster_size, "databases"),
+        "write_stats": _q(inst.write_stats, "bgwriter"),
+        "horizon_global": _q(inst.horizon_global, "activity", "slots", "prepared"),
+        "horizon_sessions": _q(inst.horizon_sessions, "activity"),
+        "horizon_slots": _q(inst.horizon_slots, "slots"),
+        "horizon_prepared": _q(inst.horizon_prepared, "prepared"),
         "active_sessions": _q(act.active_sessions, "activity"),
         "long_sessions": _q(act.long_sessions, "activity"),
         "sessions_by_state": _q(act.sessions_by_state, "activity"),
@@ -36,8 +50,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from fleetscope.oracle import activity as o_act
+    from fleetscope.oracle import instance as o_inst
 
     out: dict[str, str] = {}
-    for mod in (o_act,):
+    for mod in (o_inst, o_act):
         out.update(mod.SQL)
     return out

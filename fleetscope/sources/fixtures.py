@@ -159,8 +159,8 @@ FIXTURES: dict[str, Fixture] = {
         "stats_reset": f"case when c_custkey % 5 = 0 then null else {SNAP} - c_custkey * interval 1 minute end",
         "start_time": f"{SNAP} - interval 30 day",
         "encoding": "'UTF8'",
-        "collate": "'C'",
-        "ctype": "'C'",
+        "datcollate": "'C'",
+        "datctype": "'C'",
         "icu_locale": "case when c_custkey % 3 = 1 then 'en' end",
     })]),
     "tablespaces": Fixture("tablespaces", [Part("region", {

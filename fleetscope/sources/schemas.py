@@ -47,7 +47,7 @@ SNAPSHOT_COLUMNS: dict[str, list[tuple[str, str]]] = {
         ("can_connect", "boolean"), ("size_bytes", "bigint"), ("tablespace_oid", "bigint"),
         ("frozen_xid_age", "bigint"), ("freeze_max_age", "bigint"), ("acl", "string"),
         ("stats_reset", "timestamp"), ("start_time", "timestamp"), ("encoding", "string"),
-        ("collate", "string"), ("ctype", "string"), ("icu_locale", "string"),
+        ("datcollate", "string"), ("datctype", "string"), ("icu_locale", "string"),
     ],
     "tablespaces": [("oid", "bigint"), ("spcname", "string")],
     "bgwriter": SCOPE_COLS + [
