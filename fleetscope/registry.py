@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetscope.plans import activity as act
 from fleetscope.plans import instance as inst
+from fleetscope.plans import objects as obj
+from fleetscope.plans import users
 from fleetscope.session import configure
 from fleetscope.sources.fixtures import load
 
@@ -45,14 +47,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lock_modes": _q(act.lock_modes, "locks", "lock_activity"),
         "top_unstable_statements": _q(act.top_unstable_statements, "statements"),
         "top_statements": _q(act.top_statements, "statements"),
+        "role_list": _q(users.role_list, "roles", "auth_members"),
+        "acl_grants": _q(users.acl_grants, "acls"),
+        "database_access": _q(users.database_access, "databases"),
+        "schema_size": _q(obj.schema_size, "relations", "databases"),
+        "object_counts": _q(obj.object_counts, "relations", "tablespaces", "databases"),
+        "stats_age": _q(obj.stats_age, "databases"),
+        "unused_indexes": _q(obj.unused_indexes, "index_stats", "indexes"),
+        "unused_indexes_total": _q(obj.unused_indexes_total, "index_stats", "indexes"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from fleetscope.oracle import activity as o_act
     from fleetscope.oracle import instance as o_inst
+    from fleetscope.oracle import objects as o_obj
+    from fleetscope.oracle import users as o_users
 
     out: dict[str, str] = {}
-    for mod in (o_inst, o_act):
+    for mod in (o_inst, o_act, o_users, o_obj):
         out.update(mod.SQL)
     return out

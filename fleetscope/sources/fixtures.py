@@ -266,6 +266,7 @@ FIXTURES: dict[str, Fixture] = {
     "relations": Fixture("relations", [Part("part", {
         "instance": "'i0'",
         "snap_ts": SNAP,
+        "datname": "case when p_partkey % 2 = 0 then 'db103' else 'db116' end",
         "oid": "p_partkey",
         "relname": "case when p_partkey % 20 = 0 then 'pg_' else 't_' end || cast(p_partkey as string)",
         "nspname": _NSP,

@@ -84,7 +84,7 @@ SNAPSHOT_COLUMNS: dict[str, list[tuple[str, str]]] = {
     "auth_members": SCOPE_COLS + [("member", "bigint"), ("roleid", "bigint")],
     "acls": SCOPE_COLS + [("object_name", "string"), ("owner", "string"), ("acl", "string")],
     "relations": SCOPE_COLS + [
-        ("oid", "bigint"), ("relname", "string"), ("nspname", "string"), ("relowner", "string"),
+        ("datname", "string"), ("oid", "bigint"), ("relname", "string"), ("nspname", "string"), ("relowner", "string"),
         ("tablespace_oid", "bigint"), ("relkind", "string"), ("reltuples", "double"),
         ("relpages", "bigint"), ("toast_pages", "bigint"), ("toast_tuples", "double"),
         ("reloptions", "string"), ("size_bytes", "bigint"), ("total_size_bytes", "bigint"),
