@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetscope.plans import activity as act
+from fleetscope.plans import bloat
 from fleetscope.plans import instance as inst
 from fleetscope.plans import objects as obj
 from fleetscope.plans import users
@@ -25,6 +26,16 @@ def _q(fn: Callable[..., DataFrame], *tables: str, **kwargs) -> Callable[[SparkS
     return run
 
 
+def _profile(table: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return bloat.column_profile(spark.read.parquet(f"{sf_dir}/{table}.parquet"), table)
+
+    run.__name__ = f"column_profile_{table}"
+    run.__doc__ = bloat.column_profile.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "instance_uptime": _q(inst.instance_uptime, "instances"),
@@ -55,16 +66,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stats_age": _q(obj.stats_age, "databases"),
         "unused_indexes": _q(obj.unused_indexes, "index_stats", "indexes"),
         "unused_indexes_total": _q(obj.unused_indexes_total, "index_stats", "indexes"),
+        "table_page_estimate": _q(bloat.table_page_estimate, "relations", "attributes", "column_stats"),
+        "table_bloat": _q(bloat.table_bloat, "relations", "attributes", "column_stats", "table_stats"),
+        "table_bloat_total": _q(bloat.table_bloat_total, "relations", "attributes", "column_stats"),
+        "index_page_estimate": _q(bloat.index_page_estimate, "indexes", "relations", "attributes", "column_stats"),
+        "index_bloat": _q(bloat.index_bloat, "indexes", "relations", "attributes", "column_stats"),
+        "index_bloat_total": _q(bloat.index_bloat_total, "indexes", "relations", "attributes", "column_stats"),
+        "total_bloat": _q(bloat.total_bloat, "relations", "attributes", "column_stats", "indexes"),
+        "column_profile_orders": _profile("orders"),
+        "column_profile_lineitem": _profile("lineitem"),
+        "column_profile_documents": _profile("documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from fleetscope.oracle import activity as o_act
+    from fleetscope.oracle import bloat as o_bloat
     from fleetscope.oracle import instance as o_inst
     from fleetscope.oracle import objects as o_obj
     from fleetscope.oracle import users as o_users
 
     out: dict[str, str] = {}
-    for mod in (o_inst, o_act, o_users, o_obj):
+    for mod in (o_inst, o_act, o_users, o_obj, o_bloat):
         out.update(mod.SQL)
     return out
