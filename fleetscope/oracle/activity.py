@@ -5,12 +5,15 @@ from fleetscope.oracle.common import one_line, pct, pretty, rdiv, secs, top_k, u
 _DURS = (f"{secs('snap_ts', 'xact_start')} as xact_s, {secs('snap_ts', 'query_start')} as query_s, "
          f"{secs('snap_ts', 'state_change')} as state_s")
 
-_STATUS = (
-    "(case when state = 'idle in transaction' then 'done, duration: ' || "
-    f"cast((abs({us('query_start', 'state_change')}) + 500) // 1000 as varchar) || ' ms' "
-    "else 'in progress, duration: ' || "
-    f"cast((abs({us('snap_ts', 'query_start')}) + 500) // 1000 as varchar) || ' ms' end)"
-)
+def status(p: str = "") -> str:
+    """Query status text; ``p`` qualifies the activity columns."""
+    return (f"(case when {p}state = 'idle in transaction' then 'done, duration: ' || "
+            f"cast((abs({us(p + 'query_start', p + 'state_change')}) + 500) // 1000 as varchar) || ' ms' "
+            "else 'in progress, duration: ' || "
+            f"cast((abs({us(p + 'snap_ts', p + 'query_start')}) + 500) // 1000 as varchar) || ' ms' end)")
+
+
+_STATUS = status()
 
 ACTIVE_SESSIONS = with_tables("activity") + f"""
 select instance, snap_ts, usename, pid, backend_type, substr(application_name, 1, 20) as app, {_DURS},
@@ -130,3 +133,44 @@ SQL = {
     "top_unstable_statements": TOP_UNSTABLE_STATEMENTS,
     "top_statements": TOP_STATEMENTS,
 }
+
+_TARGET = ["database", "relation", "page", "tuple", "virtualxid", "transactionid", "classid", "objid", "objsubid"]
+_ON = " and ".join(f"o.{c} is not distinct from w.{c}" for c in _TARGET)
+
+BLOCKING_SESSIONS = with_tables("locks", "lock_activity") + f"""
+select w.instance, w.snap_ts, w.pid as blocked_pid, ba.usename as blocked_user, o.pid as blocking_pid,
+  oa.usename as blocking_user, {one_line('ba.query', 40)} as blocked_statement,
+  {one_line('oa.query', 40)} as current_statement_in_blocking_process
+from locks w
+join lock_activity ba on ba.instance = w.instance and ba.snap_ts = w.snap_ts and ba.pid = w.pid
+join locks o on o.instance = w.instance and o.snap_ts = w.snap_ts and o.locktype = w.locktype and {_ON}
+  and o.pid <> w.pid
+join lock_activity oa on oa.instance = o.instance and oa.snap_ts = o.snap_ts and oa.pid = o.pid
+where not w.granted
+"""
+
+RELATION_LOCKS = with_tables("lock_activity", "locks", "relations") + f"""
+select l.instance, l.snap_ts, l.pid, c.relname as relation, l.locktype, l.mode, l.granted, l.fastpath,
+  {status('a.')} as query_status, {wait_label()} as wait_event, substr(a.state, 1, 25) as state,
+  {one_line('a.query', 50)} as short_query
+from lock_activity a join locks l on a.instance = l.instance and a.snap_ts = l.snap_ts and a.pid = l.pid
+join relations c on c.instance = l.instance and c.snap_ts = l.snap_ts and c.oid = l.relation
+where l.locktype = 'relation' and not regexp_matches(c.relname, '^pg_')
+"""
+
+SESSIONS_BY_TEMP = with_tables("tempfiles", "lock_activity", extra="""
+t as (
+  select instance, snap_ts, tablespace as tblspc_name, sum(size) as tmp_bytes, count(*) as tmp_files,
+    cast(split_part(split_part(split_part(name, '_', 2), 'tmp', 2), '.', 1) as int) as pid
+  from tempfiles where tablespace <> 'pg_global' group by all)""") + f"""
+select t.instance, t.snap_ts, tblspc_name, cast(tmp_bytes as bigint) as tmp_bytes, {pretty('tmp_bytes')} as tmp_size,
+  tmp_files, cast(t.pid as bigint) as pid, {status('a.')} as query_status, {wait_label()} as wait_event,
+  substr(a.state, 1, 25) as state, {one_line('a.query', 50)} as short_query
+from t left join lock_activity a on a.instance = t.instance and a.snap_ts = t.snap_ts and a.pid = t.pid
+"""
+
+SQL.update({
+    "blocking_sessions": BLOCKING_SESSIONS,
+    "relation_locks": RELATION_LOCKS,
+    "sessions_by_temp": SESSIONS_BY_TEMP,
+})

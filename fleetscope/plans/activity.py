@@ -198,3 +198,78 @@ def top_statements(statements: DataFrame, by: str = "db_time", n: int = 10) -> D
         F.col(_TOP_SORT[by]).alias("_key"))
     order = [F.col("_key").desc_nulls_first(), F.col("queryid")]
     return top_k(out, order, n).orderBy(*SCOPE, *order).drop("_key")
+
+
+# Lock target columns compared null-safely (with locktype) to find sessions
+# waiting on the same object.
+LOCK_TARGET = ["database", "relation", "page", "tuple", "virtualxid", "transactionid", "classid", "objid",
+               "objsubid"]
+
+
+def blocking_sessions(locks: DataFrame, activity: DataFrame) -> DataFrame:
+    """Each ungranted lock against every other session's lock on the
+    same target (locktype and nine target columns equal, NULLs equal), with
+    both users and statements. The other side is not filtered on granted,
+    so two waiters list each other. This is an equi-join on the target (the
+    NULL-safe keys plan as hash keys); its output is, by definition, the
+    waiter x holder pairs of each target."""
+    waiting = locks.where(~F.col("granted")).select(*SCOPE, "locktype", *LOCK_TARGET, F.col("pid").alias("w_pid"))
+    other = locks.select(*[F.col(c).alias(f"o_{c}") for c in SCOPE + ["locktype"] + LOCK_TARGET],
+                         F.col("pid").alias("o_pid"))
+    cond = [F.col("instance") == F.col("o_instance"), F.col("snap_ts") == F.col("o_snap_ts"),
+            F.col("locktype") == F.col("o_locktype")]
+    cond += [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in LOCK_TARGET]
+    cond.append(F.col("w_pid") != F.col("o_pid"))
+    pairs = waiting.join(other, cond, "inner").select(*SCOPE, "w_pid", "o_pid")
+    sess = activity.select(*SCOPE, "pid", "usename", one_line("query", 40).alias("stmt"))
+    blocked = sess.select(*SCOPE, F.col("pid").alias("w_pid"), F.col("usename").alias("blocked_user"),
+                          F.col("stmt").alias("blocked_statement"))
+    blocking = sess.select(*SCOPE, F.col("pid").alias("o_pid"), F.col("usename").alias("blocking_user"),
+                           F.col("stmt").alias("current_statement_in_blocking_process"))
+    return (pairs.join(blocked, on=SCOPE + ["w_pid"], how="inner")
+            .join(blocking, on=SCOPE + ["o_pid"], how="inner")
+            .select(*SCOPE, F.col("w_pid").alias("blocked_pid"), "blocked_user",
+                    F.col("o_pid").alias("blocking_pid"), "blocking_user", "blocked_statement",
+                    "current_statement_in_blocking_process"))
+
+
+def relation_locks(activity: DataFrame, locks: DataFrame, relations: DataFrame,
+                   pids: list[int] | None = None) -> DataFrame:
+    """Relation locks held or awaited by the given sessions (all when
+    ``pids`` is None) on relations whose name does not start with ``pg_``,
+    with the session's status, wait and statement."""
+    lk = locks.where(F.col("locktype") == "relation")
+    if pids is not None:
+        lk = lk.where(F.col("pid").isin(list(pids)))
+    rel = relations.select(*SCOPE, F.col("oid").alias("relation"), "relname").where(~F.col("relname").rlike("^pg_"))
+    sess = activity.select(*SCOPE, "pid", "state", "query_start", "state_change", "wait_event_type", "wait_event",
+                           "query")
+    return (lk.join(rel, on=SCOPE + ["relation"], how="inner")
+            .join(sess, on=SCOPE + ["pid"], how="inner")
+            .select(*SCOPE, "pid", F.col("relname").alias("relation"), "locktype", "mode", "granted", "fastpath",
+                    query_status().alias("query_status"), wait_label().alias("wait_event"),
+                    F.substring("state", 1, 25).alias("state"), one_line("query", 50).alias("short_query")))
+
+
+def temp_file_pid(name="name") -> F.Column:
+    """Session pid from a temporary file name ``pgsql_tmp<pid>.<n>``."""
+    tail = F.split_part(F.col(name), F.lit("_"), F.lit(2))
+    return F.split_part(F.split_part(tail, F.lit("tmp"), F.lit(2)), F.lit("."), F.lit(1)).cast("int")
+
+
+def sessions_by_temp(tempfiles: DataFrame, activity: DataFrame) -> DataFrame:
+    """Temporary file bytes and count per tablespace and session (pid
+    parsed from the file name; ``pg_global`` excluded), with the session's
+    status if it is still connected; largest first."""
+    tmp = (tempfiles.where(F.col("tablespace") != "pg_global")
+           .groupBy(*SCOPE, F.col("tablespace").alias("tblspc_name"), temp_file_pid().alias("pid"))
+           .agg(F.sum("size").alias("tmp_bytes"), F.count(F.lit(1)).alias("tmp_files")))
+    sess = activity.select(*SCOPE, F.col("pid").cast("bigint").alias("pid"), "state", "query_start",
+                           "state_change", "wait_event_type", "wait_event", "query")
+    return (tmp.withColumn("pid", F.col("pid").cast("bigint"))
+            .join(sess, on=SCOPE + ["pid"], how="left")
+            .select(*SCOPE, "tblspc_name", F.col("tmp_bytes").cast("bigint").alias("tmp_bytes"),
+                    pretty_bytes("tmp_bytes").alias("tmp_size"), "tmp_files", "pid",
+                    query_status().alias("query_status"), wait_label().alias("wait_event"),
+                    F.substring("state", 1, 25).alias("state"), one_line("query", 50).alias("short_query"))
+            .orderBy(*SCOPE, F.col("tmp_bytes").desc_nulls_first(), "tblspc_name", "pid"))

@@ -58,6 +58,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lock_modes": _q(act.lock_modes, "locks", "lock_activity"),
         "top_unstable_statements": _q(act.top_unstable_statements, "statements"),
         "top_statements": _q(act.top_statements, "statements"),
+        "blocking_sessions": _q(act.blocking_sessions, "locks", "lock_activity"),
+        "relation_locks": _q(act.relation_locks, "lock_activity", "locks", "relations"),
+        "sessions_by_temp": _q(act.sessions_by_temp, "tempfiles", "lock_activity"),
         "role_list": _q(users.role_list, "roles", "auth_members"),
         "acl_grants": _q(users.acl_grants, "acls"),
         "database_access": _q(users.database_access, "databases"),

@@ -373,7 +373,8 @@ FIXTURES: dict[str, Fixture] = {
     "progress_vacuum": Fixture("progress_vacuum", [Part("orders", _same(_PROGRESS_BASE, **{
         "phase": "case o_custkey % 4 when 0 then 'initializing' when 1 then 'scanning heap' "
         "when 2 then 'vacuuming indexes' when 3 then 'vacuuming heap' end",
-        "datname": "case when o_custkey % 4 = 0 then 'db_other' else 'db0' end",
+        "datname": "case when o_custkey % 4 = 0 then 'db_other' when o_orderkey % 2 = 0 then 'db103' "
+        "else 'db116' end",
         "heap_blks_total": "o_custkey % 100",
         "heap_blks_scanned": "o_custkey % 70",
         "heap_blks_vacuumed": "o_custkey % 30",
@@ -391,11 +392,11 @@ FIXTURES: dict[str, Fixture] = {
         "ext_stats_computed": "o_custkey % 4",
         "child_tables_total": "o_custkey % 5",
         "child_tables_done": "o_custkey % 3",
-        "datname": "'db0'",
+        "datname": "case when o_custkey % 2 = 0 then 'db103' else 'db0' end",
     }), where="o_orderpriority = '3-MEDIUM'")]),
     "progress_copy": Fixture("progress_copy", [Part("orders", _same(_PROGRESS_BASE, **{
         "phase": "case o_custkey % 1 when 0 then 'copy' end",
-        "datname": "'db0'",
+        "datname": "case when o_custkey % 2 = 0 then 'db103' else 'db0' end",
         "command": "case when o_custkey % 2 = 0 then 'COPY FROM' else 'COPY TO' end",
         "type": "case o_custkey % 3 when 0 then 'FILE' when 1 then 'PIPE' else 'CALLBACK' end",
         "bytes_total": "case when o_custkey % 4 = 0 then 0 else o_custkey * 1000 end",
