@@ -50,3 +50,12 @@ def without_collector_pids(df: DataFrame, activity: DataFrame, pid_col: str = "p
     """Anti join: rows of ``df`` whose pid is not the collector's in its scope."""
     own = collector_pids(activity).withColumnRenamed("pid", pid_col)
     return df.join(own, on=SCOPE + [pid_col], how="left_anti")
+
+
+def attach(small: DataFrame, big: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``small LEFT JOIN big`` on ``keys``, written as ``big RIGHT JOIN small``
+    so the planner may broadcast the small side (progress rows) and stream
+    the big one (sessions, relations) without shuffling it. A left join can
+    only broadcast its right side, which here is the big one. The columns of
+    ``big`` other than the keys must not clash with ``small``'s."""
+    return big.join(small, on=list(keys), how="right")

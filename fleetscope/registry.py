@@ -11,6 +11,8 @@ from fleetscope.plans import activity as act
 from fleetscope.plans import bloat
 from fleetscope.plans import instance as inst
 from fleetscope.plans import objects as obj
+from fleetscope.plans import progress as prog
+from fleetscope.plans import replication as repl
 from fleetscope.plans import users
 from fleetscope.session import configure
 from fleetscope.sources.fixtures import load
@@ -61,6 +63,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "blocking_sessions": _q(act.blocking_sessions, "locks", "lock_activity"),
         "relation_locks": _q(act.relation_locks, "lock_activity", "locks", "relations"),
         "sessions_by_temp": _q(act.sessions_by_temp, "tempfiles", "lock_activity"),
+        "replication_lag": _q(repl.replication_lag, "slots", "senders", "lock_activity", "instances"),
+        "replication_diagnosis": _q(repl.replication_diagnosis, "slots", "instances"),
+        "index_build_progress": _q(prog.index_build_progress, "progress_index", "lock_activity", "relations",
+                                   "table_stats"),
+        "vacuum_progress": _q(prog.vacuum_progress, "progress_vacuum", "lock_activity", "relations"),
+        "vacuum_queue": _q(prog.vacuum_queue, "table_stats", "relations", "settings", "progress_vacuum",
+                           "lock_activity", "indexes"),
+        "analyze_progress": _q(prog.analyze_progress, "progress_analyze", "lock_activity", "relations"),
+        "copy_progress": _q(prog.copy_progress, "progress_copy", "lock_activity", "relations", "databases"),
         "role_list": _q(users.role_list, "roles", "auth_members"),
         "acl_grants": _q(users.acl_grants, "acls"),
         "database_access": _q(users.database_access, "databases"),
@@ -87,9 +98,11 @@ def oracle_sql() -> dict[str, str]:
     from fleetscope.oracle import bloat as o_bloat
     from fleetscope.oracle import instance as o_inst
     from fleetscope.oracle import objects as o_obj
+    from fleetscope.oracle import progress as o_prog
+    from fleetscope.oracle import replication as o_repl
     from fleetscope.oracle import users as o_users
 
     out: dict[str, str] = {}
-    for mod in (o_inst, o_act, o_users, o_obj, o_bloat):
+    for mod in (o_inst, o_act, o_users, o_obj, o_bloat, o_repl, o_prog):
         out.update(mod.SQL)
     return out
