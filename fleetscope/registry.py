@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetscope.plans import activity as act
 from fleetscope.plans import bloat
 from fleetscope.plans import instance as inst
+from fleetscope.plans import lock_trees
 from fleetscope.plans import objects as obj
 from fleetscope.plans import progress as prog
 from fleetscope.plans import replication as repl
@@ -28,6 +29,13 @@ def _q(fn: Callable[..., DataFrame], *tables: str, **kwargs) -> Callable[[SparkS
     return run
 
 
+def _lock_tree_all_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R19 over sessions whose blocked_by comes from the lock rows."""
+    configure(spark)
+    sessions = lock_trees.sessions_with_blockers(load(spark, sf_dir, "locks"), load(spark, sf_dir, "lock_activity"))
+    return lock_trees.lock_tree_all_blockers(sessions)
+
+
 def _profile(table: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
@@ -60,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lock_modes": _q(act.lock_modes, "locks", "lock_activity"),
         "top_unstable_statements": _q(act.top_unstable_statements, "statements"),
         "top_statements": _q(act.top_statements, "statements"),
+        "lock_tree": _q(lock_trees.lock_tree, "locks", "lock_activity"),
+        "lock_tree_all_blockers": _lock_tree_all_blockers,
         "blocking_sessions": _q(act.blocking_sessions, "locks", "lock_activity"),
         "relation_locks": _q(act.relation_locks, "lock_activity", "locks", "relations"),
         "sessions_by_temp": _q(act.sessions_by_temp, "tempfiles", "lock_activity"),
@@ -97,12 +107,13 @@ def oracle_sql() -> dict[str, str]:
     from fleetscope.oracle import activity as o_act
     from fleetscope.oracle import bloat as o_bloat
     from fleetscope.oracle import instance as o_inst
+    from fleetscope.oracle import lock_trees as o_lt
     from fleetscope.oracle import objects as o_obj
     from fleetscope.oracle import progress as o_prog
     from fleetscope.oracle import replication as o_repl
     from fleetscope.oracle import users as o_users
 
     out: dict[str, str] = {}
-    for mod in (o_inst, o_act, o_users, o_obj, o_bloat, o_repl, o_prog):
+    for mod in (o_inst, o_act, o_users, o_obj, o_bloat, o_repl, o_prog, o_lt):
         out.update(mod.SQL)
     return out
