@@ -36,6 +36,29 @@ def _lock_tree_all_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lock_trees.lock_tree_all_blockers(sessions)
 
 
+def _stream_session_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 run as a stream over the activity feed to completion."""
+    from fleetscope.sources.fixtures import load_stream
+    from fleetscope.streaming import reports as st
+
+    configure(spark)
+    base = st.stream_folder(spark, "session-mix")
+    stream = st.stream_session_mix(load_stream(spark, sf_dir, "activity"))
+    return st.run_available(stream, f"{base}/out", f"{base}/chk", mode="complete")
+
+
+def _stream_latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 over the vacuum progress snapshots, written as files and streamed."""
+    from fleetscope.streaming import reports as st
+
+    configure(spark)
+    base = st.stream_folder(spark, "latest-progress")
+    load(spark, sf_dir, "progress_vacuum").write.parquet(f"{base}/feed")
+    feed = spark.read.parquet(f"{base}/feed")
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
+    return st.run_available(st.stream_latest_progress(stream), f"{base}/out", f"{base}/chk", mode="complete")
+
+
 def _profile(table: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
@@ -82,6 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                            "lock_activity", "indexes"),
         "analyze_progress": _q(prog.analyze_progress, "progress_analyze", "lock_activity", "relations"),
         "copy_progress": _q(prog.copy_progress, "progress_copy", "lock_activity", "relations", "databases"),
+        "stream_session_mix": _stream_session_mix,
+        "stream_latest_progress": _stream_latest_progress,
         "role_list": _q(users.role_list, "roles", "auth_members"),
         "acl_grants": _q(users.acl_grants, "acls"),
         "database_access": _q(users.database_access, "databases"),
@@ -110,10 +135,11 @@ def oracle_sql() -> dict[str, str]:
     from fleetscope.oracle import lock_trees as o_lt
     from fleetscope.oracle import objects as o_obj
     from fleetscope.oracle import progress as o_prog
+    from fleetscope.oracle import streaming as o_st
     from fleetscope.oracle import replication as o_repl
     from fleetscope.oracle import users as o_users
 
     out: dict[str, str] = {}
-    for mod in (o_inst, o_act, o_users, o_obj, o_bloat, o_repl, o_prog, o_lt):
+    for mod in (o_inst, o_act, o_users, o_obj, o_bloat, o_repl, o_prog, o_lt, o_st):
         out.update(mod.SQL)
     return out

@@ -446,6 +446,26 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return out
 
 
+def load_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
+    """Snapshot table ``name`` as a stream over its driver table (its first
+    part's main source read with ``readStream``; other sources are static)."""
+    fx = FIXTURES[name]
+    part = fx.parts[0]
+    main = "events" if part.source == "events*documents" else part.source
+    schema = spark.read.parquet(f"{sf_dir}/{main}.parquet").schema
+    # a streaming file source watches a folder; the glob keeps this table's file
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+              .option("pathGlobFilter", f"{main}.parquet").parquet(sf_dir))
+    if part.source == "events*documents":
+        events = stream.selectExpr("*", "cast(regexp_extract(props, '[0-9]+', 0) as int) as k")
+        df = events.join(_driver(spark, sf_dir, "documents"), F.col("doc_id") == F.col("event_id") % 200)
+    else:
+        df = stream
+    if part.where:
+        df = df.where(part.where)
+    return df.selectExpr(*_projection(name, part.exprs))
+
+
 # --- Oracle side ------------------------------------------------------------
 
 def _oracle_source(source: str) -> str:
