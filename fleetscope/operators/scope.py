@@ -59,3 +59,11 @@ def attach(small: DataFrame, big: DataFrame, keys: Sequence[str]) -> DataFrame:
     only broadcast its right side, which here is the big one. The columns of
     ``big`` other than the keys must not clash with ``small``'s."""
     return big.join(small, on=list(keys), how="right")
+
+
+def sort_if(df: DataFrame, ordered: bool, *cols) -> DataFrame:
+    """The reference's row order, on request. A global sort over every
+    scope costs a sampling pass (which recomputes the plan) and a range
+    shuffle, so reports return unordered rows unless ``ordered`` is set;
+    rows of one scope can also be sorted after filtering to that scope."""
+    return df.orderBy(*cols) if ordered else df

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
+from fleetscope.operators.scope import sort_if
 from fleetscope.functions.exprs import (elapsed_s, elapsed_us, one_line, pct, pretty_bytes, round_div,
                                         wait_label)
 from fleetscope.operators.scope import not_collector, top_k, with_totals, without_collector_pids
@@ -36,36 +37,36 @@ def query_status() -> F.Column:
     return F.when(F.col("state") == "idle in transaction", done).otherwise(running)
 
 
-def active_sessions(activity: DataFrame, order_by: str = "xact_duration") -> DataFrame:
+def active_sessions(activity: DataFrame, order_by: str = "xact_duration", ordered: bool = False) -> DataFrame:
     """Non-idle sessions other than the collector's, longest first."""
     key = _ORDER_DURATION[order_by]
-    return (not_collector(activity)
+    rows = (not_collector(activity)
             .where(F.col("state") != "idle")
             .select(*SCOPE, "usename", "pid", "backend_type",
                     F.substring("application_name", 1, 20).alias("app"),
                     *_durations(activity),
                     wait_label().alias("wait_event"),
                     F.substring("state", 1, 25).alias("state"),
-                    one_line("query", 40).alias("short_query"))
-            .orderBy(*SCOPE, F.col(key).desc_nulls_first(), "pid"))
+                    one_line("query", 40).alias("short_query")))
+    return sort_if(rows, ordered, *SCOPE, F.col(key).desc_nulls_first(), "pid")
 
 
-def long_sessions(activity: DataFrame, min_seconds: float | None = None) -> DataFrame:
+def long_sessions(activity: DataFrame, min_seconds: float | None = None, ordered: bool = False) -> DataFrame:
     """As R13 plus the query status; optional minimum query or
     transaction age in seconds."""
     df = not_collector(activity).where(F.col("state") != "idle")
     if min_seconds is not None:
         df = df.where((elapsed_s("snap_ts", "query_start") > min_seconds)
                       | (elapsed_s("snap_ts", "xact_start") > min_seconds))
-    return (df.select(*SCOPE, "usename", "pid", *_durations(df),
+    rows = (df.select(*SCOPE, "usename", "pid", *_durations(df),
                       query_status().alias("query_status"),
                       wait_label().alias("wait_event"),
                       F.substring("state", 1, 25).alias("state"),
-                      one_line("query", 50).alias("short_query"))
-            .orderBy(*SCOPE, F.col("xact_s").desc_nulls_first(), "pid"))
+                      one_line("query", 50).alias("short_query")))
+    return sort_if(rows, ordered, *SCOPE, F.col("xact_s").desc_nulls_first(), "pid")
 
 
-def sessions_by_state(activity: DataFrame) -> DataFrame:
+def sessions_by_state(activity: DataFrame, ordered: bool = False) -> DataFrame:
     """Client backends per state (NULL state is its own group): count,
     share of all, and average/min/max time in state in milliseconds."""
     us = elapsed_us("snap_ts", "state_change")
@@ -76,26 +77,26 @@ def sessions_by_state(activity: DataFrame) -> DataFrame:
               F.sum(us).alias("_sum_us"), F.count(us).alias("_n_us"),
               F.min(us).alias("_min_us"), F.max(us).alias("_max_us")))
     g = with_totals(g, {"_total": F.sum("sess_count")})
-    return (g.select(*SCOPE, "state", "sess_count",
+    rows = (g.select(*SCOPE, "state", "sess_count",
                      pct("sess_count", "_total", 2).alias("pct"),
                      round_div("_sum_us", F.col("_n_us") * 1000, 2).alias("avg_state_time_ms"),
                      round_div("_min_us", F.lit(1000), 2).alias("min_state_time_ms"),
-                     round_div("_max_us", F.lit(1000), 2).alias("max_state_time_ms"))
-            .orderBy(*SCOPE, F.col("sess_count").desc(), F.col("state").asc_nulls_first()))
+                     round_div("_max_us", F.lit(1000), 2).alias("max_state_time_ms")))
+    return sort_if(rows, ordered, *SCOPE, F.col("sess_count").desc(), F.col("state").asc_nulls_first())
 
 
-def wait_events(activity: DataFrame) -> DataFrame:
+def wait_events(activity: DataFrame, ordered: bool = False) -> DataFrame:
     """Non-idle sessions by wait label, count and whole-number share."""
     g = (not_collector(activity)
          .where(F.col("state") != "idle")
          .groupBy(*SCOPE, wait_label().alias("wait_events"))
          .agg(F.count(F.lit(1)).alias("sess_count")))
     g = with_totals(g, {"_total": F.sum("sess_count")})
-    return (g.select(*SCOPE, "wait_events", "sess_count", pct("sess_count", "_total", 0).alias("pct_wait_events"))
-            .orderBy(*SCOPE, F.col("sess_count").desc(), F.col("wait_events").asc_nulls_first()))
+    rows = (g.select(*SCOPE, "wait_events", "sess_count", pct("sess_count", "_total", 0).alias("pct_wait_events")))
+    return sort_if(rows, ordered, *SCOPE, F.col("sess_count").desc(), F.col("wait_events").asc_nulls_first())
 
 
-def lock_modes(locks: DataFrame, activity: DataFrame) -> DataFrame:
+def lock_modes(locks: DataFrame, activity: DataFrame, ordered: bool = False) -> DataFrame:
     """Heavyweight locks (no virtualxid, not the collector's) by
     ``mode:granted:fastpath``, count and whole-number share."""
     df = without_collector_pids(locks.where(F.col("locktype") != "virtualxid"), activity)
@@ -104,16 +105,16 @@ def lock_modes(locks: DataFrame, activity: DataFrame) -> DataFrame:
     g = with_totals(g, {"_total": F.sum("sess_count")})
     label = F.concat(F.col("mode"), F.lit(":"), F.col("granted").cast("string"), F.lit(":"),
                      F.col("fastpath").cast("string"))
-    return (g.select(*SCOPE, label.alias("mode_granted_fastpath"), "sess_count",
-                     pct("sess_count", "_total", 0).alias("pct_hw_locks"))
-            .orderBy(*SCOPE, F.col("sess_count").desc(), F.col("mode_granted_fastpath").asc_nulls_first()))
+    rows = (g.select(*SCOPE, label.alias("mode_granted_fastpath"), "sess_count",
+                     pct("sess_count", "_total", 0).alias("pct_hw_locks")))
+    return sort_if(rows, ordered, *SCOPE, F.col("sess_count").desc(), F.col("mode_granted_fastpath").asc_nulls_first())
 
 
 def _db_time():
     return F.col("total_plan_time") + F.col("total_exec_time")
 
 
-def top_unstable_statements(statements: DataFrame, n: int = 10) -> DataFrame:
+def top_unstable_statements(statements: DataFrame, n: int = 10, ordered: bool = False) -> DataFrame:
     """Statements whose run time is unstable (stddev/mean above 1.5) or
     degrading (max/mean above 3) with mean above 1 ms, per query id, with
     shares of the scope's db time and calls counted over rows that ran."""
@@ -147,7 +148,7 @@ def top_unstable_statements(statements: DataFrame, n: int = 10) -> DataFrame:
         F.round("_instability", 2).alias("instability"),
         F.round("_degradation", 2).alias("degradation"))
     order = [F.col("degradation").desc_nulls_first(), F.col("instability").desc_nulls_first(), F.col("queryid")]
-    return top_k(out, order, n).orderBy(*SCOPE, *order)
+    return sort_if(top_k(out, order, n), ordered, *SCOPE, *order)
 
 
 _TOP_SORT = {
@@ -159,7 +160,7 @@ _TOP_SORT = {
 }
 
 
-def top_statements(statements: DataFrame, by: str = "db_time", n: int = 10) -> DataFrame:
+def top_statements(statements: DataFrame, by: str = "db_time", n: int = 10, ordered: bool = False) -> DataFrame:
     """Top statements per scope by db time (or cpu, io, calls, wal):
     totals and shares of db time, cpu, io, calls and WAL, plus average mean
     and stddev of execution time. Shares are of the whole scope (taken before
@@ -197,7 +198,7 @@ def top_statements(statements: DataFrame, by: str = "db_time", n: int = 10) -> D
         F.round("_avg_stddev", 3).alias("avg_stddev_exec_time_ms"),
         F.col(_TOP_SORT[by]).alias("_key"))
     order = [F.col("_key").desc_nulls_first(), F.col("queryid")]
-    return top_k(out, order, n).orderBy(*SCOPE, *order).drop("_key")
+    return sort_if(top_k(out, order, n), ordered, *SCOPE, *order).drop("_key")
 
 
 # Lock target columns compared null-safely (with locktype) to find sessions
@@ -257,7 +258,7 @@ def temp_file_pid(name="name") -> F.Column:
     return F.split_part(F.split_part(tail, F.lit("tmp"), F.lit(2)), F.lit("."), F.lit(1)).cast("int")
 
 
-def sessions_by_temp(tempfiles: DataFrame, activity: DataFrame) -> DataFrame:
+def sessions_by_temp(tempfiles: DataFrame, activity: DataFrame, ordered: bool = False) -> DataFrame:
     """Temporary file bytes and count per tablespace and session (pid
     parsed from the file name; ``pg_global`` excluded), with the session's
     status if it is still connected; largest first."""
@@ -266,10 +267,10 @@ def sessions_by_temp(tempfiles: DataFrame, activity: DataFrame) -> DataFrame:
            .agg(F.sum("size").alias("tmp_bytes"), F.count(F.lit(1)).alias("tmp_files")))
     sess = activity.select(*SCOPE, F.col("pid").cast("bigint").alias("pid"), "state", "query_start",
                            "state_change", "wait_event_type", "wait_event", "query")
-    return (tmp.withColumn("pid", F.col("pid").cast("bigint"))
+    rows = (tmp.withColumn("pid", F.col("pid").cast("bigint"))
             .join(sess, on=SCOPE + ["pid"], how="left")
             .select(*SCOPE, "tblspc_name", F.col("tmp_bytes").cast("bigint").alias("tmp_bytes"),
                     pretty_bytes("tmp_bytes").alias("tmp_size"), "tmp_files", "pid",
                     query_status().alias("query_status"), wait_label().alias("wait_event"),
-                    F.substring("state", 1, 25).alias("state"), one_line("query", 50).alias("short_query"))
-            .orderBy(*SCOPE, F.col("tmp_bytes").desc_nulls_first(), "tblspc_name", "pid"))
+                    F.substring("state", 1, 25).alias("state"), one_line("query", 50).alias("short_query")))
+    return sort_if(rows, ordered, *SCOPE, F.col("tmp_bytes").desc_nulls_first(), "tblspc_name", "pid")

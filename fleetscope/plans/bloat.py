@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
+from fleetscope.operators.scope import sort_if
 from fleetscope.functions.exprs import pretty_bytes, round_div
 from fleetscope.operators.scope import top_k
 
@@ -114,7 +115,7 @@ def _table_sizes(est: DataFrame) -> DataFrame:
 
 
 def table_bloat(relations: DataFrame, attributes: DataFrame, column_stats: DataFrame, table_stats: DataFrame,
-                n: int = 10, block_size: int = 8192) -> DataFrame:
+                n: int = 10, block_size: int = 8192, ordered: bool = False) -> DataFrame:
     """The ``n`` tables per database with the most estimated bloat
     (bloat above 0 only); extra size may be negative."""
     sizes = _table_sizes(table_page_estimate(relations, attributes, column_stats, block_size))
@@ -127,7 +128,7 @@ def table_bloat(relations: DataFrame, attributes: DataFrame, column_stats: DataF
                     "bloat_bytes", pretty_bytes("bloat_bytes").alias("bloat_size"), "bloat_pct", "is_na",
                     "last_analyze", "last_autoanalyze"))
     order = [F.col("bloat_bytes").desc(), F.col("tblid")]
-    return top_k(rows, order, n, scope=DB).orderBy(*DB, *order)
+    return sort_if(top_k(rows, order, n, scope=DB), ordered, *DB, *order)
 
 
 def _table_totals(relations, attributes, column_stats, block_size) -> DataFrame:
@@ -234,7 +235,7 @@ def _index_sizes(est: DataFrame) -> DataFrame:
 
 
 def index_bloat(indexes: DataFrame, relations: DataFrame, attributes: DataFrame, column_stats: DataFrame,
-                n: int = 10, block_size: int = 8192) -> DataFrame:
+                n: int = 10, block_size: int = 8192, ordered: bool = False) -> DataFrame:
     """The ``n`` btree indexes per database with the most estimated
     bloat (bloat above 0 only; untrusted estimates included)."""
     sizes = _index_sizes(index_page_estimate(indexes, relations, attributes, column_stats, block_size))
@@ -244,7 +245,7 @@ def index_bloat(indexes: DataFrame, relations: DataFrame, attributes: DataFrame,
                     pretty_bytes("extra_bytes").alias("extra_size"), "extra_pct", "fillfactor",
                     "bloat_bytes", pretty_bytes("bloat_bytes").alias("bloat_size"), "bloat_pct", "is_na"))
     order = [F.col("bloat_bytes").desc(), F.col("idxoid")]
-    return top_k(rows, order, n, scope=DB).orderBy(*DB, *order)
+    return sort_if(top_k(rows, order, n, scope=DB), ordered, *DB, *order)
 
 
 def _index_totals(indexes, relations, attributes, column_stats, block_size) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
+from fleetscope.operators.scope import sort_if
 from fleetscope.functions.exprs import (elapsed_s, elapsed_us, elapsed_whole_s, pct, pretty_bytes, round_div,
                                         wait_label, xid_age)
 from fleetscope.operators.scope import not_collector, with_totals
@@ -93,53 +94,52 @@ def _restart_flag() -> F.Column:
     return F.when(F.col("context") == "postmaster", F.lit("true")).otherwise(F.lit("false"))
 
 
-def settings_non_default(settings: DataFrame) -> DataFrame:
+def settings_non_default(settings: DataFrame, ordered: bool = False) -> DataFrame:
     """Settings whose value differs from the boot value (NULL boot
     values are dropped, as ``<>`` does)."""
-    return (settings.where(F.col("setting") != F.col("boot_val"))
+    rows = (settings.where(F.col("setting") != F.col("boot_val"))
             .select(*SCOPE, "category", "name", "setting", "unit",
-                    _restart_flag().alias("is_instance_restart_required"), "context")
-            .orderBy(*SCOPE, "category", "name"))
+                    _restart_flag().alias("is_instance_restart_required"), "context"))
+    return sort_if(rows, ordered, *SCOPE, "category", "name")
 
 
-def settings_check(settings: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def settings_check(settings: DataFrame, spark: SparkSession | None = None, ordered: bool = False) -> DataFrame:
     """Current value against the recommendation for the checked
     parameters; ``-`` when there is none."""
     spark = spark or settings.sparkSession
     advice = spark.createDataFrame(SETTINGS_ADVICE, "name string, recom_value string")
     # 31 literal rows: a fixed-size dimension, safe to broadcast
-    return (settings.where(F.col("name").isin(SETTINGS_CHECKED))
+    rows = (settings.where(F.col("name").isin(SETTINGS_CHECKED))
             .join(F.broadcast(advice), on="name", how="left")
             .select(*SCOPE, "name", F.col("setting").alias("curr_value"), "unit",
-                    F.coalesce("recom_value", F.lit("-")).alias("recom_value"))
-            .orderBy(*SCOPE, "name"))
+                    F.coalesce("recom_value", F.lit("-")).alias("recom_value")))
+    return sort_if(rows, ordered, *SCOPE, "name")
 
 
-def checkpoint_settings(settings: DataFrame) -> DataFrame:
+def checkpoint_settings(settings: DataFrame, ordered: bool = False) -> DataFrame:
     """Checkpointer and background writer settings."""
-    return (settings.where(F.col("category").isin(CHECKPOINT_CATEGORIES))
-            .select(*SCOPE, "name", "setting", "unit", "context", "category")
-            .orderBy(*SCOPE, "category", "name")
-            .drop("category"))
+    rows = (settings.where(F.col("category").isin(CHECKPOINT_CATEGORIES))
+            .select(*SCOPE, "name", "setting", "unit", "context", "category"))
+    return sort_if(rows, ordered, *SCOPE, "category", "name").drop("category")
 
 
-def replication_settings(settings: DataFrame) -> DataFrame:
+def replication_settings(settings: DataFrame, ordered: bool = False) -> DataFrame:
     """Replication and recovery settings with the restart flag."""
     cond = F.lower("category").like("%replication%") | (F.col("category") == RECOVERY_CATEGORY)
-    return (settings.where(cond)
+    rows = (settings.where(cond)
             .select(*SCOPE, "category", "name", "setting", "unit",
-                    _restart_flag().alias("is_instance_restart_required"), "context")
-            .orderBy(*SCOPE, "category", "name"))
+                    _restart_flag().alias("is_instance_restart_required"), "context"))
+    return sort_if(rows, ordered, *SCOPE, "category", "name")
 
 
-def databases_overview(databases: DataFrame, tablespaces: DataFrame) -> DataFrame:
+def databases_overview(databases: DataFrame, tablespaces: DataFrame, ordered: bool = False) -> DataFrame:
     """Per database owner, encoding, collation, locale provider, size
     (or ``No Access``), tablespace and integer percent to wraparound and to
     emergency vacuum."""
     provider = (F.when(F.col("locprovider") == "c", F.lit("libc"))
                 .when(F.col("locprovider") == "i", F.lit("icu")))
     ts = tablespaces.select(F.col("oid").alias("tablespace_oid"), F.col("spcname").alias("tablespace"))
-    return (databases.join(ts, on="tablespace_oid", how="inner")
+    rows = (databases.join(ts, on="tablespace_oid", how="inner")
             .select(*SCOPE, F.col("datname").alias("database"), "owner", "encoding", F.col("datcollate").alias("collate"),
                     F.col("datctype").alias("ctype"),
                     "icu_locale", provider.alias("locale_provider"),
@@ -148,11 +148,11 @@ def databases_overview(databases: DataFrame, tablespaces: DataFrame) -> DataFram
                     .otherwise(F.lit("No Access")).alias("size"),
                     "tablespace",
                     F.expr("(100 * frozen_xid_age) div 2000000000").alias("pct_to_wraparound"),
-                    F.expr("(100 * frozen_xid_age) div freeze_max_age").alias("pct_to_emergency_vacuum"))
-            .orderBy(*SCOPE, "database"))
+                    F.expr("(100 * frozen_xid_age) div freeze_max_age").alias("pct_to_emergency_vacuum")))
+    return sort_if(rows, ordered, *SCOPE, "database")
 
 
-def cluster_size(databases: DataFrame) -> DataFrame:
+def cluster_size(databases: DataFrame, ordered: bool = False) -> DataFrame:
     """Size and share of each database plus a ``TOTAL`` row (100.0)."""
     per_db = with_totals(databases.select(*SCOPE, "datname", "size_bytes"),
                          {"_total": F.sum("size_bytes")})
@@ -161,7 +161,7 @@ def cluster_size(databases: DataFrame) -> DataFrame:
     total = (databases.groupBy(*SCOPE).agg(F.sum("size_bytes").alias("size_bytes"))
              .select(*SCOPE, F.lit("TOTAL").alias("datname"), "size_bytes",
                      pretty_bytes("size_bytes").alias("size"), F.lit(100.0).alias("pct")))
-    return rows.unionByName(total).orderBy(*SCOPE, F.col("pct").asc_nulls_last(), "datname")
+    return sort_if(rows.unionByName(total), ordered, *SCOPE, F.col("pct").asc_nulls_last(), "datname")
 
 
 def _pct_text(num, den) -> F.Column:
@@ -205,7 +205,7 @@ def horizon_global(activity: DataFrame, slots: DataFrame, prepared: DataFrame) -
     return j.select(*SCOPE, F.coalesce(F.greatest("a1", "a2", "a3", "a4", "a5"), F.lit(0)).alias("max_xmin_age"))
 
 
-def horizon_sessions(activity: DataFrame) -> DataFrame:
+def horizon_sessions(activity: DataFrame, ordered: bool = False) -> DataFrame:
     """Sessions holding an xmin or an xid, oldest first."""
     df = not_collector(activity).where(F.col("backend_xmin").isNotNull() | F.col("backend_xid").isNotNull())
     out = df.select(
@@ -217,7 +217,7 @@ def horizon_sessions(activity: DataFrame) -> DataFrame:
         elapsed_s("snap_ts", "state_change").alias("state_s"),
         query_status().alias("query_status"), wait_label().alias("wait_event"),
         F.substring("state", 1, 25).alias("state"))
-    return out.orderBy(*SCOPE, F.greatest("xmin_age", "xid_age").desc_nulls_first(), "pid")
+    return sort_if(out, ordered, *SCOPE, F.greatest("xmin_age", "xid_age").desc_nulls_first(), "pid")
 
 
 def horizon_slots(slots: DataFrame) -> DataFrame:
@@ -226,9 +226,9 @@ def horizon_slots(slots: DataFrame) -> DataFrame:
                                      F.max(xid_age("next_xid", "catalog_xmin")).alias("catalog_xmin_age"))
 
 
-def horizon_prepared(prepared: DataFrame) -> DataFrame:
+def horizon_prepared(prepared: DataFrame, ordered: bool = False) -> DataFrame:
     """Prepared transactions with their age, oldest first."""
-    return (prepared.select(*SCOPE, "gid", "prepared", "owner", "database",
+    rows = (prepared.select(*SCOPE, "gid", "prepared", "owner", "database",
                             F.col("transaction").alias("xmin"),
-                            xid_age("next_xid", "transaction").alias("xmin_age"))
-            .orderBy(*SCOPE, F.col("xmin_age").desc_nulls_first(), "gid"))
+                            xid_age("next_xid", "transaction").alias("xmin_age")))
+    return sort_if(rows, ordered, *SCOPE, F.col("xmin_age").desc_nulls_first(), "gid")

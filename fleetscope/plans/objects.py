@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
+from fleetscope.operators.scope import sort_if
 from fleetscope.functions.exprs import elapsed_s, pct, pretty_bytes
 from fleetscope.operators.scope import with_totals
 
@@ -30,20 +31,20 @@ RELKIND_LABELS = [
 DB = SCOPE + ["datname"]
 
 
-def schema_size(relations: DataFrame, databases: DataFrame) -> DataFrame:
+def schema_size(relations: DataFrame, databases: DataFrame, ordered: bool = False) -> DataFrame:
     """Bytes per schema of each database snapshot, share of the
     database size, and the database size; largest first."""
     sizes = relations.groupBy(*DB, F.col("nspname").alias("sch_name")).agg(F.sum("size_bytes").alias("sch_bytes"))
     db = databases.select(*DB, F.col("size_bytes").alias("db_bytes"))
-    return (sizes.join(db, on=DB, how="left")
+    rows = (sizes.join(db, on=DB, how="left")
             .select(*DB, "sch_name", F.col("sch_bytes").cast("bigint").alias("sch_bytes"),
                     pretty_bytes("sch_bytes").alias("sch_size"),
                     pct("sch_bytes", "db_bytes", 2).alias("sch_ratio"),
-                    pretty_bytes("db_bytes").alias("db_size"))
-            .orderBy(*DB, F.col("sch_bytes").desc_nulls_first(), "sch_name"))
+                    pretty_bytes("db_bytes").alias("db_size")))
+    return sort_if(rows, ordered, *DB, F.col("sch_bytes").desc_nulls_first(), "sch_name")
 
 
-def object_counts(relations: DataFrame, tablespaces: DataFrame, databases: DataFrame) -> DataFrame:
+def object_counts(relations: DataFrame, tablespaces: DataFrame, databases: DataFrame, ordered: bool = False) -> DataFrame:
     """Objects of each database snapshot by owner, schema, tablespace
     (its own, or the database default when 0) and kind: count, share, total."""
     kinds = F.create_map(*[F.lit(x) for x in chain.from_iterable(RELKIND_LABELS)])
@@ -61,10 +62,10 @@ def object_counts(relations: DataFrame, tablespaces: DataFrame, databases: DataF
                      F.coalesce(F.element_at(kinds, F.col("relkind")), F.col("relkind")).alias("obj_type"))
          .agg(F.count(F.lit(1)).alias("obj_count")))
     g = with_totals(g, {"obj_total": F.sum("obj_count")}, scope=DB)
-    return (g.select(*DB, "obj_owner", "obj_schema", "obj_tbs", "obj_type", "obj_count",
+    rows = (g.select(*DB, "obj_owner", "obj_schema", "obj_tbs", "obj_type", "obj_count",
                      pct("obj_count", "obj_total", 2).alias("obj_ratio"),
-                     F.col("obj_total").cast("bigint").alias("obj_total"))
-            .orderBy(*DB, F.col("obj_count").desc(), "obj_owner", "obj_schema", "obj_tbs", "obj_type"))
+                     F.col("obj_total").cast("bigint").alias("obj_total")))
+    return sort_if(rows, ordered, *DB, F.col("obj_count").desc(), "obj_owner", "obj_schema", "obj_tbs", "obj_type")
 
 
 def stats_age(databases: DataFrame) -> DataFrame:
@@ -81,13 +82,13 @@ def _unused(index_stats: DataFrame, indexes: DataFrame) -> DataFrame:
             .join(indexes.where(~F.col("indisunique")), on=SCOPE + ["indexrelid"], how="inner"))
 
 
-def unused_indexes(index_stats: DataFrame, indexes: DataFrame) -> DataFrame:
+def unused_indexes(index_stats: DataFrame, indexes: DataFrame, ordered: bool = False) -> DataFrame:
     """Never-scanned non-unique indexes with their size, largest first."""
-    return (_unused(index_stats, indexes)
+    rows = (_unused(index_stats, indexes)
             .select(*SCOPE, "schemaname", F.col("relname").alias("table_name"),
                     F.col("idxname").alias("index_name"), "idx_scan", "indisunique",
-                    F.col("size_bytes").alias("index_bytes"), pretty_bytes("size_bytes").alias("index_size"))
-            .orderBy(*SCOPE, F.col("index_bytes").desc_nulls_first(), "index_name"))
+                    F.col("size_bytes").alias("index_bytes"), pretty_bytes("size_bytes").alias("index_size")))
+    return sort_if(rows, ordered, *SCOPE, F.col("index_bytes").desc_nulls_first(), "index_name")
 
 
 def unused_indexes_total(index_stats: DataFrame, indexes: DataFrame) -> DataFrame:

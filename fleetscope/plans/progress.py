@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
+from fleetscope.operators.scope import sort_if
 from fleetscope.functions.exprs import (elapsed_s, elapsed_whole_s, pretty_bytes, quote_ident, round_div,
                                         wait_label)
 from fleetscope.operators.scope import attach
@@ -86,7 +87,7 @@ def _duration(prefix: str = "a_") -> Column:
 
 
 def index_build_progress(progress: DataFrame, activity: DataFrame, relations: DataFrame,
-                         table_stats: DataFrame) -> DataFrame:
+                         table_stats: DataFrame, ordered: bool = False) -> DataFrame:
     """Running index builds: duration, session and query, index and
     table names, table size, wait, phase and phase number, four progress
     texts, the current locker's query and the table's dead tuples."""
@@ -110,7 +111,7 @@ def index_build_progress(progress: DataFrame, activity: DataFrame, relations: Da
     phase_num = F.coalesce(F.element_at(_phase_map(INDEX_PHASES), F.col("phase")),
                            F.when(F.substring("phase", 1, 14) == "building index", F.lit("3 of 10"))
                            .otherwise(F.lit("")))
-    return (p.select(
+    rows = (p.select(
         *SCOPE, F.col("snap_ts").alias("now"), "pid", "index_relid",
         F.col("a_query_start").alias("started_at"),
         elapsed_s(F.col("snap_ts"), F.col("a_query_start")).alias("query_duration_s"),
@@ -127,12 +128,12 @@ def index_build_progress(progress: DataFrame, activity: DataFrame, relations: Da
         "current_locker_pid", "current_locker_query",
         _progress_text("lockers_done", "lockers_total").alias("lockers_progress"),
         _progress_text("partitions_done", "partitions_total").alias("partitions_progress"),
-        "table_dead_tuples")
-        .orderBy(*SCOPE, "index_relid", "pid"))
+        "table_dead_tuples"))
+    return sort_if(rows, ordered, *SCOPE, "index_relid", "pid")
 
 
 def vacuum_progress(progress: DataFrame, activity: DataFrame, relations: DataFrame,
-                    block_size: int = BLOCK_SIZE) -> DataFrame:
+                    block_size: int = BLOCK_SIZE, ordered: bool = False) -> DataFrame:
     """Running vacuums: duration, wait, freeze or regular, database,
     table, phase of 7, sizes, scanned and vacuumed bytes and integer
     percents, index passes and dead-tuple memory use."""
@@ -140,7 +141,7 @@ def vacuum_progress(progress: DataFrame, activity: DataFrame, relations: DataFra
     p = attach(p, _names(relations, "relid", "tbl_"), SCOPE + ["relid"])
     mode = F.when(F.col("a_query").rlike("to prevent wraparound"), F.lit("freeze")).otherwise(F.lit("regular"))
     total = F.nullif(F.col("heap_blks_total"), F.lit(0))
-    return (p.select(
+    rows = (p.select(
         *SCOPE, "pid", _duration().alias("duration_s"),
         wait_label("a_wait_event_type", "a_wait_event").alias("wait_event"), mode.alias("mode"),
         F.col("datname").alias("db"), _regclass("tbl_name", "relid").alias("table"), "phase",
@@ -151,8 +152,8 @@ def vacuum_progress(progress: DataFrame, activity: DataFrame, relations: DataFra
         F.floor(F.col("heap_blks_scanned") * 100 / total).cast("bigint").alias("scanned_pct"),
         F.floor(F.col("heap_blks_vacuumed") * 100 / total).cast("bigint").alias("vacuumed_pct"),
         F.col("index_vacuum_count").alias("ind_vac_cnt"),
-        round_div(F.col("num_dead_tuples") * 100, "max_dead_tuples", 1).alias("mwm_util_pct"))
-        .orderBy(*SCOPE, F.col("duration_s").desc_nulls_first(), "pid"))
+        round_div(F.col("num_dead_tuples") * 100, "max_dead_tuples", 1).alias("mwm_util_pct")))
+    return sort_if(rows, ordered, *SCOPE, F.col("duration_s").desc_nulls_first(), "pid")
 
 
 def _autovacuum_settings(relations: DataFrame, settings: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def _autovacuum_settings(relations: DataFrame, settings: DataFrame) -> DataFrame
 
 
 def vacuum_queue(table_stats: DataFrame, relations: DataFrame, settings: DataFrame, progress: DataFrame,
-                 activity: DataFrame, indexes: DataFrame) -> DataFrame:
+                 activity: DataFrame, indexes: DataFrame, ordered: bool = False) -> DataFrame:
     """Tables due for autovacuum (threshold + scale factor x tuples
     below the dead tuples), tables being vacuumed, and vacuums running in
     other databases, with effective settings, last vacuum, status, mode,
@@ -214,7 +215,7 @@ def vacuum_queue(table_stats: DataFrame, relations: DataFrame, settings: DataFra
             .otherwise(F.lit("regular")))
     waiting = F.when(F.col("a_pid").isNotNull(),
                      F.coalesce(F.concat(F.col("wait_event_type"), F.lit("."), F.col("wait_event")), F.lit("f")))
-    return (j.select(
+    rows = (j.select(
         *SCOPE, relation.alias("relation"),
         round_div(F.col("n_dead_tup") * 100, "reltuples", 2).alias("dead_tup_pct"),
         "reltuples", "n_dead_tup", settings_text.alias("effective_settings"), last.alias("last_vacuumed"),
@@ -224,11 +225,11 @@ def vacuum_queue(table_stats: DataFrame, relations: DataFrame, settings: DataFra
         round_div(F.col("heap_blks_vacuumed") * 100, "heap_blks_total", 1).alias("vacuumed_pct"),
         "index_vacuum_count",
         F.when(F.col("t_relid").isNotNull() & F.col("p_relid").isNotNull(), F.coalesce("_n_idx", F.lit(0)))
-        .alias("index_count"))
-        .orderBy(*SCOPE, "status", "relation", "pid"))
+        .alias("index_count")))
+    return sort_if(rows, ordered, *SCOPE, "status", "relation", "pid")
 
 
-def analyze_progress(progress: DataFrame, activity: DataFrame, relations: DataFrame) -> DataFrame:
+def analyze_progress(progress: DataFrame, activity: DataFrame, relations: DataFrame, ordered: bool = False) -> DataFrame:
     """Running analyzes: duration, wait, state, database, table, phase
     of 6, sizes, current child table and three percents (0 when the total
     is 0)."""
@@ -240,7 +241,7 @@ def analyze_progress(progress: DataFrame, activity: DataFrame, relations: DataFr
     def share(done, total):
         return F.when(F.col(total) > 0, round_div(F.col(done) * 100, total, 2)).otherwise(F.lit(0.0))
 
-    return (p.select(
+    rows = (p.select(
         *SCOPE, "pid", _duration().alias("duration_s"),
         wait_label("a_wait_event_type", "a_wait_event").alias("wait_event"), F.col("a_state").alias("state"),
         F.col("datname").alias("db"), _regclass("tbl_name", "relid").alias("table"), "phase",
@@ -251,8 +252,8 @@ def analyze_progress(progress: DataFrame, activity: DataFrame, relations: DataFr
         .otherwise(F.lit("")).alias("current_child"),
         share("sample_blks_scanned", "sample_blks_total").alias("blocks_pct"),
         share("ext_stats_computed", "ext_stats_total").alias("extended_pct"),
-        share("child_tables_done", "child_tables_total").alias("child_pct"))
-        .orderBy(*SCOPE, F.col("duration_s").desc_nulls_first(), "pid"))
+        share("child_tables_done", "child_tables_total").alias("child_pct")))
+    return sort_if(rows, ordered, *SCOPE, F.col("duration_s").desc_nulls_first(), "pid")
 
 
 def copy_progress(progress: DataFrame, activity: DataFrame, relations: DataFrame,

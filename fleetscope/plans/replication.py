@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
+from fleetscope.operators.scope import sort_if
 from fleetscope.functions.exprs import elapsed_whole_s, pretty_bytes, wait_label, xid_age
 
 # Lags reported, as (name, later position, earlier position); ``current`` is
@@ -21,7 +22,7 @@ LAGS = [
 ]
 
 
-def replication_lag(slots: DataFrame, senders: DataFrame, activity: DataFrame, instances: DataFrame) -> DataFrame:
+def replication_lag(slots: DataFrame, senders: DataFrame, activity: DataFrame, instances: DataFrame, ordered: bool = False) -> DataFrame:
     """Replication slots full-joined to WAL senders on the active pid,
     with the serving session, slot horizons and byte lags; largest total lag
     (current minus replayed, else current minus restart) first."""
@@ -56,7 +57,7 @@ def replication_lag(slots: DataFrame, senders: DataFrame, activity: DataFrame, i
         "catalog_xmin", xid_age("slot_next_xid", "catalog_xmin").alias("catalog_xmin_age"),
         F.col("restart_pos").alias("restart_lsn"), F.col("confirmed_pos").alias("confirmed_flush_lsn"),
         *lags, total.alias("total_lag_bytes"), pretty_bytes(total).alias("total_lag"))
-    return out.orderBy(*SCOPE, F.col("total_lag_bytes").desc_nulls_last(), "slot_name", "pid")
+    return sort_if(out, ordered, *SCOPE, F.col("total_lag_bytes").desc_nulls_last(), "slot_name", "pid")
 
 
 def replication_diagnosis(slots: DataFrame, instances: DataFrame, ratio: float = 2.0,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
+from fleetscope.operators.scope import sort_if
 
 # PostgreSQL access-privilege letters and the privilege names
 # that aclexplode reports for them.
@@ -55,7 +56,7 @@ def role_attributes() -> F.Column:
     return F.when(F.size(present) > 0, F.array_join(present, NL))
 
 
-def role_list(roles: DataFrame, auth_members: DataFrame) -> DataFrame:
+def role_list(roles: DataFrame, auth_members: DataFrame, ordered: bool = False) -> DataFrame:
     """Per role its attributes, the roles it is a member of (sorted;
     ``none`` if none) and its configuration items (``none`` if none)."""
     groups = (auth_members
@@ -64,14 +65,14 @@ def role_list(roles: DataFrame, auth_members: DataFrame) -> DataFrame:
               .groupBy(*SCOPE, F.col("member").alias("oid"))
               .agg(F.array_join(F.array_sort(F.collect_list("group_name")), NL).alias("member_of")))
     settings = F.when(F.size("rolconfig") > 0, F.array_join("rolconfig", NL))
-    return (roles.join(groups, on=SCOPE + ["oid"], how="left")
+    rows = (roles.join(groups, on=SCOPE + ["oid"], how="left")
             .select(*SCOPE, F.col("rolname").alias("username"), role_attributes().alias("attributes"),
                     F.coalesce("member_of", F.lit("none")).alias("member_of"),
-                    F.coalesce(settings, F.lit("none")).alias("settings"))
-            .orderBy(*SCOPE, "username"))
+                    F.coalesce(settings, F.lit("none")).alias("settings")))
+    return sort_if(rows, ordered, *SCOPE, "username")
 
 
-def acl_grants(acls: DataFrame) -> DataFrame:
+def acl_grants(acls: DataFrame, ordered: bool = False) -> DataFrame:
     """Access lists exploded to one row per grantee and privilege, with
     grantor and grant option. Objects with a NULL list yield no rows."""
     letters = F.create_map(*[F.lit(x) for x in chain.from_iterable(ACL_PRIVILEGES)])
@@ -84,17 +85,17 @@ def acl_grants(acls: DataFrame) -> DataFrame:
         F.regexp_extract("item", r"=([^/]*)/", 1).alias("privs"))
     privs = parsed.select(*SCOPE, "schema_name", "owner", "grantee", "grantor",
                           F.explode(F.regexp_extract_all("privs", F.lit(r"([A-Za-z]\*?)"), F.lit(1))).alias("p"))
-    return (privs.select(
+    rows = (privs.select(
         *SCOPE, "schema_name", "owner",
         F.when(F.col("grantee") == "", F.lit(PUBLIC_ROLE)).otherwise(F.col("grantee")).alias("role_name"),
         F.element_at(letters, F.substring("p", 1, 1)).alias("privilege"),
         F.col("p").endswith("*").alias("is_grantable"),
-        "grantor")
-        .orderBy(*SCOPE, "schema_name", "owner", "role_name", "privilege"))
+        "grantor"))
+    return sort_if(rows, ordered, *SCOPE, "schema_name", "owner", "role_name", "privilege")
 
 
-def database_access(databases: DataFrame) -> DataFrame:
+def database_access(databases: DataFrame, ordered: bool = False) -> DataFrame:
     """Each database's access list, one item per line (NULL kept)."""
-    return (databases.select(*SCOPE, F.col("datname").alias("database"),
-                             F.array_join("acl", NL).alias("access"))
-            .orderBy(*SCOPE, "database"))
+    rows = (databases.select(*SCOPE, F.col("datname").alias("database"),
+                             F.array_join("acl", NL).alias("access")))
+    return sort_if(rows, ordered, *SCOPE, "database")

@@ -182,3 +182,14 @@ def test_progress_text_nulls(spark):
     r = progress.index_build_progress(prog, act, rels, ts).first()
     assert r.blocks_progress == "N/A (? of ?)" and r.tuples_progress == "33.33% (1 of 3)"
     assert r.phase_num == "3 of 10" and r.index_name == "2" and r.pid_and_query == "[] "
+
+
+def test_ordered_gives_reference_order(spark):
+    act = snapshot_frame(spark, "activity", [
+        _session(1, "active", xact_start=None), _session(2, "active"), _session(3, "idle in transaction"),
+        _session(4, "active")])
+    # longest transaction first, NULL (no transaction) first as in the reference's DESC
+    got = [r.pid for r in activity.active_sessions(act, ordered=True).collect()]
+    assert got == [1, 4, 3, 2]
+    counts = [(r.state, r.sess_count) for r in activity.sessions_by_state(act, ordered=True).collect()]
+    assert counts == [("active", 3), ("idle in transaction", 1)]
