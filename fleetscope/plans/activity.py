@@ -25,15 +25,13 @@ def _durations(df: DataFrame) -> list:
 def query_status() -> F.Column:
     """``done, duration: N ms`` for an idle-in-transaction session (time from
     query start to the state change), else ``in progress, duration: N ms``
-    (time since query start); milliseconds rounded half away from zero."""
-    def ms(end, start):
-        us = F.abs(elapsed_us(end, start))
-        return ((us + 500) - F.pmod(us + 500, F.lit(1000))).cast("decimal(38,0)") / 1000
-
-    done = F.concat(F.lit("done, duration: "), ms("query_start", "state_change").cast("bigint").cast("string"),
-                    F.lit(" ms"))
-    running = F.concat(F.lit("in progress, duration: "), ms("snap_ts", "query_start").cast("bigint").cast("string"),
-                       F.lit(" ms"))
+    (time since query start); milliseconds rounded half away from zero in
+    exact integer arithmetic."""
+    def ms(end: str, start: str) -> F.Column:
+        return F.expr(f"(abs(unix_micros({end}) - unix_micros({start})) + 500) div 1000")
+
+    done = F.concat(F.lit("done, duration: "), ms("query_start", "state_change").cast("string"), F.lit(" ms"))
+    running = F.concat(F.lit("in progress, duration: "), ms("snap_ts", "query_start").cast("string"), F.lit(" ms"))
     return F.when(F.col("state") == "idle in transaction", done).otherwise(running)
 
 
