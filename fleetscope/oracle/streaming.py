@@ -10,7 +10,9 @@ from activity where backend_type = 'client backend' and not is_collector group b
 
 STREAM_LATEST_PROGRESS = with_tables("progress_vacuum") + """
 select * exclude (_rn) from (
-  select *, row_number() over (partition by instance, pid order by snap_ts desc) as _rn from progress_vacuum) x
+  select *, date_trunc('hour', snap_ts) as window_start,
+    row_number() over (partition by instance, pid, date_trunc('hour', snap_ts) order by snap_ts desc) as _rn
+  from progress_vacuum) x
 where _rn = 1
 """
 

@@ -28,12 +28,19 @@ def stream_session_mix(activity: DataFrame, window: str = "1 day", lateness: str
                     "state", "sess_count"))
 
 
-def stream_latest_progress(progress: DataFrame, keys: tuple[str, ...] = ("instance", "pid")) -> DataFrame:
-    """The newest progress row per (instance, pid) (update mode keeps one
-    row of state per running command)."""
+def stream_latest_progress(progress: DataFrame, keys: tuple[str, ...] = ("instance", "pid"),
+                           window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """The newest progress row per (instance, pid) within each event-time
+    ``window`` of ``snap_ts``. The watermark bounds the state: once a window
+    is ``lateness`` behind the newest snapshot its rows are final and its
+    state is dropped, so a feed running for months keeps only open windows
+    (pids are reused by the server, so an unwindowed key would grow
+    forever)."""
     cols = [c for c in progress.columns if c not in keys]
-    latest = progress.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("snap_ts")).alias("r"))
-    return latest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in cols])
+    latest = (progress.withWatermark("snap_ts", lateness)
+              .groupBy(*keys, F.window("snap_ts", window).alias("w"))
+              .agg(F.max_by(F.struct(*cols), F.col("snap_ts")).alias("r")))
+    return latest.select(*keys, F.col("w.start").alias("window_start"), *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
@@ -44,9 +51,10 @@ def stream_folder(spark: SparkSession, name: str) -> str:
 
 def run_available(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Run a streaming aggregate over all available input and return its
-    result table. Each micro-batch's output is written by the executors
-    (complete mode rewrites the whole result), so nothing passes through
-    the driver."""
+    result table. Each micro-batch's output is written by the executors, so
+    nothing passes through the driver. In complete mode every batch rewrites
+    the whole result; in other modes the table holds the last batch's
+    output."""
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)
 
