@@ -115,7 +115,9 @@ def _db_time():
 def top_unstable_statements(statements: DataFrame, n: int = 10, ordered: bool = False) -> DataFrame:
     """Statements whose run time is unstable (stddev/mean above 1.5) or
     degrading (max/mean above 3) with mean above 1 ms, per query id, with
-    shares of the scope's db time and calls counted over rows that ran."""
+    shares of the scope's db time and calls counted over rows that ran.
+    The top ``n`` per scope are cut before the shares are joined and
+    formatted, so that work is done for at most ``n`` rows per scope."""
     ran = (_db_time() > 0) & (F.col("calls") > 0)
     totals = (statements.groupBy(*SCOPE)
               .agg(F.coalesce(F.sum(F.when(ran, _db_time())), F.lit(0)).alias("_total_db_time"),
@@ -129,9 +131,12 @@ def top_unstable_statements(statements: DataFrame, n: int = 10, ordered: bool =
               F.max("max_exec_time").alias("_max_time"))
          .withColumn("_instability", F.col("_avg_stddev") / F.nullif(F.col("_avg_time"), F.lit(0.0)))
          .withColumn("_degradation", F.col("_max_time") / F.nullif(F.col("_avg_time"), F.lit(0.0)))
-         .where((F.col("_avg_time") > 1) & ((F.col("_instability") > 1.5) | (F.col("_degradation") > 3))))
-    j = g.join(totals, on=SCOPE, how="inner")
-    out = j.select(
+         .where((F.col("_avg_time") > 1) & ((F.col("_instability") > 1.5) | (F.col("_degradation") > 3)))
+         .withColumn("instability", F.round("_instability", 2))
+         .withColumn("degradation", F.round("_degradation", 2)))
+    order = [F.col("degradation").desc_nulls_first(), F.col("instability").desc_nulls_first(), F.col("queryid")]
+    top = top_k(g, order, n).join(totals, on=SCOPE, how="inner")
+    rows = top.select(
         *SCOPE, "queryid",
         F.when(F.col("_total_db_time") > 0, pct("_db_time", "_total_db_time", 2, scale=4))
         .otherwise(F.lit(0.0)).alias("t_db_time_pct"),
@@ -143,10 +148,8 @@ def top_unstable_statements(statements: DataFrame, n: int = 10, ordered: bool =
         F.round("_avg_stddev", 3).alias("avg_stddev_ms"),
         F.round("_min_time", 2).alias("min_exec_time_ms"),
         F.round("_max_time", 2).alias("max_exec_time_ms"),
-        F.round("_instability", 2).alias("instability"),
-        F.round("_degradation", 2).alias("degradation"))
-    order = [F.col("degradation").desc_nulls_first(), F.col("instability").desc_nulls_first(), F.col("queryid")]
-    return sort_if(top_k(out, order, n), ordered, *SCOPE, *order)
+        "instability", "degradation")
+    return sort_if(rows, ordered, *SCOPE, *order)
 
 
 _TOP_SORT = {
@@ -161,10 +164,13 @@ _TOP_SORT = {
 def top_statements(statements: DataFrame, by: str = "db_time", n: int = 10, ordered: bool = False) -> DataFrame:
     """Top statements per scope by db time (or cpu, io, calls, wal):
     totals and shares of db time, cpu, io, calls and WAL, plus average mean
-    and stddev of execution time. Shares are of the whole scope (taken before
-    the limit); a NULL share is 0."""
+    and stddev of execution time. Shares are of the whole scope (totals are
+    taken over all statements, before the limit); a NULL share is 0. The
+    top ``n`` per scope are cut first, so shares are joined and formatted
+    for at most ``n`` rows per scope."""
     cpu = _db_time() - F.col("blk_read_time") - F.col("blk_write_time")
     io = F.col("blk_read_time") + F.col("blk_write_time")
+    measures = ["_db_time", "_cpu_time", "_io_time", "_calls", "_wal"]
     g = (statements.groupBy(*SCOPE, "queryid")
          .agg(F.sum(_db_time()).alias("_db_time"),
               F.sum("total_exec_time").alias("_exec_time"),
@@ -174,12 +180,14 @@ def top_statements(statements: DataFrame, by: str = "db_time", n: int = 10, orde
               F.sum("wal_bytes").alias("_wal"),
               F.avg("mean_exec_time").alias("_avg_mean"),
               F.avg("stddev_exec_time").alias("_avg_stddev")))
-    g = with_totals(g, {f"_tot{c}": F.sum(c) for c in ["_db_time", "_cpu_time", "_io_time", "_calls", "_wal"]})
+    totals = g.groupBy(*SCOPE).agg(*[F.sum(c).alias(f"_tot{c}") for c in measures])
+    order = [F.col(_TOP_SORT[by]).desc_nulls_first(), F.col("queryid")]
+    top = top_k(g, order, n).join(totals, on=SCOPE, how="inner")
 
     def share(c, scale=4, signed=False):
         return F.coalesce(pct(c, f"_tot{c}", 2, scale=scale, signed=signed), F.lit(0.0))
 
-    out = g.select(
+    rows = top.select(
         *SCOPE, "queryid",
         share("_db_time").alias("t_db_time_pct"),
         round_div("_exec_time", F.lit(1), 2, scale=4).alias("t_db_time_ms"),
@@ -194,9 +202,8 @@ def top_statements(statements: DataFrame, by: str = "db_time", n: int = 10, orde
         pretty_bytes("_wal").alias("t_wal_size"),
         F.round("_avg_mean", 3).alias("avg_exec_time_ms"),
         F.round("_avg_stddev", 3).alias("avg_stddev_exec_time_ms"),
-        F.col(_TOP_SORT[by]).alias("_key"))
-    order = [F.col("_key").desc_nulls_first(), F.col("queryid")]
-    return sort_if(top_k(out, order, n), ordered, *SCOPE, *order).drop("_key")
+        *[F.col(c) for c in {_TOP_SORT[by]}])
+    return sort_if(rows, ordered, *SCOPE, *order).drop(_TOP_SORT[by])
 
 
 # Lock target columns compared null-safely (with locktype) to find sessions

@@ -172,27 +172,20 @@ def index_page_estimate(indexes: DataFrame, relations: DataFrame, attributes: Da
            .withColumn("key", F.col("key_text").cast("int")))
     ct = relations.select(*SCOPE, F.col("oid").alias("tbloid"), F.col("relname").alias("tblname"), "nspname",
                           "datname")
-    a1 = attributes.select(*SCOPE, F.col("attrelid").alias("a1_rel"), F.col("attnum").alias("a1_num"),
-                           F.col("attname").alias("a1_name"), F.col("typname").alias("a1_type"))
-    a2 = attributes.select(*SCOPE, F.col("attrelid").alias("a2_rel"), F.col("attnum").alias("a2_num"),
-                           F.col("attname").alias("a2_name"), F.col("typname").alias("a2_type"))
-    j = idx.join(ct, on=SCOPE + ["tbloid"], how="inner").where(_user_schema())
-    j = (j.alias("j")
-         .join(a1.alias("a1"),
-               (F.col("j.instance") == F.col("a1.instance")) & (F.col("j.snap_ts") == F.col("a1.snap_ts"))
-               & (F.col("j.key") != 0) & (F.col("a1.a1_rel") == F.col("j.tbloid"))
-               & (F.col("a1.a1_num") == F.col("j.key")), "left")
-         .drop(F.col("a1.instance"), F.col("a1.snap_ts")))
-    j = (j.alias("j")
-         .join(a2.alias("a2"),
-               (F.col("j.instance") == F.col("a2.instance")) & (F.col("j.snap_ts") == F.col("a2.snap_ts"))
-               & (F.col("j.key") == 0) & (F.col("a2.a2_rel") == F.col("j.idxoid"))
-               & (F.col("a2.a2_num") == F.col("j.attpos")), "left")
-         .drop(F.col("a2.instance"), F.col("a2.snap_ts")))
+    # A key column is a table column (key <> 0, looked up by its number on
+    # the table) or an expression column of the index itself (key 0, looked
+    # up by its position on the index): one lookup join on computed keys.
+    att = attributes.select(*SCOPE, F.col("attrelid").alias("look_rel"), F.col("attnum").alias("look_num"),
+                            F.col("attname").alias("att_name"), F.col("typname").alias("att_type"),
+                            F.lit(True).alias("att_found"))
+    j = (idx.join(ct, on=SCOPE + ["tbloid"], how="inner").where(_user_schema())
+         .withColumn("look_rel", F.when(F.col("key") != 0, F.col("tbloid")).otherwise(F.col("idxoid")))
+         .withColumn("look_num", F.when(F.col("key") != 0, F.col("key")).otherwise(F.col("attpos")))
+         .join(att, on=SCOPE + ["look_rel", "look_num"], how="left"))
+    on_table = (F.col("key") != 0) & F.col("att_found").isNotNull()
     j = j.select(*DB, "idxoid", "tbloid", "idxname", "tblname", "nspname", "reltuples", "relpages", "fillfactor",
-                 F.coalesce("a1_name", "a2_name").alias("attname"),
-                 F.coalesce("a1_type", "a2_type").alias("typname"),
-                 F.when(F.col("a1_num").isNull(), F.col("idxoid")).otherwise(F.col("tbloid")).alias("stat_rel"))
+                 F.col("att_name").alias("attname"), F.col("att_type").alias("typname"),
+                 F.when(on_table, F.col("tbloid")).otherwise(F.col("idxoid")).alias("stat_rel"))
     stats = column_stats.select(*SCOPE, F.col("relid").alias("stat_rel"), "attname", "null_frac", "avg_width")
     cols = j.join(stats, on=SCOPE + ["stat_rel", "attname"], how="inner")
     nf = F.coalesce("null_frac", F.lit(0.0))
