@@ -1,5 +1,5 @@
-"""Oracle SQL for the lock trees: recursive CTEs (levels by UNION, then the
-smallest level and parent; R19 by path enumeration, fine on small graphs)."""
+"""Oracle SQL for the lock trees: recursive CTEs (R18: levels by UNION, then
+the smallest level and parent; R19: a keyed fixpoint)."""
 
 from fleetscope.oracle.common import secs, with_tables
 from fleetscope.operators.lock_graph import LOCK_MODE_ORDER
@@ -83,46 +83,31 @@ join lock_activity a on {_sc('a', 't')} and a.pid = t.pid
 join lock_activity r on {_sc('r', 't')} and r.pid = t.root
 """
 
+# R19 as a keyed fixpoint: each round places the sessions whose blockers are
+# all placed already (level = 1 + highest blocker level, top = smallest top,
+# parent = blocker placed last, smallest pid on ties).
 LOCK_TREE_ALL_BLOCKERS = with_tables("locks", "lock_activity", extra=EDGES + f""",
 arr as (select {_S}, waiter as pid, list_sort(list_distinct(list(locker))) as blocked_by from edges group by all),
 sess as (
   select a.*, coalesce(arr.blocked_by, cast([] as bigint[])) as blocked_by
   from lock_activity a left join arr on {_sc('arr', 'a')} and arr.pid = a.pid
   where a.state is distinct from 'idle'),
-e19 as (select {_S}, pid, unnest(blocked_by) as blocker from sess),
-blk as (select distinct {_S}, blocker as pid from e19),
+e19 as (select {_S}, pid, unnest(blocked_by) as blocker, len(blocked_by) as n from sess),
 r19 as (
   select s.instance, s.snap_ts, s.pid from sess s
-  where len(s.blocked_by) = 0 and exists (select 1 from blk b where {_sc('b', 's')} and b.pid = s.pid)),
-pth({_S}, pid, top, lvl, path) as (
-  select {_S}, pid, pid, 1, [pid] from r19
-  union all
-  select e.instance, e.snap_ts, e.pid, p.top, p.lvl + 1, list_append(p.path, e.pid)
-  from pth p join e19 e on {_sc('e', 'p')} and e.blocker = p.pid where not list_contains(p.path, e.pid)),
-reached as (select {_S}, pid, max(lvl) as level, min(top) as top_blocker_pid from pth group by all),
-anc19({_S}, v, a) as (
-  select {_S}, pid, blocker from e19
-  union
-  select x.instance, x.snap_ts, x.v, e.blocker from anc19 x join e19 e on {_sc('e', 'x')} and e.pid = x.a),
-badself as (
-  select {_S}, v as pid from anc19 where a = v
-  union
-  select e.instance, e.snap_ts, e.pid from e19 e
-  where not exists (select 1 from reached r where {_sc('r', 'e')} and r.pid = e.blocker)),
-bad as (
-  select {_S}, pid from badself
+  where len(s.blocked_by) = 0 and exists (select 1 from e19 b where {_sc('b', 's')} and b.blocker = s.pid)),
+placed({_S}, pid, level, top_blocker_pid, parent) using key (instance, snap_ts, pid) as (
+  select {_S}, pid, 1, pid, cast(null as bigint) from r19
   union
-  select x.instance, x.snap_ts, x.v from anc19 x join badself b on {_sc('b', 'x')} and b.pid = x.a),
-placed as (
-  select r.* from reached r where not exists (select 1 from bad b where {_sc('b', 'r')} and b.pid = r.pid)),
-par19 as (
-  select p.instance, p.snap_ts, p.pid, arg_max(e.blocker, struct_pack(l := b.level, n := -e.blocker)) as parent
-  from placed p join e19 e on {_sc('e', 'p')} and e.pid = p.pid
-  join placed b on {_sc('b', 'e')} and b.pid = e.blocker group by all),
+  select e.instance, e.snap_ts, e.pid, max(p.level) + 1, min(p.top_blocker_pid),
+    arg_max(e.blocker, struct_pack(l := p.level, n := -e.blocker))
+  from e19 e join recurring.placed p on {_sc('p', 'e')} and p.pid = e.blocker
+  where not exists (select 1 from recurring.placed q where {_sc('q', 'e')} and q.pid = e.pid)
+  group by e.instance, e.snap_ts, e.pid having count(*) = max(e.n)),
 down({_S}, a, v) as (
-  select {_S}, parent, pid from par19
+  select {_S}, parent, pid from placed where parent is not null
   union
-  select d.instance, d.snap_ts, d.a, c.pid from down d join par19 c on {_sc('c', 'd')} and c.parent = d.v),
+  select d.instance, d.snap_ts, d.a, c.pid from down d join placed c on {_sc('c', 'd')} and c.parent = d.v),
 blkd as (select {_S}, a as pid, count(distinct v) as n from down group by all)""").replace(
     "with ", "with recursive ", 1) + f"""
 select s.instance, s.snap_ts, s.pid, s.blocked_by,
@@ -137,10 +122,9 @@ select s.instance, s.snap_ts, s.pid, s.blocked_by,
   lpad('[' || cast(s.pid as varchar) || ']', 9, ' ') || ' '
     || coalesce(repeat('.', p.level - 1) || case when p.level > 1 then ' ' end, '')
     || coalesce(left(s.query, 1000), '') as query,
-  p.level, p.top_blocker_pid, q.parent
+  p.level, p.top_blocker_pid, p.parent
 from placed p
 join sess s on {_sc('s', 'p')} and s.pid = p.pid
-left join par19 q on {_sc('q', 'p')} and q.pid = p.pid
 left join blkd k on {_sc('k', 'p')} and k.pid = p.pid
 """
 

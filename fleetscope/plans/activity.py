@@ -216,17 +216,17 @@ def blocking_sessions(locks: DataFrame, activity: DataFrame) -> DataFrame:
     """Each ungranted lock against every other session's lock on the
     same target (locktype and nine target columns equal, NULLs equal), with
     both users and statements. The other side is not filtered on granted,
-    so two waiters list each other. This is an equi-join on the target (the
-    NULL-safe keys plan as hash keys); its output is, by definition, the
-    waiter x holder pairs of each target."""
-    waiting = locks.where(~F.col("granted")).select(*SCOPE, "locktype", *LOCK_TARGET, F.col("pid").alias("w_pid"))
-    other = locks.select(*[F.col(c).alias(f"o_{c}") for c in SCOPE + ["locktype"] + LOCK_TARGET],
-                         F.col("pid").alias("o_pid"))
-    cond = [F.col("instance") == F.col("o_instance"), F.col("snap_ts") == F.col("o_snap_ts"),
-            F.col("locktype") == F.col("o_locktype")]
-    cond += [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in LOCK_TARGET]
-    cond.append(F.col("w_pid") != F.col("o_pid"))
-    pairs = waiting.join(other, cond, "inner").select(*SCOPE, "w_pid", "o_pid")
+    so two waiters list each other. The target is one struct key, so this
+    is a single-key equi-join; its output is, by definition, the waiter x
+    other-session pairs of each target."""
+    from fleetscope.operators.lock_graph import lock_target
+
+    target = lock_target(["locktype"] + LOCK_TARGET)
+    waiting = locks.where(~F.col("granted")).select(*SCOPE, target, F.col("pid").alias("w_pid"))
+    other = locks.select(*SCOPE, target, F.col("pid").alias("o_pid"))
+    pairs = (waiting.join(other, on=SCOPE + ["obj"], how="inner")
+             .where(F.col("w_pid") != F.col("o_pid"))
+             .select(*SCOPE, "w_pid", "o_pid"))
     sess = activity.select(*SCOPE, "pid", "usename", one_line("query", 40).alias("stmt"))
     blocked = sess.select(*SCOPE, F.col("pid").alias("w_pid"), F.col("usename").alias("blocked_user"),
                           F.col("stmt").alias("blocked_statement"))

@@ -199,7 +199,7 @@ FIXTURES: dict[str, Fixture] = {
         "when 2 then 'ShareLock' else 'AccessExclusiveLock' end",
         "granted": "l_linenumber <= 2",
         "fastpath": "l_linestatus = 'F'",
-    }, where="l_shipdate < timestamp '1995-07-01 00:00:00'")]),
+    })]),
     "prepared": Fixture("prepared", [Part("orders", {
         "instance": "'i' || cast(o_custkey % 3 as string)",
         "snap_ts": SNAP,
