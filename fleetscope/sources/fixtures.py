@@ -9,7 +9,7 @@ lives in ``fleetscope.plans``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +30,6 @@ class Part:
 class Fixture:
     name: str
     parts: list[Part]
-    reads: str = ""
-    extra: dict = field(default_factory=dict)
 
 
 def _same(exprs: dict[str, str], **changes: str) -> dict[str, str]:

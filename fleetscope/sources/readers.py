@@ -20,8 +20,8 @@ def _lists(df: DataFrame, name: str) -> DataFrame:
 def read_snapshot(spark: SparkSession, path: str, name: str, instances: Sequence[str] | None = None,
                   since: str | None = None) -> DataFrame:
     """Read snapshot table ``name`` from ``path``. Optional filters on the
-    scope keys are pushed to the Parquet scan (and prune partitions when the
-    table is partitioned by instance or snapshot date)."""
+    scope keys are pushed to the Parquet scan, and prune partitions when the
+    table is partitioned by those columns."""
     df = spark.read.schema(schema(name)).parquet(path)
     if instances is not None:
         df = df.where(F.col("instance").isin(list(instances)))

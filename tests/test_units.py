@@ -193,3 +193,18 @@ def test_ordered_gives_reference_order(spark):
     assert got == [1, 4, 3, 2]
     counts = [(r.state, r.sess_count) for r in activity.sessions_by_state(act, ordered=True).collect()]
     assert counts == [("active", 3), ("idle in transaction", 1)]
+
+
+def test_read_snapshot_pushes_scope_filter_and_splits_lists(spark, tmp_path):
+    from fleetscope.sources.readers import read_snapshot
+    from fleetscope.sources.schemas import schema
+
+    rows = [dict(instance=i, snap_ts=T0, datname=f"d{i}", acl="=c/o,a=C/o") for i in ("i0", "i1")]
+    raw = spark.createDataFrame([tuple(r.get(f.name) for f in schema("databases").fields) for r in rows],
+                                schema("databases"))
+    raw.write.parquet(str(tmp_path / "databases"))
+    df = read_snapshot(spark, str(tmp_path / "databases"), "databases", instances=["i1"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(instance, [i1])" in plan or "EqualTo(instance,i1)" in plan, plan
+    got = df.select("datname", "acl").collect()
+    assert [(r.datname, r.acl) for r in got] == [("di1", ["=c/o", "a=C/o"])]
