@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
 from fleetscope.operators.scope import sort_if
-from fleetscope.functions.exprs import (elapsed_s, elapsed_us, elapsed_whole_s, pct, pretty_bytes, round_div,
-                                        wait_label, xid_age)
+from fleetscope.functions.exprs import (elapsed_s, elapsed_us, elapsed_whole_s, pct, pretty_bytes, wait_label,
+                                        xid_age)
 from fleetscope.operators.scope import not_collector, with_totals
 from fleetscope.plans.activity import query_status
 
