@@ -25,7 +25,9 @@ from fleetscope import SCOPE
 
 
 def with_totals(df: DataFrame, totals: dict[str, Column], scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Add per-scope aggregates ``totals`` (name -> aggregate) to every row."""
+    """Add per-scope aggregates ``totals`` (name -> aggregate) to every row.
+    Reports call this on rows that are already aggregated or cut to top-k,
+    so even the busiest scope brings a bounded number of rows to the join."""
     agg = df.groupBy(*scope).agg(*[c.alias(n) for n, c in totals.items()])
     return df.join(agg, on=list(scope), how="inner")
 
@@ -67,3 +69,19 @@ def sort_if(df: DataFrame, ordered: bool, *cols) -> DataFrame:
     shuffle, so reports return unordered rows unless ``ordered`` is set;
     rows of one scope can also be sorted after filtering to that scope."""
     return df.orderBy(*cols) if ordered else df
+
+
+SALT_BUCKETS = 32
+
+
+def salted_lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
+                  buckets: int = SALT_BUCKETS) -> DataFrame:
+    """Join ``big`` rows to a lookup ``small`` with one row per key (a
+    per-scope or per-database setting) so that a hot key is spread over
+    ``buckets`` tasks: each ``big`` row gets a bucket from a hash of the
+    whole row and each ``small`` row is copied to every bucket. When the
+    lookup is small enough the planner broadcasts it instead; the buckets
+    matter once it is not (many scopes) and one key holds much of ``big``."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(buckets))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return big.withColumn("_salt", salt).join(copies, on=list(keys) + ["_salt"], how=how).drop("_salt")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetscope import SCOPE
 from fleetscope.operators.scope import sort_if
 from fleetscope.functions.exprs import elapsed_s, pct, pretty_bytes
-from fleetscope.operators.scope import with_totals
+from fleetscope.operators.scope import salted_lookup, with_totals
 
 # Relation kind letters and the labels the object count shows;
 # other letters print as themselves.
@@ -53,8 +53,9 @@ def object_counts(relations: DataFrame, tablespaces: DataFrame, databases: DataF
              .join(tablespaces.select(F.col("oid").alias("db_ts_oid"), F.col("spcname").alias("db_tbs")),
                    on="db_ts_oid", how="left")
              .drop("db_ts_oid"))
-    rel = (relations.join(own_ts, on="tablespace_oid", how="left")
-           .join(db_ts, on=DB, how="left"))
+    # tablespaces are a handful of rows; the per-database default can be many
+    # rows with one database holding most relations: salted lookup
+    rel = salted_lookup(relations.join(own_ts, on="tablespace_oid", how="left"), db_ts, DB, how="left")
     g = (rel.groupBy(*DB,
                      F.col("relowner").alias("obj_owner"),
                      F.col("nspname").alias("obj_schema"),

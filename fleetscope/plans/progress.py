@@ -12,7 +12,7 @@ from fleetscope import SCOPE
 from fleetscope.operators.scope import sort_if
 from fleetscope.functions.exprs import (elapsed_s, elapsed_whole_s, pretty_bytes, quote_ident, round_div,
                                         wait_label)
-from fleetscope.operators.scope import attach
+from fleetscope.operators.scope import attach, salted_lookup
 
 # Phase names of each command and their "N of M" labels.
 INDEX_PHASES = [
@@ -171,7 +171,7 @@ def _autovacuum_settings(relations: DataFrame, settings: DataFrame) -> DataFrame
         return F.when(opts.like(f"%{opt}%"), own(opt)).otherwise(
             F.coalesce(F.col("g_" + opt), F.lit(AUTOVACUUM_DEFAULTS[opt])))
 
-    return (relations.join(glob, on=SCOPE, how="left")
+    return (salted_lookup(relations, glob, SCOPE, how="left")
             .select(*SCOPE, F.col("oid").alias("relid"), "datname", "relname", "nspname", "reltuples",
                     effective("autovacuum_vacuum_threshold").cast("bigint").alias("vac_threshold"),
                     effective("autovacuum_vacuum_scale_factor").alias("vac_scale_text"),
