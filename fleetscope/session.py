@@ -51,20 +51,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the folder must be set by the deployment (a shared file
     system); it is read from the session. Only a local-mode session with no
     setting gets a private scratch folder, since there the driver and the
-    executors share one machine.
+    executors share one machine. Works without a SparkContext (Spark
+    Connect), where only the configured path is used.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect sessions expose no SparkContext
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
+        if sc is None:
+            return configured
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder "
             "(HDFS/S3/NFS) so iterative reports can cut their lineage"
         )
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="fleetscope-ckpt-"))
+    path = tempfile.mkdtemp(prefix="fleetscope-ckpt-")
+    if sc is None:
+        return path
+    sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
