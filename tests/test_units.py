@@ -208,3 +208,20 @@ def test_read_snapshot_pushes_scope_filter_and_splits_lists(spark, tmp_path):
     assert "PushedFilters: [In(instance, [i1])" in plan or "EqualTo(instance,i1)" in plan, plan
     got = df.select("datname", "acl").collect()
     assert [(r.datname, r.acl) for r in got] == [("di1", ["=c/o", "a=C/o"])]
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    from fleetscope import registry
+    from tests.conftest import SF_SMALL
+
+    def scans(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.split("\n") if "FileScan parquet" in line]
+
+    vac = registry.queries()["vacuum_progress"](spark, SF_SMALL)
+    orders = [s for s in scans(vac) if "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,2-HIGH)]"
+              in s]
+    assert orders, scans(vac)
+    mix = registry.queries()["sessions_by_state"](spark, SF_SMALL)
+    docs = [s for s in scans(mix) if "documents.parquet" in s]
+    assert docs and all("ReadSchema: struct<doc_id:bigint>" in s for s in docs), docs
