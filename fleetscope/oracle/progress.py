@@ -92,7 +92,7 @@ g as (
   from settings where name in ('{_T}', '{_S}') group by all),
 vs as (
   select r.instance, r.snap_ts, r.oid as relid, r.datname, r.relname, r.nspname, r.reltuples,
-    cast({_eff(_T)} as bigint) as vac_threshold, {_eff(_S)} as vac_scale_text,
+    try_cast({_eff(_T)} as bigint) as vac_threshold, {_eff(_S)} as vac_scale_text,
     case when regexp_matches({_OPTS}, 'autovacuum_enabled=(false|off)') then false else true end as vac_enabled
   from relations r left join g on g.instance = r.instance and g.snap_ts = r.snap_ts),
 t as (
@@ -133,7 +133,7 @@ from j
 left join lock_activity a on a.instance = j.instance and a.snap_ts = j.snap_ts and a.pid = j.pid
 left join ic on ic.instance = j.instance and ic.snap_ts = j.snap_ts and ic.indrelid = coalesce(j.t_relid, j.p_relid)
 where t_relid is null or phase is not null
-   or vac_threshold + cast(vac_scale_text as double) * reltuples < n_dead_tup
+   or vac_threshold + try_cast(vac_scale_text as double) * reltuples < n_dead_tup
 """
 
 

@@ -173,7 +173,8 @@ def _autovacuum_settings(relations: DataFrame, settings: DataFrame) -> DataFrame
 
     return (salted_lookup(relations, glob, SCOPE, how="left")
             .select(*SCOPE, F.col("oid").alias("relid"), "datname", "relname", "nspname", "reltuples",
-                    effective("autovacuum_vacuum_threshold").cast("bigint").alias("vac_threshold"),
+                    # a malformed option gives NULL (not due) instead of failing the whole job
+                    effective("autovacuum_vacuum_threshold").try_cast("bigint").alias("vac_threshold"),
                     effective("autovacuum_vacuum_scale_factor").alias("vac_scale_text"),
                     F.when(opts.rlike("autovacuum_enabled=(false|off)"), F.lit(False))
                     .otherwise(F.lit(True)).alias("vac_enabled")))
@@ -196,7 +197,7 @@ def vacuum_queue(table_stats: DataFrame, relations: DataFrame, settings: DataFra
     j = j.join(sess, on=SCOPE + ["pid"], how="left")
     idx = indexes.groupBy(*SCOPE, F.col("indrelid").alias("relid")).agg(F.count(F.lit(1)).alias("_n_idx"))
     j = j.join(idx, on=SCOPE + ["relid"], how="left")
-    due = F.col("vac_threshold") + F.col("vac_scale_text").cast("double") * F.col("reltuples") < F.col("n_dead_tup")
+    due = F.col("vac_threshold") + F.col("vac_scale_text").try_cast("double") * F.col("reltuples") < F.col("n_dead_tup")
     j = j.where(F.col("t_relid").isNull() | F.col("phase").isNotNull() | due)
     own_name = F.concat(F.coalesce(F.concat(F.nullif(F.col("nspname"), F.lit("public")), F.lit(".")), F.lit("")),
                         F.col("relname"))

@@ -225,3 +225,16 @@ def test_filters_and_columns_reach_the_scan(spark):
     mix = registry.queries()["sessions_by_state"](spark, SF_SMALL)
     docs = [s for s in scans(mix) if "documents.parquet" in s]
     assert docs and all("ReadSchema: struct<doc_id:bigint>" in s for s in docs), docs
+
+
+def test_vacuum_queue_malformed_option_does_not_fail(spark):
+    rels = snapshot_frame(spark, "relations", [
+        _rel(1, reloptions="autovacuum_vacuum_threshold=1.2.3", reltuples=10.0),
+        _rel(2, reltuples=10.0)])
+    stats = snapshot_frame(spark, "table_stats", [dict(SC, relid=1, n_dead_tup=1000), dict(SC, relid=2, n_dead_tup=1000)])
+    empty = {n: snapshot_frame(spark, n, []) for n in ("settings", "progress_vacuum", "lock_activity", "indexes")}
+    rows = {r.relation: r for r in progress.vacuum_queue(stats, rels, empty["settings"], empty["progress_vacuum"],
+                                                         empty["lock_activity"], empty["indexes"]).collect()}
+    # t2 uses the default threshold 50 + 0.2 * 10 < 1000: queued; t1's threshold cannot be read: not queued
+    assert set(rows) == {"t2"} and rows["t2"].status == progress.QUEUE_STATUS
+    assert rows["t2"].effective_settings == "vt: 50, vsf: 0.2, enabled"
