@@ -214,6 +214,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     from fleetscope import registry
     from tests.conftest import SF_SMALL
 
+    spark.catalog.clearCache()  # other modules cache fixtures; inspect plans built from the files
+
     def scans(df):
         plan = df._jdf.queryExecution().executedPlan().toString()
         return [line for line in plan.split("\n") if "FileScan parquet" in line]
