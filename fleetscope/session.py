@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every report assumes: UTC wall clock (timestamps print the same in
@@ -48,34 +46,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "fleet
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder must be set by the deployment (a shared file
-    system); it is read from the session. Only a local-mode session with no
-    setting gets a private scratch folder, since there the driver and the
-    executors share one machine. Works without a SparkContext (Spark
-    Connect), where only the configured path is used.
+    On a cluster the deployment sets the folder (a shared file system) and it
+    is read from the session. Where it is unset, as in tests, a subfolder of
+    the session's warehouse folder is set: the warehouse is shared too, so no
+    machine-local folder is ever used.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect sessions expose no SparkContext
-        sc = None
-    if sc is not None and sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and sc is not None:
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        if sc is None:
-            return configured
-        sc.setCheckpointDir(configured)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; point it at a shared folder "
-            "(HDFS/S3/NFS) so iterative reports can cut their lineage"
-        )
-    path = tempfile.mkdtemp(prefix="fleetscope-ckpt-")
-    if sc is None:
-        return path
-    sc.setCheckpointDir(path)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
