@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import url_filter
+from fleetscope.llm import secret_scan, sharding, url_filter
 from fleetscope.session import configure
 from fleetscope.workspace import Workspace
 
@@ -41,9 +41,61 @@ select page_id, host, path,
 from parts"""
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the texts are the versions of the ledger's
+    blobs, scanned for all rules into a fresh ledger and joined back."""
+    run = Workspace(spark, "op9")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = run.table(secret_scan.scan(docs), "ledger")
+    spans = F.col("spans")
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    out = secret_scan.spans_by_path(docs, secret_scan.findings(ledger))
+    return out.select(
+        "doc_id", *[F.size(_of_kinds(spans, [k])).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(secret_scan.span_text(_of_kinds(spans, base)), 256).alias("base_sha256"),
+        secret_scan.span_text(spans).alias("spans"))
+
+
+def _of_kinds(spans: Column, kinds: list[str]) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(kinds))
+
+
+def _sql_matches(rule: secret_scan.Rule, order: int) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  select doc_id, '{rule.kind}' as kind, {order} as ord, i,
+         len(m[i]) as n, len(t[i]) >= {rule.min_length} as keep,
+         list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0) as s
+  from (select *, unnest(range(1, len(m) + 1)) as i from (
+    select doc_id, regexp_extract_all(text, '{pattern}') as m, regexp_extract_all(text, '{pattern}', {rule.group}) as t,
+           string_split_regex(text, '{pattern}') as p from d))"""
+
+
+OP9_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+found as ({' union all '.join(_sql_matches(r, i) for i, r in enumerate(secret_scan.RULES))}),
+spans as (select doc_id, kind, ord, cast(s as bigint) as s, kind || ':' || cast(s as bigint) || ':' || cast(s + n as bigint) as span
+          from found where keep),
+agg as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+         count(*) filter (kind = 'hex') as n_hex,
+         string_agg(span, ',' order by s, ord) filter (ord < {len(secret_scan.BASE_RULES)}) as base,
+         string_agg(span, ',' order by s, ord) as spans from spans group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join agg using (doc_id)"""
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 24 shards of near equal bytes."""
+    out = sharding.shard(read(spark, sf_dir, "documents"), Workspace(spark, "op10"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
+                      F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_url_filter": op7_url_filter}
+    return {"op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op7_url_filter": OP7_SQL, "op9_secret_scan": OP9_SQL}
