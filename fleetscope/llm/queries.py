@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import secret_scan, sharding, url_filter
+from fleetscope.llm import near_dups, secret_scan, sharding, url_filter
 from fleetscope.session import configure
 from fleetscope.workspace import Workspace
 
@@ -17,6 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents: 4-word shingles, 4 bits."""
+    out = near_dups.near_duplicates(read(spark, sf_dir, "documents"), Workspace(spark, "op3"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filter.judge_pages(read(spark, sf_dir, "pages"), Workspace(spark, "op7"))
@@ -94,7 +100,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_sharding": op10_sharding}
+    return {"op3_near_dups": op3_near_dups, "op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
