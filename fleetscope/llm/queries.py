@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import near_dups, secret_scan, sharding, url_filter
+from fleetscope.llm import decontaminate, near_dups, packing, secret_scan, sharding, url_filter
 from fleetscope.session import configure
 from fleetscope.workspace import Workspace
 
@@ -23,6 +23,23 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def word_tokens() -> packing.WordTokens:
+    """The contract's tokenizer, loaded where it is used."""
+    import public_tokenizers
+
+    return packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), Workspace(spark, "op4"), word_tokens)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in each document within their edit budget."""
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filter.judge_pages(read(spark, sf_dir, "pages"), Workspace(spark, "op7"))
@@ -100,7 +117,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_near_dups": op3_near_dups, "op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_sharding": op10_sharding}
+    return {"op3_near_dups": op3_near_dups, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination,
+            "op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
