@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import decontaminate, near_dups, packing, secret_scan, sharding, url_filter
+from fleetscope.llm import decontaminate, language_id, near_dups, packing, secret_scan, sharding, url_filter
 from fleetscope.session import configure
 from fleetscope.workspace import Workspace
 
@@ -17,6 +17,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and calibrated score of every document; learns from
+    the documents that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(language_id.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language_id.train(docs.where(language_id.fold(F.col("doc_id"), 4) != 2))
+    out = docs.select("doc_id", held_out.alias("held_out"), language_id.predict(F.col("text"), model, spark).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 4-word shingles, 4 bits."""
     out = near_dups.near_duplicates(read(spark, sf_dir, "documents"), Workspace(spark, "op3"))
@@ -117,7 +127,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_near_dups": op3_near_dups, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination,
+    return {"op2_language_id": op2_language_id, "op3_near_dups": op3_near_dups, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination,
             "op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_sharding": op10_sharding}
 
 
