@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import decontaminate, language_id, near_dups, packing, secret_scan, sharding, url_filter
+from fleetscope.llm import decontaminate, fingerprints, language_id, near_dups, packing, secret_scan, sharding, url_filter
 from fleetscope.session import configure
 from fleetscope.workspace import Workspace
 
@@ -17,6 +17,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text; ``n_near`` counts
+    the documents within the radius of every 20th document's fingerprint."""
+    run = Workspace(spark, "op1")
+    out = run.table(fingerprints.compare_neighbours(read(spark, sf_dir, "documents"), run), "compared")
+    run.drop("parts")
+    asked = F.col("doc_id") % 20 == 0
+    counts = fingerprints.neighbour_counts(out.withColumnRenamed("fingerprint", "fp"), run, asked)
+    named = out.join(counts.withColumnRenamed("fp", "fingerprint"), "fingerprint", "left")
+    return named.select(*out.columns, F.when(asked, F.col("n_near")).alias("n_near"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language and calibrated score of every document; learns from
     the documents that aren't held out."""
@@ -127,7 +139,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_near_dups": op3_near_dups, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination,
+    return {"op1_fingerprints": op1_fingerprints, "op2_language_id": op2_language_id, "op3_near_dups": op3_near_dups, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination,
             "op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_sharding": op10_sharding}
 
 
