@@ -7,16 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import decontaminate, fingerprints, language_id, near_dups, packing, secret_scan, sharding, url_filter
-from fleetscope.session import configure
+from fleetscope.llm import decontaminate, fingerprints, language_id, lm_score, near_dups, packing, secret_scan, sharding, url_filter
+from fleetscope.llm.common import read
 from fleetscope.workspace import Workspace
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text; ``n_near`` counts
     the documents within the radius of every 20th document's fingerprint."""
@@ -62,6 +57,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice log10 probability of every document under piece scores learned
+    from the documents that aren't held out, and the word baseline."""
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents")
+    pieces = lm_score.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    out = lm_score.score(docs, lm_score.fold(F.col("doc_id"), 7) != 2, pieces, Workspace(spark, "op6"))
+    held_out = F.coalesce(lm_score.fold(F.col("doc_id"), 7) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filter.judge_pages(read(spark, sf_dir, "pages"), Workspace(spark, "op7"))
@@ -139,8 +146,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_language_id": op2_language_id, "op3_near_dups": op3_near_dups, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination,
-            "op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_sharding": op10_sharding}
+    return {f.__name__: f for f in (
+        op1_fingerprints, op2_language_id, op3_near_dups, op4_packing, op5_decontamination, op6_lm_score, op7_url_filter,
+        op9_secret_scan, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
