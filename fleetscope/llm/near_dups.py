@@ -35,7 +35,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.workspace import Workspace
@@ -326,3 +326,10 @@ def near_duplicates(docs: DataFrame, run: Workspace, words_per_shingle: int = 4,
     named = (leaves.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
              .select("fp", F.coalesce("root", "rep").alias("component_id")))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id: of repeated rows, the one whose text hash is
+    smallest."""
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return docs.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)

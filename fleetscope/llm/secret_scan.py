@@ -122,3 +122,25 @@ def spans_by_path(versions: DataFrame, found: DataFrame, rules=RULES) -> DataFra
 def span_text(spans: Column) -> Column:
     """``kind:start:end`` joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def masked(docs: DataFrame, found: DataFrame, mask: str = "[secret]") -> DataFrame:
+    """``docs`` with every found span of its text replaced by ``mask`` and
+    ``n_chars``, if there, brought up to date. Overlapping spans become one.
+    Rows without a finding come back as they were."""
+    order = Window.partitionBy("blob").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    merged = (found.withColumn("fresh", F.when(F.col("start") < before, 0).otherwise(1))
+              .withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+              .groupBy("blob", "island").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"))
+              .groupBy(F.col("blob").alias("_blob")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")))
+    rows = docs.withColumn("_blob", blob_id(F.col("text"))).join(merged, "_blob", "left")
+    text, spans = F.col("text"), F.col("_spans")
+    last = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    parts = F.transform(spans, lambda s, i: F.concat(text.substr(F.get(last, i) + 1, s["start"] - F.get(last, i)), F.lit(mask)))
+    tail = text.substr(F.element_at(last, -1) + 1, F.length(text))
+    rows = rows.withColumn("text", F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail)))
+    if "n_chars" in docs.columns:
+        size = F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        rows = rows.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
