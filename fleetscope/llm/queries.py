@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import decontaminate, fingerprints, language_id, lm_score, near_dups, packing, secret_scan, sharding, url_filter
+from fleetscope.llm import decontaminate, fingerprints, language_id, lm_score, near_dups, packing, secret_scan, sharding, suffix_dedup, url_filter
 from fleetscope.llm.common import read
 from fleetscope.workspace import Workspace
 
@@ -93,6 +93,13 @@ select page_id, host, path,
 from parts"""
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses to 100-byte strings that start earlier."""
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), Workspace(spark, "op8"))
+    digest = F.pandas_udf(suffix_dedup.removal_columns, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", digest("text", "spans").alias("d")).select("doc_id", "d.*")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: the texts are the versions of the ledger's
     blobs, scanned for all rules into a fresh ledger and joined back."""
@@ -148,7 +155,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_fingerprints, op2_language_id, op3_near_dups, op4_packing, op5_decontamination, op6_lm_score, op7_url_filter,
-        op9_secret_scan, op10_sharding)}
+        op8_suffix_dedup, op9_secret_scan, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
