@@ -20,7 +20,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,26 +41,41 @@ _SCHEMA = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in PIECES.split(
 
 
 class WordTokens:
-    """Token ids of whole texts. The tokenizer never joins characters across
-    ASCII white space, so each white-space-separated chunk is encoded once and
-    remembered (up to ``cache`` chunks)."""
+    """Token ids of whole texts, for a tokenizer that ignores letter case and
+    white space and never joins characters across white space: each
+    white-space-separated chunk is encoded once and remembered. Two
+    generations of up to ``cache`` chunks are kept; ids take two bytes."""
 
-    def __init__(self, path: str, cache: int = 300_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, path: str, cache: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), cache, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), cache
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Make sure that all chunks are known."""
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        new = []
+        for c in chunks:
+            if c in self.older:
+                self.known[c] = self.older[c]
+            else:
+                new.append(c)
+        coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
+        for c, e in zip(new, coded, strict=True):
+            self.known[c] = np.array(e.ids, "<u2").tobytes()
 
     def ids(self, text: bytes) -> np.ndarray:
-        chunks = text.split()
-        new = list(set(chunks) - self.known.keys())
-        if new:
-            if len(self.known) > self.limit:
-                self.known = {}
-                new = list(set(chunks))
-            coded = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-            self.known.update(zip(new, (tuple(e.ids) for e in coded), strict=True))
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, chunks)), np.uint32)
+        chunks = (text if b"<|" in text else text.lower()).split()  # special tokens are told by their case
+        known = self.known
+        if new := {c for c in chunks if c not in known}:
+            self.learn(new)
+            if self.known is not known and (new := {c for c in chunks if c not in self.known}):
+                self.learn(new)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u2").astype(np.uint32)
 
 
 class Packer:

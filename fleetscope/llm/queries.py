@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +41,9 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@cache
 def word_tokens() -> packing.WordTokens:
-    """The contract's tokenizer, loaded where it is used."""
+    """The contract's tokenizer, loaded once per Python worker."""
     import public_tokenizers
 
     return packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
