@@ -14,13 +14,13 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fleetscope import registry  # noqa: E402
-from fleetscope.session import local_session  # noqa: E402
+from fleetscope.session import ensure_checkpoint_dir, local_session  # noqa: E402
+from fleetscope.workspace import release_all  # noqa: E402
 
 
 def main() -> None:
@@ -28,8 +28,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(cpus, max(cpus, 8), app="fleetscope-bench")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetscope-bench-ckpt-"))
+    ensure_checkpoint_dir(spark)
     qs = registry.queries()
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(qs)
     times: dict[str, float] = {}
@@ -42,6 +41,7 @@ def main() -> None:
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             if i:
                 samples.append(time.perf_counter() - t0)
+            release_all()
         times[name] = round(statistics.median(samples), 3)
         print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

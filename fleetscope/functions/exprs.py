@@ -21,12 +21,14 @@ def wait_label(type_col="wait_event_type", event_col="wait_event") -> Column:
 
 
 def one_line(text="query", width: int | None = None) -> Column:
-    r"""Collapse line breaks and runs of white space to single spaces over the
-    whole text, then cut to ``width`` characters (the report's column width).
-    One pass of ``\s+`` gives the same text as replacing line-break runs
-    first and white-space runs after, since ``\s`` covers line breaks."""
-    flat = F.regexp_replace(col(text), r"\s+", " ")
-    return F.substring(flat, 1, width) if width else flat
+    r"""Collapse line breaks and runs of white space to single spaces, then cut
+    to ``width`` characters (the report's column width). With a width, the
+    text is read only as far as it prints: ``width`` units, each a whole
+    white-space run or another character, give the same result for any text."""
+    if width is None:
+        return F.regexp_replace(col(text), r"\s+", " ")
+    shown = F.regexp_extract(col(text), rf"\A(?>\s+|\S){{0,{width}}}", 0)
+    return F.regexp_replace(shown, r"\s+", " ")
 
 
 def elapsed_us(end, start) -> Column:
@@ -113,6 +115,12 @@ def lsn_to_pos(lsn_text) -> Column:
     return (hi * F.lit(4294967296) + lo).cast("decimal(20,0)")
 
 
+def pos_to_lsn(pos) -> Column:
+    """WAL position as the text ``HI/LO`` (upper-case hexadecimal)."""
+    p = col(pos).cast("bigint")
+    return F.concat(F.hex(F.shiftrightunsigned(p, 32)), F.lit("/"), F.hex(p.bitwiseAND(F.lit(4294967295))))
+
+
 def quote_ident(name) -> Column:
     """Identifier quoting as ``format('%I')``: bare when lower-case simple,
     else in double quotes with inner quotes doubled."""

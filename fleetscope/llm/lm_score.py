@@ -14,9 +14,12 @@ it, by expectation maximisation (forward-backward over all segmentations),
 starting from how often each piece occurs. Words are counted over the whole
 corpus and each distinct word's lattice is computed once per pass.
 
-The document's marginal probability is the product of its words' marginals;
-before each word, and at the end, the model first decides whether the text
-ends.
+Training texts may carry a class (their language): then each class has unit
+scores of its own, and a document's probability is marginal over the classes
+too, weighted by their shares of the training texts. The class of a scored
+document is never read. The document's marginal probability under a class is
+the product of its words' marginals; before each word, and at the end, the
+model first decides whether the text ends.
 
 A task turns about ``GROUP_BYTES`` of documents into a group: each document as
 the group's word numbers and counts, and the group's distinct words. Only the
@@ -50,7 +53,8 @@ GROUP_BYTES = 32 << 20
 MARK = 32  # the byte before each word; words hold no space
 EM_PASSES = 3
 SMOOTH = 0.01  # added to each piece's expected count
-DISCOUNT = 0.75  # of each training word's count, left to its spelling
+MAX_CLASSES = 8  # the most frequent ones; all others share the last
+DISCOUNT = 0.6  # of each training word's count, left to its spelling
 LONG_WORD = 96  # bytes; longer words are walked one by one
 BATCH_WORDS = 20_000
 _P = np.uint64(0x100000001B3)
@@ -159,25 +163,28 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, np.frombuffer(joined, np.uint8).reshape(len(at), size + 1)
 
 
-def _split_long(matrix: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of a matrix of long words one at a time, others together."""
+def _split_long(matrix: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (and their positions) of a matrix of long words one at a time,
+    others together."""
     if matrix.shape[1] <= LONG_WORD:
-        yield matrix
+        yield matrix, at
     else:
-        yield from np.split(matrix, len(matrix))
+        yield from zip(np.split(matrix, len(matrix)), np.split(at, len(at)), strict=True)
 
 
-def word_scores(lattice: Lattice, words: list[bytes], c: np.ndarray) -> np.ndarray:
-    """Natural-log marginal probability of each word; ``c``: its count in the
-    training texts."""
-    out = np.zeros(len(words))
+def word_scores(lattices: list[Lattice], words: list[bytes], c: np.ndarray) -> np.ndarray:
+    """Natural-log marginal probability of each word under each lattice,
+    (word, lattice); ``c``: the words' counts in the training texts of each."""
+    out = np.zeros((len(words), len(lattices)))
     for at, matrix in by_length(words):
-        scores = []
-        for part in _split_long(matrix):
-            arcs = list(lattice.arcs(part))
-            scores.append(_walk(lattice, arcs, part.shape[1]) if part.shape[1] > LONG_WORD else lattice.forward(part, arcs)[:, -1])
-        out[at] = np.concatenate(scores)
-    whole = np.log(np.maximum(c - DISCOUNT, 1e-300)) - lattice.log_whole
+        for part, rows in _split_long(matrix, at):
+            arcs = list(lattices[0].arcs(part))
+            for k, lattice in enumerate(lattices):
+                if part.shape[1] > LONG_WORD:
+                    out[rows, k] = _forward_one(_ends(lattice, arcs, part.shape[1]))[-1]
+                else:
+                    out[rows, k] = lattice.forward(part, arcs)[:, -1]
+    whole = np.log(np.maximum(c - DISCOUNT, 1e-300)) - np.array([lattice.log_whole for lattice in lattices])
     return np.where(c > 0, np.logaddexp(out, whole), out)
 
 
@@ -202,10 +209,6 @@ def _forward_one(table: np.ndarray) -> np.ndarray:
     return alpha[widest - 1:]
 
 
-def _walk(lattice: Lattice, arcs: list[tuple[int, np.ndarray]], size: int) -> np.ndarray:
-    return _forward_one(_ends(lattice, arcs, size))[-1:]
-
-
 def _expected_one(lattice: Lattice, weight: float, arcs: list[tuple[int, np.ndarray]], size: int) -> np.ndarray:
     """Expected piece counts of one long word."""
     table = _ends(lattice, arcs, size)
@@ -228,13 +231,15 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def group_documents(docs: DataFrame, train: Column, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def group_documents(docs: DataFrame, train: Column, kind: Column, kinds: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Documents and distinct words of groups: rows with ``word`` null are
-    documents (doc_id, train, numbers and counts of their words), the others
-    the group's words (number, word, occurrences in training texts)."""
-    schema = "grp long, doc_id long, train boolean, numbers binary, counts binary, number int, word binary, n_train long"
+    documents (doc_id, kind, numbers and counts of their words; ``kind`` is null
+    outside the training texts), the others the group's words (number, word,
+    and n0, n1, ...: occurrences in training texts of each of ``kinds``)."""
+    per_kind = [f"n{k}" for k in range(kinds)]
+    schema = "grp long, doc_id long, kind int, numbers binary, counts binary, number int, word binary, " + ", ".join(f"{n} long" for n in per_kind)
     names = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()] + [pa.int64()] * kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = TaskContext.get().partitionId() << 24
@@ -248,17 +253,17 @@ def group_documents(docs: DataFrame, train: Column, group_bytes: int = GROUP_BYT
             return pa.RecordBatch.from_arrays(arrays, names)
 
         def finish() -> Iterator[pa.RecordBatch]:
-            n_train = np.zeros(len(ids), np.int64)
-            for t in trained:
-                n_train[t[0]] += t[1]
+            n = np.zeros((kinds, len(ids)), np.int64)
+            for k, numbers, counts in trained:
+                n[k, numbers] += counts
             words = list(ids)
             for lo in range(0, len(words), 50_000):
                 part = words[lo:lo + 50_000]
                 yield batch(len(part), number=pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), word=pa.array(part, pa.binary()),
-                            n_train=pa.array(n_train[lo:lo + len(part)]))
+                            **{name: pa.array(n[k, lo:lo + len(part)]) for k, name in enumerate(per_kind)})
 
         for rows in batches:
-            doc_ids, flags, texts = rows.column("doc_id").to_pylist(), rows.column("train").to_pylist(), rows.column("text")
+            doc_ids, flags, texts = rows.column("doc_id").to_pylist(), rows.column("kind").to_pylist(), rows.column("text")
             out = []
             for i, doc_id in enumerate(doc_ids):
                 text = texts[i].as_py() or b""
@@ -266,12 +271,11 @@ def group_documents(docs: DataFrame, train: Column, group_bytes: int = GROUP_BYT
                 numbers, counts = np.unique(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)), return_counts=True)
                 counts = counts.astype(np.int32)
                 out.append((doc_id, flags[i], numbers.tobytes(), counts.tobytes()))
-                if flags[i]:
-                    trained.append((numbers, counts))
+                if flags[i] is not None:
+                    trained.append((flags[i], numbers, counts))
                 size, used = size + len(text), True
                 if size >= group_bytes or i == len(doc_ids) - 1 or len(out) == 512:
-                    a, b, c, d = zip(*out, strict=True)
-                    yield batch(len(out), doc_id=pa.array(a, pa.int64()), train=pa.array(b, pa.bool_()), numbers=pa.array(c, pa.binary()), counts=pa.array(d, pa.binary()))
+                    yield batch(len(out), **{name: pa.array(c, t) for name, c, t in zip(names[1:5], zip(*out, strict=True), types[1:5], strict=True)})
                     out = []
                 if size >= group_bytes:
                     yield from finish()
@@ -280,83 +284,119 @@ def group_documents(docs: DataFrame, train: Column, group_bytes: int = GROUP_BYT
         if used:
             yield from finish()
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
+                         F.when(train, kind).cast("int").alias("kind"))
     return narrow.mapInArrow(run, schema)
 
 
-def fit(vocabulary: DataFrame, pieces: list[bytes], words: int, types: int, passes: int = EM_PASSES) -> Lattice:
-    """Scores from the training words (word, c), ``words`` tokens of ``types``
-    kinds: the first pass counts where pieces occur, the others run
-    forward-backward under the scores so far. Each pass returns at most one
-    sum per piece to the driver."""
-    spark = vocabulary.sparkSession
-    whole = words - DISCOUNT * types
-    lattice = Lattice.of(pieces, np.ones(len(pieces)), whole)
+def fit(vocabulary: DataFrame, pieces: list[bytes], words: list[int], types: list[int], passes: int = EM_PASSES) -> list[Lattice]:
+    """Scores of each class from the training words (word, n0, n1, ...), with
+    ``words`` tokens of ``types`` kinds: the first pass counts where pieces
+    occur, the others run forward-backward under the scores so far. Each pass
+    returns at most one sum per class and piece to the driver."""
+    spark, classes = vocabulary.sparkSession, range(len(words))
+    whole = [words[k] - DISCOUNT * types[k] for k in classes]
+    lattices = [Lattice.of(pieces, np.ones(len(pieces)), whole[k]) for k in classes]
     for turn in range(passes):
-        shared = spark.sparkContext.broadcast(lattice)
+        shared = spark.sparkContext.broadcast(lattices)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=turn == 0) -> Iterator[pa.RecordBatch]:
-            model, total = shared.value, np.zeros(len(shared.value.log_p) + 1)
+            models = shared.value
+            size = len(models[0].log_p)
+            total = np.zeros((len(models), size + 1))
             for rows in batches:
-                for _, matrix in by_length(rows.column("word").to_pylist()):
-                    for part in _split_long(matrix):
-                        arcs = list(model.arcs(part))
-                        if first:
-                            for _, ids in arcs:
-                                total += np.bincount(np.where(ids < 0, len(total) - 1, ids).ravel(), minlength=len(total))
-                        elif part.shape[1] > LONG_WORD:
-                            total[:-1] += _expected_one(model, 1.0, arcs, part.shape[1])
-                        else:
-                            total[:-1] += model.expected(part, np.ones(len(part)), arcs)
-            found = np.flatnonzero(total[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["piece", "n"])
-
-        sums = vocabulary.select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        weights = np.full(len(pieces), SMOOTH)
+                seen = [rows.column(f"n{k}").to_numpy() > 0 for k in classes]
+                for at, matrix in by_length(rows.column("word").to_pylist()):
+                    for part, own in _split_long(matrix, at):
+                        arcs = list(models[0].arcs(part))
+                        for k, model in enumerate(models):
+                            keep = seen[k][own]
+                            if not keep.any():
+                                continue
+                            some = [(n, ids[keep]) for n, ids in arcs]
+                            if first:
+                                for _, ids in some:
+                                    total[k] += np.bincount(np.where(ids < 0, size, ids).ravel(), minlength=size + 1)
+                            elif part.shape[1] > LONG_WORD:
+                                total[k, :-1] += _expected_one(model, 1.0, some, part.shape[1])
+                            else:
+                                total[k, :-1] += model.expected(part[keep], np.ones(int(keep.sum())), some)
+            flat = total[:, :-1].ravel()
+            found = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(flat[found])], ["at", "n"])
+
+        sums = vocabulary.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        weights = np.full(len(words) * len(pieces), SMOOTH)
         for r in sums:
-            weights[r["piece"]] += DISCOUNT * r["n"]
-        lattice = Lattice.of(pieces, weights, whole)
+            weights[r["at"]] += DISCOUNT * r["n"]
+        lattices = [Lattice.of(pieces, w, whole[k]) for k, w in enumerate(np.split(weights, len(words)))]
         shared.unpersist()
-    return lattice
+    return lattices
+
+
+def class_names(docs: DataFrame, train: Column, classes: Column | None) -> list[str | None]:
+    """The most frequent classes of the training texts; None stands for the
+    rest (or all, without classes) if there are any."""
+    if classes is None:
+        return [None]
+    counts = docs.where(train).groupBy(classes.cast("string").alias("class")).agg(F.count("*").alias("n"))
+    found = [r["class"] for r in counts.orderBy(F.desc("n"), "class").limit(MAX_CLASSES + 1).collect()]
+    named = [c for c in found if c is not None][:MAX_CLASSES - 1]
+    return [*named, None] if len(named) < len(found) or not named else named
 
 
-def score(docs: DataFrame, train: Column, pieces: list[bytes], run: Workspace, group_bytes: int = GROUP_BYTES,
-          passes: int = EM_PASSES) -> DataFrame:
+def score(docs: DataFrame, train: Column, pieces: list[bytes], run: Workspace, classes: Column | None = None,
+          group_bytes: int = GROUP_BYTES, passes: int = EM_PASSES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10)
-    of every document; learns from the rows where ``train`` holds."""
+    of every document; learns from the rows where ``train`` holds, by the
+    value of ``classes`` if given."""
     spark = docs.sparkSession
-    grouped = run.table(group_documents(docs, train, group_bytes), "grouped")
+    named = class_names(docs, train, classes)
+    kinds = len(named)
+    kind = F.lit(kinds - 1)
+    for k, name in enumerate(named):
+        kind = kind if name is None else F.when(classes.cast("string") == name, k).otherwise(kind)
+    grouped = run.table(group_documents(docs, train, kind, kinds, group_bytes), "grouped")
     texts, words = grouped.where("word is null"), grouped.where("word is not null")
-    vocabulary = run.table(words.groupBy("word").agg(F.sum("n_train").alias("c")), "vocabulary")
-    known = vocabulary.where("c > 0")
-    n, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = texts.where("train").count()
-    total, kinds = n + ends, types + (ends > 0)
-    lattice = fit(known, pieces, n, types, passes)
-    shared = spark.sparkContext.broadcast(lattice)
-    log_end = np.log((ends + 1) / (total + 2))
-    log_go_on = np.log((n + 1) / (total + 2))
+    per_kind = [f"n{k}" for k in range(kinds)]
+    vocabulary = run.table(words.groupBy("word").agg(*[F.sum(n).alias(n) for n in per_kind]), "vocabulary")
+    in_all = sum((F.col(n) for n in per_kind[1:]), F.col(per_kind[0]))
+    known = vocabulary.where(in_all > 0)
+    sums_row = known.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in per_kind],
+                         *[F.count_if(F.col(n) > 0).alias(f"v_{n}") for n in per_kind]).first()
+    tokens, types = [sums_row[n] for n in per_kind], [sums_row[f"v_{n}"] for n in per_kind]
+    of_kind = {r["kind"]: r["n"] for r in texts.where("kind is not null").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    ends = sum(of_kind.values())
+    total, distinct = sum(tokens) + ends, sums_row["v"] + (ends > 0)
+    log_share = np.log([(of_kind.get(k, 0) + 1e-3) / (ends + 1e-3 * kinds) for k in range(kinds)])
+    log_end, log_go_on = np.log((ends + 1) / (total + 2)), np.log((sum(tokens) + 1) / (total + 2))
+    shared = spark.sparkContext.broadcast(fit(known, pieces, tokens, types, passes))
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            logs = word_scores(shared.value, rows.column("word").to_pylist(), rows.column("c").to_numpy())
-            yield pa.RecordBatch.from_arrays([rows.column("word"), rows.column("c"), pa.array(logs)], ["word", "c", "log_p"])
+            c = np.stack([rows.column(n).to_numpy() for n in per_kind], axis=1)
+            logs = word_scores(shared.value, rows.column("word").to_pylist(), c)
+            yield pa.RecordBatch.from_arrays([rows.column("word"), pa.array(c.sum(axis=1)), *[pa.array(x) for x in logs.T]],
+                                             ["word", "c", *[f"p{k}" for k in range(kinds)]])
 
-    scored = run.table(vocabulary.mapInArrow(marginal, "word binary, c long, log_p double"), "scored")
+    p_names = [f"p{k}" for k in range(kinds)]
+    scored = run.table(vocabulary.mapInArrow(marginal, "word binary, c long, " + ", ".join(f"{p} double" for p in p_names)), "scored")
     per_group = (words.select(F.col("grp").alias("in_grp"), "number", "word").join(scored, "word")
-                 .select("in_grp", "number", "c", "log_p"))
+                 .select("in_grp", "number", "c", *p_names))
 
     def sums(texts: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         at = values["number"].to_numpy()
-        c, logs = np.zeros(len(at), np.int64), np.zeros(len(at))
-        c[at], logs[at] = values["c"].to_numpy(), values["log_p"].to_numpy()
-        base = np.log10((c + 1) / (total + kinds + 1))
-        base_end = np.log10((ends + 1) / (total + kinds + 1))
+        c, logs = np.zeros(len(at), np.int64), np.zeros((len(at), kinds))
+        c[at], logs[at] = values["c"].to_numpy(), values[p_names].to_numpy()
+        base = np.log10((c + 1) / (total + distinct + 1))
+        base_end = np.log10((ends + 1) / (total + distinct + 1))
         rows = []
         for numbers, counts in zip(texts["numbers"], texts["counts"], strict=True):
             w, k = np.frombuffer(numbers, np.int32), np.frombuffer(counts, np.int32).astype(np.int64)
-            rows.append((int(k.sum()) + 1, int(k[c[w] > 0].sum()) + (ends > 0), total, k @ base[w] + base_end,
-                         (k @ logs[w] + k.sum() * log_go_on + log_end) / np.log(10)))
+            by_class = log_share + k @ logs[w]
+            top = by_class.max()
+            marginal_log = top + np.log(np.exp(by_class - top).sum()) + k.sum() * log_go_on + log_end
+            rows.append((int(k.sum()) + 1, int(k[c[w] > 0].sum()) + (ends > 0), total, k @ base[w] + base_end, marginal_log / np.log(10)))
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
         out.insert(0, "doc_id", pd.array(texts["doc_id"], dtype="Int64"))
         return out

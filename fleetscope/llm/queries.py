@@ -66,7 +66,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     pieces = lm_score.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    out = lm_score.score(docs, lm_score.fold(F.col("doc_id"), 7) != 2, pieces, Workspace(spark, "op6"))
+    out = lm_score.score(docs, lm_score.fold(F.col("doc_id"), 7) != 2, pieces, Workspace(spark, "op6"), F.col("lang"))
     held_out = F.coalesce(lm_score.fold(F.col("doc_id"), 7) == 2, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

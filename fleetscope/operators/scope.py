@@ -63,6 +63,17 @@ def attach(small: DataFrame, big: DataFrame, keys: Sequence[str]) -> DataFrame:
     return big.join(small, on=list(keys), how="right")
 
 
+def left_join_known(df: DataFrame, lookup: DataFrame, keys: Sequence[str], key: str, absent: int | None = None) -> DataFrame:
+    """``df LEFT JOIN lookup`` on ``keys`` and ``key``, a pid or oid (never
+    negative). Rows whose key is NULL (or ``absent``) match nothing but would
+    all meet in one partition per scope: they get one of 1,024 negative keys
+    from a hash of the row instead."""
+    known = F.col(key).isNotNull() if absent is None else F.col(key).isNotNull() & (F.col(key) != absent)
+    spread = -1 - F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1024))
+    left = df.withColumn("_key", F.when(known, F.col(key).cast("bigint")).otherwise(spread))
+    return left.join(lookup.withColumnRenamed(key, "_key"), on=[*keys, "_key"], how="left").drop("_key")
+
+
 def sort_if(df: DataFrame, ordered: bool, *cols) -> DataFrame:
     """The reference's row order, on request. A global sort over every
     scope costs a sampling pass (which recomputes the plan) and a range

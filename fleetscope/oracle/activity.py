@@ -155,13 +155,14 @@ select l.instance, l.snap_ts, l.pid, c.relname as relation, l.locktype, l.mode,
   {one_line('a.query', 50)} as short_query
 from lock_activity a join locks l on a.instance = l.instance and a.snap_ts = l.snap_ts and a.pid = l.pid
 join relations c on c.instance = l.instance and c.snap_ts = l.snap_ts and c.oid = l.relation
+  and c.datoid = l.database
 where l.locktype = 'relation' and not regexp_matches(c.relname, '^pg_')
 """
 
 SESSIONS_BY_TEMP = with_tables("tempfiles", "lock_activity", extra="""
 t as (
   select instance, snap_ts, tablespace as tblspc_name, sum(size) as tmp_bytes, count(*) as tmp_files,
-    cast(split_part(split_part(split_part(name, '_', 2), 'tmp', 2), '.', 1) as int) as pid
+    try_cast(split_part(split_part(split_part(name, '_', 2), 'tmp', 2), '.', 1) as bigint) as pid
   from tempfiles where tablespace <> 'pg_global' group by all)""") + f"""
 select t.instance, t.snap_ts, tblspc_name, cast(tmp_bytes as bigint) as tmp_bytes, {pretty('tmp_bytes')} as tmp_size,
   tmp_files, cast(t.pid as bigint) as pid, {status('a.')} as query_status, {wait_label()} as wait_event,

@@ -65,7 +65,7 @@ select d.instance, d.snap_ts, d.datname as database, owner, encoding, datcollate
   t.spcname as tablespace,
   (100 * frozen_xid_age) // 2000000000 as pct_to_wraparound,
   (100 * frozen_xid_age) // freeze_max_age as pct_to_emergency_vacuum
-from databases d join tablespaces t on d.tablespace_oid = t.oid
+from databases d join tablespaces t on d.tablespace_oid = t.oid and d.instance = t.instance and d.snap_ts = t.snap_ts
 """
 
 CLUSTER_SIZE = with_tables("databases", extra="""

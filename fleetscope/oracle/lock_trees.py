@@ -2,11 +2,12 @@
 the smallest level and parent; R19: a keyed fixpoint)."""
 
 from fleetscope.oracle.common import secs, with_tables
-from fleetscope.operators.lock_graph import LOCK_MODE_ORDER
 
 _OBJ = ["locktype", "database", "relation", "page", "tuple", "virtualxid", "transactionid", "classid", "objid",
         "objsubid"]
-_modes = ", ".join(f"'{m}'" for m in LOCK_MODE_ORDER)
+# Lock modes from weakest to strongest.
+_modes = ("'accessshare', 'rowshare', 'rowexclusive', 'shareupdateexclusive', 'share', 'sharerowexclusive', 'exclusive', "
+          "'accessexclusive'")
 _S = "instance, snap_ts"
 
 
@@ -35,12 +36,12 @@ def _round_s(end: str, start: str) -> str:
 def _forest(tag: str, edges: str, roots: str, dead: str) -> str:
     """CTEs for a forest grown from ``roots`` along ``edges``."""
     return f"""
-lv{tag}({_S}, pid, lvl) as (
+lm{tag}({_S}, pid, lvl) using key (instance, snap_ts, pid) as (
   select {_S}, pid, 0 from {roots}
   union
-  select e.instance, e.snap_ts, e.waiter, l.lvl + 1 from lv{tag} l join {edges} e on {_sc('e', 'l')}
-    and e.locker = l.pid where l.lvl < 200),
-lm{tag} as (select {_S}, pid, min(lvl) as lvl from lv{tag} group by all),
+  select e.instance, e.snap_ts, e.waiter, min(l.lvl) + 1 from lm{tag} l join {edges} e on {_sc('e', 'l')} and e.locker = l.pid
+  where not exists (select 1 from recurring.lm{tag} q where {_sc('q', 'e')} and q.pid = e.waiter)
+  group by e.instance, e.snap_ts, e.waiter),
 par{tag} as (
   select l.instance, l.snap_ts, l.pid, l.lvl, min(e.locker) as parent
   from lm{tag} l join {edges} e on {_sc('e', 'l')} and e.waiter = l.pid
@@ -108,7 +109,8 @@ down({_S}, a, v) as (
   select {_S}, parent, pid from placed where parent is not null
   union
   select d.instance, d.snap_ts, d.a, c.pid from down d join placed c on {_sc('c', 'd')} and c.parent = d.v),
-blkd as (select {_S}, a as pid, count(distinct v) as n from down group by all)""").replace(
+below as (select {_S}, a as pid, count(distinct v) as n from down group by all),
+direct as (select {_S}, blocker as pid, count(distinct pid) as n from e19 group by instance, snap_ts, blocker)""").replace(
     "with ", "with recursive ", 1) + f"""
 select s.instance, s.snap_ts, s.pid, s.blocked_by,
   case when s.wait_event_type <> 'Lock' then replace(s.state, 'idle in transaction', 'idletx') else 'waiting' end
@@ -118,14 +120,15 @@ select s.instance, s.snap_ts, s.pid, s.blocked_by,
   {_round_s('s.snap_ts', 's.xact_start')} as tx_age_s,
   format('{{:,}}', s.next_xid - s.backend_xid) as xid_age,
   format('{{:,}}', 2147483647 - (s.next_xid - s.backend_xmin)) as xmin_ttf,
-  s.datname, s.usename, coalesce(k.n, 0) as blkd,
+  s.datname, s.usename, coalesce(d.n, 0) as direct_waiters, coalesce(k.n, 0) as placed_below,
   lpad('[' || cast(s.pid as varchar) || ']', 9, ' ') || ' '
     || coalesce(repeat('.', p.level - 1) || case when p.level > 1 then ' ' end, '')
     || coalesce(left(s.query, 1000), '') as query,
   p.level, p.top_blocker_pid, p.parent
 from placed p
 join sess s on {_sc('s', 'p')} and s.pid = p.pid
-left join blkd k on {_sc('k', 'p')} and k.pid = p.pid
+left join below k on {_sc('k', 'p')} and k.pid = p.pid
+left join direct d on {_sc('d', 'p')} and d.pid = p.pid
 """
 
 SQL = {

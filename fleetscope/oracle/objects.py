@@ -17,8 +17,10 @@ from s left join databases d on d.instance = s.instance and d.snap_ts = s.snap_t
 OBJECT_COUNTS = with_tables("relations", "tablespaces", "databases", extra=f"""
 g as (
   select r.instance, r.snap_ts, r.datname, relowner as obj_owner, nspname as obj_schema,
-    case when r.tablespace_oid <> 0 then (select spcname from tablespaces t where t.oid = r.tablespace_oid)
+    case when r.tablespace_oid <> 0 then (select spcname from tablespaces t where t.oid = r.tablespace_oid
+           and t.instance = r.instance and t.snap_ts = r.snap_ts)
          else (select t.spcname from databases d join tablespaces t on d.tablespace_oid = t.oid
+               and d.instance = t.instance and d.snap_ts = t.snap_ts
                where d.instance = r.instance and d.snap_ts = r.snap_ts and d.datname = r.datname) end as obj_tbs,
     coalesce(k.label, relkind) as obj_type, count(*) as obj_count
   from relations r left join (values {_kinds}) k(kind, label) on k.kind = r.relkind
@@ -37,21 +39,21 @@ from databases
 
 _UNUSED = """
   from index_stats s join indexes i on i.indexrelid = s.indexrelid and i.instance = s.instance
-    and i.snap_ts = s.snap_ts
+    and i.snap_ts = s.snap_ts and i.datname = s.datname
   where s.idx_scan = 0 and not i.indisunique"""
 
 UNUSED_INDEXES = with_tables("index_stats", "indexes") + f"""
-select s.instance, s.snap_ts, s.schemaname, s.relname as table_name, i.idxname as index_name, s.idx_scan,
+select s.instance, s.snap_ts, s.datname, s.schemaname, s.relname as table_name, i.idxname as index_name, s.idx_scan,
   i.indisunique, i.size_bytes as index_bytes, {pretty('i.size_bytes')} as index_size
 {_UNUSED}
 """
 
 UNUSED_INDEXES_TOTAL = with_tables("index_stats", "indexes", extra=f"""
-u as (select s.instance, s.snap_ts, sum(i.size_bytes) as b {_UNUSED} group by all),
-sc as (select distinct instance, snap_ts from index_stats)""") + f"""
-select sc.instance, sc.snap_ts, cast(coalesce(b, 0) as bigint) as total_unused_idx_bytes,
+u as (select s.instance, s.snap_ts, s.datname, sum(i.size_bytes) as b {_UNUSED} group by all),
+sc as (select distinct instance, snap_ts, datname from index_stats)""") + f"""
+select sc.instance, sc.snap_ts, sc.datname, cast(coalesce(b, 0) as bigint) as total_unused_idx_bytes,
   coalesce({pretty('b')}, '0 bytes') as total_unused_idx_size
-from sc left join u on sc.instance = u.instance and sc.snap_ts = u.snap_ts
+from sc left join u on sc.instance = u.instance and sc.snap_ts = u.snap_ts and sc.datname = u.datname
 """
 
 SQL = {

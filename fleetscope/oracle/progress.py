@@ -46,12 +46,12 @@ select p.instance, p.snap_ts, p.snap_ts as now, p.pid, p.index_relid, a.query_st
   (select coalesce(cast(cast({rdiv('t.n_dead_tup * 100', 'tc.reltuples', 2)} as decimal(38,2)) as varchar) || '%',
                    'N/A') || ' (' || coalesce(cast(t.n_dead_tup as varchar), '?') || ' of '
           || coalesce(cast(cast(round_even(tc.reltuples, 0) as bigint) as varchar), '?') || ')'
-   from table_stats t join relations tc on {_on('t', 'tc', ('relid', 'oid'))}
-   where {_on('t', 'p', ('relid', 'relid'))}) as table_dead_tuples
+   from table_stats t join relations tc on {_on('t', 'tc', ('relid', 'oid'), ('datname', 'datname'))}
+   where {_on('t', 'p', ('relid', 'relid'), ('datname', 'datname'))}) as table_dead_tuples
 from progress_index p
 left join lock_activity a on {_on('a', 'p', ('pid', 'pid'))}
-left join relations ri on {_on('ri', 'p', ('oid', 'index_relid'))}
-left join relations rt on {_on('rt', 'p', ('oid', 'relid'))}
+left join relations ri on {_on('ri', 'p', ('oid', 'index_relid'), ('datname', 'datname'))}
+left join relations rt on {_on('rt', 'p', ('oid', 'relid'), ('datname', 'datname'))}
 left join lock_activity la on {_on('la', 'p', ('pid', 'current_locker_pid'))}
 """
 
@@ -68,7 +68,7 @@ select p.instance, p.snap_ts, p.pid, {_DUR} as duration_s,
   {rdiv('p.num_dead_tuples * 100', 'p.max_dead_tuples', 1)} as mwm_util_pct
 from progress_vacuum p
 left join lock_activity a on {_on('a', 'p', ('pid', 'pid'))}
-left join relations r on {_on('r', 'p', ('oid', 'relid'))}
+left join relations r on {_on('r', 'p', ('oid', 'relid'), ('datname', 'datname'))}
 """
 
 _OPTS = "array_to_string(reloptions, '')"
@@ -98,8 +98,9 @@ vs as (
 t as (
   select ts.instance, ts.snap_ts, ts.relid, ts.n_dead_tup, ts.last_vacuum, ts.last_autovacuum,
     vs.datname, vs.relname, vs.nspname, vs.reltuples, vs.vac_threshold, vs.vac_scale_text, vs.vac_enabled
-  from table_stats ts join vs on vs.instance = ts.instance and vs.snap_ts = ts.snap_ts and vs.relid = ts.relid),
-ic as (select instance, snap_ts, indrelid, count(*) as n from indexes group by all),
+  from table_stats ts join vs on vs.instance = ts.instance and vs.snap_ts = ts.snap_ts and vs.relid = ts.relid
+    and vs.datname = ts.datname),
+ic as (select instance, snap_ts, datname, indrelid, count(*) as n from indexes group by all),
 j as (
   select coalesce(t.instance, p.instance) as instance, coalesce(t.snap_ts, p.snap_ts) as snap_ts,
     t.relid as t_relid, p.relid as p_relid, coalesce(t.datname, p.datname) as datname,
@@ -131,7 +132,7 @@ select j.instance, j.snap_ts,
   case when t_relid is not null and p_relid is not null then coalesce(ic.n, 0) end as index_count
 from j
 left join lock_activity a on a.instance = j.instance and a.snap_ts = j.snap_ts and a.pid = j.pid
-left join ic on ic.instance = j.instance and ic.snap_ts = j.snap_ts and ic.indrelid = coalesce(j.t_relid, j.p_relid)
+left join ic on ic.instance = j.instance and ic.snap_ts = j.snap_ts and ic.datname = j.datname and ic.indrelid = coalesce(j.t_relid, j.p_relid)
 where t_relid is null or phase is not null
    or vac_threshold + try_cast(vac_scale_text as double) * reltuples < n_dead_tup
 """
@@ -153,8 +154,8 @@ select p.instance, p.snap_ts, p.pid, {_DUR} as duration_s,
   {_share('p.child_tables_done', 'p.child_tables_total')} as child_pct
 from progress_analyze p
 left join lock_activity a on {_on('a', 'p', ('pid', 'pid'))}
-left join relations r on {_on('r', 'p', ('oid', 'relid'))}
-left join relations c on {_on('c', 'p', ('oid', 'current_child_relid'))}
+left join relations r on {_on('r', 'p', ('oid', 'relid'), ('datname', 'datname'))}
+left join relations c on {_on('c', 'p', ('oid', 'current_child_relid'), ('datname', 'datname'))}
 """
 
 COPY_PROGRESS = with_tables("progress_copy", "lock_activity", "relations", "databases") + f"""
@@ -166,7 +167,7 @@ select p.instance, p.snap_ts, p.pid, {_DUR} as duration_s, p.datname as db, {pre
        else {pretty('p.bytes_processed')} end as bytes_pct
 from progress_copy p
 left join lock_activity a on {_on('a', 'p', ('pid', 'pid'))}
-left join relations r on {_on('r', 'p', ('oid', 'relid'))}
+left join relations r on {_on('r', 'p', ('oid', 'relid'), ('datname', 'datname'))}
 left join databases d on {_on('d', 'p', ('datname', 'datname'))}
 """
 

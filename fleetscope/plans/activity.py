@@ -247,10 +247,10 @@ def relation_locks(activity: DataFrame, locks: DataFrame, relations: DataFrame,
     lk = locks.where(F.col("locktype") == "relation")
     if pids is not None:
         lk = lk.where(F.col("pid").isin(list(pids)))
-    rel = relations.select(*SCOPE, F.col("oid").alias("relation"), "relname").where(~F.col("relname").rlike("^pg_"))
+    rel = relations.select(*SCOPE, F.col("datoid").alias("database"), F.col("oid").alias("relation"), "relname").where(~F.col("relname").rlike("^pg_"))
     sess = activity.select(*SCOPE, "pid", "state", "query_start", "state_change", "wait_event_type", "wait_event",
                            "query")
-    return (lk.join(rel, on=SCOPE + ["relation"], how="inner")
+    return (lk.join(rel, on=[*SCOPE, "database", "relation"], how="inner")
             .join(sess, on=SCOPE + ["pid"], how="inner")
             .select(*SCOPE, "pid", F.col("relname").alias("relation"), "locktype", "mode", "granted", "fastpath",
                     query_status().alias("query_status"), wait_label().alias("wait_event"),
@@ -258,9 +258,10 @@ def relation_locks(activity: DataFrame, locks: DataFrame, relations: DataFrame,
 
 
 def temp_file_pid(name="name") -> F.Column:
-    """Session pid from a temporary file name ``pgsql_tmp<pid>.<n>``."""
+    """Session pid from a temporary file name ``pgsql_tmp<pid>.<n>``; NULL for
+    a name of another form."""
     tail = F.split_part(F.col(name), F.lit("_"), F.lit(2))
-    return F.split_part(F.split_part(tail, F.lit("tmp"), F.lit(2)), F.lit("."), F.lit(1)).cast("int")
+    return F.split_part(F.split_part(tail, F.lit("tmp"), F.lit(2)), F.lit("."), F.lit(1)).try_cast("bigint")
 
 
 def sessions_by_temp(tempfiles: DataFrame, activity: DataFrame, ordered: bool = False) -> DataFrame:
@@ -272,8 +273,7 @@ def sessions_by_temp(tempfiles: DataFrame, activity: DataFrame, ordered: bool =
            .agg(F.sum("size").alias("tmp_bytes"), F.count(F.lit(1)).alias("tmp_files")))
     sess = activity.select(*SCOPE, F.col("pid").cast("bigint").alias("pid"), "state", "query_start",
                            "state_change", "wait_event_type", "wait_event", "query")
-    rows = (tmp.withColumn("pid", F.col("pid").cast("bigint"))
-            .join(sess, on=SCOPE + ["pid"], how="left")
+    rows = (tmp.join(sess, on=SCOPE + ["pid"], how="left")
             .select(*SCOPE, "tblspc_name", F.col("tmp_bytes").cast("bigint").alias("tmp_bytes"),
                     pretty_bytes("tmp_bytes").alias("tmp_size"), "tmp_files", "pid",
                     query_status().alias("query_status"), wait_label().alias("wait_event"),

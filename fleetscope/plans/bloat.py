@@ -1,8 +1,7 @@
 """E. Bloat: table and btree-index size estimates from column statistics.
 
-Estimates are per database snapshot, keyed by (instance, snap_ts, datname);
-``datname`` comes from ``relations``. Relation oids are taken as unique within
-a scope (user relations get their oids from one server-wide counter).
+Estimates are per database snapshot, keyed by (instance, snap_ts, datname):
+databases of one server share oids (all catalogs, and clones of a template).
 """
 
 from __future__ import annotations
@@ -48,50 +47,49 @@ def _pad(x: Column) -> Column:
     return F.when(r == 0, F.lit(MAXALIGN)).otherwise(r)
 
 
+def column_facts(attributes: DataFrame, column_stats: DataFrame) -> DataFrame:
+    """Every column with its statistics, if it has any: the one frame that
+    both estimates read."""
+    stats = column_stats.select(*DB, "relid", "attname", "null_frac", "avg_width", F.lit(True).alias("has_stats"))
+    return attributes.withColumnRenamed("attrelid", "relid").join(stats, on=[*DB, "relid", "attname"], how="left")
+
+
 def table_page_estimate(relations: DataFrame, attributes: DataFrame, column_stats: DataFrame,
                         block_size: int = 8192) -> DataFrame:
     """Per table (kinds r, t, m outside system and temp schemas) the
-    estimated tuple size and page count at 100% and at the fill factor."""
+    estimated tuple size and page count at 100% and at the fill factor.
+    Columns are summed per (scope, database, oid) before names are attached."""
+    null_share = F.coalesce("null_frac", F.lit(0.0))
+    per_table = (column_facts(attributes, column_stats).where(~F.col("attisdropped"))
+                 .groupBy(*DB, "relid")
+                 .agg(F.max(null_share).alias("most_null"),
+                      F.count("has_stats").alias("n_stats"),
+                      F.bool_or((F.col("attname") == "oid") & (F.col("attnum") < 0)).alias("has_oid"),
+                      F.sum((1 - null_share) * F.coalesce(F.col("avg_width"), F.lit(0))).alias("row_data"),
+                      F.bool_or(F.col("typname") == "name").alias("has_name"),
+                      F.count_if(F.col("attnum") > 0).alias("n_user")))
     tables = (relations.where(F.col("relkind").isin("r", "t", "m") & _user_schema())
-              .select(*DB, F.col("oid").alias("tblid"), F.col("nspname").alias("schemaname"),
-                      F.col("relname").alias("tblname"), "reltuples",
-                      F.col("relpages").alias("heappages"),
-                      F.coalesce("toast_pages", F.lit(0)).alias("toastpages"),
-                      F.coalesce("toast_tuples", F.lit(0.0)).alias("toasttuples"),
+              .select(*DB, F.col("oid").alias("relid"), "nspname", "relname", "reltuples",
+                      (F.col("relpages") + F.coalesce("toast_pages", F.lit(0))).alias("pages"),
+                      F.ceil(F.coalesce("toast_tuples", F.lit(0.0)) / 4).alias("toast_est"),
                       _fillfactor("reloptions", TABLE_FILLFACTOR).alias("fillfactor")))
-    att = (attributes.where(~F.col("attisdropped"))
-           .select(*SCOPE, F.col("attrelid").alias("tblid"), "attnum", "attname", "typname"))
-    stats = column_stats.select(*SCOPE, F.col("relid").alias("tblid"), "attname",
-                                F.col("attname").alias("stat_attname"), "null_frac", "avg_width")
-    cols = (att.join(tables, on=SCOPE + ["tblid"], how="inner")
-            .join(stats, on=SCOPE + ["tblid", "attname"], how="left"))
-    nf = F.coalesce("null_frac", F.lit(0.0))
-    g = (cols.groupBy(*DB, "tblid", "schemaname", "tblname", "reltuples", "heappages", "toastpages",
-                      "toasttuples", "fillfactor")
-         .agg(F.max(nf).alias("_max_nf"),
-              F.count("stat_attname").alias("_n_stats"),
-              F.bool_or((F.col("attname") == "oid") & (F.col("attnum") < 0)).alias("_has_oid"),
-              F.sum((1 - nf) * F.coalesce(F.col("avg_width"), F.lit(0))).alias("_data"),
-              F.bool_or(F.col("typname") == "name").alias("_has_name"),
-              F.sum(F.when(F.col("attnum") > 0, 1).otherwise(0)).alias("_n_user")))
-    hdr = (F.lit(HEAP_TUPLE_HEADER)
-           + F.when(F.col("_max_nf") > 0, F.floor((F.col("_n_stats") + 7) / 8)).otherwise(F.lit(0))
-           + F.when(F.col("_has_oid"), F.lit(4)).otherwise(F.lit(0)))
-    g = g.withColumn("_hdr", hdr.cast("bigint"))
-    tpl = (F.lit(4) + F.col("_hdr") + F.col("_data") + F.lit(2 * MAXALIGN)
-           - _pad(F.col("_hdr")) - _pad(F.ceil("_data")))
-    g = g.withColumn("tpl_size", tpl.cast("double"))
-    per_page = F.lit(float(block_size - PAGE_HEADER))
-    toast = F.ceil(F.col("toasttuples") / 4)
-    est = F.ceil(F.col("reltuples") / (per_page / F.col("tpl_size"))) + toast
-    est_ff = F.ceil(F.col("reltuples") / (per_page * F.col("fillfactor") / (F.col("tpl_size") * 100))) + toast
-    return g.select(
-        *DB, "tblid", "schemaname", "tblname",
-        (F.col("heappages") + F.col("toastpages")).alias("tblpages"),
-        est.cast("bigint").alias("est_tblpages"),
-        est_ff.cast("bigint").alias("est_tblpages_ff"),
+    header = (F.lit(HEAP_TUPLE_HEADER)
+              + F.when(F.col("most_null") > 0, F.expr("(n_stats + 7) div 8")).otherwise(F.lit(0))
+              + F.when(F.col("has_oid"), F.lit(4)).otherwise(F.lit(0))).cast("bigint")
+    row_bytes = (F.lit(4) + F.col("header") + F.col("row_data") + F.lit(2 * MAXALIGN)
+                 - _pad(F.col("header")) - _pad(F.ceil("row_data"))).cast("double")
+    sized = (tables.join(per_table, on=[*DB, "relid"], how="inner")
+             .withColumn("header", header).withColumn("row_bytes", row_bytes))
+    room = F.lit(float(block_size - PAGE_HEADER))
+    full = F.ceil(F.col("reltuples") / (room / F.col("row_bytes"))) + F.col("toast_est")
+    filled = F.ceil(F.col("reltuples") / (room * F.col("fillfactor") / (F.col("row_bytes") * 100))) + F.col("toast_est")
+    return sized.select(
+        *DB, F.col("relid").alias("tblid"), F.col("nspname").alias("schemaname"), F.col("relname").alias("tblname"),
+        F.col("pages").alias("tblpages"),
+        full.cast("bigint").alias("est_tblpages"),
+        filled.cast("bigint").alias("est_tblpages_ff"),
         "fillfactor",
-        (F.coalesce(F.col("_has_name"), F.lit(False)) | (F.col("_n_user") != F.col("_n_stats"))).alias("is_na"),
+        (F.coalesce(F.col("has_name"), F.lit(False)) | (F.col("n_user") != F.col("n_stats"))).alias("is_na"),
         F.lit(block_size).cast("bigint").alias("bs"))
 
 
@@ -119,9 +117,9 @@ def table_bloat(relations: DataFrame, attributes: DataFrame, column_stats: DataF
     """The ``n`` tables per database with the most estimated bloat
     (bloat above 0 only); extra size may be negative."""
     sizes = _table_sizes(table_page_estimate(relations, attributes, column_stats, block_size))
-    stat = table_stats.select(*SCOPE, F.col("relid").alias("tblid"), "last_analyze", "last_autoanalyze")
+    stat = table_stats.select(*DB, F.col("relid").alias("tblid"), "last_analyze", "last_autoanalyze")
     rows = (sizes.where(F.col("_raw_bloat_bytes") > 0)
-            .join(stat, on=SCOPE + ["tblid"], how="left")
+            .join(stat, on=[*DB, "tblid"], how="left")
             .select(*DB, "tblid", "schemaname", "tblname", "real_bytes",
                     pretty_bytes("real_bytes").alias("real_size"), "extra_bytes",
                     pretty_bytes("extra_bytes").alias("extra_size"), "extra_pct", "fillfactor",
@@ -162,53 +160,42 @@ def table_bloat_total(relations: DataFrame, attributes: DataFrame, column_stats:
 def index_page_estimate(indexes: DataFrame, relations: DataFrame, attributes: DataFrame,
                         column_stats: DataFrame, block_size: int = 8192) -> DataFrame:
     """Per btree index with pages, the estimated page count at 100% and
-    at the fill factor. Key columns come from the key vector: a non-zero key
-    is a table column, key 0 an expression column of the index itself."""
-    idx = (indexes.where((F.col("amname") == "btree") & (F.col("relpages") > 0))
-           .select(*SCOPE, F.col("indexrelid").alias("idxoid"), F.col("indrelid").alias("tbloid"), "idxname",
-                   "reltuples", "relpages", _fillfactor("reloptions", INDEX_FILLFACTOR).alias("fillfactor"),
-                   F.posexplode(F.split("indkey", " ")).alias("pos", "key_text"))
-           .withColumn("attpos", F.col("pos") + 1)
-           .withColumn("key", F.col("key_text").cast("int")))
-    ct = relations.select(*SCOPE, F.col("oid").alias("tbloid"), F.col("relname").alias("tblname"), "nspname",
-                          "datname")
-    # A key column is a table column (key <> 0, looked up by its number on
-    # the table) or an expression column of the index itself (key 0, looked
-    # up by its position on the index): one lookup join on computed keys.
-    att = attributes.select(*SCOPE, F.col("attrelid").alias("look_rel"), F.col("attnum").alias("look_num"),
-                            F.col("attname").alias("att_name"), F.col("typname").alias("att_type"),
-                            F.lit(True).alias("att_found"))
-    j = (idx.join(ct, on=SCOPE + ["tbloid"], how="inner").where(_user_schema())
-         .withColumn("look_rel", F.when(F.col("key") != 0, F.col("tbloid")).otherwise(F.col("idxoid")))
-         .withColumn("look_num", F.when(F.col("key") != 0, F.col("key")).otherwise(F.col("attpos")))
-         .join(att, on=SCOPE + ["look_rel", "look_num"], how="left"))
-    on_table = (F.col("key") != 0) & F.col("att_found").isNotNull()
-    j = j.select(*DB, "idxoid", "tbloid", "idxname", "tblname", "nspname", "reltuples", "relpages", "fillfactor",
-                 F.col("att_name").alias("attname"), F.col("att_type").alias("typname"),
-                 F.when(on_table, F.col("tbloid")).otherwise(F.col("idxoid")).alias("stat_rel"))
-    stats = column_stats.select(*SCOPE, F.col("relid").alias("stat_rel"), "attname", "null_frac", "avg_width")
-    cols = j.join(stats, on=SCOPE + ["stat_rel", "attname"], how="inner")
-    nf = F.coalesce("null_frac", F.lit(0.0))
-    g = (cols.groupBy(*DB, "nspname", "tblname", "idxname", "reltuples", "relpages", "idxoid", "fillfactor")
-         .agg(F.max(nf).alias("_max_nf"),
-              F.sum((1 - nf) * F.coalesce(F.col("avg_width"), F.lit(MISSING_INDEX_WIDTH))).alias("_width"),
-              (F.max(F.when(F.col("typname") == "name", 1).otherwise(0)) > 0).alias("is_na")))
-    hdr = F.when(F.col("_max_nf") == 0, F.lit(INDEX_TUPLE_HEADER)).otherwise(F.lit(INDEX_TUPLE_HEADER_NULLS))
-    w = F.col("_width")
-    w_int = F.rint(w).cast("bigint")  # float to integer rounds half to even
-    data_pad = F.when(w == 0, F.lit(0)).when(F.pmod(w_int, F.lit(MAXALIGN)) == 0, F.lit(MAXALIGN)) \
-        .otherwise(F.pmod(w_int, F.lit(MAXALIGN)))
-    g = g.withColumn("_hdr", hdr)
-    width = F.col("_hdr") + MAXALIGN - _pad(F.col("_hdr")) + w + MAXALIGN - data_pad
-    g = g.withColumn("nulldatahdrwidth", width.cast("double"))
-    usable = F.lit(float(block_size - BTREE_OPAQUE - PAGE_HEADER))
-    per_page = F.floor(usable / (4 + F.col("nulldatahdrwidth")))
-    per_page_ff = F.floor(usable * F.col("fillfactor") / (100 * (4 + F.col("nulldatahdrwidth"))))
-    est = F.coalesce(1 + F.ceil(F.try_divide(F.col("reltuples"), per_page.cast("double"))), F.lit(0))
-    est_ff = F.coalesce(1 + F.ceil(F.try_divide(F.col("reltuples"), per_page_ff.cast("double"))), F.lit(0))
-    return g.select(*DB, "idxoid", F.col("nspname").alias("schemaname"), "tblname", "idxname", "relpages",
-                    est.cast("bigint").alias("est_pages"), est_ff.cast("bigint").alias("est_pages_ff"),
-                    "fillfactor", "is_na", F.lit(block_size).cast("bigint").alias("bs"))
+    at the fill factor. A key of the key vector names a table column by its
+    number; key 0 is an expression column of the index itself, at the key's
+    position. Both are one lookup on computed keys, summed per (scope,
+    database, index) before names are attached."""
+    btree = indexes.where((F.col("amname") == "btree") & (F.col("relpages") > 0))
+    keys = (btree.select(*DB, "indexrelid", "indrelid", F.posexplode(F.split("indkey", " ")).alias("at", "key"))
+            .withColumn("key", F.col("key").cast("int")))
+    on_table = F.col("key") != 0
+    keys = keys.select(*DB, "indexrelid", F.when(on_table, F.col("indrelid")).otherwise(F.col("indexrelid")).alias("relid"),
+                       F.when(on_table, F.col("key")).otherwise(F.col("at") + 1).alias("attnum"))
+    known = column_facts(attributes, column_stats).where("has_stats")
+    null_share = F.coalesce("null_frac", F.lit(0.0))
+    per_index = (keys.join(known, on=[*DB, "relid", "attnum"], how="inner")
+                 .groupBy(*DB, "indexrelid")
+                 .agg(F.max(null_share).alias("most_null"),
+                      F.sum((1 - null_share) * F.coalesce(F.col("avg_width"), F.lit(MISSING_INDEX_WIDTH))).alias("key_data"),
+                      F.bool_or(F.col("typname") == "name").alias("has_name")))
+    tables = relations.where(_user_schema()).select(*DB, F.col("oid").alias("indrelid"), F.col("relname").alias("tblname"),
+                                                    F.col("nspname").alias("schemaname"))
+    data = F.col("key_data")
+    rounded = F.rint(data).cast("bigint")  # float to integer rounds half to even
+    header = F.when(F.col("most_null") == 0, F.lit(INDEX_TUPLE_HEADER)).otherwise(F.lit(INDEX_TUPLE_HEADER_NULLS))
+    entry = (F.col("header") + MAXALIGN - _pad(F.col("header")) + data + MAXALIGN
+             - F.when(data == 0, F.lit(0)).otherwise(_pad(rounded))).cast("double")
+    sized = (btree.join(per_index, on=[*DB, "indexrelid"], how="inner").join(tables, on=[*DB, "indrelid"], how="inner")
+             .withColumn("fillfactor", _fillfactor("reloptions", INDEX_FILLFACTOR))
+             .withColumn("header", header).withColumn("entry", entry))
+    room = F.lit(float(block_size - BTREE_OPAQUE - PAGE_HEADER))
+
+    def pages(per_page: Column) -> Column:
+        return F.coalesce(1 + F.ceil(F.try_divide(F.col("reltuples"), F.floor(per_page).cast("double"))), F.lit(0)).cast("bigint")
+
+    return sized.select(*DB, F.col("indexrelid").alias("idxoid"), "schemaname", "tblname", "idxname", "relpages",
+                        pages(room / (4 + F.col("entry"))).alias("est_pages"),
+                        pages(room * F.col("fillfactor") / (100 * (4 + F.col("entry")))).alias("est_pages_ff"),
+                        "fillfactor", F.col("has_name").alias("is_na"), F.lit(block_size).cast("bigint").alias("bs"))
 
 
 def _index_sizes(est: DataFrame) -> DataFrame:

@@ -138,8 +138,8 @@ def databases_overview(databases: DataFrame, tablespaces: DataFrame, ordered: bo
     emergency vacuum."""
     provider = (F.when(F.col("locprovider") == "c", F.lit("libc"))
                 .when(F.col("locprovider") == "i", F.lit("icu")))
-    ts = tablespaces.select(F.col("oid").alias("tablespace_oid"), F.col("spcname").alias("tablespace"))
-    rows = (databases.join(ts, on="tablespace_oid", how="inner")
+    ts = tablespaces.select(*SCOPE, F.col("oid").alias("tablespace_oid"), F.col("spcname").alias("tablespace"))
+    rows = (databases.join(ts, on=[*SCOPE, "tablespace_oid"], how="inner")
             .select(*SCOPE, F.col("datname").alias("database"), "owner", "encoding", F.col("datcollate").alias("collate"),
                     F.col("datctype").alias("ctype"),
                     "icu_locale", provider.alias("locale_provider"),

@@ -48,14 +48,13 @@ def object_counts(relations: DataFrame, tablespaces: DataFrame, databases: DataF
     """Objects of each database snapshot by owner, schema, tablespace
     (its own, or the database default when 0) and kind: count, share, total."""
     kinds = F.create_map(*[F.lit(x) for x in chain.from_iterable(RELKIND_LABELS)])
-    own_ts = tablespaces.select(F.col("oid").alias("tablespace_oid"), F.col("spcname").alias("own_tbs"))
+    own_ts = tablespaces.select(*SCOPE, F.col("oid").alias("tablespace_oid"), F.col("spcname").alias("own_tbs"))
     db_ts = (databases.select(*DB, F.col("tablespace_oid").alias("db_ts_oid"))
-             .join(tablespaces.select(F.col("oid").alias("db_ts_oid"), F.col("spcname").alias("db_tbs")),
-                   on="db_ts_oid", how="left")
+             .join(tablespaces.select(*SCOPE, F.col("oid").alias("db_ts_oid"), F.col("spcname").alias("db_tbs")),
+                   on=[*SCOPE, "db_ts_oid"], how="left")
              .drop("db_ts_oid"))
-    # tablespaces are a handful of rows; the per-database default can be many
-    # rows with one database holding most relations: salted lookup
-    rel = salted_lookup(relations.join(own_ts, on="tablespace_oid", how="left"), db_ts, DB, how="left")
+    # both lookups have one row per key while one scope or database may hold most relations: salted
+    rel = salted_lookup(salted_lookup(relations, own_ts, [*SCOPE, "tablespace_oid"]), db_ts, DB)
     g = (rel.groupBy(*DB,
                      F.col("relowner").alias("obj_owner"),
                      F.col("nspname").alias("obj_schema"),
@@ -80,22 +79,22 @@ def stats_age(databases: DataFrame) -> DataFrame:
 
 def _unused(index_stats: DataFrame, indexes: DataFrame) -> DataFrame:
     return (index_stats.where(F.col("idx_scan") == 0)
-            .join(indexes.where(~F.col("indisunique")), on=SCOPE + ["indexrelid"], how="inner"))
+            .join(indexes.where(~F.col("indisunique")), on=[*DB, "indexrelid"], how="inner"))
 
 
 def unused_indexes(index_stats: DataFrame, indexes: DataFrame, ordered: bool = False) -> DataFrame:
     """Never-scanned non-unique indexes with their size, largest first."""
     rows = (_unused(index_stats, indexes)
-            .select(*SCOPE, "schemaname", F.col("relname").alias("table_name"),
+            .select(*DB, "schemaname", F.col("relname").alias("table_name"),
                     F.col("idxname").alias("index_name"), "idx_scan", "indisunique",
                     F.col("size_bytes").alias("index_bytes"), pretty_bytes("size_bytes").alias("index_size")))
-    return sort_if(rows, ordered, *SCOPE, F.col("index_bytes").desc_nulls_first(), "index_name")
+    return sort_if(rows, ordered, *DB, F.col("index_bytes").desc_nulls_first(), "index_name")
 
 
 def unused_indexes_total(index_stats: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Total size of the indexes of R31 per scope; ``0 bytes`` if none."""
-    scopes = index_stats.select(*SCOPE).distinct()
-    total = _unused(index_stats, indexes).groupBy(*SCOPE).agg(F.sum("size_bytes").alias("_bytes"))
-    return (scopes.join(total, on=SCOPE, how="left")
-            .select(*SCOPE, F.coalesce("_bytes", F.lit(0)).cast("bigint").alias("total_unused_idx_bytes"),
+    """Total size of the indexes of R31 per database; ``0 bytes`` if none."""
+    scopes = index_stats.select(*DB).distinct()
+    total = _unused(index_stats, indexes).groupBy(*DB).agg(F.sum("size_bytes").alias("_bytes"))
+    return (scopes.join(total, on=DB, how="left")
+            .select(*DB, F.coalesce("_bytes", F.lit(0)).cast("bigint").alias("total_unused_idx_bytes"),
                     F.coalesce(pretty_bytes("_bytes"), F.lit("0 bytes")).alias("total_unused_idx_size")))

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
-from fleetscope.operators.scope import sort_if
 from fleetscope.functions.exprs import (elapsed_s, elapsed_whole_s, pretty_bytes, quote_ident, round_div,
                                         wait_label)
-from fleetscope.operators.scope import attach, salted_lookup
+from fleetscope.operators.scope import attach, left_join_known, salted_lookup, sort_if
+
+DB = [*SCOPE, "datname"]
 
 # Phase names of each command and their "N of M" labels.
 INDEX_PHASES = [
@@ -64,7 +65,7 @@ def _sessions(activity: DataFrame, prefix: str = "a_") -> DataFrame:
 
 
 def _names(relations: DataFrame, key: str, prefix: str) -> DataFrame:
-    return relations.select(*SCOPE, F.col("oid").alias(key), F.col("relname").alias(prefix + "name"),
+    return relations.select(*DB, F.col("oid").alias(key), F.col("relname").alias(prefix + "name"),
                             F.col("size_bytes").alias(prefix + "bytes"),
                             F.col("total_size_bytes").alias(prefix + "total_bytes"))
 
@@ -93,21 +94,21 @@ def index_build_progress(progress: DataFrame, activity: DataFrame, relations: Da
     texts, the current locker's query and the table's dead tuples."""
     p = attach(progress, _sessions(activity), SCOPE + ["pid"])
     p = attach(p, _names(relations, "index_relid", "idx_").drop("idx_bytes", "idx_total_bytes"),
-               SCOPE + ["index_relid"])
-    p = attach(p, _names(relations, "relid", "tbl_").drop("tbl_total_bytes"), SCOPE + ["relid"])
+               [*DB, "index_relid"])
+    p = attach(p, _names(relations, "relid", "tbl_").drop("tbl_total_bytes"), [*DB, "relid"])
     locker = activity.select(*SCOPE, F.col("pid").alias("current_locker_pid"),
                              F.concat(F.nullif(F.substring("query", 1, 150), F.lit("")), F.lit("..."))
                              .alias("current_locker_query"))
-    p = attach(p, locker, SCOPE + ["current_locker_pid"])
-    dead = (table_stats.select(*SCOPE, "relid", "n_dead_tup")
-            .join(relations.select(*SCOPE, F.col("oid").alias("relid"), "reltuples"), on=SCOPE + ["relid"])
-            .select(*SCOPE, "relid", F.concat(
+    p = left_join_known(p, locker, SCOPE, "current_locker_pid")  # most builds wait on nobody
+    dead = (table_stats.select(*DB, "relid", "n_dead_tup")
+            .join(relations.select(*DB, F.col("oid").alias("relid"), "reltuples"), on=[*DB, "relid"])
+            .select(*DB, "relid", F.concat(
                 F.coalesce(F.concat(round_div(F.col("n_dead_tup") * 100, F.col("reltuples"), 2)
                                     .cast("decimal(38,2)").cast("string"), F.lit("%")), F.lit("N/A")),
                 F.lit(" ("), F.coalesce(F.col("n_dead_tup").cast("string"), F.lit("?")), F.lit(" of "),
                 F.coalesce(F.rint("reltuples").cast("bigint").cast("string"), F.lit("?")), F.lit(")"))
                 .alias("table_dead_tuples")))
-    p = attach(p, dead, SCOPE + ["relid"])
+    p = attach(p, dead, [*DB, "relid"])
     phase_num = F.coalesce(F.element_at(_phase_map(INDEX_PHASES), F.col("phase")),
                            F.when(F.substring("phase", 1, 14) == "building index", F.lit("3 of 10"))
                            .otherwise(F.lit("")))
@@ -138,9 +139,8 @@ def vacuum_progress(progress: DataFrame, activity: DataFrame, relations: DataFra
     table, phase of 7, sizes, scanned and vacuumed bytes and integer
     percents, index passes and dead-tuple memory use."""
     p = attach(progress, _sessions(activity), SCOPE + ["pid"])
-    p = attach(p, _names(relations, "relid", "tbl_"), SCOPE + ["relid"])
+    p = attach(p, _names(relations, "relid", "tbl_"), [*DB, "relid"])
     mode = F.when(F.col("a_query").rlike("to prevent wraparound"), F.lit("freeze")).otherwise(F.lit("regular"))
-    total = F.nullif(F.col("heap_blks_total"), F.lit(0))
     rows = (p.select(
         *SCOPE, "pid", _duration().alias("duration_s"),
         wait_label("a_wait_event_type", "a_wait_event").alias("wait_event"), mode.alias("mode"),
@@ -149,8 +149,8 @@ def vacuum_progress(progress: DataFrame, activity: DataFrame, relations: DataFra
         pretty_bytes("tbl_bytes").alias("table_size"), pretty_bytes("tbl_total_bytes").alias("total_table_size"),
         pretty_bytes(F.col("heap_blks_scanned") * block_size).alias("scanned"),
         pretty_bytes(F.col("heap_blks_vacuumed") * block_size).alias("vacuumed"),
-        F.floor(F.col("heap_blks_scanned") * 100 / total).cast("bigint").alias("scanned_pct"),
-        F.floor(F.col("heap_blks_vacuumed") * 100 / total).cast("bigint").alias("vacuumed_pct"),
+        F.expr("100 * heap_blks_scanned div nullif(heap_blks_total, 0)").alias("scanned_pct"),
+        F.expr("100 * heap_blks_vacuumed div nullif(heap_blks_total, 0)").alias("vacuumed_pct"),
         F.col("index_vacuum_count").alias("ind_vac_cnt"),
         round_div(F.col("num_dead_tuples") * 100, "max_dead_tuples", 1).alias("mwm_util_pct")))
     return sort_if(rows, ordered, *SCOPE, F.col("duration_s").desc_nulls_first(), "pid")
@@ -186,17 +186,17 @@ def vacuum_queue(table_stats: DataFrame, relations: DataFrame, settings: DataFra
     below the dead tuples), tables being vacuumed, and vacuums running in
     other databases, with effective settings, last vacuum, status, mode,
     wait, progress and index count."""
-    tables = (table_stats.select(*SCOPE, "relid", "n_dead_tup", "last_vacuum", "last_autovacuum")
-              .join(_autovacuum_settings(relations, settings), on=SCOPE + ["relid"], how="inner")
+    tables = (table_stats.select(*DB, "relid", "n_dead_tup", "last_vacuum", "last_autovacuum")
+              .join(_autovacuum_settings(relations, settings), on=[*DB, "relid"], how="inner")
               .withColumn("t_relid", F.col("relid")))
     prog = progress.select(*SCOPE, "relid", "datname", F.col("relid").alias("p_relid"), "pid", "phase",
                            "heap_blks_total", "heap_blks_scanned", "heap_blks_vacuumed", "index_vacuum_count")
-    j = tables.join(prog, on=SCOPE + ["relid", "datname"], how="full")
+    j = tables.join(prog, on=[*DB, "relid"], how="full")
     sess = activity.select(*SCOPE, "pid", F.col("pid").alias("a_pid"), F.col("query").alias("a_query"),
                            "wait_event_type", "wait_event")
-    j = j.join(sess, on=SCOPE + ["pid"], how="left")
-    idx = indexes.groupBy(*SCOPE, F.col("indrelid").alias("relid")).agg(F.count(F.lit(1)).alias("_n_idx"))
-    j = j.join(idx, on=SCOPE + ["relid"], how="left")
+    j = left_join_known(j, sess, SCOPE, "pid")  # tables that are only queued have no pid
+    idx = indexes.groupBy(*DB, F.col("indrelid").alias("relid")).agg(F.count(F.lit(1)).alias("_n_idx"))
+    j = j.join(idx, on=[*DB, "relid"], how="left")
     due = F.col("vac_threshold") + F.col("vac_scale_text").try_cast("double") * F.col("reltuples") < F.col("n_dead_tup")
     j = j.where(F.col("t_relid").isNull() | F.col("phase").isNotNull() | due)
     own_name = F.concat(F.coalesce(F.concat(F.nullif(F.col("nspname"), F.lit("public")), F.lit(".")), F.lit("")),
@@ -235,9 +235,9 @@ def analyze_progress(progress: DataFrame, activity: DataFrame, relations: DataFr
     of 6, sizes, current child table and three percents (0 when the total
     is 0)."""
     p = attach(progress, _sessions(activity), SCOPE + ["pid"])
-    p = attach(p, _names(relations, "relid", "tbl_"), SCOPE + ["relid"])
-    p = attach(p, relations.select(*SCOPE, F.col("oid").alias("current_child_relid"),
-                                   F.col("relname").alias("child_name")), SCOPE + ["current_child_relid"])
+    p = attach(p, _names(relations, "relid", "tbl_"), [*DB, "relid"])
+    children = relations.select(*DB, F.col("oid").alias("current_child_relid"), F.col("relname").alias("child_name"))
+    p = left_join_known(p, children, DB, "current_child_relid", absent=0)
 
     def share(done, total):
         return F.when(F.col(total) > 0, round_div(F.col(done) * 100, total, 2)).otherwise(F.lit(0.0))
@@ -263,7 +263,7 @@ def copy_progress(progress: DataFrame, activity: DataFrame, relations: DataFrame
     and sizes, command, type, and bytes done as a percent, or as a size when
     the total is unknown (0)."""
     p = attach(progress, _sessions(activity), SCOPE + ["pid"])
-    p = attach(p, _names(relations, "relid", "tbl_"), SCOPE + ["relid"])
+    p = attach(p, _names(relations, "relid", "tbl_"), [*DB, "relid"])
     p = attach(p, databases.select(*SCOPE, "datname", F.col("size_bytes").alias("db_bytes")), SCOPE + ["datname"])
     pct_text = F.concat(F.abs(round_div(F.col("bytes_processed") * 100, "bytes_total", 2))
                         .cast("decimal(38,2)").cast("string"), F.lit("%"))

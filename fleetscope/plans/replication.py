@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
-from fleetscope.operators.scope import sort_if
-from fleetscope.functions.exprs import elapsed_whole_s, pretty_bytes, wait_label, xid_age
+from fleetscope.operators.scope import left_join_known, sort_if
+from fleetscope.functions.exprs import elapsed_whole_s, pos_to_lsn, pretty_bytes, wait_label, xid_age
 
 # Lags reported, as (name, later position, earlier position); ``current`` is
 # the instance's current WAL position (replayed position on a replica, write
@@ -26,20 +26,20 @@ def replication_lag(slots: DataFrame, senders: DataFrame, activity: DataFrame, i
     """Replication slots full-joined to WAL senders on the active pid,
     with the serving session, slot horizons and byte lags; largest total lag
     (current minus replayed, else current minus restart) first."""
-    s = slots.select(*SCOPE, F.col("active_pid").alias("_k"), F.col("active_pid"), "slot_name", "plugin",
+    # a slot without an active pid matches no sender: it gets its own negative key
+    spread = -1 - F.pmod(F.xxhash64("slot_name"), F.lit(1024))
+    s = slots.select(*SCOPE, F.coalesce("active_pid", spread).alias("_k"), F.col("active_pid"), "slot_name", "plugin",
                      "slot_type", "database", "datoid", "active", "temporary", "xmin", "catalog_xmin",
                      F.col("next_xid").alias("slot_next_xid"), "restart_pos", "confirmed_pos")
     r = senders.select(*SCOPE, F.col("pid").alias("_k"), F.col("pid").alias("r_pid"), "client_addr",
                        F.col("usename").alias("user"), F.col("application_name").alias("r_app"),
                        F.col("state").alias("repl_state"), F.col("sync_state").alias("mode"),
                        "sent_pos", "write_pos", "flush_pos", "replay_pos")
-    j = (s.join(r, on=SCOPE + ["_k"], how="full")
-         .where(F.col("slot_name").isNotNull() | F.col("r_pid").isNotNull())
-         .withColumn("pid", F.coalesce("r_pid", "active_pid")))
+    j = s.join(r, on=SCOPE + ["_k"], how="full").withColumn("pid", F.coalesce("r_pid", "active_pid"))
     sess = activity.select(*SCOPE, "pid", "backend_type", "backend_start", "wait_event_type", "wait_event",
                            F.col("state").alias("sess_state"))
     cur = instances.select(*SCOPE, "current_pos")
-    j = j.join(sess, on=SCOPE + ["pid"], how="left").join(cur, on=SCOPE, how="left")
+    j = left_join_known(j, sess, SCOPE, "pid").join(cur, on=SCOPE, how="left")
     lags = []
     for name, later, earlier in LAGS:
         b = (F.col(later) - F.col(earlier)).alias(f"{name}_bytes")
@@ -55,7 +55,7 @@ def replication_lag(slots: DataFrame, senders: DataFrame, activity: DataFrame, i
         F.col("active").alias("is_active"), F.col("temporary").alias("is_temp"),
         "xmin", xid_age("slot_next_xid", "xmin").alias("xmin_age"),
         "catalog_xmin", xid_age("slot_next_xid", "catalog_xmin").alias("catalog_xmin_age"),
-        F.col("restart_pos").alias("restart_lsn"), F.col("confirmed_pos").alias("confirmed_flush_lsn"),
+        pos_to_lsn("restart_pos").alias("restart_lsn"), pos_to_lsn("confirmed_pos").alias("confirmed_flush_lsn"),
         *lags, total.alias("total_lag_bytes"), pretty_bytes(total).alias("total_lag"))
     return sort_if(out, ordered, *SCOPE, F.col("total_lag_bytes").desc_nulls_last(), "slot_name", "pid")
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetscope.plans import activity as act
 from fleetscope.plans import bloat
@@ -30,33 +31,41 @@ def _q(fn: Callable[..., DataFrame], *tables: str, **kwargs) -> Callable[[SparkS
 
 
 def _lock_tree_all_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R19 over sessions whose blocked_by comes from the lock rows."""
+    """R19 over sessions whose blockers come from the lock rows."""
     configure(spark)
-    sessions = lock_trees.sessions_with_blockers(load(spark, sf_dir, "locks"), load(spark, sf_dir, "lock_activity"))
-    return lock_trees.lock_tree_all_blockers(sessions)
+    return lock_trees.lock_tree_all_blockers(load(spark, sf_dir, "lock_activity"), load(spark, sf_dir, "locks"))
+
+
+def _feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 4) -> DataFrame:
+    """Snapshot rows written as files in event-time order and read back as a
+    stream, one file a batch. A last row far ahead moves the watermark past
+    every window, so all of them are final."""
+    ordered = snapshots.repartitionByRange(files, "snap_ts").sortWithinPartitions("snap_ts")
+    ordered.write.parquet(f"{base}/feed/part=0")
+    last = snapshots.limit(1).withColumn("snap_ts", F.expr("timestamp '2100-01-01 00:00:00'"))
+    last.coalesce(1).write.parquet(f"{base}/feed/part=1")
+    return (spark.readStream.schema(snapshots.schema.add("part", "int")).option("maxFilesPerTrigger", 1)
+            .parquet(f"{base}/feed").drop("part"))
 
 
 def _stream_session_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 run as a stream over the activity feed to completion."""
-    from fleetscope.sources.fixtures import load_stream
+    """S1 run as a stream over the activity feed until every window is final."""
     from fleetscope.streaming import reports as st
 
     configure(spark)
     base = st.stream_folder(spark, "session-mix")
-    stream = st.stream_session_mix(load_stream(spark, sf_dir, "activity"))
-    return st.run_available(stream, f"{base}/out", f"{base}/chk", mode="complete")
+    stream = st.stream_session_mix(_feed(spark, base, load(spark, sf_dir, "activity")), lateness="60 days")
+    return st.run_available(stream, f"{base}/out", f"{base}/chk").where("window_start < '2100-01-01'")
 
 
 def _stream_latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2 over the vacuum progress snapshots, written as files and streamed."""
+    """S2 over the vacuum progress feed until every window is final."""
     from fleetscope.streaming import reports as st
 
     configure(spark)
     base = st.stream_folder(spark, "latest-progress")
-    load(spark, sf_dir, "progress_vacuum").write.parquet(f"{base}/feed")
-    feed = spark.read.parquet(f"{base}/feed")
-    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
-    return st.run_available(st.stream_latest_progress(stream), f"{base}/out", f"{base}/chk", mode="complete")
+    stream = st.stream_latest_progress(_feed(spark, base, load(spark, sf_dir, "progress_vacuum")))
+    return st.run_available(stream, f"{base}/out", f"{base}/chk").where("window_start < '2100-01-01'")
 
 
 def _profile(table: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.sources.schemas import LIST_COLUMNS, SNAPSHOT_COLUMNS
+from fleetscope.sources.schemas import SNAPSHOT_COLUMNS
 
 SNAP = "timestamp '2024-01-31 00:00:00'"
 
@@ -32,6 +32,41 @@ class Fixture:
     parts: list[Part]
 
 
+def _scope(key: str) -> dict[str, str]:
+    """Six scopes dealt by a key column: three instances, two snapshots each."""
+    return {"instance": f"'i' || cast({key} % 3 as string)",
+            "snap_ts": f"{SNAP} + cast(floor({key} % 6 / 3) as int) * interval 1 day"}
+
+
+def _datoid(key: str, scope_key: str | None = None, other: bool = False) -> str:
+    """One of a scope's two databases that hold catalogs (oids 102 to 113,
+    which lie in the scope of their own number), by a key column; ``other``:
+    the one that the key is not in, where the same oids occur again."""
+    which = f"cast(floor({key} / 6) as bigint) % 2"
+    return f"102 + {scope_key or key} % 6 + 6 * {f'(1 - {which})' if other else f'({which})'}"
+
+
+def _datname(key: str, scope_key: str | None = None, other: bool = False) -> str:
+    return f"'db' || cast({_datoid(key, scope_key, other)} as string)"
+
+
+# Names in the settings tables: the autovacuum ones first (few parts exist at
+# the smallest scale), then all names that the settings check advises on.
+SETTING_NAMES = [
+    "autovacuum_vacuum_threshold", "autovacuum_vacuum_scale_factor", "autovacuum", "autovacuum_max_workers",
+    "bgwriter_delay", "bgwriter_lru_maxpages", "checkpoint_completion_target", "checkpoint_timeout",
+    "fastpath_num_locks", "log2_num_lock_partitions", "max_wal_size", "plan_cache_mode", "synchronous_commit",
+    "wal_compression", "wal_sync_method", "shared_buffers", "effective_cache_size", "huge_pages",
+    "max_parallel_workers_per_gather", "max_parallel_maintenance_workers", "max_parallel_workers",
+    "max_worker_processes", "track_io_timing", "autovacuum_timeout_threshold_enable", "max_connections", "work_mem",
+    "maintenance_work_mem", "effective_io_concurrency", "wal_level", "max_wal_senders", "min_wal_size",
+    "wal_keep_size", "jit",
+]
+
+# A part or relation number of the order's own scope.
+_ORDER_REL = "o_custkey - o_custkey % 6 + o_orderkey % 6"
+
+
 def _same(exprs: dict[str, str], **changes: str) -> dict[str, str]:
     out = dict(exprs)
     out.update(changes)
@@ -63,8 +98,7 @@ _ACTIVITY_EVENTS = {
 }
 
 _LOCK_ACTIVITY = {
-    "instance": "'i0'",
-    "snap_ts": SNAP,
+    **_scope("o_orderkey"),
     "datname": "'db' || cast(o_custkey % 5 as string)",
     "usename": "'u' || cast(o_custkey as string)",
     "pid": "o_orderkey",
@@ -87,8 +121,8 @@ _LOCK_ACTIVITY = {
 }
 
 _ATTRIBUTES = {
-    "instance": "'i0'",
-    "snap_ts": SNAP,
+    **_scope("p_partkey"),
+    "datname": _datname("p_partkey"),
     "attrelid": "p_partkey",
     "attnum": "cast(r_regionkey + 1 as int)",
     "attname": "'c' || cast(r_regionkey + 1 as string)",
@@ -97,8 +131,8 @@ _ATTRIBUTES = {
 }
 
 _COLUMN_STATS = {
-    "instance": "'i0'",
-    "snap_ts": SNAP,
+    **_scope("p_partkey"),
+    "datname": _datname("p_partkey"),
     "relid": "p_partkey",
     "attname": "'c' || cast(r_regionkey + 1 as string)",
     "null_frac": "cast((p_partkey * r_regionkey) % 4 as double) / 4",
@@ -106,10 +140,10 @@ _COLUMN_STATS = {
 }
 
 _PROGRESS_BASE = {
-    "instance": "'i0'",
-    "snap_ts": SNAP,
-    "pid": "o_orderkey + (o_orderkey % 2) * 1000000",
-    "relid": "o_orderkey % 200",
+    **_scope("o_orderkey"),
+    "pid": "o_orderkey + (o_orderkey % 2) * 100000000",
+    "datname": _datname(_ORDER_REL),
+    "relid": _ORDER_REL,
 }
 
 _NSP = (
@@ -117,23 +151,25 @@ _NSP = (
     "when 3 then 'information_schema' else p_brand end"
 )
 
+_FREE = "cast(floor(l_orderkey / 6) as bigint) % 4 = 0"
+_LATER = "cast(floor(l_orderkey / 6) as bigint) % 50 = 49"
+
 FIXTURES: dict[str, Fixture] = {
     "instances": Fixture("instances", [Part("supplier", {
-        "instance": "'i' || cast(s_suppkey as string)",
-        "snap_ts": SNAP,
+        "instance": "'i' || cast(cast(floor(s_suppkey / 2) as bigint) as string)",
+        "snap_ts": f"{SNAP} + (s_suppkey % 2) * interval 1 day",
         "start_time": f"{SNAP} - s_suppkey * interval 1 hour - interval 1500 millisecond",
         "in_recovery": "s_nationkey % 3 = 0",
-        "current_pos": "s_suppkey * 1000003 + 90000000",
+        "current_pos": "s_suppkey * 1000003 + 190000000",
         "next_xid": "cast(10000000 as bigint)",
     })]),
     "settings": Fixture("settings", [Part("part", {
-        "instance": "'i' || cast(cast(floor(p_partkey / 10) as bigint) as string)",
-        "snap_ts": SNAP,
-        "name": "case p_partkey % 10 when 0 then 'jit' when 1 then 'wal_level' when 2 then 'autovacuum' "
-        "when 3 then 'work_mem' when 4 then 'shared_buffers' when 5 then 'synchronous_commit' "
-        "when 6 then 'hot_standby' when 7 then 'wal_keep_size' when 8 then 'recovery_min_apply_delay' "
-        "else 'max_wal_senders' end",
-        "setting": "cast(p_size as string)",
+        **_scope("p_partkey"),
+        # each scope lists every name once; what is left of the parts goes to further instances
+        "instance": f"'i' || cast(p_partkey % 3 + 3 * cast(floor(p_partkey / {6 * len(SETTING_NAMES)}) as bigint) as string)",
+        "name": f"case cast(floor(p_partkey / 6) as bigint) % {len(SETTING_NAMES)} "
+        + " ".join(f"when {i} then '{n}'" for i, n in enumerate(SETTING_NAMES)) + " end",
+        "setting": f"case when cast(floor(p_partkey / 6) as bigint) % {len(SETTING_NAMES)} = 1 then '0.1' else cast(p_size as string) end",
         "boot_val": "case when p_partkey % 7 = 0 then null else cast(p_size % 20 as string) end",
         "unit": "case when p_partkey % 3 = 0 then null else 'kB' end",
         "context": "case p_size % 3 when 0 then 'postmaster' when 1 then 'sighup' else 'user' end",
@@ -142,8 +178,7 @@ FIXTURES: dict[str, Fixture] = {
         "when 'MEDIUM' then 'Resource Usage / Background Writer' else p_type end",
     })]),
     "databases": Fixture("databases", [Part("customer", {
-        "instance": "'i' || cast(c_nationkey as string)",
-        "snap_ts": SNAP,
+        **_scope("c_custkey"),
         "oid": "c_custkey",
         "datname": "'db' || cast(c_custkey as string)",
         "owner": "c_mktsegment",
@@ -153,7 +188,8 @@ FIXTURES: dict[str, Fixture] = {
         "tablespace_oid": "c_custkey % 3",
         "frozen_xid_age": "c_custkey * 1234567 % 2000000000",
         "freeze_max_age": "cast(200000000 as bigint)",
-        "acl": "case when c_custkey % 4 = 0 then null else '=Tc/' || c_mktsegment || ',app=CTc/' || c_mktsegment end",
+        "acl": "case when c_custkey % 4 = 0 then null else array('=Tc/' || c_mktsegment, 'app=CTc/' || c_mktsegment, "
+        "'\"odd, name\"=c/' || c_mktsegment) end",
         "stats_reset": f"case when c_custkey % 5 = 0 then null else {SNAP} - c_custkey * interval 1 minute end",
         "start_time": f"{SNAP} - interval 30 day",
         "encoding": "'UTF8'",
@@ -161,13 +197,15 @@ FIXTURES: dict[str, Fixture] = {
         "datctype": "'C'",
         "icu_locale": "case when c_custkey % 3 = 1 then 'en' end",
     })]),
-    "tablespaces": Fixture("tablespaces", [Part("region", {
+    "tablespaces": Fixture("tablespaces", [Part("region*scope", {
+        **_scope("scope_no"),
         "oid": "cast(r_regionkey as bigint)",
-        "spcname": "case r_regionkey when 0 then 'pg_default' when 1 then 'pg_global' else r_name end",
+        "spcname": "case r_regionkey when 0 then 'pg_default' when 1 then 'pg_global' "
+        "else r_name || '_' || cast(scope_no as string) end",
     })]),
     "bgwriter": Fixture("bgwriter", [Part("supplier", {
-        "instance": "'i' || cast(s_suppkey as string)",
-        "snap_ts": SNAP,
+        "instance": "'i' || cast(cast(floor(s_suppkey / 2) as bigint) as string)",
+        "snap_ts": f"{SNAP} + (s_suppkey % 2) * interval 1 day",
         "stats_reset": f"{SNAP} - (s_suppkey % 50) * interval 1 hour",
         "checkpoints_timed": "s_suppkey % 10",
         "checkpoints_req": "s_suppkey % 5",
@@ -179,38 +217,43 @@ FIXTURES: dict[str, Fixture] = {
     })]),
     "activity": Fixture("activity", [Part("events*documents", _ACTIVITY_EVENTS)]),
     "lock_activity": Fixture("lock_activity", [Part("orders", _LOCK_ACTIVITY)]),
+    # Line 1: a session's own transaction. Lines 2 and 3: waits on two other sessions' transactions of its scope, both
+    # earlier ones (so chains and two-root waiters), but for every 50th session of a scope, which waits on a later
+    # one (so cycles). Sessions of which 4 divides the number in the scope wait on nobody. Other lines: relation locks.
     "locks": Fixture("locks", [Part("lineitem", {
-        "instance": "'i0'",
-        "snap_ts": SNAP,
+        **_scope("l_orderkey"),
         "pid": "l_orderkey",
-        "locktype": "'relation'",
-        "database": "case when l_partkey % 2 = 0 then null else l_partkey % 5 end",
-        "relation": "l_partkey",
+        "locktype": "case when l_linenumber <= 3 then 'transactionid' else 'relation' end",
+        "database": f"case when l_linenumber > 3 then {_datoid('l_partkey', 'l_orderkey')} end",
+        "relation": "case when l_linenumber > 3 then l_partkey - l_partkey % 6 + l_orderkey % 6 end",
         "page": "cast(null as bigint)",
         "tuple": "cast(null as bigint)",
         "virtualxid": "cast(null as string)",
-        "transactionid": "cast(null as bigint)",
+        "transactionid": f"case when l_linenumber = 1 or l_linenumber <= 3 and {_FREE} then l_orderkey "
+        f"when l_linenumber <= 3 and {_LATER} then l_orderkey + 6 * l_linenumber "
+        "when l_linenumber = 2 then l_orderkey - 6 * (l_suppkey % 3 + 1) "
+        "when l_linenumber = 3 then l_orderkey - 6 * (l_suppkey % 7 + 2) end",
         "classid": "cast(null as bigint)",
         "objid": "cast(null as bigint)",
         "objsubid": "cast(null as bigint)",
-        "mode": "case l_linenumber % 4 when 0 then 'AccessShareLock' when 1 then 'RowExclusiveLock' "
-        "when 2 then 'ShareLock' else 'AccessExclusiveLock' end",
-        "granted": "l_linenumber <= 2",
+        "mode": "case when l_linenumber = 1 then 'ExclusiveLock' when l_linenumber <= 3 then 'ShareLock' "
+        "else case l_linenumber % 4 when 0 then 'AccessShareLock' when 1 then 'RowExclusiveLock' "
+        "when 2 then 'ShareLock' else 'AccessExclusiveLock' end end",
+        "granted": f"l_linenumber in (1, 4, 5) or l_linenumber <= 3 and {_FREE} or l_linenumber = 6 and l_orderkey % 5 <> 0 "
+        "or l_linenumber = 7",
         "fastpath": "l_linestatus = 'F'",
     })]),
     "prepared": Fixture("prepared", [Part("orders", {
-        "instance": "'i' || cast(o_custkey % 3 as string)",
-        "snap_ts": SNAP,
+        **_scope("o_orderkey"),
         "gid": "'gid_' || cast(o_orderkey as string)",
         "prepared": "o_orderdate",
         "owner": "'u' || cast(o_custkey as string)",
         "database": "'db' || cast(o_custkey % 5 as string)",
         "transaction": "o_orderkey * 5",
         "next_xid": "cast(10000000 as bigint)",
-    }, where="o_orderkey % 50 = 0")]),
+    })]),
     "tempfiles": Fixture("tempfiles", [Part("orders", {
-        "instance": "'i0'",
-        "snap_ts": SNAP,
+        **_scope("o_orderkey"),
         "tablespace": "case when o_orderpriority = '5-LOW' then 'pg_global' else o_orderpriority end",
         "name": "'pgsql_tmp' || cast(o_custkey * 11 as string) || '.' || cast(o_orderkey as string)",
         "size": "cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint)",
@@ -232,8 +275,7 @@ FIXTURES: dict[str, Fixture] = {
         "max_exec_time": "round(l_extendedprice / l_quantity, 0) * l_linenumber",
     })]),
     "roles": Fixture("roles", [Part("customer", {
-        "instance": "'i0'",
-        "snap_ts": SNAP,
+        **_scope("c_custkey"),
         "oid": "c_custkey",
         "rolname": "c_name",
         "rolcanlogin": "c_custkey % 2 = 0",
@@ -245,26 +287,24 @@ FIXTURES: dict[str, Fixture] = {
         "rolbypassrls": "c_custkey % 13 = 0",
         "rolconnlimit": "case when c_nationkey % 3 = 0 then cast(null as int) else c_nationkey - 1 end",
         "rolvaliduntil": f"case when c_custkey % 9 = 0 then {SNAP} end",
-        "rolconfig": "case when c_custkey % 4 = 0 then 'search_path=app,work_mem=64MB' end",
+        "rolconfig": "case when c_custkey % 4 = 0 then array('search_path=app, public', 'work_mem=64MB') end",
     })]),
     "auth_members": Fixture("auth_members", [Part("orders", {
-        "instance": "'i0'",
-        "snap_ts": SNAP,
+        **_scope("o_custkey"),
         "member": "o_custkey",
-        "roleid": "o_orderkey % 100",
-    }, where="o_orderkey % 10 = 0")]),
+        "roleid": "o_custkey + 6 * (o_orderkey % 7 + 1)",
+    })]),
     "acls": Fixture("acls", [Part("customer", {
-        "instance": "'i' || cast(c_nationkey as string)",
-        "snap_ts": SNAP,
+        **_scope("c_custkey"),
         "object_name": "'sch' || cast(c_custkey as string)",
         "owner": "c_mktsegment",
-        "acl": "case c_custkey % 3 when 0 then null when 1 then c_mktsegment || '=UC/' || c_mktsegment "
-        "|| ',=U/' || c_mktsegment else 'app=U*C/' || c_mktsegment end",
+        "acl": "case c_custkey % 3 when 0 then null when 1 then array(c_mktsegment || '=UC/' || c_mktsegment, "
+        "'=U/' || c_mktsegment) else array('app=U*C/' || c_mktsegment) end",
     })]),
     "relations": Fixture("relations", [Part("part", {
-        "instance": "'i0'",
-        "snap_ts": SNAP,
-        "datname": "case when p_partkey % 2 = 0 then 'db103' else 'db116' end",
+        **_scope("p_partkey"),
+        "datname": _datname("p_partkey"),
+        "datoid": _datoid("p_partkey"),
         "oid": "p_partkey",
         "relname": "case when p_partkey % 20 = 0 then 'pg_' else 't_' end || cast(p_partkey as string)",
         "nspname": _NSP,
@@ -276,14 +316,14 @@ FIXTURES: dict[str, Fixture] = {
         "relpages": "p_partkey * 2 + p_size",
         "toast_pages": "case when p_size % 4 = 0 then cast(p_size as bigint) end",
         "toast_tuples": "case when p_size % 4 = 0 then cast(p_size * 3 as double) end",
-        "reloptions": "case p_size % 3 when 0 then null when 1 then 'fillfactor=70 autovacuum_vacuum_threshold=500' "
-        "else 'autovacuum_vacuum_scale_factor=0.05 autovacuum_enabled=false' end",
+        "reloptions": "case p_size % 3 when 0 then null when 1 then array('fillfactor=70', 'autovacuum_vacuum_threshold=500') "
+        "else array('autovacuum_vacuum_scale_factor=0.05', 'autovacuum_enabled=false') end",
         "size_bytes": "(p_partkey * 2 + p_size) * 8192",
         "total_size_bytes": "(p_partkey * 3 + p_size) * 8192",
     })]),
     "table_stats": Fixture("table_stats", [Part("part", {
-        "instance": "'i0'",
-        "snap_ts": SNAP,
+        **_scope("p_partkey"),
+        "datname": _datname("p_partkey"),
         "relid": "p_partkey",
         "n_dead_tup": "p_partkey * (p_size % 20)",
         "last_vacuum": f"case when p_size % 2 = 0 then {SNAP} - p_size * interval 1 hour end",
@@ -293,17 +333,17 @@ FIXTURES: dict[str, Fixture] = {
     })]),
     "attributes": Fixture("attributes", [
         Part("part*region", _ATTRIBUTES),
-        Part("part*region", _same(_ATTRIBUTES, attrelid="1000000 + p_partkey")),
+        Part("part*region", _same(_ATTRIBUTES, attrelid="100000000 + p_partkey")),
     ]),
     "column_stats": Fixture("column_stats", [
         Part("part*region", _COLUMN_STATS, where="(p_partkey + r_regionkey) % 19 <> 0"),
-        Part("part*region", _same(_COLUMN_STATS, relid="1000000 + p_partkey"),
+        Part("part*region", _same(_COLUMN_STATS, relid="100000000 + p_partkey"),
              where="(p_partkey + r_regionkey) % 19 <> 0"),
     ]),
     "indexes": Fixture("indexes", [Part("part", {
-        "instance": "'i0'",
-        "snap_ts": SNAP,
-        "indexrelid": "1000000 + p_partkey",
+        **_scope("p_partkey"),
+        "datname": _datname("p_partkey"),
+        "indexrelid": "100000000 + p_partkey",
         "idxname": "'ix_' || cast(p_partkey as string)",
         "indrelid": "p_partkey",
         "amname": "case when p_size % 9 = 0 then 'gin' else 'btree' end",
@@ -311,28 +351,28 @@ FIXTURES: dict[str, Fixture] = {
         "indkey": "case p_partkey % 3 when 0 then '1' when 1 then '1 2' else '0 3' end",
         "reltuples": "cast(p_partkey * 37 as double)",
         "relpages": "p_partkey + p_size",
-        "reloptions": "case when p_size % 5 = 0 then 'fillfactor=70' end",
+        "reloptions": "case when p_size % 5 = 0 then array('fillfactor=70') end",
         "size_bytes": "(p_partkey + p_size) * 8192",
     })]),
     "index_stats": Fixture("index_stats", [Part("part", {
-        "instance": "'i0'",
-        "snap_ts": SNAP,
-        "indexrelid": "1000000 + p_partkey",
+        **_scope("p_partkey"),
+        "datname": _datname("p_partkey"),
+        "indexrelid": "100000000 + p_partkey",
         "schemaname": _NSP,
         "relname": "'t_' || cast(p_partkey as string)",
         "idx_scan": "cast(p_size % 4 as bigint)",
     })]),
     "slots": Fixture("slots", [Part("supplier", {
-        "instance": "'i0'",
-        "snap_ts": SNAP,
+        **_scope("s_suppkey"),
         "slot_name": "s_name",
         "plugin": "case when s_suppkey % 2 = 0 then 'pgoutput' end",
         "slot_type": "case when s_suppkey % 2 = 0 then 'logical' else 'physical' end",
         "active_pid": "case when s_suppkey % 3 = 0 then null else s_suppkey end",
         "xmin": "case when s_suppkey % 4 = 0 then s_suppkey * 7 end",
         "catalog_xmin": "case when s_suppkey % 2 = 0 then s_suppkey * 9 end",
-        "restart_pos": "s_suppkey * 500000",
-        "confirmed_pos": "case when s_suppkey % 2 = 0 then s_suppkey * 500000 + s_suppkey * s_suppkey * 1000 end",
+        "restart_pos": "case s_suppkey % 8 when 0 then 80000000 when 2 then 185000000 + s_suppkey * 1000003 else s_suppkey * 500000 end",
+        "confirmed_pos": "case s_suppkey % 8 when 0 then 170000000 + s_suppkey * 1000003 when 2 then 186000000 + s_suppkey * 1000003 "
+        "when 4 then s_suppkey * 500000 + s_suppkey * s_suppkey * 1000 end",
         "next_xid": "cast(10000000 as bigint)",
         "database": "case when s_suppkey % 2 = 0 then 'db0' end",
         "datoid": "case when s_suppkey % 2 = 0 then s_suppkey end",
@@ -340,9 +380,8 @@ FIXTURES: dict[str, Fixture] = {
         "temporary": "s_suppkey % 10 = 0",
     })]),
     "senders": Fixture("senders", [Part("supplier", {
-        "instance": "'i0'",
-        "snap_ts": SNAP,
-        "pid": "s_suppkey + 3",
+        **_scope("s_suppkey"),
+        "pid": "s_suppkey + 6",
         "application_name": "'standby_' || cast(s_suppkey as string)",
         "state": "'streaming'",
         "sync_state": "case when s_suppkey % 2 = 0 then 'sync' else 'async' end",
@@ -352,7 +391,7 @@ FIXTURES: dict[str, Fixture] = {
         "replay_pos": "80000000 + s_suppkey * 111",
         "client_addr": "'10.1.0.' || cast(s_suppkey % 250 as string)",
         "usename": "'repl'",
-    }, where="s_suppkey % 5 <> 0")]),
+    })]),
     "progress_index": Fixture("progress_index", [Part("orders", _same(_PROGRESS_BASE, **{
         "phase": "case o_custkey % 5 when 0 then 'initializing' when 1 then 'building index' "
         "when 2 then 'building index: scanning table' when 3 then 'waiting for old snapshots' "
@@ -365,42 +404,56 @@ FIXTURES: dict[str, Fixture] = {
         "lockers_total": "case when o_custkey % 9 = 0 then null else cast(4 as bigint) end",
         "partitions_done": "o_custkey % 3",
         "partitions_total": "case when o_custkey % 2 = 0 then 0 else o_custkey % 10 + 3 end",
-        "current_locker_pid": "case when o_custkey % 2 = 0 then o_custkey end",
-        "index_relid": "1000000 + o_orderkey % 200",
-    }), where="o_orderpriority = '1-URGENT'")]),
+        "current_locker_pid": "case when o_custkey % 2 = 0 then o_orderkey + 6 end",
+        "index_relid": f"100000000 + {_ORDER_REL}",
+    }))]),
     "progress_vacuum": Fixture("progress_vacuum", [Part("orders", _same(_PROGRESS_BASE, **{
         "phase": "case o_custkey % 4 when 0 then 'initializing' when 1 then 'scanning heap' "
         "when 2 then 'vacuuming indexes' when 3 then 'vacuuming heap' end",
-        "datname": "case when o_custkey % 4 = 0 then 'db_other' when o_orderkey % 2 = 0 then 'db103' "
-        "else 'db116' end",
+        "datname": f"case when o_custkey % 4 = 0 then 'db_other' else {_datname(_ORDER_REL)} end",
         "heap_blks_total": "o_custkey % 100",
         "heap_blks_scanned": "o_custkey % 70",
         "heap_blks_vacuumed": "o_custkey % 30",
         "index_vacuum_count": "o_custkey % 3",
         "num_dead_tuples": "o_custkey",
         "max_dead_tuples": "cast(case when o_custkey % 6 = 0 then 0 else 5000 end as bigint)",
-    }), where="o_orderpriority = '2-HIGH'")]),
+    }))]),
     "progress_analyze": Fixture("progress_analyze", [Part("orders", _same(_PROGRESS_BASE, **{
         "phase": "case o_custkey % 4 when 0 then 'initializing' when 1 then 'acquiring sample rows' "
         "when 2 then 'computing statistics' when 3 then 'finalizing analyze' end",
-        "current_child_relid": "case when o_custkey % 3 = 0 then o_custkey % 200 else 0 end",
+        "current_child_relid": f"case when o_custkey % 3 = 0 then {_ORDER_REL} + 12 else 0 end",
         "sample_blks_total": "o_custkey % 50",
         "sample_blks_scanned": "o_custkey % 20",
         "ext_stats_total": "o_custkey % 6",
         "ext_stats_computed": "o_custkey % 4",
         "child_tables_total": "o_custkey % 5",
         "child_tables_done": "o_custkey % 3",
-        "datname": "case when o_custkey % 2 = 0 then 'db103' else 'db0' end",
-    }), where="o_orderpriority = '3-MEDIUM'")]),
+        "datname": f"case when o_custkey % 5 = 0 then 'db0' else {_datname(_ORDER_REL)} end",
+    }))]),
     "progress_copy": Fixture("progress_copy", [Part("orders", _same(_PROGRESS_BASE, **{
         "phase": "case o_custkey % 1 when 0 then 'copy' end",
-        "datname": "case when o_custkey % 2 = 0 then 'db103' else 'db0' end",
+        "datname": f"case when o_custkey % 5 = 0 then 'db0' else {_datname(_ORDER_REL)} end",
         "command": "case when o_custkey % 2 = 0 then 'COPY FROM' else 'COPY TO' end",
         "type": "case o_custkey % 3 when 0 then 'FILE' when 1 then 'PIPE' else 'CALLBACK' end",
         "bytes_total": "case when o_custkey % 4 = 0 then 0 else o_custkey * 1000 end",
         "bytes_processed": "o_custkey * 333",
-    }), where="o_orderpriority = '5-LOW'")]),
+    }))]),
+}
+
+
+# The same oids in the scope's other database, with other sizes.
+_OTHER_DB = {
+    "relations": {"datoid": _datoid("p_partkey", other=True), "reltuples": "cast(p_partkey * 11 as double)",
+                  "relpages": "p_partkey + p_size", "size_bytes": "(p_partkey + p_size) * 8192"},
+    "table_stats": {"n_dead_tup": "p_partkey * (p_size % 7)"},
+    "indexes": {"reltuples": "cast(p_partkey * 19 as double)", "relpages": "p_partkey * 2 + p_size"},
+    "index_stats": {"idx_scan": "cast(p_size % 3 as bigint)"},
+    "attributes": {},
+    "column_stats": {"avg_width": "cast(8 + (p_partkey * (r_regionkey + 2)) % 50 as int)"},
 }
+for _name, _changes in _OTHER_DB.items():
+    FIXTURES[_name].parts += [
+        Part(p.source, _same(p.exprs, datname=_datname("p_partkey", other=True), **_changes), p.where) for p in list(FIXTURES[_name].parts)]
 
 
 # --- Spark side -------------------------------------------------------------
@@ -414,10 +467,11 @@ def _source(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
         events = _driver(spark, sf_dir, "events").selectExpr(
             "*", "cast(regexp_extract(props, '[0-9]+', 0) as int) as k")
         docs = _driver(spark, sf_dir, "documents")
-        return events.join(docs, F.col("doc_id") == F.col("event_id") % 200)
-    if source == "part*region":
-        # region is the 5-row dimension of the test set
-        return _driver(spark, sf_dir, "part").crossJoin(F.broadcast(_driver(spark, sf_dir, "region")))
+        return events.join(docs, F.col("doc_id") == F.col("event_id") % docs.count())
+    if source == "part*region":  # five columns of every part
+        return _driver(spark, sf_dir, "part").withColumn("r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    if source == "region*scope":
+        return _driver(spark, sf_dir, "region").withColumn("scope_no", F.explode(F.sequence(F.lit(0), F.lit(5))))
     return _driver(spark, sf_dir, source)
 
 
@@ -439,39 +493,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             df = df.where(part.where)
         df = df.selectExpr(*_projection(name, part.exprs))
         out = df if out is None else out.unionByName(df)
-    for col, sep in LIST_COLUMNS.get(name, {}).items():
-        out = out.withColumn(col, F.split(col, sep))
     return out
 
 
-def load_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """Snapshot table ``name`` as a stream over its driver table (its first
-    part's main source read with ``readStream``; other sources are static)."""
-    fx = FIXTURES[name]
-    part = fx.parts[0]
-    main = "events" if part.source == "events*documents" else part.source
-    schema = spark.read.parquet(f"{sf_dir}/{main}.parquet").schema
-    # a streaming file source watches a folder; the glob keeps this table's file
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-              .option("pathGlobFilter", f"{main}.parquet").parquet(sf_dir))
-    if part.source == "events*documents":
-        events = stream.selectExpr("*", "cast(regexp_extract(props, '[0-9]+', 0) as int) as k")
-        df = events.join(_driver(spark, sf_dir, "documents"), F.col("doc_id") == F.col("event_id") % 200)
-    else:
-        df = stream
-    if part.where:
-        df = df.where(part.where)
-    return df.selectExpr(*_projection(name, part.exprs))
-
-
 # --- Oracle side ------------------------------------------------------------
 
 def _oracle_source(source: str) -> str:
     if source == "events*documents":
         return ("(select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k from events) e "
-                "join documents d on d.doc_id = e.event_id % 200")
+                "join documents d on d.doc_id = e.event_id % (select count(*) from documents)")
     if source == "part*region":
-        return "part cross join region"
+        return "(select *, unnest(range(5)) as r_regionkey from part) p"
+    if source == "region*scope":
+        return "(select *, unnest(range(6)) as scope_no from region) r"
     return source
 
 
@@ -480,16 +514,10 @@ def oracle_cte(name: str) -> str:
     fx = FIXTURES[name]
     selects = []
     for part in fx.parts:
-        cols = _projection(name, part.exprs)
+        cols = [c.replace("as array<string>)", "as varchar[])").replace("array(", "list_value(") for c in _projection(name, part.exprs)]
         where = f" where {part.where}" if part.where else ""
         selects.append(f"select {', '.join(cols)} from {_oracle_source(part.source)}{where}")
     body = " union all ".join(selects)
-    lists = LIST_COLUMNS.get(name, {})
-    if lists:
-        outer = []
-        for c, _ in SNAPSHOT_COLUMNS[name]:
-            outer.append(f"string_split({c}, '{lists[c]}') as {c}" if c in lists else c)
-        body = f"select {', '.join(outer)} from ({body}) raw"
     return f"{name} as ({body})"
 
 

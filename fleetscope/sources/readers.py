@@ -1,5 +1,5 @@
 """Readers for snapshot tables stored in a lake (Parquet), with the
-explicit schemas of ``schemas`` and the text lists split into arrays."""
+explicit schemas of ``schemas``."""
 
 from __future__ import annotations
 
@@ -8,13 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.sources.schemas import LIST_COLUMNS, SNAPSHOT_COLUMNS, schema
-
-
-def _lists(df: DataFrame, name: str) -> DataFrame:
-    for c, sep in LIST_COLUMNS.get(name, {}).items():
-        df = df.withColumn(c, F.split(c, sep))
-    return df
+from fleetscope.functions.exprs import lsn_to_pos
+from fleetscope.sources.schemas import SNAPSHOT_COLUMNS, schema
 
 
 def read_snapshot(spark: SparkSession, path: str, name: str, instances: Sequence[str] | None = None,
@@ -27,12 +22,19 @@ def read_snapshot(spark: SparkSession, path: str, name: str, instances: Sequence
         df = df.where(F.col("instance").isin(list(instances)))
     if since is not None:
         df = df.where(F.col("snap_ts") >= F.lit(since).cast("timestamp"))
-    return _lists(df, name)
+    return df
+
+
+def with_positions(df: DataFrame) -> DataFrame:
+    """``*_lsn`` text columns (``HI/LO``, as the server prints them) as the
+    integer ``*_pos`` columns of the snapshot schemas."""
+    for c in [c for c in df.columns if c.endswith("_lsn")]:
+        df = df.withColumn(c.removesuffix("_lsn") + "_pos", lsn_to_pos(c).cast("bigint")).drop(c)
+    return df
 
 
 def snapshot_frame(spark: SparkSession, name: str, rows: Iterable[dict]) -> DataFrame:
-    """A small snapshot table from Python rows (missing columns are NULL);
-    list columns are given as text, as stored."""
+    """A small snapshot table from Python rows (missing columns are NULL)."""
     cols = [c for c, _ in SNAPSHOT_COLUMNS[name]]
     data = [tuple(r.get(c) for c in cols) for r in rows]
-    return _lists(spark.createDataFrame(data, schema(name)), name)
+    return spark.createDataFrame(data, schema(name))

@@ -1,10 +1,11 @@
 """Explicit schemas of the snapshot tables (never inferred).
 
-Every table except ``tablespaces`` carries the scope keys ``instance`` and
-``snap_ts``. Columns named ``*_pos`` are WAL positions as integers; xids are
+Every table carries the scope keys ``instance`` and ``snap_ts``; tables read
+inside one database (catalogs, table and index statistics, running commands)
+also carry ``datname``, since databases of one server share oids. Columns named ``*_pos`` are WAL positions as integers; xids are
 plain integers and ``next_xid`` is the server's next transaction id, so the
-age of an xid is ``next_xid - xid``. List columns are stored as text on disk
-and exposed as ``ARRAY<STRING>`` by the readers (``LIST_COLUMNS``).
+age of an xid is ``next_xid - xid``. List columns (access lists, options) are
+``ARRAY<STRING>``: their items may hold any separator.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ _ACTIVITY = SCOPE_COLS + [
 ]
 
 _ATTRIBUTES = SCOPE_COLS + [
-    ("attrelid", "bigint"), ("attnum", "int"), ("attname", "string"), ("typname", "string"),
+    ("datname", "string"), ("attrelid", "bigint"), ("attnum", "int"), ("attname", "string"), ("typname", "string"),
     ("attisdropped", "boolean"),
 ]
 
 _COLUMN_STATS = SCOPE_COLS + [
-    ("relid", "bigint"), ("attname", "string"), ("null_frac", "double"), ("avg_width", "int"),
+    ("datname", "string"), ("relid", "bigint"), ("attname", "string"), ("null_frac", "double"), ("avg_width", "int"),
 ]
 
-_PROGRESS = SCOPE_COLS + [("pid", "bigint"), ("relid", "bigint"), ("phase", "string")]
+_PROGRESS = SCOPE_COLS + [("pid", "bigint"), ("datname", "string"), ("relid", "bigint"), ("phase", "string")]
 
 SNAPSHOT_COLUMNS: dict[str, list[tuple[str, str]]] = {
     "instances": SCOPE_COLS + [
@@ -45,11 +46,11 @@ SNAPSHOT_COLUMNS: dict[str, list[tuple[str, str]]] = {
     "databases": SCOPE_COLS + [
         ("oid", "bigint"), ("datname", "string"), ("owner", "string"), ("locprovider", "string"),
         ("can_connect", "boolean"), ("size_bytes", "bigint"), ("tablespace_oid", "bigint"),
-        ("frozen_xid_age", "bigint"), ("freeze_max_age", "bigint"), ("acl", "string"),
+        ("frozen_xid_age", "bigint"), ("freeze_max_age", "bigint"), ("acl", "array<string>"),
         ("stats_reset", "timestamp"), ("start_time", "timestamp"), ("encoding", "string"),
         ("datcollate", "string"), ("datctype", "string"), ("icu_locale", "string"),
     ],
-    "tablespaces": [("oid", "bigint"), ("spcname", "string")],
+    "tablespaces": SCOPE_COLS + [("oid", "bigint"), ("spcname", "string")],
     "bgwriter": SCOPE_COLS + [
         ("stats_reset", "timestamp"), ("checkpoints_timed", "bigint"), ("checkpoints_req", "bigint"),
         ("buffers_checkpoint", "bigint"), ("buffers_clean", "bigint"), ("buffers_backend", "bigint"),
@@ -79,29 +80,29 @@ SNAPSHOT_COLUMNS: dict[str, list[tuple[str, str]]] = {
         ("oid", "bigint"), ("rolname", "string"), ("rolcanlogin", "boolean"), ("rolinherit", "boolean"),
         ("rolsuper", "boolean"), ("rolcreaterole", "boolean"), ("rolcreatedb", "boolean"),
         ("rolreplication", "boolean"), ("rolbypassrls", "boolean"), ("rolconnlimit", "int"),
-        ("rolvaliduntil", "timestamp"), ("rolconfig", "string"),
+        ("rolvaliduntil", "timestamp"), ("rolconfig", "array<string>"),
     ],
     "auth_members": SCOPE_COLS + [("member", "bigint"), ("roleid", "bigint")],
-    "acls": SCOPE_COLS + [("object_name", "string"), ("owner", "string"), ("acl", "string")],
+    "acls": SCOPE_COLS + [("object_name", "string"), ("owner", "string"), ("acl", "array<string>")],
     "relations": SCOPE_COLS + [
-        ("datname", "string"), ("oid", "bigint"), ("relname", "string"), ("nspname", "string"), ("relowner", "string"),
+        ("datname", "string"), ("datoid", "bigint"), ("oid", "bigint"), ("relname", "string"), ("nspname", "string"), ("relowner", "string"),
         ("tablespace_oid", "bigint"), ("relkind", "string"), ("reltuples", "double"),
         ("relpages", "bigint"), ("toast_pages", "bigint"), ("toast_tuples", "double"),
-        ("reloptions", "string"), ("size_bytes", "bigint"), ("total_size_bytes", "bigint"),
+        ("reloptions", "array<string>"), ("size_bytes", "bigint"), ("total_size_bytes", "bigint"),
     ],
     "table_stats": SCOPE_COLS + [
-        ("relid", "bigint"), ("n_dead_tup", "bigint"), ("last_vacuum", "timestamp"),
+        ("datname", "string"), ("relid", "bigint"), ("n_dead_tup", "bigint"), ("last_vacuum", "timestamp"),
         ("last_autovacuum", "timestamp"), ("last_analyze", "timestamp"), ("last_autoanalyze", "timestamp"),
     ],
     "attributes": _ATTRIBUTES,
     "column_stats": _COLUMN_STATS,
     "indexes": SCOPE_COLS + [
-        ("indexrelid", "bigint"), ("idxname", "string"), ("indrelid", "bigint"), ("amname", "string"),
+        ("datname", "string"), ("indexrelid", "bigint"), ("idxname", "string"), ("indrelid", "bigint"), ("amname", "string"),
         ("indisunique", "boolean"), ("indkey", "string"), ("reltuples", "double"), ("relpages", "bigint"),
-        ("reloptions", "string"), ("size_bytes", "bigint"),
+        ("reloptions", "array<string>"), ("size_bytes", "bigint"),
     ],
     "index_stats": SCOPE_COLS + [
-        ("indexrelid", "bigint"), ("schemaname", "string"), ("relname", "string"), ("idx_scan", "bigint"),
+        ("datname", "string"), ("indexrelid", "bigint"), ("schemaname", "string"), ("relname", "string"), ("idx_scan", "bigint"),
     ],
     "slots": SCOPE_COLS + [
         ("slot_name", "string"), ("plugin", "string"), ("slot_type", "string"), ("active_pid", "bigint"),
@@ -121,35 +122,25 @@ SNAPSHOT_COLUMNS: dict[str, list[tuple[str, str]]] = {
         ("index_relid", "bigint"),
     ],
     "progress_vacuum": _PROGRESS + [
-        ("datname", "string"), ("heap_blks_total", "bigint"), ("heap_blks_scanned", "bigint"),
+        ("heap_blks_total", "bigint"), ("heap_blks_scanned", "bigint"),
         ("heap_blks_vacuumed", "bigint"), ("index_vacuum_count", "bigint"), ("num_dead_tuples", "bigint"),
         ("max_dead_tuples", "bigint"),
     ],
     "progress_analyze": _PROGRESS + [
         ("current_child_relid", "bigint"), ("sample_blks_total", "bigint"), ("sample_blks_scanned", "bigint"),
         ("ext_stats_total", "bigint"), ("ext_stats_computed", "bigint"), ("child_tables_total", "bigint"),
-        ("child_tables_done", "bigint"), ("datname", "string"),
+        ("child_tables_done", "bigint"),
     ],
     "progress_copy": _PROGRESS + [
-        ("datname", "string"), ("command", "string"), ("type", "string"), ("bytes_total", "bigint"),
+        ("command", "string"), ("type", "string"), ("bytes_total", "bigint"),
         ("bytes_processed", "bigint"),
     ],
 }
 
-# Text list columns the readers split into ARRAY<STRING>, with their separator.
-LIST_COLUMNS: dict[str, dict[str, str]] = {
-    "databases": {"acl": ","},
-    "roles": {"rolconfig": ","},
-    "acls": {"acl": ","},
-    "relations": {"reloptions": " "},
-    "indexes": {"reloptions": " "},
-}
-
-
 def ddl(name: str) -> str:
     return ", ".join(f"`{c}` {t}" for c, t in SNAPSHOT_COLUMNS[name])
 
 
 def schema(name: str) -> StructType:
-    """On-disk schema of snapshot table ``name`` (list columns as text)."""
+    """Schema of snapshot table ``name``."""
     return StructType.fromDDL(ddl(name))

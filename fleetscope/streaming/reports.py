@@ -8,12 +8,10 @@ snapshots) and the latest progress row per running command.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.session import ensure_checkpoint_dir
+from fleetscope.workspace import Workspace
 
 
 def stream_session_mix(activity: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
@@ -37,28 +35,40 @@ def stream_latest_progress(progress: DataFrame, keys: tuple[str, ...] = ("instan
     (pids are reused by the server, so an unwindowed key would grow
     forever)."""
     cols = [c for c in progress.columns if c not in keys]
+    newest = F.struct(F.col("snap_ts"), F.xxhash64(*cols))  # a hash of the row breaks ties of one instant
     latest = (progress.withWatermark("snap_ts", lateness)
               .groupBy(*keys, F.window("snap_ts", window).alias("w"))
-              .agg(F.max_by(F.struct(*cols), F.col("snap_ts")).alias("r")))
+              .agg(F.max_by(F.struct(*cols), newest).alias("r")))
     return latest.select(*keys, F.col("w.start").alias("window_start"), *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for stream checkpoints and results, inside the shared
-    checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    """A fresh run folder for stream checkpoints and results, inside the
+    shared checkpoint folder (``workspace.release_all`` removes it)."""
+    return Workspace(spark, f"stream-{name}").path
 
 
-def run_available(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+def run_available(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
+                  keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a streaming aggregate over all available input and return its
-    result table. Each micro-batch's output is written by the executors, so
-    nothing passes through the driver. In complete mode every batch rewrites
-    the whole result; in other modes the table holds the last batch's
-    output."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    result table. Each micro-batch is written by the executors into its own
+    ``epoch=N`` folder, so a repeated batch overwrites itself and no earlier
+    batch is lost. Append mode: every row is final. Update mode: the newest
+    epoch's row of each of ``keys``. Complete mode: the newest epoch."""
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys whose newest row counts")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
              .foreachBatch(write).trigger(availableNow=True).start())
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(out_path)
+    table = stream.sparkSession.read.schema(stream.schema.add("epoch", "int")).parquet(out_path)
+    if mode == "complete":
+        newest = table.agg(F.max("epoch").alias("epoch"))
+        return table.join(newest, "epoch", "left_semi").drop("epoch")
+    if mode == "update":
+        rows = table.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "epoch").alias("r"))
+        return rows.select("r.*")
+    return table.drop("epoch")

@@ -1,20 +1,21 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from fleetscope.session import local_session  # noqa: E402
+from fleetscope.workspace import release_all  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = local_session("*", 8, app="fleetscope-tests")
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetscope-test-ckpt-"))
+    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield s
+    release_all()
     s.stop()

@@ -211,7 +211,7 @@ def test_lattice_sums_all_segmentations(word):
         total += p
         for x in way:
             counts[pieces.index(x)] += p
-    assert lm_score.word_scores(model, [word], np.zeros(1))[0] == pytest.approx(np.log(total))
+    assert lm_score.word_scores([model], [word], np.zeros((1, 1)))[0, 0] == pytest.approx(np.log(total))
     matrix = np.frombuffer(b" " + word, np.uint8).reshape(1, -1)
     arcs = list(model.arcs(matrix))
     assert np.allclose(model.expected(matrix, np.ones(1), arcs), counts / total)
@@ -221,9 +221,9 @@ def test_lattice_sums_all_segmentations(word):
 def test_long_words_are_walked_alike(monkeypatch):
     _, model = lattice()
     words = [b"abcab" * 10, b"ccab" * 12]
-    together = lm_score.word_scores(model, words, np.zeros(2))
+    together = lm_score.word_scores([model], words, np.zeros((2, 1)))
     monkeypatch.setattr(lm_score, "LONG_WORD", 8)
-    assert np.allclose(lm_score.word_scores(model, words, np.zeros(2)), together)
+    assert np.allclose(lm_score.word_scores([model], words, np.zeros((2, 1))), together)
 
 
 def test_cascade_is_exact(spark, run):

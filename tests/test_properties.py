@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
-from fleetscope.plans import activity, bloat, lock_trees, objects
+from fleetscope.plans import activity, bloat, objects
 from fleetscope.sources.fixtures import load
 from tests.conftest import SF_SMALL
 
@@ -35,9 +35,9 @@ def test_statement_shares_bounded(t):
 
 def test_total_bloat_adds_table_and_index_totals(t):
     args = (t["relations"], t["attributes"], t["column_stats"])
-    tot = {r.datname: r for r in bloat.total_bloat(*args, t["indexes"]).collect()}
-    tab = {r.datname: r for r in bloat.table_bloat_total(*args).collect()}
-    idx = {r.datname: r for r in bloat.index_bloat_total(t["indexes"], *args).collect()}
+    tot = {r[:3]: r for r in bloat.total_bloat(*args, t["indexes"]).collect()}
+    tab = {r[:3]: r for r in bloat.table_bloat_total(*args).collect()}
+    idx = {r[:3]: r for r in bloat.index_bloat_total(t["indexes"], *args).collect()}
     assert tot
     for db, r in tot.items():
         table_real = tab[db].total_real_bytes if db in tab else 0
@@ -46,26 +46,28 @@ def test_total_bloat_adds_table_and_index_totals(t):
 
 def test_unused_index_total_is_sum_of_list(t):
     rows = objects.unused_indexes(t["index_stats"], t["indexes"])
-    listed = rows.groupBy(*SCOPE).agg(F.sum("index_bytes").alias("b")).collect()
-    total = {(r.instance, r.snap_ts): r.total_unused_idx_bytes
+    listed = rows.groupBy(*SCOPE, "datname").agg(F.sum("index_bytes").alias("b")).collect()
+    total = {(r.instance, r.snap_ts, r.datname): r.total_unused_idx_bytes
              for r in objects.unused_indexes_total(t["index_stats"], t["indexes"]).collect()}
     for r in listed:
-        assert total[(r.instance, r.snap_ts)] == r.b
+        assert total[(r.instance, r.snap_ts, r.datname)] == r.b
 
 
 def test_lock_tree_roots_cover_all_nodes(t):
-    edges = lock_trees.lock_edges(t["locks"])
-    from fleetscope.operators.lock_graph import subtree_sizes, wait_forest
+    from fleetscope.operators.lock_graph import lock_graph, subtree_sizes, wait_forest
+    from fleetscope.workspace import Workspace
 
-    tree, depth = wait_forest(edges)
-    sizes = subtree_sizes(tree, depth)
+    run = Workspace(t["locks"].sparkSession, "test")
+    waits, holds = lock_graph(t["locks"], run)
+    tree, depth = wait_forest(waits, holds, run)
+    sizes = subtree_sizes(tree, depth, run)
     roots = tree.where(F.col("lvl") == 0).join(sizes, on=SCOPE + ["pid"])
     n_nodes = tree.count()
     n_roots = roots.count()
     assert n_nodes > n_roots > 0
     assert roots.agg(F.sum("size")).first()[0] == n_nodes - n_roots
-    # every waiter of the edges is placed exactly once
-    waiters = edges.select(*SCOPE, F.col("waiter").alias("pid")).distinct()
+    # every waiter is placed exactly once
+    waiters = waits.select(*SCOPE, "pid").distinct()
     assert waiters.join(tree, on=SCOPE + ["pid"], how="left_anti").count() == 0
     assert tree.groupBy(*SCOPE, "pid").count().where("count > 1").count() == 0
 

@@ -2,8 +2,8 @@
 snapshots are dropped by the watermark, and windows bound the state."""
 
 import datetime as dt
-import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.plans import activity
@@ -35,8 +35,8 @@ def _feed(spark, folder, batches):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
 
 
-def test_late_snapshots_dropped(spark):
-    folder = tempfile.mkdtemp(prefix="fleetscope-stream-")
+def test_late_snapshots_dropped(spark, tmp_path):
+    folder = str(tmp_path)
     day5 = T0 + dt.timedelta(days=5)
     stream = _feed(spark, folder, [
         [_session(1, day5), _session(2, day5)],
@@ -64,3 +64,37 @@ def test_latest_progress_per_window(spark):
     prog = snapshot_frame(spark, "progress_vacuum", rows)
     got = sorted((r.window_start, r.phase) for r in st.stream_latest_progress(prog).collect())
     assert got == [(T0, "vacuuming indexes"), (T0 + dt.timedelta(hours=1), "vacuuming heap")]
+
+
+@pytest.mark.parametrize("mode", ["append", "update", "complete"])
+def test_every_window_of_every_batch_is_kept(spark, tmp_path, mode):
+    days = [T0 + dt.timedelta(days=d) for d in range(3)]
+    stream = _feed(spark, str(tmp_path), [[_session(i, d), _session(i + 10, d)] for i, d in enumerate(days)]
+                   + [[_session(99, T0 + dt.timedelta(days=30))]])
+    agg = st.stream_session_mix(stream, window="1 day", lateness="1 hour")
+    out = st.run_available(agg, f"{tmp_path}/out", f"{tmp_path}/chk", mode=mode, keys=("instance", "window_start", "state"))
+    got = {r.window_start: r.sess_count for r in out.collect()}
+    assert {d: got.get(d) for d in days} == dict.fromkeys(days, 2)
+
+
+def test_state_stays_flat_over_many_windows(spark, tmp_path):
+    stream = _feed(spark, str(tmp_path), [[_session(d, T0 + dt.timedelta(days=d))] for d in range(50)])
+    agg = st.stream_session_mix(stream, window="1 day", lateness="1 hour")
+    sizes = []
+
+    def write(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{tmp_path}/out/epoch={epoch}")
+
+    q = (agg.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/chk")
+         .foreachBatch(write).trigger(availableNow=True).start())
+    q.awaitTermination()
+    sizes = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    assert len(sizes) >= 50 and max(sizes) <= 3
+    assert spark.read.parquet(f"{tmp_path}/out").count() >= 48
+
+
+def test_ties_of_one_instant_are_resolved(spark):
+    rows = [dict(instance="i0", snap_ts=T0, pid=7, relid=i, phase="scanning heap") for i in range(20)]
+    prog = snapshot_frame(spark, "progress_vacuum", rows)
+    got = {st.stream_latest_progress(prog.repartition(n)).first().relid for n in (1, 3, 7)}
+    assert len(got) == 1
