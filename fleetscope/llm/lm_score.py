@@ -376,11 +376,11 @@ def score(docs: DataFrame, train: Column, pieces: list[bytes], run: Workspace, c
         for rows in batches:
             c = np.stack([rows.column(n).to_numpy() for n in per_kind], axis=1)
             logs = word_scores(shared.value, rows.column("word").to_pylist(), c)
-            yield pa.RecordBatch.from_arrays([rows.column("word"), pa.array(c.sum(axis=1)), *[pa.array(x) for x in logs.T]],
+            yield pa.RecordBatch.from_arrays([rows.column("word"), pa.array(c.sum(axis=1)), *[pa.array(x) for x in logs.T.astype(np.float32)]],
                                              ["word", "c", *[f"p{k}" for k in range(kinds)]])
 
     p_names = [f"p{k}" for k in range(kinds)]
-    scored = run.table(vocabulary.mapInArrow(marginal, "word binary, c long, " + ", ".join(f"{p} double" for p in p_names)), "scored")
+    scored = run.table(vocabulary.mapInArrow(marginal, "word binary, c long, " + ", ".join(f"{p} float" for p in p_names)), "scored")
     per_group = (words.select(F.col("grp").alias("in_grp"), "number", "word").join(scored, "word")
                  .select("in_grp", "number", "c", *p_names))
 
