@@ -2,8 +2,7 @@
 
 from fleetscope.oracle.activity import _STATUS
 from fleetscope.oracle.common import pct, pretty, secs, us, wait_label, whole_secs, with_tables
-from fleetscope.plans.instance import (CHECKPOINT_CATEGORIES, RECOVERY_CATEGORY, ROLE_SETTINGS,
-                                       ROLE_SETTINGS_WITH_UNIT, SETTINGS_ADVICE, SETTINGS_CHECKED)
+from fleetscope.oracle.values import ADVICE, CHECKPOINTS, RECOVERY, ROLE, ROLE_UNIT, SHOWN
 
 
 def _lit(s: str) -> str:
@@ -19,13 +18,13 @@ select instance, snap_ts, {whole_secs('snap_ts', 'start_time')} as uptime_s, sta
 """
 
 _role_cols = ",\n  ".join(
-    [f"max(case when name = {_lit(n)} then setting end) as {n}" for n in ROLE_SETTINGS]
-    + [f"max(case when name = {_lit(n)} then setting || ' ' || unit end) as {n}" for n in ROLE_SETTINGS_WITH_UNIT])
+    [f"max(case when name = {_lit(n)} then setting end) as {n}" for n in ROLE]
+    + [f"max(case when name = {_lit(n)} then setting || ' ' || unit end) as {n}" for n in ROLE_UNIT])
 
 ROLE_SETTINGS_SQL = with_tables("instances", "settings") + f"""
 select i.instance, i.snap_ts,
   case when in_recovery then 'Replica [read only]' else 'Master [read-write]' end as role,
-  {", ".join(ROLE_SETTINGS + ROLE_SETTINGS_WITH_UNIT)}
+  {", ".join(ROLE + ROLE_UNIT)}
 from instances i left join (
   select instance, snap_ts,
   {_role_cols}
@@ -39,22 +38,22 @@ select instance, snap_ts, category, name, setting, unit, {_RESTART} as is_instan
 from settings where setting <> boot_val
 """
 
-_advice_values = ", ".join(f"({_lit(n)}, {_lit(v)})" for n, v in SETTINGS_ADVICE)
+_advice_values = ", ".join(f"({_lit(n)}, {_lit(v)})" for n, v in ADVICE)
 
 SETTINGS_CHECK = with_tables("settings") + f"""
 select s.instance, s.snap_ts, s.name, s.setting as curr_value, s.unit, coalesce(a.recom, '-') as recom_value
 from settings s left join (values {_advice_values}) a(name, recom) on s.name = a.name
-where s.name in ({_list(SETTINGS_CHECKED)})
+where s.name in ({_list(SHOWN)})
 """
 
 CHECKPOINT_SETTINGS = with_tables("settings") + f"""
 select instance, snap_ts, name, setting, unit, context from settings
-where category in ({_list(CHECKPOINT_CATEGORIES)})
+where category in ({_list(CHECKPOINTS)})
 """
 
 REPLICATION_SETTINGS = with_tables("settings") + f"""
 select instance, snap_ts, category, name, setting, unit, {_RESTART} as is_instance_restart_required, context
-from settings where lower(category) like '%replication%' or category = {_lit(RECOVERY_CATEGORY)}
+from settings where lower(category) like '%replication%' or category = {_lit(RECOVERY)}
 """
 
 DATABASES_OVERVIEW = with_tables("databases", "tablespaces") + f"""

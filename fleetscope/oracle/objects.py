@@ -1,9 +1,9 @@
 """Oracle SQL for the object reports."""
 
 from fleetscope.oracle.common import pct, pretty, secs, with_tables
-from fleetscope.plans.objects import RELKIND_LABELS
+from fleetscope.oracle.values import KINDS
 
-_kinds = ", ".join(f"('{k}', '{v}')" for k, v in RELKIND_LABELS)
+_kinds = ", ".join(f"('{k}', '{v}')" for k, v in KINDS)
 
 SCHEMA_SIZE = with_tables("relations", "databases", extra="""
 s as (select instance, snap_ts, datname, nspname as sch_name, sum(size_bytes) as sch_bytes

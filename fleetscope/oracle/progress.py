@@ -1,8 +1,7 @@
 """Oracle SQL for the progress reports."""
 
 from fleetscope.oracle.common import pretty, rdiv, secs, wait_label, whole_secs, with_tables
-from fleetscope.plans.progress import (ANALYZE_PHASES, AUTOVACUUM_DEFAULTS, INDEX_PHASES, QUEUE_STATUS,
-                                       VACUUM_PHASES)
+from fleetscope.oracle.values import ANALYZE_PHASES, AUTOVACUUM, INDEX_PHASES, QUEUED, VACUUM_PHASES
 
 
 def _case(col: str, pairs) -> str:
@@ -77,7 +76,7 @@ _OPTS = "array_to_string(reloptions, '')"
 def _eff(opt: str) -> str:
     own = f"regexp_extract({_OPTS}, '.*{opt}=([0-9.]+)', 1)"
     return (f"case when {_OPTS} like '%{opt}%' then {own} "
-            f"else coalesce(g.{opt}, '{AUTOVACUUM_DEFAULTS[opt]}') end")
+            f"else coalesce(g.{opt}, '{AUTOVACUUM[opt]}') end")
 
 
 _T = "autovacuum_vacuum_threshold"
@@ -120,7 +119,7 @@ select j.instance, j.snap_ts,
          then strftime(last_autovacuum, '%Y-%m-%d %H:%M:%S') || ' (auto)'
        when last_vacuum is not null then strftime(last_vacuum, '%Y-%m-%d %H:%M:%S') || ' (manual)' end
     as last_vacuumed,
-  coalesce(phase, '{QUEUE_STATUS}') as status, j.pid,
+  coalesce(phase, '{QUEUED}') as status, j.pid,
   case when regexp_matches(a.query, '^autovacuum.*to prevent wraparound') then 'wraparound'
        when regexp_matches(a.query, '^vacuum') then 'user'
        when a.pid is null then null else 'regular' end as mode,

@@ -1,9 +1,9 @@
 """Oracle SQL for the users and permissions reports."""
 
 from fleetscope.oracle.common import with_tables
-from fleetscope.plans.users import ACL_PRIVILEGES, PUBLIC_ROLE
+from fleetscope.oracle.values import PRIVILEGES, PUBLIC
 
-_letters = ", ".join(f"('{k}', '{v}')" for k, v in ACL_PRIVILEGES)
+_letters = ", ".join(f"('{k}', '{v}')" for k, v in PRIVILEGES)
 
 ROLE_LIST = with_tables("roles", "auth_members") + """
 select r.instance, r.snap_ts, r.rolname as username,
@@ -29,7 +29,7 @@ from (select *, [
 
 ACL_GRANTS = with_tables("acls") + f"""
 select instance, snap_ts, schema_name, owner,
-  case when grantee = '' then '{PUBLIC_ROLE}' else grantee end as role_name,
+  case when grantee = '' then '{PUBLIC}' else grantee end as role_name,
   lt.name as privilege, p like '%*' as is_grantable, grantor
 from (
   select instance, snap_ts, schema_name, owner, grantee, grantor,

@@ -212,17 +212,20 @@ LOCK_TARGET = ["database", "relation", "page", "tuple", "virtualxid", "transacti
                "objsubid"]
 
 
-def blocking_sessions(locks: DataFrame, activity: DataFrame) -> DataFrame:
+def blocking_sessions(locks: DataFrame, activity: DataFrame, pids: list[int] | None = None) -> DataFrame:
     """Each ungranted lock against every other session's lock on the
     same target (locktype and nine target columns equal, NULLs equal), with
     both users and statements. The other side is not filtered on granted,
     so two waiters list each other. The target is one struct key, so this
     is a single-key equi-join; its output is, by definition, the waiter x
-    other-session pairs of each target."""
+    other-session pairs of each target. ``pids`` keeps the waiters asked for,
+    before the join; a hot target's partition is split by adaptive execution."""
     from fleetscope.operators.lock_graph import lock_target
 
     target = lock_target(["locktype"] + LOCK_TARGET)
     waiting = locks.where(~F.col("granted")).select(*SCOPE, target, F.col("pid").alias("w_pid"))
+    if pids is not None:
+        waiting = waiting.where(F.col("w_pid").isin(list(pids)))
     other = locks.select(*SCOPE, target, F.col("pid").alias("o_pid"))
     pairs = (waiting.join(other, on=SCOPE + ["obj"], how="inner")
              .where(F.col("w_pid") != F.col("o_pid"))

@@ -49,17 +49,8 @@ SETTINGS_ADVICE = [
     ("jit", "off"),
 ]
 
-# The parameter names the basic check shows (max_wal_senders
-# has advice above but is not shown).
-SETTINGS_CHECKED = [
-    "autovacuum", "autovacuum_max_workers", "bgwriter_delay", "bgwriter_lru_maxpages",
-    "checkpoint_completion_target", "checkpoint_timeout", "fastpath_num_locks", "log2_num_lock_partitions",
-    "max_wal_size", "plan_cache_mode", "synchronous_commit", "wal_compression", "wal_sync_method",
-    "shared_buffers", "effective_cache_size", "huge_pages", "max_parallel_workers_per_gather",
-    "max_parallel_maintenance_workers", "max_parallel_workers", "max_worker_processes", "track_io_timing",
-    "autovacuum_timeout_threshold_enable", "max_connections", "work_mem", "maintenance_work_mem",
-    "effective_io_concurrency", "wal_level", "min_wal_size", "wal_keep_size", "jit",
-]
+# The check shows every name with advice but max_wal_senders.
+SETTINGS_CHECKED = [name for name, _ in SETTINGS_ADVICE if name != "max_wal_senders"]
 
 # Settings shown by the recovery-role report; the last two
 # carry their unit.

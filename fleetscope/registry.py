@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from fleetscope.plans import activity as act
 from fleetscope.plans import bloat
@@ -44,7 +45,7 @@ def _feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 4)
     ordered.write.parquet(f"{base}/feed/part=0")
     last = snapshots.limit(1).withColumn("snap_ts", F.expr("timestamp '2100-01-01 00:00:00'"))
     last.coalesce(1).write.parquet(f"{base}/feed/part=1")
-    return (spark.readStream.schema(snapshots.schema.add("part", "int")).option("maxFilesPerTrigger", 1)
+    return (spark.readStream.schema(StructType([*snapshots.schema.fields, StructField("part", IntegerType())])).option("maxFilesPerTrigger", 1)
             .parquet(f"{base}/feed").drop("part"))
 
 

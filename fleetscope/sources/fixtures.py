@@ -151,8 +151,9 @@ _NSP = (
     "when 3 then 'information_schema' else p_brand end"
 )
 
-_FREE = "cast(floor(l_orderkey / 6) as bigint) % 4 = 0"
-_LATER = "cast(floor(l_orderkey / 6) as bigint) % 50 = 49"
+_NUMBER = "cast(floor(l_orderkey / 6) as bigint)"
+_IN_CYCLE = f"{_NUMBER} % 10 in (0, 9)"
+_OWN = f"(l_linenumber = 1 or l_linenumber = 3 and {_IN_CYCLE} or l_linenumber <= 3 and {_NUMBER} % 4 = 0 and not {_IN_CYCLE})"
 
 FIXTURES: dict[str, Fixture] = {
     "instances": Fixture("instances", [Part("supplier", {
@@ -217,9 +218,9 @@ FIXTURES: dict[str, Fixture] = {
     })]),
     "activity": Fixture("activity", [Part("events*documents", _ACTIVITY_EVENTS)]),
     "lock_activity": Fixture("lock_activity", [Part("orders", _LOCK_ACTIVITY)]),
-    # Line 1: a session's own transaction. Lines 2 and 3: waits on two other sessions' transactions of its scope, both
-    # earlier ones (so chains and two-root waiters), but for every 50th session of a scope, which waits on a later
-    # one (so cycles). Sessions of which 4 divides the number in the scope wait on nobody. Other lines: relation locks.
+    # Line 1: a session's own transaction. Lines 2 and 3: waits on two other sessions' transactions, both earlier
+    # ones of its scope (chains, two-root waiters). Sessions whose number in the scope 4 divides wait on nobody;
+    # those with numbers ending in 9 and 0 wait on each other and on nobody else (cycles). Other lines: relation locks.
     "locks": Fixture("locks", [Part("lineitem", {
         **_scope("l_orderkey"),
         "pid": "l_orderkey",
@@ -229,8 +230,9 @@ FIXTURES: dict[str, Fixture] = {
         "page": "cast(null as bigint)",
         "tuple": "cast(null as bigint)",
         "virtualxid": "cast(null as string)",
-        "transactionid": f"case when l_linenumber = 1 or l_linenumber <= 3 and {_FREE} then l_orderkey "
-        f"when l_linenumber <= 3 and {_LATER} then l_orderkey + 6 * l_linenumber "
+        "transactionid": f"case when {_OWN} then l_orderkey "
+        f"when l_linenumber = 2 and {_NUMBER} % 10 = 9 then l_orderkey + 6 "
+        f"when l_linenumber = 2 and {_NUMBER} % 10 = 0 then l_orderkey - 6 "
         "when l_linenumber = 2 then l_orderkey - 6 * (l_suppkey % 3 + 1) "
         "when l_linenumber = 3 then l_orderkey - 6 * (l_suppkey % 7 + 2) end",
         "classid": "cast(null as bigint)",
@@ -239,8 +241,7 @@ FIXTURES: dict[str, Fixture] = {
         "mode": "case when l_linenumber = 1 then 'ExclusiveLock' when l_linenumber <= 3 then 'ShareLock' "
         "else case l_linenumber % 4 when 0 then 'AccessShareLock' when 1 then 'RowExclusiveLock' "
         "when 2 then 'ShareLock' else 'AccessExclusiveLock' end end",
-        "granted": f"l_linenumber in (1, 4, 5) or l_linenumber <= 3 and {_FREE} or l_linenumber = 6 and l_orderkey % 5 <> 0 "
-        "or l_linenumber = 7",
+        "granted": f"{_OWN} or l_linenumber in (4, 5, 7) or l_linenumber = 6 and (l_orderkey % 5 <> 0 or {_IN_CYCLE})",
         "fastpath": "l_linestatus = 'F'",
     })]),
     "prepared": Fixture("prepared", [Part("orders", {

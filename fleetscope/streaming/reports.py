@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from fleetscope.workspace import Workspace
 
@@ -64,7 +65,7 @@ def run_available(stream: DataFrame, out_path: str, checkpoint: str, mode: str =
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
              .foreachBatch(write).trigger(availableNow=True).start())
     query.awaitTermination()
-    table = stream.sparkSession.read.schema(stream.schema.add("epoch", "int")).parquet(out_path)
+    table = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("epoch", IntegerType())])).parquet(out_path)
     if mode == "complete":
         newest = table.agg(F.max("epoch").alias("epoch"))
         return table.join(newest, "epoch", "left_semi").drop("epoch")
