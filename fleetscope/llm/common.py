@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from pathlib import Path
 
@@ -23,3 +24,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let shuffle files of finished steps go: Spark removes them once their
+    plans are collected, which a job of few, large steps may not come to in
+    time. Only disk depends on it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

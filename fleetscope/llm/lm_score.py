@@ -47,6 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.llm.common import tidy
 from fleetscope.workspace import Workspace
 
 GROUP_BYTES = 32 << 20
@@ -362,6 +363,7 @@ def score(docs: DataFrame, train: Column, pieces: list[bytes], run: Workspace, c
     vocabulary = run.table(words.groupBy("word").agg(*[F.sum(n).alias(n) for n in per_kind]), "vocabulary")
     in_all = sum((F.col(n) for n in per_kind[1:]), F.col(per_kind[0]))
     known = vocabulary.where(in_all > 0)
+    tidy(spark)
     sums_row = known.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in per_kind],
                          *[F.count_if(F.col(n) > 0).alias(f"v_{n}") for n in per_kind]).first()
     tokens, types = [sums_row[n] for n in per_kind], [sums_row[f"v_{n}"] for n in per_kind]
@@ -381,6 +383,7 @@ def score(docs: DataFrame, train: Column, pieces: list[bytes], run: Workspace, c
 
     p_names = [f"p{k}" for k in range(kinds)]
     scored = run.table(vocabulary.mapInArrow(marginal, "word binary, c long, " + ", ".join(f"{p} float" for p in p_names)), "scored")
+    tidy(spark)
     per_group = (words.select(F.col("grp").alias("in_grp"), "number", "word").join(scored, "word")
                  .select("in_grp", "number", "c", *p_names))
 

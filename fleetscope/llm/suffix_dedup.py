@@ -9,7 +9,7 @@ first symbol and the rank behind it, and the two orders are merged. Then the
 repeats, and all but the earliest start are marked.
 
 The corpus-wide order is dealt out by content. Each 100-byte window is filed
-under its anchor, the 32-byte string in it with the smallest hash (the leftmost
+under its anchor, the 48-byte string in it with the smallest hash (the leftmost
 of equals), which depends on the window's bytes alone: equal windows have the same
 anchor at the same offset. So windows of different anchors need no
 comparison, and the suffixes of one anchor's contexts (the stretch of text
@@ -18,8 +18,9 @@ that occur once in the corpus cannot hold a repeat; a Bloom filter of the
 repeated ones, of bounded size, spares their contexts the shuffle (a false
 hit only adds a context to sort). Equal contexts are sorted once.
 
-An anchor with more than ``HOT`` occurrences is not put in one task: its
-windows are grouped by their bytes with a partial minimum, which is exact.
+An anchor with more than ``HOT`` occurrences is not put in one task: its equal
+contexts, and then the windows of the rest, are grouped by their bytes with
+partial minima, which is exact.
 
 Order of starts: doc_id, then a hash of the text (rows with one doc_id), then
 position. Edge cases: a null text is the empty text; texts shorter than the
@@ -39,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.llm.common import tidy
 from fleetscope.workspace import Workspace
 
 LENGTH = 100
-GRAM = 32
+GRAM = 48
 HOT = 1 << 16
 MAX_FILTER_BITS = 1 << 28
 BUCKET = 1 << 20  # bytes of contexts sorted together (more if one anchor has more)
@@ -138,9 +140,10 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     for lo in range(0, len(text) - length + 1, _SEGMENT):
         a = np.frombuffer(text, np.uint8, min(len(text) - lo, _SEGMENT + length - 1), lo)
         h, size = a.astype(np.uint64) + np.uint64(1), 1
-        while size < gram:  # hashes of strings of twice the length
-            h = h[:-size] * np.uint64(pow(_MULT, size, 1 << 64)) + h[size:]
-            size *= 2
+        while size < gram:  # hashes of strings up to twice as long: overlap the halves where needed
+            step = min(size, gram - size)
+            h = h[:-step] * np.uint64(pow(_MULT, size, 1 << 64)) + h[step:]
+            size += step
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         at = np.arange(len(h), dtype=np.uint64)
@@ -297,14 +300,19 @@ def covered_by_sorting(rows: DataFrame) -> DataFrame:
 
 
 def covered_by_grouping(rows: DataFrame) -> DataFrame:
-    """The same for hot anchors: each window is a row, the earliest start of
-    equal bytes is a partial minimum."""
-    windows = (rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1)))
-               .select("doc", "tie", (F.col("lo") + F.col("at")).alias("start"),
-                       F.expr(f"substring(context, cast(at + 1 as int), {LENGTH})").alias("bytes")))
-    earliest = windows.groupBy("bytes").agg(F.min("doc").alias("doc0"), F.min(F.struct("doc", "tie", "start")).alias("first"))
+    """The same for hot anchors, by partial minima alone: equal contexts are
+    reduced to their first (what repeats it is covered whole), and the windows
+    of the remaining contexts to the first of equal bytes."""
+    start = F.struct("doc", "tie", "lo")
+    firsts = rows.groupBy("context").agg(F.min(start).alias("first"))
+    copies = rows.join(firsts, "context").where(start > F.col("first"))
+    whole = copies.select("doc", "tie", F.col("lo").alias("start"), (F.col("lo") + F.col("windows") + LENGTH - 1).alias("end"))
+    windows = (firsts.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("context") - LENGTH)))
+               .select("first.doc", "first.tie", (F.col("first.lo") + F.col("at")).alias("start"),
+                       F.expr(f"substring(context, at + 1, {LENGTH})").alias("bytes")))
+    earliest = windows.groupBy("bytes").agg(F.min(F.struct("doc", "tie", "start")).alias("first"))
     later = windows.join(earliest, "bytes").where(F.struct("doc", "tie", "start") > F.col("first"))
-    return later.select("doc", "tie", "start", (F.col("start") + LENGTH).alias("end"))
+    return whole.unionByName(later.select("doc", "tie", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def removal_columns(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -329,16 +337,19 @@ def removal_columns(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 def remove_repeats(docs: DataFrame, run: Workspace) -> DataFrame:
     """doc_id, text (bytes), spans (array of covered start, end) of every
     document; spans of one document may touch or overlap."""
-    texts = keyed(docs)
+    spark, texts = docs.sparkSession, keyed(docs)
     repeated = run.table(anchor_counts(texts).where("n > 1"), "repeated")
+    tidy(spark)
     found = contexts(texts, repeat_filter(repeated.select("h")))
     hot = repeated.where(F.col("n") > HOT).select("h")
     if hot.limit(1).count():
-        found = run.table(found, "contexts")
-        covered = covered_by_sorting(found.join(hot, "h", "left_anti")).unionByName(
-            covered_by_grouping(found.join(hot, "h", "left_semi")))
+        held = run.table(found.join(hot, "h", "left_semi"), "hot")
+        run.table(covered_by_grouping(held), "covered_hot")
+        tidy(spark)
+        run.table(covered_by_sorting(found.join(hot, "h", "left_anti")), "covered_sorted")
+        covered = run.read("covered_hot").unionByName(run.read("covered_sorted"))
     else:
-        covered = covered_by_sorting(found)
-    covered = run.table(covered, "covered")
+        covered = run.table(covered_by_sorting(found), "covered")
+    tidy(spark)
     spans = covered.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return texts.join(spans, ["doc", "tie"], "left").select("doc_id", "text", "spans")
