@@ -46,6 +46,7 @@ from fleetscope.workspace import Workspace
 LENGTH = 100
 GRAM = 48
 HOT = 1 << 16
+BROADCAST_ROWS = 1 << 20
 MAX_FILTER_BITS = 1 << 28
 BUCKET = 1 << 20  # bytes of contexts sorted together (more if one anchor has more)
 _SEGMENT = 1 << 18  # window starts handled at once; the position takes the low bits of the sort key
@@ -342,7 +343,9 @@ def remove_repeats(docs: DataFrame, run: Workspace) -> DataFrame:
     tidy(spark)
     found = contexts(texts, repeat_filter(repeated.select("h")))
     hot = repeated.where(F.col("n") > HOT).select("h")
-    if hot.limit(1).count():
+    if n_hot := hot.count():
+        if n_hot <= BROADCAST_ROWS:  # eight bytes each; else Spark chooses, and contexts are dealt out once more
+            hot = F.broadcast(hot)
         held = run.table(found.join(hot, "h", "left_semi"), "hot")
         run.table(covered_by_grouping(held), "covered_hot")
         tidy(spark)
