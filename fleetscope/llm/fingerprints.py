@@ -8,12 +8,17 @@ The votes are whole numbers, so equal texts have equal fingerprints wherever
 they are computed. Term hashes of many texts are computed together from
 running polynomial sums over their bytes.
 
-The search cuts fingerprints into ``radius + intact`` blocks. Two fingerprints
-within the radius agree on at least ``intact`` blocks, so each choice of
-``intact`` blocks gives one table keyed by those blocks (what a permuted sorted
-table gives by its leading bits), and an equi-join over all tables finds every
-pair. A pair is taken from its first table only. Equal fingerprints are one
-row with a count.
+The search cuts fingerprints into ``TABLES`` blocks. Of two fingerprints within
+the radius, some block differs in at most ``radius // TABLES`` bits, so one table
+per block, probed with the block's value and every value that few flips away,
+finds every pair; a pair is taken from its first table only. Queries and index
+are dealt out by hash to cells of bounded size, each query cell meeting each
+index cell, and a task gives counts, not pairs, so a large group of near copies
+is neither one task nor the square of its rows. Equal fingerprints are one row
+with a count.
+
+The radius comes from near copies: on sf0.1 the pairs of different texts with a
+Jaccard likeness of 0.8 or more lie up to 23 bits apart (see the README).
 
 Edge cases: null and empty texts, and texts without words, have fingerprint
 zero; n_chars of null is 0; repeated rows and equal doc_ids are ordered by
@@ -26,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +42,13 @@ from pyspark.sql import functions as F
 from fleetscope.workspace import Workspace
 
 BITS = 128
-RADIUS, INTACT = 4, 2
+RADIUS = 23
+TABLES = 8  # blocks of 16 bits
+CELL, MIN_CELLS = 1 << 18, 64
 SHINGLE = 3
 _STEP = 1 << 16  # terms per vote sum: with weights up to 255, float32 sums stay exact
 _BYTES = 1 << 20
+_PAIRS = 1 << 20  # candidate pairs compared at a time
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _ODD = 0x9E3779B97F4A7C15
@@ -216,43 +225,74 @@ def compare_neighbours(docs: DataFrame, run: Workspace) -> DataFrame:
 # --- search ------------------------------------------------------------------
 
 
-def block_tables(radius: int = RADIUS, intact: int = INTACT, digits: int = BITS // 4) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
-    """Per table: its blocks as (first hex digit, digits), and the earlier
-    blocks outside it, which differ when the table is a pair's first."""
-    n = radius + intact
-    cuts = [digits * i // n for i in range(n + 1)]
-    block = [(a + 1, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return [([block[i] for i in chosen], [block[j] for j in range(chosen[-1]) if j not in chosen])
-            for chosen in combinations(range(n), intact)]
-
-
-def within_radius(index: DataFrame, queries: DataFrame, radius: int = RADIUS, intact: int = INTACT) -> DataFrame:
+def near_pairs(queries: np.ndarray, index: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, found) row numbers of all pairs at most ``radius`` bits apart,
+    each once, in parts. Fingerprints are rows of ``TABLES`` 16-bit blocks."""
+    flips = [sum(1 << b for b in bits) for k in range(radius // TABLES + 1) for bits in combinations(range(16), k)]
+    whole_q, whole_i = (np.ascontiguousarray(x).view(np.uint64) for x in (queries, index))
+    for t in range(TABLES):
+        order = np.argsort(queries[:, t], kind="stable")
+        starts = np.searchsorted(queries[order, t], np.arange((1 << 16) + 1))
+        for flip in flips:
+            value = index[:, t] ^ np.uint16(flip)
+            first = starts[value]
+            sizes = starts[value.astype(np.int64) + 1] - first
+            rows = np.flatnonzero(sizes)
+            first, ends = first[rows], np.cumsum(sizes[rows])
+            for lo in range(0, int(ends[-1]) if len(rows) else 0, _PAIRS):
+                k = np.arange(lo, min(lo + _PAIRS, int(ends[-1])))
+                at = np.searchsorted(ends, k, "right")
+                i = rows[at]
+                q = order[first[at] + k - (ends[at] - sizes[i])]
+                near = np.bitwise_count(whole_q[q, 0] ^ whole_i[i, 0]) + np.bitwise_count(whole_q[q, 1] ^ whole_i[i, 1]) <= radius
+                q, i = q[near], i[near]
+                if t:
+                    fresh = (np.bitwise_count(queries[q, :t] ^ index[i, :t]) > radius // TABLES).all(axis=1)
+                    q, i = q[fresh], i[fresh]
+                if len(q):
+                    yield q, i
+
+
+def _blocks(fps: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex("".join(fps.to_pylist())), np.uint16).reshape(-1, TABLES)
+
+
+def _in_cells(index: DataFrame, queries: DataFrame, cells: tuple[int, int], search, schema: str) -> DataFrame:
+    """``search`` (query table, index table) -> table, on each pair of cells."""
+    n, m = cells
+    own = [F.pmod(F.xxhash64("fp"), F.lit(k)).alias(name) for k, name in ((n, "cell"), (m, "query_cell"))]
+    every = [F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias(name) for k, name in ((n, "cell"), (m, "query_cell"))]
+    i = index.select("*", own[0]).select("*", every[1]).groupBy("cell", "query_cell")
+    q = queries.select("*", own[1]).select("*", every[0]).groupBy("cell", "query_cell")
+    return q.cogroup(i).applyInArrow(search, schema)
+
+
+def within_radius(index: DataFrame, queries: DataFrame, radius: int = RADIUS, cells: tuple[int, int] = (MIN_CELLS, 1)) -> DataFrame:
     """All (query, found) pairs of distinct fingerprints (column ``fp``, hex
-    digits) at most ``radius`` bits apart, each once."""
-    tables = block_tables(radius, intact)
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(t).alias("t"), F.concat(*[F.substring("fp", a, n) for a, n in blocks]).alias("key"),
-                                  F.array(*[F.substring("fp", a, n) for a, n in before]).cast("array<string>").alias("before"))
-                         for t, (blocks, before) in enumerate(tables)])
-        return df.select(F.col("fp").alias(name), F.explode(keys).alias("k")).select(
-            name, F.col("k.t").alias("t"), F.col("k.key").alias("key"), F.col("k.before").alias(f"before_{name}"))
-
-    halves = [F.bit_count(_long("query", i).bitwiseXOR(_long("found", i))) for i in range(0, BITS // 4, 8)]
-    near = sum(halves[1:], halves[0]) <= radius
-    first = ~F.exists(F.zip_with("before_query", "before_found", lambda x, y: x == y), lambda same: same)
-    q, f = keyed(queries, "query"), keyed(index, "found")
-    return q.join(f, (q["t"] == f["t"]) & (q["key"] == f["key"]) & near & first).select("query", "found")
+    digits) at most ``radius`` bits apart, each once, searched in so many cells
+    of the index and of the queries."""
 
+    def search(q: pa.Table, i: pa.Table) -> pa.Table:
+        parts = list(near_pairs(_blocks(q["fp"]), _blocks(i["fp"]), radius)) if len(q) and len(i) else []
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else ([], [])))
+        return pa.table({"query": q["fp"].take(pa.array(a)), "found": i["fp"].take(pa.array(b))})
 
-def _long(name: str, at: int) -> Column:
-    return F.conv(F.substring(name, at + 1, 8), 16, 10).cast("long")
+    return _in_cells(index.select("fp"), queries.select("fp"), cells, search, "query string, found string")
 
 
-def neighbour_counts(fps: DataFrame, run: Workspace, is_query: Column, radius: int = RADIUS, intact: int = INTACT) -> DataFrame:
+def neighbour_counts(fps: DataFrame, run: Workspace, is_query: Column, radius: int = RADIUS) -> DataFrame:
     """(fp, n_near): for each fingerprint of a query row, how many rows lie
     within the radius, itself included."""
     distinct = run.table(fps.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked")), "distinct")
-    pairs = within_radius(distinct.select("fp"), distinct.where("asked").select("fp"), radius, intact)
-    return (pairs.join(distinct.select(F.col("fp").alias("found"), "n"), "found")
-            .groupBy(F.col("query").alias("fp")).agg(F.sum("n").alias("n_near")))
+    queries = distinct.where("asked").select("fp")
+    cells = max(MIN_CELLS, ceil(distinct.count() / CELL)), max(1, ceil(queries.count() / CELL))
+
+    def search(q: pa.Table, i: pa.Table) -> pa.Table:
+        near, n = np.zeros(len(q), np.int64), i["n"].to_numpy()
+        for a, b in near_pairs(_blocks(q["fp"]), _blocks(i["fp"]), radius) if len(q) and len(i) else ():
+            np.add.at(near, a, n[b])
+        some = np.flatnonzero(near)
+        return pa.table({"fp": q["fp"].take(pa.array(some)), "n_near": pa.array(near[some])})
+
+    return (_in_cells(distinct.select("fp", "n"), queries, cells, search, "fp string, n_near long")
+            .groupBy("fp").agg(F.sum("n_near").alias("n_near")))

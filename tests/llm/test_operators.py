@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetscope.llm import decontaminate, fingerprints, lm_score, near_dups, queries, suffix_dedup, url_filter
 from fleetscope.workspace import Workspace
@@ -54,6 +55,32 @@ def test_block_tables_find_all_pairs(spark, run):
     assert got == want and len(want) > len(set(fps))
 
 
+def test_near_copies_are_found(spark, small, run):
+    """Texts with a word in every 50 changed, so that a good four fifths of
+    their 5-word shingles stay, are counted with their originals."""
+    def shingles(words):
+        return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+    rnd, rows, pairs = random.Random(6), [], 0
+    for _, text, _ in small:
+        words = plain.words(text)
+        if len(words) < 200 or pairs == 40:
+            continue
+        copy = list(words)
+        for i in range(rnd.randrange(20), len(copy), 50):
+            copy[i] = f"q{rnd.randrange(9999)}"
+        a, b = shingles(words), shingles(copy)
+        if len(a & b) / len(a | b) >= 0.8:
+            rows += [" ".join(words), " ".join(copy)]
+            pairs += 1
+    fps = [f.hex() for f in fingerprints.fingerprint_texts([t.encode() for t in rows])]
+    frame = spark.createDataFrame([(f, i % 2 == 0) for i, f in enumerate(fps)], "fp string, q boolean")
+    near = {r.fp: r.n_near for r in fingerprints.neighbour_counts(frame, run, F.col("q")).collect()}
+    want = {f: sum((int(f, 16) ^ int(g, 16)).bit_count() <= fingerprints.RADIUS for g in fps) for f in fps[::2]}
+    assert near == want and pairs >= 20
+    assert sum(near[f] >= 2 for f in fps[::2]) >= 0.95 * pairs
+
+
 def test_language_id(spark):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/documents.parquet").collect()}
     rows = queries.op2_language_id(spark, SF_SMALL.replace("0.001", "0.01")).collect()
