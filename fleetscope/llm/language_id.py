@@ -5,8 +5,9 @@ case, ASCII other than letters as spaces). Document frequencies come from all
 training texts. The weights are learned by follow-the-regularised-leader with
 per-coordinate rates and an elastic net (L1 and L2) on a bounded sample: at
 most about ``SAMPLE_ROWS`` distinct texts, an equal share per language, chosen
-by a hash of the text. A fifth of the sample is kept out of the fit and sets
-one temperature, so scores are calibrated probabilities. The model (features x
+by a hash of the text. Every fifth text of each language is kept out of the fit
+and sets one temperature, so scores are calibrated probabilities; the first
+four of a language always stay in the fit. The model (features x
 languages) is broadcast; its size does not depend on the corpus.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, and
@@ -18,6 +19,7 @@ language in order; extra columns are kept where a frame is passed through.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -176,14 +178,15 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Model from the texts and languages of ``labelled`` (text, lang)."""
     usable = labelled.where("text is not null and lang is not null").select("text", "lang")
     df, n = document_frequencies(usable)
-    drawn = sample(usable, sample_rows)
+    drawn = [row for row in sample(usable, sample_rows) if len(row[2])]
     languages = sorted({lang for lang, *_ in drawn})
     idf = np.log((1 + n) / (1 + df)) + 1
     model = Model(languages, idf, np.zeros((FEATURES, len(languages))), np.zeros(len(languages)))
     fit, held = [], []
-    for lang, h, found, counts in drawn:
-        if len(found):
-            (held if h % 5 == 0 else fit).append((languages.index(lang), found, model.vector(found, counts)))
+    seen = Counter()
+    for lang, _, found, counts in drawn:
+        seen[lang] += 1
+        (held if seen[lang] % 5 == 0 else fit).append((languages.index(lang), found, model.vector(found, counts)))
     if fit:
         fit_ftrl(model, fit)
         calibrate(model, held)

@@ -54,6 +54,18 @@ def test_language_id(spark, edge, empty):
     assert unlabelled.predict("abc") == ("und", 0.0)
 
 
+def test_language_with_few_texts_is_fitted(spark, documents):
+    """Languages with one distinct text each are learned, whatever its hash."""
+    rare = [" ".join(chr(97 + (5 * i + k) % 26) * 3 for k in range(5)) for i in range(8)]
+    rows = [(i, f"the quick brown fox number {i}", "en") for i in range(30)] + [(100 + i, t, f"x{i % 8}") for i, t in enumerate(rare * 3)]
+    docs = documents(rows)
+    hashes = docs.where("lang <> 'en'").select(F.xxhash64("text").alias("h")).distinct().collect()
+    assert any(r.h % 5 == 0 for r in hashes)  # each was held out of the fit once
+    model = language_id.train(docs)
+    assert (model.weights != 0).any(axis=0).all()
+    assert [model.predict(t)[0] for t in rare] == [f"x{i}" for i in range(8)]
+
+
 def test_near_dups(edge, empty, run):
     rows = near_dups.near_duplicates(edge, run).collect()
     got = {r.doc_id: r.component_id for r in rows if r.doc_id is not None}
