@@ -39,11 +39,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of every SimHash component
-    (4-word shingles, 4 bits)."""
+    (4-word shingles, 4 bits). A repeated doc_id is a row of the component of
+    each of its texts, so each text that is no near-duplicate stays."""
     prepare(spark)
-    members = near_dups.near_duplicates(docs, Workspace(spark, "pipeline-near-dups"))
-    keepers = members.where("doc_id = component_id").select("doc_id").distinct()
-    kept = near_dups.one_row_each(docs.join(keepers, "doc_id", "left_semi"))
+    kept = near_dups.keepers(docs, Workspace(spark, "pipeline-near-dups"))
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

@@ -12,15 +12,17 @@ prefix of ``depth`` bits; a block meets the blocks whose prefix differs in at
 most ``budget`` bits (found by an equi-join on the flipped prefixes, not by
 comparing blocks), and each such pair of trie nodes is walked in one task. A
 task returns a spanning forest of the links it found, at most one edge per
-fingerprint, never all pairs of a group. Components come from alternating
+fingerprint, never all pairs of a group. Fingerprints are the nodes, so ids that are
+null or repeated neither break nor make links. Components come from alternating
 large-star and small-star rounds, each written to the run's folder.
 
 Copies share a fingerprint and are one leaf with their smallest doc_id, so a
 hot group of copies costs one row after a map-side minimum.
 
 Edge cases: null and empty texts, and texts without words, have fingerprint
-zero, which links like any other; a null doc_id is fingerprinted, and its
-component is that of the non-null ids with its fingerprint (null if none);
+zero, which links like any other; a null doc_id is fingerprinted and links, and its
+component is named by the non-null ids in it (null if none); a repeated doc_id
+with different texts is in the component of each text;
 repeated rows are repeated in the result; an empty table gives no rows; extra
 columns are ignored.
 """
@@ -75,17 +77,18 @@ def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed 64-bit integer."""
+    """doc_id, ``fp``, the fingerprint as a signed 64-bit integer, and ``h``, a
+    hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             fps = np.array([majority(shingle_hashes(texts[i].as_py() or b"", words_per_shingle))
                             for i in range(len(batch))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("h")], ["doc_id", "fp", "h"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("h"))
+    return narrow.mapInArrow(run, "doc_id long, fp long, h long")
 
 
 # --- the trie join in one task ----------------------------------------------
@@ -314,22 +317,26 @@ def components(edges: DataFrame, run: Workspace) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, run: Workspace, words_per_shingle: int = 4, budget: int = 4,
                     block: int = BLOCK) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links of at
-    most ``budget`` differing bits) of every document."""
+    """doc_id, fp, h and component_id (smallest doc_id reachable over links of at
+    most ``budget`` differing bits) of every document, and ``keeper``, the
+    smallest fingerprint that document has in the component."""
     fps = run.table(fingerprints(docs, words_per_shingle), "fps")
-    leaves = run.table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "leaves")
-    usable = leaves.where("rep is not null")
-    depth = max(0, ceil(log2(max(1, usable.count()) / block)))
-    cut = run.table(blocks(usable, depth, block), "blocks")
+    leaves = run.table(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "leaves")
+    depth = max(0, ceil(log2(max(1, leaves.count()) / block)))
+    cut = run.table(blocks(leaves.select("fp", F.col("fp").alias("rep")), depth, block), "blocks")
     edges = forest(block_pairs(cut, depth, budget).repartition("id_a", "id_b"), budget)
-    roots = components(edges, run)
-    named = (leaves.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("fp", F.coalesce("root", "rep").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id: of repeated rows, the one whose text hash is
-    smallest."""
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return docs.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    roots = components(edges, run).withColumnRenamed("node", "fp")
+    rooted = run.table(leaves.join(roots, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "rooted")
+    first = rooted.where("id is not null").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("first"))
+    named = rooted.join(first, "root", "left").select("fp", F.col("first.id").alias("component_id"), F.col("first.fp").alias("keeper"))
+    return fps.join(named, "fp").select("doc_id", "fp", "h", "component_id", "keeper")
+
+
+def keepers(docs: DataFrame, run: Workspace) -> DataFrame:
+    """One row of each component that has a doc_id: of the rows of its smallest
+    doc_id, one with the smallest fingerprint and then text hash."""
+    own = near_duplicates(docs, run).where("doc_id = component_id and fp = keeper")
+    chosen = own.groupBy("doc_id", "fp").agg(F.min("h").alias("_hash")).select("doc_id", "_hash")
+    hashed = docs.withColumn("_hash", F.xxhash64("text")).join(chosen, ["doc_id", "_hash"], "left_semi")
+    order = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")
+    return hashed.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)

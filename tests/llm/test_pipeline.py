@@ -1,5 +1,6 @@
 """The pipeline against plain versions of its stages on a small table."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -64,3 +65,34 @@ def test_empty_and_null_documents(spark, documents, tmp_path):
         got = corpus_pipeline.run(spark, str(folder)).collect()
         assert sorted({r.doc_id for r in got}, key=str) == ([] if not rows else [3, None])
         assert sum(r.start == 0 for r in got) == (2 if rows else 0)
+
+
+def test_near_dups_of_repeated_and_null_ids(spark, documents):
+    """Ids with two texts keep each text that is no near-duplicate, two linked
+    texts of an id are one row, and a null-id text links its neighbours."""
+    rnd = random.Random(12)
+
+    def edits(words, want, of):
+        while True:
+            copy = list(words)
+            for k in rnd.sample(range(len(copy)), 3):
+                copy[k] = f"y{rnd.randrange(999)}"
+            if want((plain.simhash64(" ".join(copy)) ^ of).bit_count()):
+                return copy
+
+    def new():
+        return [f"w{rnd.randrange(9999)}" for _ in range(600)]
+
+    a, b, c, d = (" ".join(new()) for _ in range(4))
+    a_near = " ".join(edits(a.split(), lambda n: 0 < n <= 4, plain.simhash64(a)))
+    d_near = " ".join(edits(d.split(), lambda n: 0 < n <= 4, plain.simhash64(d)))
+    middle = new()
+    left = edits(middle, lambda n: 2 < n <= 4, plain.simhash64(" ".join(middle)))
+    while True:
+        right = edits(middle, lambda n: 2 < n <= 4, plain.simhash64(" ".join(middle)))
+        if (plain.simhash64(" ".join(left)) ^ plain.simhash64(" ".join(right))).bit_count() > 4:
+            break
+    rows = [(1, a), (3, a_near), (3, b), (3, c), (5, d), (5, d_near), (7, " ".join(left)), (None, " ".join(middle)), (8, " ".join(right))]
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, documents(rows), SF_SMALL).collect()), key=str)
+    kept_d = min(d, d_near, key=lambda t: (plain.simhash64(t) ^ 1 << 63))
+    assert got == sorted([(1, a), (3, b), (3, c), (5, kept_d), (7, " ".join(left)), (None, " ".join(middle))], key=str)
