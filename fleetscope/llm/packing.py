@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,38 +46,82 @@ class WordTokens:
     """Token ids of whole texts, for a tokenizer that ignores letter case and
     white space and never joins characters across white space: each
     white-space-separated chunk is encoded once and remembered. Two
-    generations of up to ``cache`` chunks are kept; ids take two bytes."""
+    generations of up to ``cache`` chunks are kept; ids take two bytes.
+
+    Unknown words go to the tokenizer in one text: the last id of each is a
+    word's end in the vocabulary, so the ids can be dealt back. A word and one
+    mark after it are the word's ids and the mark's. Other chunks are encoded
+    one by one."""
+
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str, cache: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {m.encode(): ids for m, ids in zip(self.MARKS, self._encode(list(self.MARKS)), strict=True)}
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Make sure that all chunks are known."""
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        new = []
+        """Remember the ids of new chunks."""
+        known, older, marks, words, marked, others = self.known, self.older, self.marks, set(), [], []
         for c in chunks:
-            if c in self.older:
-                self.known[c] = self.older[c]
+            if (ids := older.get(c)) is not None:
+                known[c] = ids
+            elif is_word(c):
+                words.add(c)
+            elif (mark := marks.get(c[-1:])) is not None and is_word(word := c[:-1]):
+                marked.append((c, word, mark))
+                if word not in known:
+                    words.add(word)
             else:
-                new.append(c)
-        coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-        for c, e in zip(new, coded, strict=True):
-            self.known[c] = np.array(e.ids, "<u2").tobytes()
-
-    def ids(self, text: bytes) -> np.ndarray:
-        chunks = (text if b"<|" in text else text.lower()).split()  # special tokens are told by their case
-        known = self.known
-        if new := {c for c in chunks if c not in known}:
+                others.append(c)
+        if words:
+            data = self._encode([b" ".join(words).decode()])[0]
+            last = (np.flatnonzero(self.ends[np.frombuffer(data, "<u2")]) * 2 + 2).tolist()
+            known.update(zip(words, [data[i:j] for i, j in zip([0, *last], last, strict=False)], strict=True))
+        for c, word, mark in marked:
+            known[c] = known[word] + mark
+        known.update(zip(others, self._encode([c.decode("utf-8", "replace") for c in others]), strict=True))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("H", e.ids).tobytes() for e in coded]
+
+    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        known, split, coded, new = self.known, [], [], set()
+        for text in texts:
+            chunks = (text if b"<|" in text else text.lower()).split()  # special tokens are told by their case
+            try:
+                coded.append(b"".join(map(known.__getitem__, chunks)))
+            except KeyError:
+                new.update([c for c in chunks if c not in known])
+                coded.append(None)
+            split.append(chunks if coded[-1] is None else None)
+        if new:
             self.learn(new)
-            if self.known is not known and (new := {c for c in chunks if c not in self.known}):
-                self.learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u2").astype(np.uint32)
+        for chunks, ids in zip(split, coded, strict=True):
+            ids = b"".join(map(known.__getitem__, chunks)) if ids is None else ids
+            yield np.frombuffer(ids, "<u2").astype(np.uint32)
+
+
+def is_word(chunk: bytes) -> bool:
+    """Letters below U+0130 only: normal forms and lower case leave such a
+    word in one part."""
+    if chunk.isalpha():  # of bytes: ASCII
+        return True
+    if chunk.isascii():
+        return False
+    word = chunk.decode("utf-8", "replace")
+    return word.isalpha() and max(word) < "\u0130"
 
 
 class Packer:
@@ -145,6 +191,18 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
+def in_groups(batch: pa.RecordBatch, group_bytes: int = 1 << 18) -> Iterator[tuple[list, list[bytes]]]:
+    """The batch's (doc_ids, texts) in groups of at most ``group_bytes``, or of one text."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(lengths):
+        before = lengths[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(lengths, before + group_bytes, "right")))
+        part = batch.slice(start, stop - start)
+        yield part.column("doc_id").to_pylist(), [t or b"" for t in part.column("text").to_pylist()]
+        start = stop
+
+
 def _sequence_base(turn: int, part: int) -> int:
     return (turn << 58) | (part << 32)
 
@@ -156,10 +214,10 @@ def pack_partitions(docs: DataFrame, tokens: Callable[[], WordTokens], open_wind
         coder, part = tokens(), TaskContext.get().partitionId()
         packer = Packer(_sequence_base(0, part), open_windows)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i, doc_id in enumerate(ids):
-                coded = np.append(coder.ids(texts[i].as_py() or b""), np.uint32(END_ID))
-                packer.add(doc_id, 0, coded, len(coded))
+            for doc_ids, texts in in_groups(batch):
+                for doc_id, ids in zip(doc_ids, coder.ids(texts), strict=True):
+                    coded = np.append(ids, np.uint32(END_ID))
+                    packer.add(doc_id, 0, coded, len(coded))
                 if len(packer.out) >= 4096:
                     yield packer.batch()
         packer.leave_open(part)
