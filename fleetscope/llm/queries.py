@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import decontaminate, fingerprints, language_id, lm_score, near_dups, packing, secret_scan, sharding, suffix_dedup, url_filter
+from fleetscope.llm import curriculum, decontaminate, fingerprints, hard_negatives, language_id, lm_score, near_dups, packing, secret_scan, sharding, source_divergence, suffix_dedup, url_filter
 from fleetscope.llm.common import read
 from fleetscope.workspace import Workspace
 
@@ -154,11 +154,133 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the sources' targets: weights 3, 1 and 2 in
+    turn, falling, even and rising over the training time; with the place of
+    each document's first take (position, words before it)."""
+    run = Workspace(spark, "op11")
+
+    def knots(start: float, end: float) -> Column:
+        return F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in ((0.0, start), (1.0, end))])
+
+    turn = F.col("rank") % 3
+    schedule = F.when(turn == 0, knots(4.5, 1.5)).when(turn == 1, knots(1.0, 1.0)).otherwise(knots(1.0, 3.0))
+    mixed = curriculum.mix(read(spark, sf_dir, "documents"), schedule, run, budget=F.sum("has") * 1.5)
+    takes = curriculum.training_order(mixed, run).where(F.coalesce("round", F.lit(0)) == 0)
+    return takes.select("doc_id", "size", "source_size", "target", "taken", "position", "first_word")
+
+
+OP11_SQL = r"""
+with recursive d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(cast(doc_id as varchar)) as draw
+  from documents),
+s as (
+  select *, case r % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end as weight,
+         case r % 3 when 0 then 4.5::double else 1.0::double end as w0,
+         case r % 3 when 0 then -3.0::double when 1 then 0.0::double else 2.0::double end as slope
+  from (select source, cast(sum(size) as bigint) as has, row_number() over (order by source nulls last) - 1 as r from d group by source)),
+rates(rate, capped) as (
+  select 1.5 * sum(has) / sum(weight), 0::bigint from s
+  union all
+  select (x.total - x.taken) / x.rest, x.n from (
+    select r.capped, (select 1.5 * sum(has) from s) as total, count(*) filter (s.weight * r.rate >= 2 * s.has) as n,
+           coalesce(sum(2 * s.has) filter (s.weight * r.rate >= 2 * s.has), 0)::double as taken,
+           sum(s.weight) filter (s.weight * r.rate < 2 * s.has) as rest
+    from rates r, s group by r.capped, r.rate) x where x.n > x.capped and x.rest > 0),
+t as (select *, least((2 * has)::double, weight * (select max(rate) from rates)) as target from s),
+q as (
+  select d.*, t.* exclude (source), cast(round(target) as bigint) as whole,
+         coalesce(cast(sum(size) over (partition by d.source order by draw rows between unbounded preceding and 1 preceding) as bigint), 0) as place
+  from d join t on d.source is not distinct from t.source),
+u as (
+  select q.*, k, greatest(least(whole - (k * has + place), size), 0) as words, (k * has + place) / nullif(target, 0) * weight as wanted
+  from q, (values (0), (1)) as v(k)),
+p as (
+  select *, least(1.0::double, 2.0::double * wanted / nullif(w0 + sqrt(greatest(w0 * w0 + 2.0::double * slope * wanted, 0.0::double)), 0)) as position
+  from u where target > 0 and (words > 0 or size = 0 and k = 0)),
+o as (
+  select *, coalesce(cast(sum(words) over (order by position, source nulls first, doc_id, k rows between unbounded preceding and 1 preceding) as bigint), 0) as first_word
+  from p)
+select q.doc_id, q.size, q.has as source_size, q.target, coalesce(x.taken, 0) as taken, o.position, o.first_word
+from q left join (select doc_id, cast(sum(words) as bigint) as taken from p group by doc_id) x using (doc_id)
+left join o on o.doc_id = q.doc_id and o.k = 0"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of every (lang, source) from its language's other sources,
+    and its ten leading terms."""
+    return source_divergence.audit(read(spark, sf_dir, "documents"), Workspace(spark, "op12"))
+
+
+OP12_SQL = r"""
+with d as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+w as (select row_number() over () as doc, * from d),
+e as (select doc, lang, source, unnest(terms) as term from w),
+kept as (select lang, term from e group by lang, term having count(distinct doc) >= 10),
+c as (select lang, source, term, count(*)::hugeint as n from e join kept using (lang, term) group by all),
+v as (select lang, count(*)::hugeint as v from kept group by lang),
+g as (
+  select x.lang, x.source, coalesce(sum(c.n), 0)::hugeint as total, coalesce(any_value(v.v), 0)::hugeint as v
+  from (select distinct lang, source from d) x left join c using (lang, source) left join v on v.lang = x.lang group by all),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.v) as p
+  from g join kept k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+l as (
+  select lang, term, 1 + 1000000000 * (sum(n) + 2) // ((select sum(total) from g where g.lang = p.lang) + 2 * (select v from v where v.lang = p.lang)) as q
+  from p group by lang, term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(x.value, 0) as bigint) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all
+  select p.lang, p.source, 'term', p.term, cast((p.p - l.q) * (p.p - l.q) // (p.p + l.q) as bigint)
+  from p join l using (lang, term) where p.n > 0 and p.p > l.q)
+select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+from parts qualify part = 'pair' or rank <= 10"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector, for its first 5 positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(read(spark, sf_dir, "embeddings"), F.col("vec_id"), label, F.col("embedding"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, Workspace(spark, "op13"))
+
+
+OP13_SQL = """
+with r as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s as (
+  select a.id as anchor, a.label as own, r.id, r.label, cast(list_inner_product(a.v, r.v) as bigint) as score
+  from r a join r on a.id % 100 = 0),
+p as (
+  select anchor, id as positive_id, score as positive_score from s where label = own and id <> anchor
+  qualify row_number() over (partition by anchor order by score desc, id) <= 5)
+select anchor as anchor_id, positive_id,
+       cast(row_number() over (partition by anchor, positive_id order by score desc, id) as int) as rank,
+       id as negative_id, positive_score, score as negative_score
+from p join s using (anchor)
+where label <> own and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_fingerprints, op2_language_id, op3_near_dups, op4_packing, op5_decontamination, op6_lm_score, op7_url_filter,
-        op8_suffix_dedup, op9_secret_scan, op10_sharding)}
+        op8_suffix_dedup, op9_secret_scan, op10_sharding, op11_curriculum, op12_source_divergence,
+        op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op9_secret_scan": OP9_SQL}
+    return {"op7_url_filter": OP7_SQL, "op9_secret_scan": OP9_SQL, "op11_curriculum": OP11_SQL,
+            "op12_source_divergence": OP12_SQL, "op13_hard_negatives": OP13_SQL}
