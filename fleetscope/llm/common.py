@@ -26,6 +26,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def tidy(spark: SparkSession) -> None:
     """Let shuffle files of finished steps go: Spark removes them once their
     plans are collected, which a job of few, large steps may not come to in

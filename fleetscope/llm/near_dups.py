@@ -9,8 +9,9 @@ are compared leaf by leaf.
 
 On the cluster the sorted fingerprints are cut into blocks that share a
 prefix of ``depth`` bits; a block meets the blocks whose prefix differs in at
-most ``budget`` bits (found by an equi-join on the flipped prefixes, not by
-comparing blocks), and each such pair of trie nodes is walked in one task. A
+most ``budget`` bits (found by an equi-join of prefixes and block ids on the
+flipped prefixes, not by comparing blocks; the fingerprints join the pairs
+afterwards, once a side), and each such pair of trie nodes is walked in one task. A
 task returns a spanning forest of the links it found, at most one edge per
 fingerprint, never all pairs of a group. Fingerprints are the nodes, so ids that are
 null or repeated neither break nor make links. Components come from alternating
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, count
 from math import ceil, log2
 
 import numpy as np
@@ -40,10 +41,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetscope.llm.common import free_name
 from fleetscope.workspace import Workspace
 
 SEED = 42  # fixed value: XXH64 seed of the contract
-BLOCK = 16384  # fingerprints in one block: 128 KB, and as much for their ids
+BLOCK = 16384  # fingerprints in one block: 128 KB
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -217,13 +219,13 @@ def link_blocks(fps_a: np.ndarray, fps_b: np.ndarray | None, budget: int) -> np.
 
 
 def blocks(leaves: DataFrame, depth: int, block: int = BLOCK) -> DataFrame:
-    """Sorted leaves (fp, rep) cut into rows of at most ``block`` leaves that
-    share their first ``depth`` bits: prefix, id (its first leaf), fps, reps."""
+    """Sorted leaves (fp) cut into rows of at most ``block`` leaves that share
+    their first ``depth`` bits: prefix, id (its first leaf), fps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, reps = np.empty(0, np.uint64), np.empty(0, np.int64)
+        fps = np.empty(0, np.uint64)
 
-        def rows(fps: np.ndarray, reps: np.ndarray, final: bool):
+        def rows(fps: np.ndarray, final: bool):
             prefix = fps >> np.uint64(64 - depth) if depth else np.zeros(len(fps), np.uint64)
             cuts = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1]))).tolist() + [len(fps)]
             out, done = [], 0
@@ -231,41 +233,46 @@ def blocks(leaves: DataFrame, depth: int, block: int = BLOCK) -> DataFrame:
                 for i in range(lo, hi, block):
                     j = min(i + block, hi)
                     if final or j < len(fps):
-                        out.append((int(prefix[i]), int(fps[i].view(np.int64)), fps[i:j].tobytes(), reps[i:j].tobytes()))
+                        out.append((int(prefix[i]), int(fps[i].view(np.int64)), fps[i:j].tobytes()))
                         done = j
             return out, done
 
         for batch in batches:
             fps = np.concatenate((fps, batch.column("fp").to_numpy().view(np.uint64)))
-            reps = np.concatenate((reps, batch.column("rep").to_numpy()))
             if len(fps) >= 2 * block:
-                out, done = rows(fps, reps, False)
-                fps, reps = fps[done:], reps[done:]
+                out, done = rows(fps, False)
+                fps = fps[done:]
                 if out:
                     yield _block_batch(out)
         if len(fps):
-            yield _block_batch(rows(fps, reps, True)[0])
+            yield _block_batch(rows(fps, True)[0])
 
     unsigned = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))  # signed order of this is unsigned order of fp
     ordered = leaves.repartitionByRange(unsigned).sortWithinPartitions(unsigned)
-    return ordered.mapInArrow(run, "prefix long, id long, fps binary, reps binary")
+    return ordered.mapInArrow(run, "prefix long, id long, fps binary")
 
 
 def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-         pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["prefix", "id", "fps", "reps"])
+        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["prefix", "id", "fps"])
 
 
 def block_pairs(cut: DataFrame, depth: int, budget: int) -> DataFrame:
     """Pairs of blocks whose prefixes differ in at most ``budget`` bits, once
-    each (a block with itself included)."""
+    each (a block with itself included): id_a, fps_a, id_b, fps_b. Only
+    prefixes and ids are copied per mask. Which of a pair's blocks comes first
+    is decided by a checksum, so the pairs of no block gather in one task."""
     masks = [sum(1 << b for b in bits) for n in range(min(budget, depth) + 1) for bits in combinations(range(depth), n)]
     near = F.explode(F.array(*[F.col("prefix").bitwiseXOR(F.lit(m)) for m in masks]))
-    left = cut.select(near.alias("prefix"), F.col("id").alias("id_a"), F.col("fps").alias("fps_a"), F.col("reps").alias("reps_a"))
-    right = cut.select("prefix", F.col("id").alias("id_b"), F.col("fps").alias("fps_b"), F.col("reps").alias("reps_b"))
-    return left.join(right, "prefix").where("id_a <= id_b").drop("prefix")
+    met = (cut.select(near.alias("prefix"), F.col("id").alias("low")).join(cut.select("prefix", F.col("id").alias("high")), "prefix")
+           .where("low <= high"))
+    turned = F.pmod(F.xxhash64("low", "high"), F.lit(2)) == 1
+    pairs = met.select(F.when(turned, F.col("high")).otherwise(F.col("low")).alias("id_a"),
+                       F.when(turned, F.col("low")).otherwise(F.col("high")).alias("id_b"))
+    first, second = (cut.select(F.col("id").alias(f"id_{s}"), F.col("fps").alias(f"fps_{s}")) for s in "ab")
+    # not broadcast: the pairs must be dealt out with their bytes, not as a few ids
+    return pairs.join(second.hint("merge"), "id_b").join(first.hint("merge"), "id_a")
 
 
 def forest(pairs: DataFrame, budget: int) -> DataFrame:
@@ -277,14 +284,11 @@ def forest(pairs: DataFrame, budget: int) -> DataFrame:
                 get = lambda name, row=row: batch.column(name)[row]
                 same = get("id_a").as_py() == get("id_b").as_py()
                 fps_a = np.frombuffer(get("fps_a").as_buffer(), np.uint64)
-                reps = np.frombuffer(get("reps_a").as_buffer(), np.int64)
-                fps_b = None
-                if not same:
-                    fps_b = np.frombuffer(get("fps_b").as_buffer(), np.uint64)
-                    reps = np.concatenate((reps, np.frombuffer(get("reps_b").as_buffer(), np.int64)))
+                fps_b = None if same else np.frombuffer(get("fps_b").as_buffer(), np.uint64)
                 labels = link_blocks(fps_a, fps_b, budget)
                 linked = np.flatnonzero(labels != np.arange(len(labels)))
-                u, v = reps[linked], reps[labels[linked]]
+                nodes = (fps_a if same else np.concatenate((fps_a, fps_b))).view(np.int64)
+                u, v = nodes[linked], nodes[labels[linked]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
     return pairs.mapInArrow(run, "u long, v long")
@@ -298,7 +302,7 @@ def components(edges: DataFrame, run: Workspace) -> DataFrame:
     edges = run.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc0")
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     state = edges.agg(mark).first()[0]
-    for turn in range(1, 1000):
+    for turn in count(1):
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -323,8 +327,8 @@ def near_duplicates(docs: DataFrame, run: Workspace, words_per_shingle: int = 4,
     fps = run.table(fingerprints(docs, words_per_shingle), "fps")
     leaves = run.table(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "leaves")
     depth = max(0, ceil(log2(max(1, leaves.count()) / block)))
-    cut = run.table(blocks(leaves.select("fp", F.col("fp").alias("rep")), depth, block), "blocks")
-    edges = forest(block_pairs(cut, depth, budget).repartition("id_a", "id_b"), budget)
+    cut = run.table(blocks(leaves.select("fp"), depth, block), "blocks")
+    edges = forest(block_pairs(cut, depth, budget), budget)
     roots = components(edges, run).withColumnRenamed("node", "fp")
     rooted = run.table(leaves.join(roots, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "rooted")
     first = rooted.where("id is not null").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("first"))
@@ -335,8 +339,9 @@ def near_duplicates(docs: DataFrame, run: Workspace, words_per_shingle: int = 4,
 def keepers(docs: DataFrame, run: Workspace) -> DataFrame:
     """One row of each component that has a doc_id: of the rows of its smallest
     doc_id, one with the smallest fingerprint and then text hash."""
+    h, row = free_name(docs, "_hash"), free_name(docs, "_row")
     own = near_duplicates(docs, run).where("doc_id = component_id and fp = keeper")
-    chosen = own.groupBy("doc_id", "fp").agg(F.min("h").alias("_hash")).select("doc_id", "_hash")
-    hashed = docs.withColumn("_hash", F.xxhash64("text")).join(chosen, ["doc_id", "_hash"], "left_semi")
-    order = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")
-    return hashed.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    chosen = own.groupBy("doc_id", "fp").agg(F.min("h").alias(h)).select("doc_id", h)
+    hashed = docs.withColumn(h, F.xxhash64("text")).join(chosen, ["doc_id", h], "left_semi")
+    order = Window.partitionBy("doc_id", h).orderBy("doc_id")
+    return hashed.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).select(*docs.columns)
