@@ -4,10 +4,12 @@ The root holds all rows. A node with more than one leaf is split along its
 widest dimension at the weighted median (weights are bytes; a node with an odd
 number of leaves splits in that proportion). Medians are found for all nodes
 of a level at once by distributed histograms: rows are counted into bins of
-the node's range, only (node, bin) sums reach the driver, and the bin that
-holds the median is refined until what it holds is within the tolerance.
-Rows never move while the tree grows: a node is a CASE expression over the
-row's own columns.
+their node's range, a window over a node's (at most ``bins``) sums picks the bin
+that holds the median, and that bin is refined until what it holds is within
+the tolerance. The nodes of a level and their searches are tables, so neither
+the plan nor the driver grows with the number of shards; rows carry their node
+as a column, and a level joins them with its table of bounds: a broadcast while
+nodes are few, and when they are many no node is hot any more.
 
 Ties along the dimension are ordered by the text's checksum, then doc_id, so
 equal texts stay in one shard unless a cut through their group is needed to
@@ -21,7 +23,6 @@ empty; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,144 +31,88 @@ from pyspark.sql import functions as F
 from fleetscope.workspace import Workspace
 
 
-@dataclass
-class Node:
-    """A leaf, or a split: rows at or below ``bound`` (values of ``order``,
-    compared lexicographically) go left."""
-
-    first: int
-    leaves: int
-    order: tuple[str, ...] = ()
-    bound: tuple[int, ...] = ()
-    children: tuple[Node, ...] = ()
-
-
-def at_most(order: tuple[str, ...], bound: tuple[int, ...]) -> Column:
-    """Lexicographic ``order <= bound`` over the bound's components."""
-    out = F.col(order[len(bound) - 1]) <= bound[-1]
-    for name, value in reversed(list(zip(order, bound[:-1], strict=False))):
-        out = (F.col(name) < value) | ((F.col(name) == value) & out)
-    return out
-
-
-def node_of(node: Node) -> Column:
-    """The number of the leaf (its first shard) that holds a row."""
-    if not node.children:
-        return F.lit(node.first)
-    left, right = node.children
-    return F.when(at_most(node.order, node.bound), node_of(left)).otherwise(node_of(right))
-
-
-@dataclass
-class Search:
-    """The median search of one node: components fixed so far, the open range
-    of the next one, and the weight known to lie below it."""
-
-    node: Node
-    order: tuple[str, ...]
-    lo: int
-    hi: int
-    target: float
-    below: float = 0.0
-    fixed: tuple[int, ...] = ()
-    lowest: bool = field(default=True)
-
-    @property
-    def column(self) -> str:
-        return self.order[len(self.fixed)]
-
-    def step(self, bins: int) -> int:
-        return max(1, ceil((self.hi - self.lo + 1) / bins))
-
-    def inside(self) -> Column:
-        same = F.col("node") == self.node.first
-        for name, value in zip(self.order, self.fixed, strict=False):
-            same &= F.col(name) == value
-        return same & F.col(self.column).between(self.lo, self.hi)
-
-
-def refine(points: DataFrame, searches: list[Search], tolerance: float, bins: int) -> dict[int, tuple[int, ...]]:
-    """The bound of each searched node. Each round is one aggregation to at
-    most nodes x bins rows."""
-    bounds: dict[int, tuple[int, ...]] = {}
-    while searches:
-        value, bin_no = F.lit(None).cast("long"), F.lit(None).cast("long")
-        for s in searches:
-            v = F.col(s.column)
-            value = F.when(s.inside(), v).otherwise(value)
-            bin_no = F.when(s.inside(), F.floor((v - F.lit(s.lo)) / F.lit(s.step(bins)))).otherwise(bin_no)
-        sums: dict[int, list] = {}
-        for r in (points.select("node", "size", value.alias("v"), bin_no.alias("bin")).where("bin is not null")
-                  .groupBy("node", "bin").agg(F.sum("size").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                  .collect()):
-            sums.setdefault(r["node"], []).append((r["lo"], r["hi"], r["w"]))
-        still = []
-        for s in searches:
-            below, previous = s.below, None
-            for lo, hi, w in sorted(sums[s.node.first]):
-                if below + w >= s.target:
-                    break
-                below, previous = below + w, hi
-            last = len(s.fixed) == len(s.order) - 1
-            if w <= tolerance or (lo == hi and last):
-                before = s.target - below < below + w - s.target  # the nearer side of the bin
-                if before and previous is not None:
-                    bounds[s.node.first] = (*s.fixed, previous)
-                elif before and below > 0:
-                    bounds[s.node.first] = (*s.fixed, lo - 1)
-                else:
-                    bounds[s.node.first] = (*s.fixed, hi)
-            elif lo == hi:
-                still.append(Search(s.node, s.order, -(1 << 62), 1 << 62, s.target, below, (*s.fixed, lo)))
-            else:
-                still.append(Search(s.node, s.order, lo, hi, s.target, below, s.fixed))
-        searches = still
-        wide = [s for s in searches if s.hi - s.lo >= 1 << 62]
-        if wide:  # a new component: its range first
-            arms = F.lit(None).cast("long")
-            for s in wide:
-                arms = F.when(s.inside(), F.col(s.column)).otherwise(arms)
-            ranges = {r["node"]: r for r in points.select("node", arms.alias("v")).where("v is not null")
-                      .groupBy("node").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-            for s in wide:
-                s.lo, s.hi = ranges[s.node.first]["lo"], ranges[s.node.first]["hi"]
-    return bounds
-
-
-def kd_tree(points: DataFrame, dims: list[str], ties: list[str], leaves: int | None = None,
-            target_bytes: int | None = None, tolerance: float = 0.002, bins: int = 1024) -> Node:
-    """Tree over ``points`` (bigint columns ``size``, dims and ties, none
-    null) with the given number of leaves, or as many as leaves of
-    ``target_bytes`` need. ``tolerance``: what one median may be off, as a
-    share of a leaf's bytes."""
-    total = points.agg(F.sum("size")).first()[0] or 0
-    root = Node(0, leaves or max(1, ceil(total / target_bytes)))
-    spread: dict[str, int] = {}
-    level = [root]
-    while level := [n for n in level if n.leaves > 1]:
-        rows = points.withColumn("node", node_of(root))
-        stats = {r["node"]: r for r in rows.where(F.col("node").isin([n.first for n in level])).groupBy("node").agg(
-            F.sum("size").alias("w"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]
-        ).collect()}
-        searches, below = [], []
-        for n in level:
-            half = n.leaves // 2
-            n.children = (Node(n.first, half), Node(n.first + half, n.leaves - half))
-            below += n.children
-            if n.first not in stats:  # no rows: any bound will do
-                n.order, n.bound = (dims[0],), (0,)
-                continue
-            s = stats[n.first]
-            if not spread:
-                spread = {d: max(1, s[f"hi_{d}"] - s[f"lo_{d}"]) for d in dims}
-            widest = max(dims, key=lambda d: (s[f"hi_{d}"] - s[f"lo_{d}"]) / spread[d])
-            n.order = (widest, *[t for t in ties if t != widest])
-            searches.append(Search(n, n.order, s[f"lo_{widest}"], s[f"hi_{widest}"], s["w"] * half / n.leaves))
-        plain = rows.where(F.col("node").isin([s.node.first for s in searches]))
-        for first, bound in refine(plain, searches, tolerance * total / root.leaves, bins).items():
-            next(n for n in level if n.first == first and n.children).bound = bound
-        level = below
-    return root
+def order_of(dim: Column, dims: list[str], ties: list[str]) -> Column:
+    """A row's values along dimension number ``dim``: the dimension, then the
+    ties that it isn't."""
+    arms = None
+    for i, d in enumerate(dims):
+        values = F.array(*[F.col(c) for c in (d, *[t for t in ties if t != d])])
+        arms = F.when(dim == i, values) if arms is None else arms.when(dim == i, values)
+    return arms
+
+
+def root_searches(points: DataFrame, nodes: DataFrame, dims: list[str], spread: dict[str, int]) -> DataFrame:
+    """The searches of nodes (node, leaves) with rows: along the
+    widest dimension, for the weight of half of the leaves."""
+    ranges = [f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]
+    stats = points.groupBy("node").agg(F.sum("size").alias("w"), *ranges).join(nodes, "node")
+    # the widest by its share of the root's width; the first of equals
+    widths = F.array(*[(F.col(f"hi_{d}") - F.col(f"lo_{d}")) / F.lit(float(spread[d])) for d in dims])
+    dim = (F.array_position(widths, F.array_max(widths)) - 1).cast("int")
+    lo, hi = (F.element_at(F.array(*[F.col(f"{k}_{d}") for d in dims]), dim + 1) for k in ("lo", "hi"))
+    none = F.array().cast("array<long>")
+    return stats.select("node", "leaves", dim.alias("dim"), (F.col("w") * F.floor(F.col("leaves") / 2) / F.col("leaves")).alias("target"),
+                        none.alias("fixed"), lo.alias("lo"), hi.alias("hi"), F.lit(0.0).alias("below"), F.lit(None).cast("array<long>").alias("bound"))
+
+
+def refine(points: DataFrame, searches: DataFrame, dims: list[str], ties: list[str], tolerance: float, bins: int) -> DataFrame:
+    """One round: every open search counts its range into bins and goes on
+    with the bin that holds its target, or takes a bound beside it."""
+    open_ = searches.where("bound is null")
+    at = F.size("fixed") + 1
+    rows = points.join(open_.select("node", "dim", "fixed", "lo", "hi"), "node").select(
+        "node", "size", "fixed", "lo", "hi", order_of(F.col("dim"), dims, ties).alias("order"))
+    value = F.element_at("order", at)
+    rows = rows.where((F.slice("order", F.lit(1), F.size("fixed")) == F.col("fixed")) & value.between(F.col("lo"), F.col("hi")))
+    step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(bins)))
+    following = F.try_element_at(F.col("order"), at + 1)
+    sums = rows.groupBy("node", F.floor((value - F.col("lo")) / step).alias("bin")).agg(
+        F.sum("size").cast("double").alias("w"), F.min(value).alias("first"), F.max(value).alias("last"),
+        F.min(following).alias("next_lo"), F.max(following).alias("next_hi"))
+    upto = Window.partitionBy("node").orderBy("bin")
+    summed = sums.select("*", F.sum("w").over(upto).alias("sum"), F.lag("last").over(upto).alias("previous"))
+    reached = open_.join(summed, "node").where(F.col("below") + F.col("sum") >= F.col("target"))
+    holds = reached.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("bin"))).where("nth = 1")
+    before = F.col("below") + F.col("sum") - F.col("w")
+    single = F.col("first") == F.col("last")
+    found = (F.col("w") <= F.lit(tolerance)) | (single & F.col("next_lo").isNull())
+    nearer = F.col("target") - before < before + F.col("w") - F.col("target")  # the side below the bin is nearer
+    end = (F.when(nearer & F.col("previous").isNotNull(), F.col("previous")).when(nearer & (before > 0), F.col("first") - 1)
+           .otherwise(F.col("last")))
+    deeper = F.concat("fixed", F.array("first"))
+    done = holds.select(
+        "node", "leaves", "dim", "target", F.when(~found & single, deeper).otherwise(F.col("fixed")).alias("fixed"),
+        F.when(single, F.col("next_lo")).otherwise(F.col("first")).alias("lo"), F.when(single, F.col("next_hi")).otherwise(F.col("last")).alias("hi"),
+        before.alias("below"), F.when(found, F.concat("fixed", F.array(end))).alias("bound"))
+    return searches.where("bound is not null").unionByName(done)
+
+
+def leaf_of(points: DataFrame, run: Workspace, dims: list[str], ties: list[str], leaves: int, tolerance: float, bins: int) -> DataFrame:
+    """``points`` (bigint ``size``, dims and ties, none null) with ``node``: the
+    first shard of the leaf that holds each row. ``tolerance``: what one
+    median may be off, in bytes."""
+    spark = points.sparkSession
+    spread = points.agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
+    spread = {d: max(1, spread[d] or 0) for d in dims}
+    rows = points.withColumn("node", F.lit(0).cast("long"))
+    nodes, level = spark.createDataFrame([(0, leaves)], "node long, leaves long"), 0
+    while leaves > 1 << level:
+        nodes = run.table(nodes.where("leaves > 1"), f"nodes{level}")
+        searches, turn = run.table(root_searches(rows, nodes, dims, spread), f"search{level}-0"), 0
+        while not searches.where("bound is null").isEmpty():
+            turn += 1
+            searches = run.table(refine(rows, searches, dims, ties, tolerance, bins), f"search{level}-{turn}")
+        bounds = searches.select("node", "dim", "bound", F.floor(F.col("leaves") / 2).cast("long").alias("half"))
+        order = F.slice(order_of(F.col("dim"), dims, ties), F.lit(1), F.size("bound"))
+        child = F.when(F.col("bound").isNull() | (order <= F.col("bound")), F.col("node")).otherwise(F.col("node") + F.col("half"))
+        rows = run.table(rows.join(bounds, "node", "left").select(child.alias("node"), *points.columns), f"rows{level}")
+        if level:
+            run.drop(f"rows{level - 1}")
+        half = F.floor(F.col("leaves") / 2).cast("long")
+        nodes = nodes.select("node", half.alias("leaves")).unionByName(
+            nodes.select((F.col("node") + half).alias("node"), (F.col("leaves") - half).alias("leaves")))
+        level += 1
+    return rows
 
 
 def text_metadata(docs: DataFrame) -> DataFrame:
@@ -193,10 +138,14 @@ def with_slots(placed: DataFrame) -> DataFrame:
             .withColumn("slot", F.col("offset") + F.col("local")).drop("offset", "local"))
 
 
-def shard(docs: DataFrame, run: Workspace, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
+def shard(docs: DataFrame, run: Workspace, shards: int | None = None, target_bytes: int | None = None,
+          tolerance: float = 0.002, bins: int = 1024) -> DataFrame:
     """Documents with the shard (a leaf of the tree over size, characters and
-    checksum) and slot of each. Texts are read once, for their metadata."""
+    checksum) and slot of each, for a number of shards or their target bytes.
+    Texts are read once, for their metadata. ``tolerance``: what one median
+    may be off, as a share of a shard's bytes."""
     points = run.table(text_metadata(docs), "points")
-    tree = kd_tree(points, ["text_crc32", "chars", "size"], ["text_crc32", "tie_id"], shards, target_bytes)
-    placed = run.table(points.withColumn("shard", node_of(tree)).withColumn("part", F.spark_partition_id()), "placed")
-    return with_slots(placed)
+    total = points.agg(F.sum("size")).first()[0] or 0
+    leaves = shards or max(1, ceil(total / target_bytes))
+    found = leaf_of(points, run, ["text_crc32", "chars", "size"], ["text_crc32", "tie_id"], leaves, tolerance * total / leaves, bins)
+    return with_slots(run.table(found.withColumnRenamed("node", "shard").withColumn("part", F.spark_partition_id()), "placed"))
