@@ -11,9 +11,11 @@ which decides. Most chance hits end at the run of two. Text and
 items are compared with A-Z lower-cased and each white-space character as a
 space, code point by code point.
 
-Items come in blocks of at most ``block_chars`` characters (a stated query set
-against all documents); only one block is broadcast at a time, and documents
-are scanned once per block, without a shuffle.
+Distinct item texts come in blocks of at most ``block_chars`` characters
+(checked; a longer text is a block of its own): a stated query set against all
+documents. Only one block is broadcast at a time, its result is written before
+the next one starts, and documents are scanned once per block, without a
+shuffle. Item ids are joined back to the texts found.
 
 Edge cases: null and empty texts match nothing; null and empty items are
 skipped; items too short for an edit must occur exactly; equal items are
@@ -30,9 +32,13 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.operators.scope import salted_lookup
+from fleetscope.workspace import Workspace
+
 RATE = 0.1
 BLOCK_CHARS = 1_000_000
 MATCHES = "array<struct<item_id:long,distance:int,start:long,end:long>>"
@@ -181,22 +187,29 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of (item_id, text), each of bounded size for hashed items."""
-    usable = items.where("text is not null and text <> ''").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
-    for block in range(n):
-        yield [tuple(r) for r in usable.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block).collect()]
+def item_blocks(items: DataFrame, run: Workspace, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
+    """(texts, blocks): the distinct texts as (text, key, block) and the number
+    of blocks. Blocks are hash buckets, made smaller until each fits or holds
+    one text."""
+    usable = items.where("text is not null and text <> ''").select("text").distinct()
+    texts = run.table(usable.withColumn("key", F.monotonically_increasing_id()), "texts")
+    blocks = -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
+    while True:
+        dealt = texts.withColumn("block", F.pmod(F.xxhash64("text", F.lit(blocks)), F.lit(max(1, blocks))))
+        sizes = dealt.groupBy("block").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"))
+        if blocks <= 1 or sizes.where((F.col("chars") > block_chars) & (F.col("n") > 1)).isEmpty():
+            return run.table(dealt, "item_blocks"), blocks
+        blocks += blocks // 4 + 1
 
 
 _MATCHERS: dict[str, Matcher] = {}
 
 
-def match_column(text: Column, block: list[tuple[int, str]], spark, rate: float = RATE) -> Column:
-    """Array of the block's matches in each text. The block is a broadcast of
-    bounded size; the automaton is built once per Python worker."""
-    shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+def match_column(text: Column, shared: Broadcast, rate: float = RATE) -> Column:
+    """Array of the block's matches in each text, with the item texts' keys.
+    ``shared`` is a block of bounded size; the automaton is built once per
+    Python worker."""
+    key = uuid.uuid4().hex
 
     @F.pandas_udf(MATCHES)
     def search(texts: pd.Series) -> pd.Series:
@@ -208,18 +221,37 @@ def match_column(text: Column, block: list[tuple[int, str]], spark, rate: float
     return search(text)
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, distance, start, end) of every item found in every
-    document; positions in code points, end exclusive."""
-    spark, out = docs.sparkSession, None
-    for block in item_blocks(items, block_chars):
-        found = docs.select("doc_id", F.explode(match_column(F.col("text"), block, spark, rate)).alias("m")).select("doc_id", "m.*")
-        out = found if out is None else out.unionByName(found)
-    return out
+def broadcast_block(texts: DataFrame, block: int) -> Broadcast:
+    rows = texts.where(F.col("block") == block).select("key", "text").collect()
+    return texts.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Documents in which no item was found, as they came."""
-    for block in item_blocks(items, block_chars):
-        docs = docs.where(F.size(match_column(F.col("text"), block, docs.sparkSession, rate)) == 0)
+def matches(docs: DataFrame, items: DataFrame, run: Workspace, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, item_id, distance, start, end) of every item found in every
+    document; positions in code points, end exclusive."""
+    texts, blocks = item_blocks(items, run, block_chars)
+    out = docs.limit(0).select("doc_id", F.lit(None).cast(MATCHES).alias("m")).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+    for block in range(blocks):
+        shared = broadcast_block(texts, block)
+        found = docs.select("doc_id", F.explode(match_column(F.col("text"), shared, rate)).alias("m")).select("doc_id", "m.*")
+        out = out.unionByName(run.table(found, f"found{block}"))
+        shared.unpersist()
+    ids = items.select(F.col("item_id").cast("long").alias("id"), "text").join(texts.select("text", "key"), "text").select("id", "key")
+    named = salted_lookup(out.withColumnRenamed("item_id", "key"), ids, ["key"], how="inner")
+    return named.select("doc_id", F.col("id").alias("item_id"), "distance", "start", "end")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, run: Workspace, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Documents in which no item was found, as they came. What is left after
+    a block is written before the next one; the last block is left to the
+    caller's write."""
+    texts, blocks = item_blocks(items, run, block_chars)
+    for block in range(blocks):
+        shared = broadcast_block(texts, block)
+        docs = docs.where(F.size(match_column(F.col("text"), shared, rate)) == 0)
+        if block < blocks - 1:
+            docs = run.table(docs, f"left{block}")
+            shared.unpersist()
+            if block:
+                run.drop(f"left{block - 1}")
     return docs

@@ -56,7 +56,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in each document within their edit budget."""
-    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), Workspace(spark, "op5"))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
