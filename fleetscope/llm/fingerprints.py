@@ -46,7 +46,7 @@ RADIUS = 23
 TABLES = 8  # blocks of 16 bits
 CELL, MIN_CELLS = 1 << 18, 64
 SHINGLE = 3
-_STEP = 1 << 16  # terms per vote sum: with weights up to 255, float32 sums stay exact
+_STEP = 1 << 16  # most terms per vote sum
 _BYTES = 1 << 20
 _PAIRS = 1 << 20  # candidate pairs compared at a time
 _SPACE = np.zeros(256, bool)
@@ -97,17 +97,20 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, padded = np.zeros(len(at), np.uint64), np.concatenate((word, np.zeros(SHINGLE, np.uint64)))
     for i in range(SHINGLE):
         h = np.where(i < length, mix(h * np.uint64(_ODD) + padded[at + i]), h)
-    weight = np.minimum(end[at + length - 1] - start[at], 255) if len(at) else at
+    weight = end[at + length - 1] - start[at] if len(at) else at
     return h, weight, firsts
 
 
 def simhash(h: np.ndarray, weight: np.ndarray) -> bytes:
     """The 128-bit fingerprint of one text's terms, as 16 bytes."""
     votes = np.zeros(BITS)
-    for i in range(0, len(h), _STEP):
-        part, w = h[i:i + _STEP], weight[i:i + _STEP].astype(np.float32)
+    heaviest = int(weight.max(initial=1))
+    kind, exact = (np.float32, 1 << 24) if heaviest < 1 << 16 else (np.float64, 1 << 53)  # sums below stay exact
+    step = max(1, min(_STEP, exact // heaviest))
+    for i in range(0, len(h), step):
+        part, w = h[i:i + step], weight[i:i + step].astype(kind)
         both = np.stack((part, mix(part ^ np.uint64(_ODD))), axis=1).astype(">u8").view(np.uint8)
-        votes += 2.0 * (w @ np.unpackbits(both, axis=1).astype(np.float32)) - w.sum(dtype=np.float64)
+        votes += 2.0 * (w @ np.unpackbits(both, axis=1).astype(kind)) - w.sum(dtype=np.float64)
     return np.packbits(votes > 0).tobytes()
 
 
