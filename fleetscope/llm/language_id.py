@@ -57,6 +57,11 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def letters(text: Column) -> Column:
+    """Whether a text, not null, has a letter."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 @dataclass
 class Model:
     languages: list[str]

@@ -25,6 +25,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetscope.llm.common import free_name
+
+COPIES = 16  # parts that the copies of one text are dealt over
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -127,15 +131,19 @@ def span_text(spans: Column) -> Column:
 def masked(docs: DataFrame, found: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span of its text replaced by ``mask`` and
     ``n_chars``, if there, brought up to date. Overlapping spans become one.
-    Rows without a finding come back as they were."""
+    Rows without a finding come back as they were. The copies of a hot text
+    are dealt over ``COPIES`` parts, each with the text's spans."""
+    blob, spans_of, part = (free_name(docs, name) for name in ("_blob", "_spans", "_part"))
     order = Window.partitionBy("blob").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     merged = (found.withColumn("fresh", F.when(F.col("start") < before, 0).otherwise(1))
               .withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .groupBy("blob", "island").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"))
-              .groupBy(F.col("blob").alias("_blob")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")))
-    rows = docs.withColumn("_blob", blob_id(F.col("text"))).join(merged, "_blob", "left")
-    text, spans = F.col("text"), F.col("_spans")
+              .groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans_of))
+              .withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))))
+    dealt = docs.withColumn(blob, blob_id(F.col("text"))).withColumn(part, F.pmod(F.xxhash64("doc_id"), F.lit(COPIES)).cast("int"))
+    rows = dealt.join(merged, [blob, part], "left")
+    text, spans = F.col("text"), F.col(spans_of)
     last = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
     parts = F.transform(spans, lambda s, i: F.concat(text.substr(F.get(last, i) + 1, s["start"] - F.get(last, i)), F.lit(mask)))
     tail = text.substr(F.element_at(last, -1) + 1, F.length(text))
