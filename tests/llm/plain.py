@@ -22,6 +22,35 @@ def simhash64(text, n=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+_M = (1 << 64) - 1
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _mix(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & _M
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & _M
+    return h ^ h >> 31
+
+
+def simhash128(text, n=3):
+    """Three-word terms vote on 128 bits with their bytes as weight."""
+    found = [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())]
+    hashes = []
+    for _, _, word in found:
+        poly = sum((b + 1) * pow(_ODD, i, 1 << 64) for i, b in enumerate(word))
+        hashes.append(_mix((poly + len(word)) & _M))
+    votes = [0] * 128
+    for i in range(max(1, len(found) - n + 1) if found else 0):
+        h = 0
+        for word in hashes[i:i + n]:
+            h = _mix((h * _ODD + word) & _M)
+        weight = found[min(i + n, len(found)) - 1][1] - found[i][0]
+        bits = h << 64 | _mix(h ^ _ODD)
+        for b in range(128):
+            votes[b] += weight if bits >> (127 - b) & 1 else -weight
+    return f"{sum(1 << (127 - b) for b in range(128) if votes[b] > 0):032x}"
+
+
 def components(fps, budget=4):
     """fps: list of (doc_id, fingerprint) -> {doc_id: smallest reachable}."""
     parent = {d: d for d, _ in fps}

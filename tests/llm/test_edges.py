@@ -89,16 +89,31 @@ def test_packing_merges_in_rounds(documents, run):
     check_packing(got, dict(rows))
 
 
-def test_decontamination(spark, edge, empty):
+def test_decontamination(spark, edge, empty, run):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "C D E"), (4, "c d e"), (5, LONG[1000:1300]), (6, "not there whatsoever")],
                                   "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(edge, items).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(edge, items, run).collect()}
     assert got == {(7, 3), (7, 4), (5, 5), (6, 5)}
-    small_blocks = {(r.doc_id, r.item_id) for r in decontaminate.matches(edge, items, block_chars=100).collect()}
+    small_blocks = {(r.doc_id, r.item_id) for r in decontaminate.matches(edge, items, run, block_chars=100).collect()}
     assert small_blocks == got
-    kept = decontaminate.without_contaminated(edge, items)
+    kept = decontaminate.without_contaminated(edge, items, run)
     assert kept.columns == edge.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 8, 9]
-    assert decontaminate.matches(empty, items).count() == 0 and decontaminate.matches(edge, items.limit(0)).count() == 0
+    assert decontaminate.matches(empty, items, run).count() == 0 and decontaminate.matches(edge, items.limit(0), run).count() == 0
+
+
+def test_decontamination_blocks_are_bounded(spark, run, documents):
+    """Two thousand items of one text and a hundred others: one at a time, within the bound."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcdefg ") for _ in range(100)).strip() for _ in range(100)]
+    rows = [(i, "one text for many items") for i in range(2000)] + [(5000 + i, t) for i, t in enumerate(texts)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    dealt, blocks = decontaminate.item_blocks(items, run, 5000)
+    sizes = [(r.chars, r.n) for r in dealt.groupBy("block").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).collect()]
+    assert sum(n for _, n in sizes) == 101 and all(chars <= 5000 or n == 1 for chars, n in sizes) and len(sizes) <= blocks
+    docs = documents([(1, "here is One text for many items."), (2, f"x {texts[3]} y"), (3, "nothing")])
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items, run, block_chars=5000).collect())
+    assert got == [(1, i) for i in range(2000)] + [(2, 5003)]
+    assert [r.doc_id for r in decontaminate.without_contaminated(docs, items, run, block_chars=5000).collect()] == [3]
 
 
 def test_lm_score(edge, empty, run):

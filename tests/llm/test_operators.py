@@ -26,13 +26,18 @@ def test_matches_sql(spark, name):
 def test_fingerprints(spark, small):
     rows = {r.doc_id: r for r in queries.op1_fingerprints(spark, SF_SMALL).collect()}
     texts = [t for _, t, _ in small]
-    edited = [fingerprints.edited_text(t, texts[(i + 1) % len(texts)]) for i, t in enumerate(texts)]
-    fps = [f.hex() for f in fingerprints.fingerprint_texts([t.encode() for t in texts])]
+    edited = [t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in enumerate(texts)]
+    fps = [plain.simhash128(t) for t in texts]
+
+    def likeness(a, b):
+        return 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+
     for i, (d, t, _) in enumerate(small):
         r = rows[d]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited[i].encode()).hexdigest())
-        assert r.fingerprint == fps[i]
-        assert r.near_edited == fingerprints.likeness(bytes.fromhex(r.fingerprint), bytes.fromhex(r.edited_fingerprint))
+        assert (r.fingerprint, r.edited_fingerprint) == (fps[i], plain.simhash128(edited[i]))
+        assert r.near_edited == likeness(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == likeness(r.fingerprint, fps[(i + 1) % len(texts)])
         near = sum((int(fps[i], 16) ^ int(f, 16)).bit_count() <= fingerprints.RADIUS for f in fps)
         assert r.n_near == (near if d % 20 == 0 else None)
     assert np.mean([r.near_edited > r.near_next for r in rows.values()]) > 0.95
@@ -45,6 +50,13 @@ def test_fingerprint_terms():
     assert h[2] == h[3] and weight[2] == 5  # case and white space don't matter to the hash
 
 
+def test_long_terms_keep_their_weight():
+    rnd = random.Random(4)
+    texts = ["x" * n + " " + " ".join(rnd.choice(["ab", "cd", "ef"]) for _ in range(40)) + " y" * (n % 7) for n in (1, 255, 256, 1000, 70_000)]
+    assert [f.hex() for f in fingerprints.fingerprint_texts([t.encode() for t in texts])] == [plain.simhash128(t) for t in texts]
+    assert fingerprints.terms([("x" * 100_000 + " a b").encode()])[1].tolist() == [100_004]
+
+
 def test_block_tables_find_all_pairs(spark, run):
     rnd = random.Random(2)
     base = [rnd.getrandbits(128) for _ in range(20)]

@@ -96,3 +96,24 @@ def test_near_dups_of_repeated_and_null_ids(spark, documents):
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, documents(rows), SF_SMALL).collect()), key=str)
     kept_d = min(d, d_near, key=lambda t: (plain.simhash64(t) ^ 1 << 63))
     assert got == sorted([(1, a), (3, b), (3, c), (5, kept_d), (7, " ".join(left)), (None, " ".join(middle))], key=str)
+
+
+def test_a_corpus_without_labels_is_kept(spark, documents):
+    docs = documents([(1, "some words here"), (2, None), (3, ""), (4, "123 !"), (5, "été"), (None, "x")])
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.identify_language(spark, docs, SF_SMALL).collect()) == [0, 1, 5]
+
+
+def test_clashing_columns_pass_through(spark, documents, tmp_path):
+    names = ["_language", "_hash", "_row", "_blob", "_spans", "_part", "_Hash_", "fp", "blob", "spans", "keeper", "block", "key", "size"]
+    plain_docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs = plain_docs.selectExpr("*", *[f"concat('{n} ', doc_id) as `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF_SMALL)
+        assert kept.columns == docs.columns
+        kept.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        bare = stage(spark, plain_docs, SF_SMALL)
+        assert {tuple(r) for r in docs.select(plain_docs.columns).collect()} == {tuple(r) for r in bare.collect()}
+        assert all(r[n] == f"{n} {r.doc_id}" for r in docs.collect() for n in names)
+        plain_docs = docs.select(plain_docs.columns)
+    corpus_pipeline.pack_documents(spark, docs, SF_SMALL).count()
