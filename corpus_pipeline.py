@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.llm import decontaminate, language_id, near_dups, packing, queries, secret_scan
-from fleetscope.llm.common import prepare, read
+from fleetscope.llm.common import free_name, prepare, read
 from fleetscope.workspace import Workspace
 
 # A confident or plausible language stays; under this score no language is
@@ -29,11 +29,15 @@ MIN_LANGUAGE_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without an identifiable language: no letters, or no
     language with a score of ``MIN_LANGUAGE_SCORE``. Learns from the labelled
-    documents outside the held-out fold."""
+    documents outside the held-out fold; without any, only null texts and
+    texts without a letter go."""
     prepare(spark)
     model = language_id.train(docs.where(language_id.fold(F.col("doc_id"), 4) != 2))
-    found = docs.withColumn("_language", language_id.predict(F.col("text"), model, spark))
-    kept = (F.col("_language.lang") != language_id.UNKNOWN) & (F.col("_language.score") >= MIN_LANGUAGE_SCORE)
+    if not model.languages:  # nothing to tell languages by
+        return docs.where(language_id.letters(F.col("text")))
+    name = free_name(docs, "_language")
+    found = docs.withColumn(name, language_id.predict(F.col("text"), model, spark))
+    kept = (F.col(name)["lang"] != language_id.UNKNOWN) & (F.col(name)["score"] >= MIN_LANGUAGE_SCORE)
     return found.where(kept).select(*docs.columns)
 
 
@@ -48,7 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item within its edit budget."""
-    return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"), Workspace(spark, "pipeline-decontamination"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
