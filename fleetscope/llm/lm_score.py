@@ -8,15 +8,19 @@ segmentations of the product of the units' scores, a forward recursion in log
 space over the lattice; no unit spans two words, so a text's lattice is the
 chain of its words' lattices.
 
-Scores come from the training texts. A word seen c times keeps c - ``DISCOUNT``
-as a whole unit; the rest of each distinct word goes to the pieces that spell
-it, by expectation maximisation (forward-backward over all segmentations),
-starting from how often each piece occurs. Words are counted over the whole
-corpus and each distinct word's lattice is computed once per pass.
+The vocabulary's own scores weight all segmentations at first, and stay in the
+weights as ``PRIOR`` pseudo-counts. The training texts adapt them: a word seen c
+times keeps c - d as a whole unit; the discount d of each distinct word goes to
+the pieces that spell it, by expectation maximisation (forward-backward over
+all segmentations under the weights so far). d is estimated from the words
+seen once and twice, n1 / (n1 + 2 n2). Words are counted over the whole corpus
+and each distinct word's lattice is computed once per pass.
 
 Training texts may carry a class (their language): then each class has unit
 scores of its own, and a document's probability is marginal over the classes
-too, weighted by their shares of the training texts. The class of a scored
+too, weighted by their shares of the training texts. Classes with less than
+``MIN_SHARE`` of the training texts share one model, so there are at most
+1 / ``MIN_SHARE`` others, whatever the column holds. The class of a scored
 document is never read. The document's marginal probability under a class is
 the product of its words' marginals; before each word, and at the end, the
 model first decides whether the text ends.
@@ -30,7 +34,7 @@ group, and a group's size is bounded, so no key is hot.
 Edge cases: a null text is the empty text and scores as the end alone; words
 of any length are scored whole; repeated rows are scored (and learned from)
 row by row; a null doc_id is scored but not learned from; without training
-texts all scores come from equal piece weights; an empty table gives no rows;
+texts all scores come from the vocabulary's own weights; an empty table gives no rows;
 extra columns are ignored.
 """
 
@@ -52,28 +56,35 @@ from fleetscope.workspace import Workspace
 
 GROUP_BYTES = 32 << 20
 MARK = 32  # the byte before each word; words hold no space
-EM_PASSES = 3
-SMOOTH = 0.01  # added to each piece's expected count
-MAX_CLASSES = 8  # the most frequent ones; all others share the last
-DISCOUNT = 0.6  # of each training word's count, left to its spelling
+EM_PASSES = 2
+PRIOR = 100.0  # pseudo-counts dealt to the pieces by the vocabulary's scores
+MIN_SHARE = 1 / 32  # of the training texts, for a class of its own
 LONG_WORD = 96  # bytes; longer words are walked one by one
 BATCH_WORDS = 20_000
 _P = np.uint64(0x100000001B3)
 
 
-def load_pieces(path: str) -> list[bytes]:
-    """Distinct byte strings of a sentencepiece vocabulary, word starts with a
-    leading space, and all single bytes."""
+def load_pieces(path: str) -> dict[bytes, float]:
+    """Byte strings of a sentencepiece vocabulary, word starts with a leading
+    space, and all single bytes, with weights that add up to one. The weight
+    of a unigram vocabulary's piece is exp(score). A BPE vocabulary's scores
+    are negative ranks (whole numbers), and the weight is 1 / (1 + rank), after
+    Zipf's law. A byte that is no piece weighs as much as the last piece."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = {bytes([b]) for b in range(256)}
+    scores = {}
     for i in range(model.get_piece_size()):
         if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode()
             if piece.rfind(b" ") <= 0:
-                pieces.add(piece)
-    return sorted(pieces)
+                scores[piece] = model.get_score(i)
+    ranked = all(s == int(s) for s in scores.values())
+    weights = {piece: 1 / (1 - s) if ranked else float(np.exp(s)) for piece, s in scores.items()}
+    least = min(weights.values(), default=1.0)
+    weights = {bytes([b]): least for b in range(256)} | weights
+    total = sum(weights.values())
+    return {piece: weights[piece] / total for piece in sorted(weights)}
 
 
 def _hash(piece: bytes) -> int:
@@ -90,9 +101,10 @@ class Lattice:
     tables: list[tuple[np.ndarray, np.ndarray]]
     log_p: np.ndarray  # natural logarithms, by piece number
     log_whole: float  # logarithm of the total weight, whole words' included
+    discount: float  # taken from each training word's count
 
     @classmethod
-    def of(cls, pieces: list[bytes], weights: np.ndarray, whole: float) -> Lattice:
+    def of(cls, pieces: list[bytes], weights: np.ndarray, whole: float, discount: float) -> Lattice:
         """``whole``: the weight of all whole-word units."""
         by_length: list[list[tuple[int, int]]] = [[] for _ in range(max(map(len, pieces)) + 1)]
         for number, piece in enumerate(pieces):
@@ -102,7 +114,7 @@ class Lattice:
             rows.sort()
             tables.append((np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64)))
         total = np.log(weights.sum() + whole)
-        return cls(tables, np.log(weights) - total, total)
+        return cls(tables, np.log(weights) - total, total, discount)
 
     def arcs(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Per piece length: the piece that ends the first n bytes' suffix of
@@ -115,7 +127,9 @@ class Lattice:
             hashes, numbers = self.tables[length]
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                yield length, np.where(hashes[at] == h, numbers[at], -1)
+                found = hashes[at] == h
+                if found.any():
+                    yield length, np.where(found, numbers[at], -1)
 
     def forward(self, words: np.ndarray, arcs: list[tuple[int, np.ndarray]]) -> np.ndarray:
         """Log probability of every prefix, (word, bytes)."""
@@ -185,7 +199,8 @@ def word_scores(lattices: list[Lattice], words: list[bytes], c: np.ndarray) -> n
                     out[rows, k] = _forward_one(_ends(lattice, arcs, part.shape[1]))[-1]
                 else:
                     out[rows, k] = lattice.forward(part, arcs)[:, -1]
-    whole = np.log(np.maximum(c - DISCOUNT, 1e-300)) - np.array([lattice.log_whole for lattice in lattices])
+    kept = c - np.array([lattice.discount for lattice in lattices])
+    whole = np.log(np.maximum(kept, 1e-300)) - np.array([lattice.log_whole for lattice in lattices])
     return np.where(c > 0, np.logaddexp(out, whole), out)
 
 
@@ -290,18 +305,26 @@ def group_documents(docs: DataFrame, train: Column, kind: Column, kinds: int, gr
     return narrow.mapInArrow(run, schema)
 
 
-def fit(vocabulary: DataFrame, pieces: list[bytes], words: list[int], types: list[int], passes: int = EM_PASSES) -> list[Lattice]:
+def discount(once: int, twice: int) -> float:
+    """What a word's count is discounted by, from how many words occur once
+    and twice."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+
+def fit(vocabulary: DataFrame, pieces: dict[bytes, float], words: list[int], types: list[int], discounts: list[float],
+        passes: int = EM_PASSES) -> list[Lattice]:
     """Scores of each class from the training words (word, n0, n1, ...), with
-    ``words`` tokens of ``types`` kinds: the first pass counts where pieces
-    occur, the others run forward-backward under the scores so far. Each pass
-    returns at most one sum per class and piece to the driver."""
+    ``words`` tokens of ``types`` kinds. Each pass runs forward-backward under
+    the weights so far, at first the vocabulary's, and returns at most one sum
+    per class and piece to the driver."""
     spark, classes = vocabulary.sparkSession, range(len(words))
-    whole = [words[k] - DISCOUNT * types[k] for k in classes]
-    lattices = [Lattice.of(pieces, np.ones(len(pieces)), whole[k]) for k in classes]
-    for turn in range(passes):
+    names, prior = list(pieces), np.array(list(pieces.values()))
+    whole = [words[k] - discounts[k] * types[k] for k in classes]
+    lattices = [Lattice.of(names, prior * (PRIOR + discounts[k] * types[k]), whole[k], discounts[k]) for k in classes]
+    for _ in range(passes):
         shared = spark.sparkContext.broadcast(lattices)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=turn == 0) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             models = shared.value
             size = len(models[0].log_p)
             total = np.zeros((len(models), size + 1))
@@ -315,10 +338,7 @@ def fit(vocabulary: DataFrame, pieces: list[bytes], words: list[int], types: lis
                             if not keep.any():
                                 continue
                             some = [(n, ids[keep]) for n, ids in arcs]
-                            if first:
-                                for _, ids in some:
-                                    total[k] += np.bincount(np.where(ids < 0, size, ids).ravel(), minlength=size + 1)
-                            elif part.shape[1] > LONG_WORD:
+                            if part.shape[1] > LONG_WORD:
                                 total[k, :-1] += _expected_one(model, 1.0, some, part.shape[1])
                             else:
                                 total[k, :-1] += model.expected(part[keep], np.ones(int(keep.sum())), some)
@@ -327,26 +347,28 @@ def fit(vocabulary: DataFrame, pieces: list[bytes], words: list[int], types: lis
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(flat[found])], ["at", "n"])
 
         sums = vocabulary.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
-        weights = np.full(len(words) * len(pieces), SMOOTH)
+        expected = np.zeros(len(words) * len(pieces))
         for r in sums:
-            weights[r["at"]] += DISCOUNT * r["n"]
-        lattices = [Lattice.of(pieces, w, whole[k]) for k, w in enumerate(np.split(weights, len(words)))]
+            expected[r["at"]] = r["n"]
+        lattices = [Lattice.of(names, PRIOR * prior + discounts[k] * n, whole[k], discounts[k])
+                    for k, n in enumerate(np.split(expected, len(words)))]
         shared.unpersist()
     return lattices
 
 
 def class_names(docs: DataFrame, train: Column, classes: Column | None) -> list[str | None]:
-    """The most frequent classes of the training texts; None stands for the
-    rest (or all, without classes) if there are any."""
+    """The classes with at least ``MIN_SHARE`` of the training texts; None
+    stands for the rest (or all, without classes) if there are any."""
     if classes is None:
         return [None]
     counts = docs.where(train).groupBy(classes.cast("string").alias("class")).agg(F.count("*").alias("n"))
-    found = [r["class"] for r in counts.orderBy(F.desc("n"), "class").limit(MAX_CLASSES + 1).collect()]
-    named = [c for c in found if c is not None][:MAX_CLASSES - 1]
-    return [*named, None] if len(named) < len(found) or not named else named
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    large = counts.where((F.col("n") >= MIN_SHARE * total) & F.col("class").isNotNull()).orderBy("class").collect()
+    named = [r["class"] for r in large]
+    return [*named, None] if sum(r["n"] for r in large) < total or not named else named
 
 
-def score(docs: DataFrame, train: Column, pieces: list[bytes], run: Workspace, classes: Column | None = None,
+def score(docs: DataFrame, train: Column, pieces: dict[bytes, float], run: Workspace, classes: Column | None = None,
           group_bytes: int = GROUP_BYTES, passes: int = EM_PASSES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10)
     of every document; learns from the rows where ``train`` holds, by the
@@ -359,20 +381,23 @@ def score(docs: DataFrame, train: Column, pieces: list[bytes], run: Workspace, c
         kind = kind if name is None else F.when(classes.cast("string") == name, k).otherwise(kind)
     grouped = run.table(group_documents(docs, train, kind, kinds, group_bytes), "grouped")
     texts, words = grouped.where("word is null"), grouped.where("word is not null")
+    # a group's words and documents are some tens of megabytes: two groups a partition, whatever the session's number is
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.select("grp").distinct().count() // 2))
     per_kind = [f"n{k}" for k in range(kinds)]
     vocabulary = run.table(words.groupBy("word").agg(*[F.sum(n).alias(n) for n in per_kind]), "vocabulary")
     in_all = sum((F.col(n) for n in per_kind[1:]), F.col(per_kind[0]))
     known = vocabulary.where(in_all > 0)
     tidy(spark)
     sums_row = known.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in per_kind],
-                         *[F.count_if(F.col(n) > 0).alias(f"v_{n}") for n in per_kind]).first()
-    tokens, types = [sums_row[n] for n in per_kind], [sums_row[f"v_{n}"] for n in per_kind]
+                         *[F.count_if(F.col(n) == i if i else F.col(n) > 0).alias(f"v{i}_{n}") for n in per_kind for i in range(3)]).first()
+    tokens, types = [sums_row[n] for n in per_kind], [sums_row[f"v0_{n}"] for n in per_kind]
+    discounts = [discount(sums_row[f"v1_{n}"], sums_row[f"v2_{n}"]) for n in per_kind]
     of_kind = {r["kind"]: r["n"] for r in texts.where("kind is not null").groupBy("kind").agg(F.count("*").alias("n")).collect()}
     ends = sum(of_kind.values())
     total, distinct = sum(tokens) + ends, sums_row["v"] + (ends > 0)
     log_share = np.log([(of_kind.get(k, 0) + 1e-3) / (ends + 1e-3 * kinds) for k in range(kinds)])
     log_end, log_go_on = np.log((ends + 1) / (total + 2)), np.log((sum(tokens) + 1) / (total + 2))
-    shared = spark.sparkContext.broadcast(fit(known, pieces, tokens, types, passes))
+    shared = spark.sparkContext.broadcast(fit(known, pieces, tokens, types, discounts, passes))
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -384,8 +409,8 @@ def score(docs: DataFrame, train: Column, pieces: list[bytes], run: Workspace, c
     p_names = [f"p{k}" for k in range(kinds)]
     scored = run.table(vocabulary.mapInArrow(marginal, "word binary, c long, " + ", ".join(f"{p} float" for p in p_names)), "scored")
     tidy(spark)
-    per_group = (words.select(F.col("grp").alias("in_grp"), "number", "word").join(scored, "word")
-                 .select("in_grp", "number", "c", *p_names))
+    per_group = (words.select(F.col("grp").alias("in_grp"), "number", "word").repartition(parts, "word").join(scored, "word")
+                 .select("in_grp", "number", "c", *p_names).repartition(parts, "in_grp"))
 
     def sums(texts: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         at = values["number"].to_numpy()
@@ -404,5 +429,5 @@ def score(docs: DataFrame, train: Column, pieces: list[bytes], run: Workspace, c
         out.insert(0, "doc_id", pd.array(texts["doc_id"], dtype="Int64"))
         return out
 
-    return (texts.select("grp", "doc_id", "numbers", "counts").groupBy("grp").cogroup(per_group.groupBy("in_grp"))
+    return (texts.select("grp", "doc_id", "numbers", "counts").repartition(parts, "grp").groupBy("grp").cogroup(per_group.groupBy("in_grp"))
             .applyInPandas(sums, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

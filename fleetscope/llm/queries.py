@@ -60,8 +60,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lattice log10 probability of every document under piece scores learned
-    from the documents that aren't held out, and the word baseline."""
+    """Lattice log10 probability of every document under the vocabulary's
+    scores, adapted to the documents that aren't held out, and the word
+    baseline."""
     import public_tokenizers
 
     docs = read(spark, sf_dir, "documents")

@@ -68,6 +68,62 @@ def components(fps, budget=4):
     return {d: find(d) for d, _ in fps}
 
 
+def segmentations(word, pieces):
+    """All ways to spell the bytes with pieces."""
+    if not word:
+        return [[]]
+    return [[word[:n], *rest] for n in range(1, len(word) + 1) if word[:n] in pieces for rest in segmentations(word[n:], pieces)]
+
+
+def lattice_scores(docs, pieces, prior=100.0, passes=2, min_share=1 / 32):
+    """docs: (in training, class, text) -> log10 score of each, listing every
+    segmentation of every word."""
+    texts = [[w.encode() for w in words(t)] for _, _, t in docs]
+    size = Counter(c for train, c, _ in docs if train)
+    n_train = sum(size.values())
+    kinds = sorted(c for c, n in size.items() if c is not None and n >= min_share * n_train)
+    if sum(size[c] for c in kinds) < n_train or not kinds:
+        kinds.append(None)
+    of = [c if c in kinds else None for _, c, _ in docs]
+    spelled = {w: segmentations(b" " + w, pieces) for t in texts for w in t}
+    ends, tokens = n_train, sum(len(t) for (train, _, _), t in zip(docs, texts) if train)
+    models = []
+    for kind in kinds:
+        c = Counter(w for (train, _, _), k, t in zip(docs, of, texts) if train and k == kind for w in t)
+        once, twice = (sum(n == i for n in c.values()) for i in (1, 2))
+        d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+        whole = sum(c.values()) - d * len(c)
+        weight = {p: w * (prior + d * len(c)) for p, w in pieces.items()}
+
+        def ways(word, weight=weight, whole=whole):
+            total = sum(weight.values()) + whole
+            return [(float(np.prod([weight[p] / total for p in s])), s) for s in spelled[word]], total
+
+        for _ in range(passes):
+            expected = Counter()
+            for w in c:
+                found, _ = ways(w, weight)
+                mass = sum(x for x, _ in found)
+                for x, s in found:
+                    for p in s:
+                        expected[p] += x / mass
+            weight = {p: prior * w + d * expected[p] for p, w in pieces.items()}
+        share = (sum(train and k == kind for (train, _, _), k in zip(docs, of)) + 1e-3) / (n_train + 1e-3 * len(kinds))
+        models.append((c, d, weight, ways, share))
+    out = []
+    for t in texts:
+        by = []
+        for c, d, weight, ways, share in models:
+            log = np.log(share)
+            for w in t:
+                found, total = ways(w, weight)
+                log += np.log(sum(x for x, _ in found) + (max(c[w] - d, 0) / total if c[w] else 0))
+            by.append(log)
+        log = np.logaddexp.reduce(by) + len(t) * np.log((tokens + 1) / (tokens + ends + 2)) + np.log((ends + 1) / (tokens + ends + 2))
+        out.append(log / np.log(10))
+    return out
+
+
 def edit_search(pattern, text):
     """(fewest edits, first end) of the pattern anywhere in the text."""
     last = [0] * (len(text) + 1)

@@ -176,6 +176,31 @@ def check_packing(rows, docs):
     assert padding == 0
 
 
+@pytest.mark.parametrize("labels", [["en", "de", None], ["en"], [None], [f"l{i}" for i in range(50)]])
+def test_lattice_scores_match_all_segmentations(spark, run, labels):
+    """Whole-word units, discounts, adapted weights, the mixture over classes
+    (more of them than have a share of their own, too) and the ends."""
+    rnd = random.Random(len(labels))
+    words = ["a", "ab", "abc", "the", "then", "bath", "é", "hat", "tab", "ABBA", "zq"]
+    rows = [(i, " ".join(rnd.choices(words, weights=[9, 9, 5, 9, 3, 2, 2, 1, 1, 1, 1], k=rnd.randint(0, 12))), rnd.choice(labels)) for i in range(80)]
+    rows += [(100, "unseen bathtub", "en"), (101, None, None)]
+    raw = {bytes([b]): 1 + b % 3 for b in range(256)} | {b" the": 50, b"ab": 20, b" a": 30, b" ab": 9, b"th": 11, b"hat": 4, b"at": 7}
+    pieces = {p: n / sum(raw.values()) for p, n in sorted(raw.items())}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = F.col("doc_id") % 5 != 0
+    got = {r.doc_id: r.score for r in lm_score.score(frame, train, pieces, run, F.col("lang"), group_bytes=200).collect()}
+    want = plain.lattice_scores([(d % 5 != 0, lang, t) for d, t, lang in rows], pieces)
+    assert [got[d] for d, *_ in rows] == pytest.approx(want, rel=1e-5)
+
+
+def test_piece_weights_follow_the_vocabulary():
+    import public_tokenizers
+
+    pieces = lm_score.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert sum(pieces.values()) == pytest.approx(1) and {bytes([b]) for b in range(256)} <= set(pieces)
+    assert pieces[b" t"] / pieces[b"in"] == pytest.approx(4 / 3)  # scores -2 and -3: ranks
+
+
 def test_packing(spark, small):
     check_packing(queries.op4_packing(spark, SF_SMALL).collect(), {d: t for d, t, _ in small})
 
@@ -228,7 +253,7 @@ def test_lm_base_and_learning(spark, small):
 
 def lattice():
     pieces = sorted({bytes([b]) for b in range(256)} | {b" a", b" ab", b"ab", b"ba", b"abc", b" b", b"cc", b"bcab"})
-    return pieces, lm_score.Lattice.of(pieces, np.random.default_rng(0).random(len(pieces)), 5.0)
+    return pieces, lm_score.Lattice.of(pieces, np.random.default_rng(0).random(len(pieces)), 5.0, 0.5)
 
 
 def segmentations(s, pieces):
