@@ -33,7 +33,7 @@ def _round_s(end: str, start: str) -> str:
     return f"cast(sign({u}) * ((abs({u}) + 500000) // 1000000) as bigint)"
 
 
-def _forest(tag: str, edges: str, roots: str, dead: str) -> str:
+def _forest(tag: str, edges: str, roots: str) -> str:
     """CTEs for a forest grown from ``roots`` along ``edges``."""
     return f"""
 lm{tag}({_S}, pid, lvl) using key (instance, snap_ts, pid) as (
@@ -47,43 +47,65 @@ par{tag} as (
   from lm{tag} l join {edges} e on {_sc('e', 'l')} and e.waiter = l.pid
   join lm{tag} p on {_sc('p', 'l')} and p.pid = e.locker and p.lvl = l.lvl - 1
   where l.lvl > 0 group by all),
-tr{tag}({_S}, pid, parent, root, lvl, path, deadlock) as (
-  select {_S}, pid, cast(null as bigint), pid, 0, [pid], {dead} from {roots}
+tr{tag}({_S}, pid, parent, root, lvl, path) as (
+  select {_S}, pid, cast(null as bigint), pid, 0, [pid] from {roots}
   union all
-  select c.instance, c.snap_ts, c.pid, c.parent, t.root, c.lvl, list_append(t.path, c.pid), {dead}
+  select c.instance, c.snap_ts, c.pid, c.parent, t.root, c.lvl, list_append(t.path, c.pid)
   from tr{tag} t join par{tag} c on {_sc('c', 't')} and c.parent = t.pid)"""
 
 
-LOCK_TREE = with_tables("locks", "lock_activity", extra=EDGES + f""",
+_LOCK_TREE = EDGES + f""",
 waiters as (select distinct {_S}, waiter as pid from edges),
 roots as (
   select distinct e.instance, e.snap_ts, e.locker as pid from edges e
   where not exists (select 1 from waiters w where {_sc('w', 'e')} and w.pid = e.locker)),
-{_forest('', 'edges', 'roots', 'false')},
+{_forest('', 'edges', 'roots')},
 stuck as (select * from waiters w where not exists (select 1 from lm m where {_sc('m', 'w')} and m.pid = w.pid)),
 sedges as (
   select e.* from edges e
   where exists (select 1 from stuck s where {_sc('s', 'e')} and s.pid = e.waiter)
     and exists (select 1 from stuck s where {_sc('s', 'e')} and s.pid = e.locker)),
-anc({_S}, v, a) as (
-  select {_S}, waiter, locker from sedges
+up({_S}, v, a) as (
+  select {_S}, waiter, locker from edges
   union
-  select x.instance, x.snap_ts, x.v, e.locker from anc x join sedges e on {_sc('e', 'x')} and e.waiter = x.a),
-croots as (select {_S}, v as pid from anc group by all having min(a) = v),
-{_forest('2', 'sedges', 'croots', 'true')},
-tree as (select * from tr union all select * from tr2)""").replace("with ", "with recursive ", 1) + f"""
+  select x.instance, x.snap_ts, x.v, e.locker from up x join edges e on {_sc('e', 'x')} and e.waiter = x.a),
+cyc as (
+  select x.instance, x.snap_ts, x.v as pid, min(x.a) as deadlock_group
+  from up x join up y on {_sc('x', 'y')} and x.v = y.a and x.a = y.v group by all),
+croots as (
+  select {_S}, pid from cyc where pid = deadlock_group
+    and exists (select 1 from stuck s where {_sc('s', 'cyc')} and s.pid = cyc.pid)),
+{_forest('2', 'sedges', 'croots')},
+tree as (select * from tr union all select * from tr2)"""
+_LOCK_TREE_ROWS = f"""
 select t.instance, t.snap_ts, {_round_s('t.snap_ts', 'a.xact_start')} as ts_age_s,
   {_round_s('t.snap_ts', 'a.state_change')} as change_age_s, a.datname, a.usename, a.client_addr, t.pid,
   replace(a.state, 'idle in transaction', 'idletx') as state, t.lvl,
   (select count(*) from tree p where {_sc('p', 't')} and list_contains(p.path, t.pid) and p.pid <> t.pid) as blocked,
-  case when t.deadlock then '!>' else repeat(' .', t.lvl) end || ' '
+  case when c.pid is not null then '!>' else repeat(' .', t.lvl) end || ' '
     || trim(left(regexp_replace(a.query, '\\s+', ' ', 'g'), 100)) as query,
-  t.root, t.parent, array_to_string(t.path, '.') as path, t.deadlock
+  t.root, t.parent, array_to_string(t.path, '.') as path, c.pid is not null as deadlock,
+  c.deadlock_group
 from tree t
+left join cyc c on {_sc('c', 't')} and c.pid = t.pid
 join lock_activity a on {_sc('a', 't')} and a.pid = t.pid
 join lock_activity r on {_sc('r', 't')} and r.pid = t.root
 """
 
+LOCK_TREE = with_tables("locks", "lock_activity", extra=_LOCK_TREE).replace("with ", "with recursive ", 1) + _LOCK_TREE_ROWS
+
+# R18 on sessions collected up to 60 seconds before the locks.
+LOCK_TREE_ASOF = with_tables("locks", "late_activity", extra="""
+paired as (
+  select l.instance, l.snap_ts, a.snap_ts as partner_ts
+  from (select distinct instance, snap_ts from locks) l
+  asof join (select distinct instance, snap_ts from late_activity) a on a.instance = l.instance and a.snap_ts <= l.snap_ts
+  where l.snap_ts - a.snap_ts <= interval 60 second),
+lock_activity as (
+  select a.* replace (p.snap_ts as snap_ts)
+  from late_activity a join paired p on p.instance = a.instance and p.partner_ts = a.snap_ts),
+""" + _LOCK_TREE).replace("with ", "with recursive ", 1) + _LOCK_TREE_ROWS
+
 # R19 as a keyed fixpoint: each round places the sessions whose blockers are
 # all placed already (level = 1 + highest blocker level, top = smallest top,
 # parent = blocker placed last, smallest pid on ties).
@@ -133,5 +155,6 @@ left join direct d on {_sc('d', 'p')} and d.pid = p.pid
 
 SQL = {
     "lock_tree": LOCK_TREE,
+    "lock_tree_asof": LOCK_TREE_ASOF,
     "lock_tree_all_blockers": LOCK_TREE_ALL_BLOCKERS,
 }

@@ -27,7 +27,7 @@ from (select *, [
   ] as l from roles) r
 """
 
-ACL_GRANTS = with_tables("acls") + f"""
+_GRANTS = f"""
 select instance, snap_ts, schema_name, owner,
   case when grantee = '' then '{PUBLIC}' else grantee end as role_name,
   lt.name as privilege, p like '%*' as is_grantable, grantor
@@ -43,11 +43,43 @@ from (
 left join (values {_letters}) lt(letter, name) on lt.letter = substr(p, 1, 1)
 """
 
+ACL_GRANTS = with_tables("acls") + _GRANTS
+
 DATABASE_ACCESS = with_tables("databases") + """
 select instance, snap_ts, datname as database, array_to_string(acl, chr(10)) as access from databases
 """
 
+EFFECTIVE_PRIVILEGES = with_tables("object_acls", "role_tree", "memberships", extra="""
+acls as (select * from object_acls),
+grants as (
+  select distinct instance, snap_ts, schema_name as object_name, role_name as granted, privilege, is_grantable
+  from (""" + _GRANTS + """) x),
+e as (
+  select distinct m.instance, m.snap_ts, a.rolname as member, b.rolname as granted
+  from memberships m
+  join role_tree a on a.instance = m.instance and a.snap_ts = m.snap_ts and a.oid = m.member and a.rolinherit
+  join role_tree b on b.instance = m.instance and b.snap_ts = m.snap_ts and b.oid = m.roleid
+  where a.rolname <> b.rolname),
+clo(instance, snap_ts, member, granted, depth, path) using key (instance, snap_ts, member, granted) as (
+  select instance, snap_ts, member, granted, 1, [member, granted] from e
+  union
+  select c.instance, c.snap_ts, e.member, c.granted, min(c.depth) + 1, min(list_prepend(e.member, c.path))
+  from clo c join e on e.instance = c.instance and e.snap_ts = c.snap_ts and e.granted = c.member
+  where e.member <> c.granted and not exists (
+    select 1 from recurring.clo q where q.instance = c.instance and q.snap_ts = c.snap_ts and q.member = e.member and q.granted = c.granted)
+  group by c.instance, c.snap_ts, e.member, c.granted),
+reach as (
+  select * from clo
+  union all select distinct instance, snap_ts, granted, granted, 0, [granted] from grants)""").replace("with ", "with recursive ", 1) + """
+select g.instance, g.snap_ts, r.member as role_name, g.object_name, g.privilege, bool_or(g.is_grantable) as is_grantable,
+  count(distinct g.granted) as grants, min(r.depth) as depth,
+  array_to_string(arg_min(r.path, struct_pack(d := r.depth, p := r.path)), ' > ') as grant_path
+from grants g join reach r on r.instance = g.instance and r.snap_ts = g.snap_ts and r.granted = g.granted
+group by g.instance, g.snap_ts, r.member, g.object_name, g.privilege
+"""
+
 SQL = {
+    "effective_privileges": EFFECTIVE_PRIVILEGES,
     "role_list": ROLE_LIST,
     "acl_grants": ACL_GRANTS,
     "database_access": DATABASE_ACCESS,

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
+from fleetscope.operators.closure import shortest_paths
 from fleetscope.operators.scope import sort_if
+from fleetscope.workspace import Workspace
 
 # PostgreSQL access-privilege letters and the privilege names
 # that aclexplode reports for them.
@@ -94,6 +96,33 @@ def acl_grants(acls: DataFrame, ordered: bool = False) -> DataFrame:
     return sort_if(rows, ordered, *SCOPE, "schema_name", "owner", "role_name", "privilege")
 
 
+def effective_privileges(acls: DataFrame, roles: DataFrame, auth_members: DataFrame, ordered: bool = False) -> DataFrame:
+    """What every role may do, directly or through the roles it is
+    a member of: one row per role, object and privilege with the shortest
+    grant path (``depth`` memberships, names from the role to the one granted;
+    ties by name), whether any path brings the grant option, and the number of
+    paths' ends that grant it. A role without ``rolinherit`` passes nothing on
+    to itself and its members; cycles of memberships are allowed. PUBLIC is a
+    role of its own (``-``), whose rights all roles have."""
+    run = Workspace(acls.sparkSession, "privileges")
+    names = roles.select(*SCOPE, "oid", "rolname", "rolinherit")
+    member = names.where("rolinherit").select(*SCOPE, F.col("oid").alias("member"), F.col("rolname").alias("role_name"))
+    group = names.select(*SCOPE, F.col("oid").alias("roleid"), F.col("rolname").alias("granted_role"))
+    edges = auth_members.join(member, on=[*SCOPE, "member"], how="inner").join(group, on=[*SCOPE, "roleid"], how="inner")
+    through = shortest_paths(edges, run, SCOPE, "role_name", "granted_role")
+    grants = run.table(acl_grants(acls).select(*SCOPE, F.col("schema_name").alias("object_name"), F.col("role_name").alias("granted_role"),
+                                               "privilege", "is_grantable").distinct(), "grants")
+    direct = grants.select(*SCOPE, F.col("granted_role").alias("role_name"), "object_name", "privilege", "is_grantable",
+                           F.lit(0).alias("depth"), F.array("granted_role").alias("path"))
+    inherited = grants.join(through, on=[*SCOPE, "granted_role"], how="inner").select(direct.columns)
+    rows = (direct.unionByName(inherited).groupBy(*SCOPE, "role_name", "object_name", "privilege")
+            .agg(F.min(F.struct("depth", "path")).alias("best"), F.bool_or("is_grantable").alias("is_grantable"),
+                 F.count_distinct(F.element_at("path", -1)).alias("grants"))
+            .select(*SCOPE, "role_name", "object_name", "privilege", "is_grantable", "grants", F.col("best.depth").alias("depth"),
+                    F.array_join("best.path", " > ").alias("grant_path")))
+    return sort_if(rows, ordered, *SCOPE, "role_name", "object_name", "privilege")
+
+
 def database_access(databases: DataFrame, ordered: bool = False) -> DataFrame:
     """Each database's access list, one item per line (NULL kept)."""
     rows = (databases.select(*SCOPE, F.col("datname").alias("database"),

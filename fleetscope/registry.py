@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from fleetscope.operators.asof import align, pair_snapshots
 from fleetscope.plans import activity as act
 from fleetscope.plans import bloat
 from fleetscope.plans import instance as inst
+from fleetscope.plans import intervals
 from fleetscope.plans import lock_trees
 from fleetscope.plans import objects as obj
 from fleetscope.plans import progress as prog
@@ -37,6 +39,29 @@ def _lock_tree_all_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lock_trees.lock_tree_all_blockers(load(spark, sf_dir, "lock_activity"), load(spark, sf_dir, "locks"))
 
 
+def _ordered_feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 4) -> DataFrame:
+    """Like ``_feed``, but the files are written one after the other: a file
+    stream takes them by their time, so batches come in event-time order
+    whatever the lateness, as from a collector."""
+    cuts = snapshots.select(F.percentile_approx(F.unix_micros("snap_ts"), [i / files for i in range(1, files)], F.lit(1000)).alias("c")).first()["c"] or []
+    us, edges = F.unix_micros("snap_ts"), [None, *cuts, None]
+    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = snapshots if low is None else snapshots.where(us > low)
+        (part if high is None else part.where(us <= high)).coalesce(1).write.parquet(f"{base}/feed/part={i}")
+    last = snapshots.limit(1).withColumn("snap_ts", F.expr("timestamp '2100-01-01 00:00:00'"))
+    last.coalesce(1).write.parquet(f"{base}/feed/part={files}")
+    return (spark.readStream.schema(StructType([*snapshots.schema.fields, StructField("part", IntegerType())])).option("maxFilesPerTrigger", 1)
+            .parquet(f"{base}/feed").drop("part"))
+
+
+def _lock_tree_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R18 over locks and sessions collected at different moments: sessions of
+    the last snapshot at most 60 seconds before the locks'."""
+    configure(spark)
+    locks, activity = load(spark, sf_dir, "locks"), load(spark, sf_dir, "late_activity")
+    return lock_trees.lock_tree(locks, align(activity, pair_snapshots(locks, activity, tolerance_s=60)))
+
+
 def _feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 4) -> DataFrame:
     """Snapshot rows written as files in event-time order and read back as a
     stream, one file a batch. A last row far ahead moves the watermark past
@@ -69,6 +94,29 @@ def _stream_latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.run_available(stream, f"{base}/out", f"{base}/chk").where("window_start < '2100-01-01'")
 
 
+def _stream_locker_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: stream-stream join of index builds and sessions, until both feeds
+    are through."""
+    from fleetscope.streaming import reports as st
+
+    configure(spark)
+    base = st.stream_folder(spark, "locker-queries")
+    builds = _ordered_feed(spark, f"{base}/builds", load(spark, sf_dir, "progress_index").where("current_locker_pid is not null"))
+    sessions = _ordered_feed(spark, f"{base}/sessions", load(spark, sf_dir, "late_activity"))
+    return st.run_available(st.stream_locker_queries(builds, sessions), f"{base}/out", f"{base}/chk").where("build_ts < '2100-01-01'")
+
+
+def _stream_command_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate, time left and stalls of vacuums over a feed of polls."""
+    from fleetscope.streaming import progress as monitor
+    from fleetscope.streaming import reports as st
+
+    configure(spark)
+    base = st.stream_folder(spark, "command-monitor")
+    polls = monitor.vacuum_polls(_ordered_feed(spark, base, load(spark, sf_dir, "vacuum_history")))
+    return monitor.run_monitor(polls, f"{base}/out", f"{base}/chk").where("snap_ts < '2100-01-01'")
+
+
 def _profile(table: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
@@ -117,8 +165,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "copy_progress": _q(prog.copy_progress, "progress_copy", "lock_activity", "relations", "databases"),
         "stream_session_mix": _stream_session_mix,
         "stream_latest_progress": _stream_latest_progress,
+        "stream_locker_queries": _stream_locker_queries,
+        "stream_command_monitor": _stream_command_monitor,
         "role_list": _q(users.role_list, "roles", "auth_members"),
         "acl_grants": _q(users.acl_grants, "acls"),
+        "effective_privileges": _q(users.effective_privileges, "object_acls", "role_tree", "memberships"),
         "database_access": _q(users.database_access, "databases"),
         "schema_size": _q(obj.schema_size, "relations", "databases"),
         "object_counts": _q(obj.object_counts, "relations", "tablespaces", "databases"),
@@ -132,6 +183,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_bloat": _q(bloat.index_bloat, "indexes", "relations", "attributes", "column_stats"),
         "index_bloat_total": _q(bloat.index_bloat_total, "indexes", "relations", "attributes", "column_stats"),
         "total_bloat": _q(bloat.total_bloat, "relations", "attributes", "column_stats", "indexes"),
+        "lock_tree_asof": _lock_tree_asof,
+        "growth_under_horizon": _q(intervals.growth_under_horizon, "table_history", "activity"),
+        "write_intervals": _q(intervals.write_intervals, "bgwriter_history"),
+        "statement_intervals": _q(intervals.statement_intervals, "statements_history"),
+        "index_intervals": _q(intervals.index_intervals, "index_history", "databases_history"),
         "column_profile_orders": _profile("orders"),
         "column_profile_lineitem": _profile("lineitem"),
         "column_profile_documents": _profile("documents"),
@@ -142,6 +198,7 @@ def oracle_sql() -> dict[str, str]:
     from fleetscope.oracle import activity as o_act
     from fleetscope.oracle import bloat as o_bloat
     from fleetscope.oracle import instance as o_inst
+    from fleetscope.oracle import intervals as o_int
     from fleetscope.oracle import lock_trees as o_lt
     from fleetscope.oracle import objects as o_obj
     from fleetscope.oracle import progress as o_prog
@@ -150,6 +207,6 @@ def oracle_sql() -> dict[str, str]:
     from fleetscope.oracle import users as o_users
 
     out: dict[str, str] = {}
-    for mod in (o_inst, o_act, o_users, o_obj, o_bloat, o_repl, o_prog, o_lt, o_st):
+    for mod in (o_inst, o_act, o_users, o_obj, o_bloat, o_repl, o_prog, o_lt, o_st, o_int):
         out.update(mod.SQL)
     return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Settings every report assumes: UTC wall clock (timestamps print the same in
@@ -25,6 +28,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def share_package(spark: SparkSession) -> SparkSession:
+    """Put this package on the Python workers' path, for workers that share
+    the driver's file system (a cluster installs the package)."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "fleetscope") -> SparkSession:
     """A local session for tests and benchmarks (UI off, no extra ports)."""
     builder = (

@@ -442,6 +442,132 @@ FIXTURES: dict[str, Fixture] = {
 }
 
 
+# --- Histories: several snapshots of one entity -------------------------------
+
+def _hours(n: str) -> str:
+    return f"{SNAP} + cast({n} as int) * interval 1 hour"
+
+
+def _counted(seq: str, restarts: str, at: str) -> str:
+    """How many steps a counter has behind it: it restarts at step ``at``."""
+    return f"({seq} - case when {restarts} and {seq} >= {at} then {at} - 1 else 0 end)"
+
+
+# Ten snapshots of a server; every fourth server's statistics are reset, every fifth one's counters fall without that.
+_SERVER, _STEP = "cast(floor(c_custkey / 10) as bigint)", "c_custkey % 10"
+_TURNS = _counted(_STEP, f"({_SERVER} % 4 = 0 or {_SERVER} % 5 = 1)", "5")
+# Eight snapshots of a statement; every seventh restarts, every eleventh misses its third one.
+_ENTRY, _EIGHTH = "cast(floor(o_orderkey / 8) as bigint)", "o_orderkey % 8"
+_RUN = _counted(_EIGHTH, f"{_ENTRY} % 7 = 0", "4")
+# Six snapshots of an index; every fifth stands still, every seventh restarts with its database.
+_INDEX, _SIXTH = "cast(floor(p_partkey / 6) as bigint)", "p_partkey % 6"
+
+FIXTURES |= {
+    "bgwriter_history": Fixture("bgwriter_history", [Part("customer", {
+        "instance": f"'i' || cast({_SERVER} as string)",
+        "snap_ts": _hours(_STEP),
+        "stats_reset": f"case when {_SERVER} % 4 = 0 and {_STEP} >= 5 then {SNAP} + interval 270 minute when {_SERVER} % 3 = 0 then null "
+        f"else {SNAP} - interval 10 day end",
+        "checkpoints_timed": f"{_TURNS} * ({_SERVER} % 4) + 2",
+        "checkpoints_req": f"{_TURNS} * ({_SERVER} % 3) + 1",
+        "buffers_checkpoint": f"{_TURNS} * (997 + {_SERVER})",
+        "buffers_clean": f"{_TURNS} * 101",
+        "buffers_backend": f"case when {_SERVER} % 9 = 0 then 0 else {_TURNS} * {_TURNS} * 53 end",
+        "buffers_backend_fsync": f"case when {_SERVER} % 8 = 0 then null else {_TURNS} end",
+        "block_size": "cast(8192 as int)",
+    })]),
+    "statements_history": Fixture("statements_history", [Part("orders", {
+        "instance": f"'i' || cast({_ENTRY} % 3 as string)",
+        "snap_ts": _hours(f"{_EIGHTH} + {_ENTRY} % 2"),
+        "queryid": f"cast(floor({_ENTRY} / 12) as bigint)",
+        "userid": _ENTRY,
+        "calls": f"{_RUN} * ({_ENTRY} % 50)",
+        "total_plan_time": f"cast({_RUN} * ({_ENTRY} % 13) as decimal(18,4))",
+        "total_exec_time": f"cast(cast({_RUN} * ({_ENTRY} % 997 + 1) as decimal(12,0)) * cast(1.25 as decimal(4,2)) as decimal(18,4))",
+        "blk_read_time": f"cast({_RUN} * ({_ENTRY} % 5) as decimal(18,4))",
+        "blk_write_time": f"cast({_RUN} as decimal(18,4))",
+        "wal_bytes": f"{_RUN} * ({_ENTRY} % 100) * 8192",
+        "mean_exec_time": f"cast({_ENTRY} % 997 + 1 as double)",
+        "stddev_exec_time": f"cast({_EIGHTH} as double)",
+        "min_exec_time": "cast(1 as double)",
+        "max_exec_time": f"cast({_ENTRY} % 997 + 2 as double)",
+    }, where=f"not ({_ENTRY} % 11 = 0 and {_EIGHTH} = 3)")]),
+    "index_history": Fixture("index_history", [Part("part", {
+        "instance": f"'i' || cast({_INDEX} % 3 as string)",
+        "snap_ts": _hours(_SIXTH),
+        "datname": f"'db' || cast({_INDEX} % 4 as string)",
+        "indexrelid": f"100000000 + {_INDEX}",
+        "schemaname": "'public'",
+        "relname": f"'t_' || cast(cast(floor({_INDEX} / 24) as bigint) as string)",
+        "idx_scan": f"case when {_INDEX} % 5 = 0 then 7 else {_counted(_SIXTH, f'{_INDEX} % 4 = 2', '3')} * ({_INDEX} % 9) end",
+    })]),
+    "databases_history": Fixture("databases_history", [Part("customer", _same(
+        FIXTURES["databases"].parts[0].exprs,
+        instance="'i' || cast(cast(floor(c_custkey / 6) as bigint) % 3 as string)",
+        snap_ts=_hours("c_custkey % 6"),
+        datname="'db' || cast(cast(floor(c_custkey / 18) as bigint) as string)",
+        stats_reset=f"case when cast(floor(c_custkey / 18) as bigint) % 4 = 2 and c_custkey % 6 >= 3 then {SNAP} + interval 150 minute end",
+    ))]),
+}
+
+# Sessions collected before the locks: 7 and 20 seconds, and on one server 95.
+_LATE = "case o_orderkey % 3 when 0 then 7 when 1 then 95 else 20 end"
+# Dead tuples of a table at six moments three hours apart; every fifth table is vacuumed in between.
+FIXTURES |= {
+    "late_activity": Fixture("late_activity", [Part("orders", _same(
+        _LOCK_ACTIVITY, snap_ts=f"{_LOCK_ACTIVITY['snap_ts']} - {_LATE} * interval 1 second"))]),
+    "table_history": Fixture("table_history", [Part("part", _same(
+        FIXTURES["table_stats"].parts[0].exprs,
+        instance=f"'i' || cast({_INDEX} % 3 as string)",
+        snap_ts=f"timestamp '2024-01-02 00:00:00' + cast({_INDEX} % 24 * 24 + ({_SIXTH}) * 3 as int) * interval 1 hour",
+        datname=f"'db' || cast({_INDEX} % 5 as string)",
+        relid=_INDEX,
+        n_dead_tup=f"{_counted(_SIXTH, f'{_INDEX} % 5 = 0', '3')} * ({_INDEX} % 7) * 100",
+    ))]),
+}
+
+# Ten polls of a vacuum, a minute apart; every fifth pauses for 20 minutes before its seventh poll, every third goes on
+# with another table from its sixth, every seventh stands still.
+FIXTURES |= {
+    "vacuum_history": Fixture("vacuum_history", [Part("customer", {
+        "instance": f"'i' || cast({_SERVER} % 3 as string)",
+        "snap_ts": f"{SNAP} + cast({_SERVER} % 48 * 60 + {_STEP} + case when {_SERVER} % 5 = 0 and {_STEP} >= 6 then 20 else 0 end as int) "
+        "* interval 1 minute",
+        "pid": _SERVER,
+        "datname": "'db0'",
+        "relid": f"{_SERVER} % 50 + case when {_SERVER} % 3 = 0 and {_STEP} >= 5 then 100 else 0 end",
+        "phase": f"case when {_STEP} % 5 <= 2 then 'scanning heap' else 'vacuuming heap' end",
+        "heap_blks_total": f"case when {_SERVER} % 11 = 0 then null else 1000 + {_SERVER} end",
+        "heap_blks_scanned": f"case when {_SERVER} % 7 = 0 then 5 else ({_STEP}) % 5 * (300 + {_SERVER} % 17) end",
+        "heap_blks_vacuumed": f"case when {_SERVER} % 7 = 0 then 5 else ({_STEP}) % 5 * 200 end",
+        "index_vacuum_count": "cast(0 as bigint)",
+        "num_dead_tuples": "c_custkey",
+        "max_dead_tuples": "cast(5000 as bigint)",
+    })]),
+}
+
+# Roles in groups of twelve within a scope. Each is a member of one other role of its group (cycles), every third of a
+# second one; every seventh doesn't inherit.
+_ROLE = "cast(floor(c_custkey / 6) as bigint)"
+_PLACE = f"({_ROLE} % 12)"
+FIXTURES |= {
+    "role_tree": Fixture("role_tree", [Part("customer", _same(
+        FIXTURES["roles"].parts[0].exprs, rolname="'role' || cast(c_custkey as string)", rolinherit=f"{_ROLE} % 7 <> 3"))]),
+    "memberships": Fixture("memberships", [
+        Part("customer", {**_scope("c_custkey"), "member": "c_custkey",
+                          "roleid": f"c_custkey - 6 * {_PLACE} + 6 * (({_PLACE} * 7 + 3) % 12)"}),
+        Part("customer", {**_scope("c_custkey"), "member": "c_custkey",
+                          "roleid": f"c_custkey - 6 * {_PLACE} + 6 * cast(floor({_PLACE} / 2) as bigint)"}, where=f"{_PLACE} % 3 = 0"),
+    ]),
+    "object_acls": Fixture("object_acls", [Part("customer", {
+        **_scope("c_custkey"),
+        "object_name": f"'obj' || cast(cast(floor({_ROLE} / 2) as bigint) as string)",
+        "owner": "c_mktsegment",
+        "acl": f"case {_ROLE} % 4 when 0 then null when 1 then array('role' || cast(c_custkey as string) || '=r*w/own', '=r/own') "
+        "when 2 then array('role' || cast(c_custkey as string) || '=rd/own') else array('gone=r/own', 'role' || cast(c_custkey - 6 as string) || '=w*/own') end",
+    })]),
+}
+
 # The same oids in the scope's other database, with other sizes.
 _OTHER_DB = {
     "relations": {"datoid": _datoid("p_partkey", other=True), "reltuples": "cast(p_partkey * 11 as double)",

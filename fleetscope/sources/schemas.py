@@ -137,6 +137,14 @@ SNAPSHOT_COLUMNS: dict[str, list[tuple[str, str]]] = {
     ],
 }
 
+# Further tables of the same views: more snapshots, other contents.
+for _history, _view in (("bgwriter_history", "bgwriter"), ("statements_history", "statements"), ("index_history", "index_stats"),
+                        ("databases_history", "databases"), ("late_activity", "lock_activity"), ("table_history", "table_stats"),
+                        ("vacuum_history", "progress_vacuum"), ("role_tree", "roles"), ("memberships", "auth_members"),
+                        ("object_acls", "acls")):
+    SNAPSHOT_COLUMNS[_history] = SNAPSHOT_COLUMNS[_view]
+
+
 def ddl(name: str) -> str:
     return ", ".join(f"`{c}` {t}" for c, t in SNAPSHOT_COLUMNS[name])
 

@@ -43,6 +43,26 @@ def stream_latest_progress(progress: DataFrame, keys: tuple[str, ...] = ("instan
     return latest.select(*keys, F.col("w.start").alias("window_start"), *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
+def stream_locker_queries(progress: DataFrame, activity: DataFrame, tolerance: str = "60 seconds", lateness: str = "10 minutes") -> DataFrame:
+    """R43's locker query over two feeds: each index build that waits for a
+    locker, with the sessions rows of that locker collected within
+    ``tolerance`` of it. Both feeds have a watermark and the match is bounded
+    in time, so state is dropped once neither side can meet a row any more; a
+    build whose locker was never seen comes out then, without a query."""
+    builds = (progress.where("current_locker_pid is not null").withWatermark("snap_ts", lateness)
+              .select("instance", F.col("snap_ts").alias("build_ts"), F.col("pid").alias("build_pid"), "datname", "index_relid", "phase",
+                      F.col("current_locker_pid").alias("locker_pid")))
+    seen = (activity.withWatermark("snap_ts", lateness)
+            .select(F.col("instance").alias("a_instance"), F.col("pid").alias("a_pid"), F.col("snap_ts").alias("seen_ts"), "state",
+                    F.substring("query", 1, 100).alias("locker_query")))
+    match = ((F.col("a_instance") == F.col("instance")) & (F.col("a_pid") == F.col("locker_pid"))
+             & (F.col("seen_ts") >= F.col("build_ts") - F.expr(f"interval {tolerance}"))
+             & (F.col("seen_ts") <= F.col("build_ts") + F.expr(f"interval {tolerance}")))
+    return builds.join(seen, match, "leftOuter").select(
+        "instance", "build_ts", "build_pid", "datname", "index_relid", "phase", "locker_pid", "seen_ts",
+        F.col("state").alias("locker_state"), "locker_query")
+
+
 def stream_folder(spark: SparkSession, name: str) -> str:
     """A fresh run folder for stream checkpoints and results, inside the
     shared checkpoint folder (``workspace.release_all`` removes it)."""

@@ -1,13 +1,16 @@
 """Unit rows for each NULL, zero and edge rule of the reports."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.functions.exprs import lsn_to_pos, pct, pretty_bytes, quote_ident, round_div
+from fleetscope.operators import lock_graph as g
 from fleetscope.plans import activity, bloat, instance, lock_trees, progress, users
 from fleetscope.sources.readers import snapshot_frame
+from fleetscope.workspace import Workspace
 
 T0 = dt.datetime(2024, 1, 31)
 SC = {"instance": "i0", "snap_ts": T0}
@@ -116,7 +119,66 @@ def test_lock_tree_chain_and_deadlock(spark):
     assert rows[3].path == "1.2.3" and not rows[3].deadlock
     assert rows[10].lvl == 0 and rows[10].deadlock and rows[10].blocked == 2
     assert rows[20].parent == 10 and rows[5].parent == 10 and rows[5].root == 10
-    assert rows[20].query.startswith("!> ")
+    assert rows[20].query.startswith("!> ") and rows[20].deadlock_group == 10
+    assert not rows[5].deadlock and rows[5].deadlock_group is None and rows[5].query.startswith(" . ")
+
+
+def _waits(edges, free=()):
+    """Locks where each (waiter, holder) pair meets on the holder's own target."""
+    holders = {h for _, h in edges} | set(free)
+    return [_lock(h, h, True) for h in holders] + [_lock(w, h, False) for w, h in edges]
+
+
+def _groups(spark, edges):
+    """Groups as one task finds them, and as all tasks do."""
+    run = Workspace(spark, "test-groups")
+    waits, holds = g.lock_graph(snapshot_frame(spark, "locks", _waits(edges)), run)
+    found, spread = ({r.pid: r.deadlock_group for r in g.deadlock_groups(waits, holds, run, local_rows=n).collect()} for n in (g.LOCAL_ROWS, 0))
+    run.release()
+    assert found == spread
+    return found
+
+
+def test_only_cycle_members_are_deadlocked(spark):
+    # 1 and 2 wait on each other, 3 waits on 2, 4 on 3
+    edges = [(1, 2), (2, 1), (3, 2), (4, 3)]
+    act = snapshot_frame(spark, "lock_activity", [_session(p, "active") for p in range(1, 5)])
+    rows = {r.pid: r for r in lock_trees.lock_tree(snapshot_frame(spark, "locks", _waits(edges)), act).collect()}
+    assert {p: (r.deadlock, r.deadlock_group, r.lvl) for p, r in rows.items()} == {
+        1: (True, 1, 0), 2: (True, 1, 1), 3: (False, None, 2), 4: (False, None, 3)}
+
+
+def test_deadlock_groups(spark):
+    linked = [(3, 4), (4, 3), (1, 2), (2, 1), (1, 3)]  # the second cycle waits on the first
+    assert _groups(spark, linked) == {1: 1, 2: 1, 3: 3, 4: 3}
+    shared = [(7, 8), (8, 7), (8, 5), (5, 8), (9, 5)]  # two cycles through 8 are one group
+    assert _groups(spark, shared) == {7: 5, 8: 5, 5: 5}
+    assert _groups(spark, [(1, 2), (2, 3)]) == {}
+    order = list(range(1000))
+    random.Random(3).shuffle(order)
+    ring = list(zip(order, order[1:] + order[:1], strict=True))
+    assert _groups(spark, ring) == dict.fromkeys(order, 0)
+
+
+def test_deadlock_groups_of_random_graphs(spark):
+    rnd = random.Random(5)
+    edges = [(100 * k + rnd.randrange(12), 100 * k + rnd.randrange(12)) for k in range(30) for _ in range(rnd.randint(3, 18))]
+    edges = sorted({(a, b) for a, b in edges if a != b})
+    reach = {a: {b for x, b in edges if x == a} for a, _ in edges}
+    while any(grown := [len(r) for r in reach.values()]):
+        for a in reach:
+            reach[a] |= set().union(*[reach.get(b, set()) for b in reach[a]])
+        if grown == [len(r) for r in reach.values()]:
+            break
+    want = {a: min(b for b in reach[a] if a in reach.get(b, ())) for a in reach if a in reach[a]}
+    assert _groups(spark, edges) == want and len(set(want.values())) > 10
+
+
+def test_cycle_below_a_free_root(spark):
+    # 2 and 3 wait on each other, 3 on the free 9 too: the cycle hangs under 9 and keeps its mark
+    act = snapshot_frame(spark, "lock_activity", [_session(p, "active") for p in (2, 3, 9)])
+    rows = {r.pid: r for r in lock_trees.lock_tree(snapshot_frame(spark, "locks", _waits([(2, 3), (3, 2), (3, 9)])), act).collect()}
+    assert {p: (r.root, r.lvl, r.deadlock) for p, r in rows.items()} == {9: (9, 0, False), 3: (9, 1, True), 2: (9, 2, True)}
 
 
 def test_lock_tree_weaker_mode_of_holder_ignored(spark):
