@@ -34,6 +34,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 # labels contains them as a whole hyphen-separated part.
 BLOCK_TERMS = ("adult", "ads", "bets", "casino", "gambling", "malware", "phishing", "pills", "porn", "spam", "warez")
 
+BITS_PER_KEY, MAX_BITS = 10, 1 << 28  # of a level: 32 MB at most
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,14 +100,14 @@ def passes(key: Column, level: int, bits: int, hashes: int, words: Column) -> Co
     return out
 
 
-def build_cascade(universe: DataFrame, run: Workspace, bits_per_key: int = 10, hashes: int = 5,
-                  max_bits: int = 1 << 28) -> Cascade:
+def build_cascade(universe: DataFrame, run: Workspace, bits_per_key: int = BITS_PER_KEY, hashes: int = 5,
+                  max_bits: int = MAX_BITS, name: str = "") -> Cascade:
     """``universe``: distinct ``key`` (not null) and ``listed`` (boolean) of
     the whole corpus. Each level is one aggregation; sizes fall by about the
     false-positive rate, so a handful of levels suffice. A level of more than
-    ``max_bits`` bits would not fit the plan: then ValueError, and the caller
-    takes the join (``judge_pages`` does)."""
-    keys = run.table(universe.select("key", "listed"), "universe")
+    ``max_bits`` bits would not fit the plan: ValueError (``judge_pages`` deals
+    the keys to several cascades before that)."""
+    keys = run.table(universe.select("key", "listed"), f"{name}universe")
     include, exclude = keys.where("listed").select("key"), keys.where("not listed").select("key")
     levels: list[tuple[int, DataFrame]] = []
     while n := include.count():
@@ -119,27 +121,44 @@ def build_cascade(universe: DataFrame, run: Workspace, bits_per_key: int = 10, h
         every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("idx"), F.lit(0).cast("long").alias("word"))
         packed = (words.unionByName(every).groupBy("idx").agg(F.bit_or("word").alias("word"))
                   .agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("words")))
-        levels.append((bits, run.table(packed, f"level{level}")))
+        levels.append((bits, run.table(packed, f"{name}level{level}")))
         wrong = exclude.where(passes(F.col("key"), level, bits, hashes, levels[-1][1].scalar()))
-        include, exclude = run.table(wrong, f"wrong{level}"), include
+        include, exclude = run.table(wrong, f"{name}wrong{level}"), include
     return Cascade(levels, hashes)
 
 
-def judge_pages(pages: DataFrame, run: Workspace, rules=RULES, terms=BLOCK_TERMS, max_bits: int = 1 << 28) -> DataFrame:
+def judge_pages(pages: DataFrame, run: Workspace, rules=RULES, terms=BLOCK_TERMS, listed: DataFrame | None = None,
+                max_bits: int = MAX_BITS) -> DataFrame:
     """Every page with host, path, rule and verdict: the longest rule's
-    verdict, else ``block`` for a listed host and ``allow`` otherwise. With
-    more listed hosts than ``max_bits`` allows, membership is the equivalent
-    left join on the host."""
+    verdict, else ``block`` for a listed host and ``allow`` otherwise. Listed
+    are the hosts of ``listed`` (host, A-Z lower-cased here), or without it
+    those with one of ``terms``. Where one filter would exceed ``max_bits``,
+    hosts are dealt by a hash to as many cascades as it takes, and pages are
+    judged part by part, each part written before the next."""
     parts = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    parts = parts.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
-    universe = parts.where("host <> ''").select(F.col("host").alias("key")).distinct()
-    universe = universe.withColumn("listed", listed_host(F.col("key"), terms))
-    try:
-        parts = parts.withColumn("listed", build_cascade(universe, run, max_bits=max_bits).contains(F.col("host")))
-    except ValueError:
-        listed = universe.where("listed").select(F.col("key").alias("host"), "listed")
-        parts = parts.join(listed, "host", "left")
+    parts = parts.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))}).drop("url")
+    keys = parts.where("host <> ''").select(F.col("host").alias("key")).distinct()
+    if listed is None:
+        universe = keys.withColumn("listed", listed_host(F.col("key"), terms))
+    else:
+        named = listed.where("host <> ''").select(F.translate("host", UPPER, LOWER).alias("key")).distinct().withColumn("named", F.lit(True))
+        universe = keys.join(named, "key", "left").select("key", F.col("named").isNotNull().alias("listed"))
+    universe = run.table(universe, "keys")
+    dealt = ceil(2 * BITS_PER_KEY * universe.where("listed").count() / max_bits)  # half full at most, on average
+    if dealt <= 1:
+        judged = parts.withColumn("listed", build_cascade(universe, run, max_bits=max_bits).contains(F.col("host")))
+    else:
+        judged = None
+        for turn in range(dealt):
+            own = build_cascade(universe.where(_share("key", dealt) == turn), run, max_bits=max_bits, name=f"part{turn}-")
+            found = parts.where(_share("host", dealt) == turn).withColumn("listed", own.contains(F.col("host")))
+            found = run.table(found, f"judged{turn}")
+            judged = found if judged is None else judged.unionByName(found)
     hit = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("listed") & (F.col("host") != ""), "block").otherwise("allow")
-    return parts.withColumn("hit", hit).select(
+    return judged.withColumn("hit", hit).select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", method).alias("verdict"))
+
+
+def _share(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))

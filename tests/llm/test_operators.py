@@ -298,10 +298,18 @@ def test_cascade_is_exact(spark, run):
     assert universe.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
 
 
-def test_filter_over_the_size_bound_takes_the_join(spark, run):
-    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
-    got = {tuple(r) for r in url_filter.judge_pages(pages, run, max_bits=1).collect()}
-    assert got == {tuple(r) for r in url_filter.judge_pages(pages, Workspace(spark, "test")).collect()}
+def test_filters_over_the_size_bound_are_split(spark, run):
+    """A given host list, in one cascade, in several, and a bound too small for any."""
+    hosts = [f"Host{i}.example" for i in range(60)]
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}") for i, h in enumerate(hosts * 2)], "page_id long, url string")
+    listed = spark.createDataFrame([(h,) for h in hosts[:20]] + [(None,), ("",), ("elsewhere",)], "host string")
+    want = {(i, "block" if i % 60 < 20 else "allow") for i in range(120)}
+    for bound in (url_filter.MAX_BITS, 192):  # one and three cascades
+        rows = url_filter.judge_pages(pages, run, listed=listed, max_bits=bound).collect()
+        assert {(r.page_id, r.verdict) for r in rows} == want and len(rows) == 120
+    with pytest.raises(ValueError, match="more than 32"):
+        url_filter.judge_pages(pages, run, listed=listed, max_bits=32)
+
 
 
 def test_suffix_dedup(spark, small):
