@@ -31,6 +31,25 @@ select g.instance, g.snap_ts, g.datname, obj_owner, obj_schema, obj_tbs, obj_typ
 from g join t on g.instance = t.instance and g.snap_ts = t.snap_ts and g.datname = t.datname
 """
 
+# Each level is its own aggregation, joined to the one above.
+SIZE_ROLLUP = with_tables("relations", extra=f"""
+r as (select instance, snap_ts, datname, nspname as schema, coalesce(k.label, relkind) as kind, size_bytes
+      from relations left join (values {_kinds}) k(kind, label) on k.kind = relkind),
+s1 as (select instance, snap_ts, count(*) as objects, sum(size_bytes) as bytes from r group by all),
+s2 as (select instance, snap_ts, datname, count(*) as objects, sum(size_bytes) as bytes from r group by all),
+s3 as (select instance, snap_ts, datname, schema, count(*) as objects, sum(size_bytes) as bytes from r group by all),
+s4 as (select instance, snap_ts, datname, schema, kind, count(*) as objects, sum(size_bytes) as bytes from r group by all),
+rows_ as (
+  select instance, snap_ts, null as datname, null as schema, null as kind, 'server' as level, objects, bytes, bytes as whole from s1
+  union all select a.instance, a.snap_ts, a.datname, null, null, 'database', a.objects, a.bytes, b.bytes from s2 a join s1 b using (instance, snap_ts)
+  union all select a.instance, a.snap_ts, a.datname, a.schema, null, 'schema', a.objects, a.bytes, b.bytes
+    from s3 a join s2 b using (instance, snap_ts, datname)
+  union all select a.instance, a.snap_ts, a.datname, a.schema, a.kind, 'kind', a.objects, a.bytes, b.bytes
+    from s4 a join s3 b using (instance, snap_ts, datname, schema))""") + f"""
+select instance, snap_ts, datname, schema, kind, level, objects, cast(bytes as bigint) as bytes, {pretty('bytes')} as size,
+  {pct('bytes', 'whole', 2)} as pct_of_above from rows_
+"""
+
 STATS_AGE = with_tables("databases") + f"""
 select instance, snap_ts, snap_ts as check_date, datname, coalesce(stats_reset, start_time) as stats_or_start_time,
   {secs('snap_ts', 'coalesce(stats_reset, start_time)')} as age_since_reset_or_start_s
@@ -57,6 +76,7 @@ from sc left join u on sc.instance = u.instance and sc.snap_ts = u.snap_ts and s
 """
 
 SQL = {
+    "size_rollup": SIZE_ROLLUP,
     "schema_size": SCHEMA_SIZE,
     "object_counts": OBJECT_COUNTS,
     "stats_age": STATS_AGE,

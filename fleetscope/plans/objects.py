@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope import SCOPE
@@ -68,6 +68,35 @@ def object_counts(relations: DataFrame, tablespaces: DataFrame, databases: DataF
     return sort_if(rows, ordered, *DB, F.col("obj_count").desc(), "obj_owner", "obj_schema", "obj_tbs", "obj_type")
 
 
+ROLLUP_LEVELS = {7: "server", 3: "database", 1: "schema", 0: "kind"}
+
+
+def size_rollup(relations: DataFrame, ordered: bool = False) -> DataFrame:
+    """R07, R28 and R29 in one pass: objects and bytes of every server,
+    database, schema and kind within a schema, with the share of the level
+    above. One scan and one shuffle of partial sums serve all levels
+    (grouping sets, told apart by ``grouping_id``); the shares come from
+    windows over the rolled-up rows of a server."""
+    kinds = F.create_map(*[F.lit(x) for x in chain.from_iterable(RELKIND_LABELS)])
+    labelled = relations.select(*DB, F.col("nspname").alias("schema"), F.coalesce(F.element_at(kinds, F.col("relkind")), F.col("relkind")).alias("kind"),
+                                "size_bytes")
+    sets = [[*SCOPE], DB, [*DB, "schema"], [*DB, "schema", "kind"]]
+    rolled = labelled.groupingSets(sets, *DB, "schema", "kind").agg(
+        F.grouping_id().alias("_gid"), F.count("*").alias("objects"), F.sum("size_bytes").alias("bytes"))
+    levels = F.create_map(*[F.lit(x) for x in chain.from_iterable(ROLLUP_LEVELS.items())])
+    rolled = rolled.withColumn("level", F.element_at(levels, F.col("_gid").cast("int"))).repartition(*SCOPE)
+
+    def above(level: str, *keys: str) -> F.Column:
+        return F.max(F.when(F.col("level") == level, F.col("bytes"))).over(Window.partitionBy(*SCOPE, *keys))
+
+    whole = (F.when(F.col("level") == "kind", above("schema", "datname", "schema")).when(F.col("level") == "schema", above("database", "datname"))
+             .when(F.col("level") == "database", above("server")).otherwise(F.col("bytes")))
+    rows = rolled.select(*DB, "schema", "kind", "level", "objects", F.col("bytes").cast("bigint").alias("bytes"),
+                         pretty_bytes("bytes").alias("size"), whole.alias("_whole"))
+    rows = rows.withColumn("pct_of_above", pct("bytes", "_whole", 2)).drop("_whole")
+    return sort_if(rows, ordered, *SCOPE, F.col("datname").asc_nulls_first(), F.col("schema").asc_nulls_first(), F.col("kind").asc_nulls_first())
+
+
 def stats_age(databases: DataFrame) -> DataFrame:
     """Since when each database's counters accumulate (statistics reset,
     else server start) and how long ago that was."""

@@ -62,10 +62,10 @@ def _lock_tree_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lock_trees.lock_tree(locks, align(activity, pair_snapshots(locks, activity, tolerance_s=60)))
 
 
-def _feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 4) -> DataFrame:
-    """Snapshot rows written as files in event-time order and read back as a
-    stream, one file a batch. A last row far ahead moves the watermark past
-    every window, so all of them are final."""
+def _feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 2) -> DataFrame:
+    """Snapshot rows written as files by event time and read back as a stream,
+    one file a batch, in any order of the files. A last row far ahead moves
+    the watermark past every window, so all of them are final."""
     ordered = snapshots.repartitionByRange(files, "snap_ts").sortWithinPartitions("snap_ts")
     ordered.write.parquet(f"{base}/feed/part=0")
     last = snapshots.limit(1).withColumn("snap_ts", F.expr("timestamp '2100-01-01 00:00:00'"))
@@ -90,7 +90,7 @@ def _stream_latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     configure(spark)
     base = st.stream_folder(spark, "latest-progress")
-    stream = st.stream_latest_progress(_feed(spark, base, load(spark, sf_dir, "progress_vacuum")))
+    stream = st.stream_latest_progress(_ordered_feed(spark, base, load(spark, sf_dir, "progress_vacuum"), files=2))
     return st.run_available(stream, f"{base}/out", f"{base}/chk").where("window_start < '2100-01-01'")
 
 
@@ -173,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "database_access": _q(users.database_access, "databases"),
         "schema_size": _q(obj.schema_size, "relations", "databases"),
         "object_counts": _q(obj.object_counts, "relations", "tablespaces", "databases"),
+        "size_rollup": _q(obj.size_rollup, "relations"),
         "stats_age": _q(obj.stats_age, "databases"),
         "unused_indexes": _q(obj.unused_indexes, "index_stats", "indexes"),
         "unused_indexes_total": _q(obj.unused_indexes_total, "index_stats", "indexes"),

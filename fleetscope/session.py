@@ -60,13 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the deployment sets the folder (a shared file system) and it
-    is read from the session. Where it is unset, as in tests, a subfolder of
-    the session's warehouse folder is set: the warehouse is shared too, so no
-    machine-local folder is ever used.
+    is read from the session. Where it is unset and the session is local, as
+    in tests, a subfolder of the session's warehouse folder is set; on a
+    cluster that is an error, since the warehouse may be a machine's own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()

@@ -176,6 +176,22 @@ def test_growth_needs_an_older_transaction(spark):
     assert [(r.from_ts, r.to_ts, r.dead_growth, r.pid, r.overlap_s) for r in got] == [(at(0), at(60), 4, 7, 1800.0)]
 
 
+def test_rollup_is_one_expand_and_one_scan(spark):
+    from fleetscope import registry
+    from fleetscope.plans import objects
+
+    sc = {"instance": "i0", "snap_ts": T0}
+    rel = [dict(sc, datname=d, nspname=s, relkind=k, size_bytes=b) for d, s, k, b in [
+        ("a", "x", "r", 60), ("a", "x", "i", 20), ("a", "y", "r", 20), ("b", None, "r", 100), (None, "x", "r", None)]]
+    rows = objects.size_rollup(snapshot_frame(spark, "relations", rel))
+    got = {(r.level, r.datname, r.schema, r.kind): (r.objects, r.bytes, r.pct_of_above) for r in rows.collect()}
+    assert got[("server", None, None, None)] == (5, 200, 100.0) and got[("database", "a", None, None)] == (3, 100, 50.0)
+    assert got[("schema", "a", "x", None)] == (2, 80, 80.0) and got[("kind", "a", "x", "index")] == (1, 20, 25.0)
+    assert got[("schema", "b", None, None)] == (1, 100, 100.0) and got[("database", None, None, None)] == (1, None, None) and len(got) == 13
+    plan = registry.queries()["size_rollup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Expand") == 1
+
+
 def test_restarts_reach_the_fixtures(spark):
     from fleetscope import registry
     from tests.conftest import SF_SMALL

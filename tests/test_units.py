@@ -129,14 +129,16 @@ def _waits(edges, free=()):
     return [_lock(h, h, True) for h in holders] + [_lock(w, h, False) for w, h in edges]
 
 
-def _groups(spark, edges):
-    """Groups as one task finds them, and as all tasks do."""
+def _groups(spark, graphs):
+    """Groups of each server's graph, as one task finds them and as all tasks do."""
     run = Workspace(spark, "test-groups")
-    waits, holds = g.lock_graph(snapshot_frame(spark, "locks", _waits(edges)), run)
-    found, spread = ({r.pid: r.deadlock_group for r in g.deadlock_groups(waits, holds, run, local_rows=n).collect()} for n in (g.LOCAL_ROWS, 0))
+    rows = [dict(lock, instance=name) for name, edges in graphs.items() for lock in _waits(edges)]
+    waits, holds = g.lock_graph(snapshot_frame(spark, "locks", rows), run)
+    one, all_ = (sorted((r.instance, r.pid, r.deadlock_group) for r in g.deadlock_groups(waits, holds, run, local_rows=n).collect())
+                 for n in (g.LOCAL_ROWS, 0))
     run.release()
-    assert found == spread
-    return found
+    assert one == all_
+    return {name: {pid: group for n, pid, group in one if n == name} for name in graphs}
 
 
 def test_only_cycle_members_are_deadlocked(spark):
@@ -148,30 +150,30 @@ def test_only_cycle_members_are_deadlocked(spark):
         1: (True, 1, 0), 2: (True, 1, 1), 3: (False, None, 2), 4: (False, None, 3)}
 
 
-def test_deadlock_groups(spark):
-    linked = [(3, 4), (4, 3), (1, 2), (2, 1), (1, 3)]  # the second cycle waits on the first
-    assert _groups(spark, linked) == {1: 1, 2: 1, 3: 3, 4: 3}
-    shared = [(7, 8), (8, 7), (8, 5), (5, 8), (9, 5)]  # two cycles through 8 are one group
-    assert _groups(spark, shared) == {7: 5, 8: 5, 5: 5}
-    assert _groups(spark, [(1, 2), (2, 3)]) == {}
-    order = list(range(1000))
-    random.Random(3).shuffle(order)
-    ring = list(zip(order, order[1:] + order[:1], strict=True))
-    assert _groups(spark, ring) == dict.fromkeys(order, 0)
-
-
-def test_deadlock_groups_of_random_graphs(spark):
-    rnd = random.Random(5)
-    edges = [(100 * k + rnd.randrange(12), 100 * k + rnd.randrange(12)) for k in range(30) for _ in range(rnd.randint(3, 18))]
-    edges = sorted({(a, b) for a, b in edges if a != b})
+def _plain_groups(edges):
     reach = {a: {b for x, b in edges if x == a} for a, _ in edges}
-    while any(grown := [len(r) for r in reach.values()]):
+    for _ in reach:
         for a in reach:
             reach[a] |= set().union(*[reach.get(b, set()) for b in reach[a]])
-        if grown == [len(r) for r in reach.values()]:
-            break
-    want = {a: min(b for b in reach[a] if a in reach.get(b, ())) for a in reach if a in reach[a]}
-    assert _groups(spark, edges) == want and len(set(want.values())) > 10
+    return {a: min(b for b in reach[a] if a in reach.get(b, ())) for a in reach if a in reach[a]}
+
+
+def test_deadlock_groups(spark):
+    order, rnd = list(range(1000)), random.Random(5)
+    rnd.shuffle(order)
+    ring = list(zip(order, order[1:] + order[:1], strict=True))
+    graphs = {
+        "linked": [(3, 4), (4, 3), (1, 2), (2, 1), (1, 3)],  # the second cycle waits on the first
+        "shared": [(7, 8), (8, 7), (8, 5), (5, 8), (9, 5)],  # two cycles through 8 are one group
+        "chain": [(1, 2), (2, 3)], "ring": ring}
+    for k in range(30):
+        edges = {(rnd.randrange(9), rnd.randrange(9)) for _ in range(rnd.randint(5, 20))}
+        graphs[f"random{k}"] = sorted((a, b) for a, b in edges if a != b)
+    got = _groups(spark, graphs)
+    assert got["linked"] == {1: 1, 2: 1, 3: 3, 4: 3} and got["shared"] == {7: 5, 8: 5, 5: 5}
+    assert got["chain"] == {} and got["ring"] == dict.fromkeys(order, 0)
+    randoms = [n for n in graphs if n.startswith("random")]
+    assert [got[n] for n in randoms] == [_plain_groups(graphs[n]) for n in randoms] and sum(map(bool, (got[n] for n in randoms))) > 5
 
 
 def test_cycle_below_a_free_root(spark):
@@ -402,7 +404,7 @@ def test_hot_lock_target_writes_no_pairs(spark):
 
 
 def test_long_wait_cycle(spark):
-    n = 40
+    n = 20
     locks = snapshot_frame(spark, "locks", [_lock(p, p, True) for p in range(n)] + [_lock(p, (p + 1) % n, False) for p in range(n)])
     act = snapshot_frame(spark, "lock_activity", [_session(p, "active") for p in range(n)])
     rows = {r.pid: r for r in lock_trees.lock_tree(locks, act).collect()}
