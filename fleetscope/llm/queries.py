@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.llm import curriculum, decontaminate, fingerprints, hard_negatives, language_id, lm_score, near_dups, packing, secret_scan, sharding, source_divergence, suffix_dedup, url_filter
 from fleetscope.llm.common import read
+from fleetscope.operators.scope import salted_lookup
 from fleetscope.workspace import Workspace
 
 
@@ -21,7 +22,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.drop("parts")
     asked = F.col("doc_id") % 20 == 0
     counts = fingerprints.neighbour_counts(out.withColumnRenamed("fingerprint", "fp"), run, asked)
-    named = out.join(counts.withColumnRenamed("fp", "fingerprint"), "fingerprint", "left")
+    named = salted_lookup(out, counts.withColumnRenamed("fp", "fingerprint"), ["fingerprint"])  # copies share a fingerprint
     return named.select(*out.columns, F.when(asked, F.col("n_near")).alias("n_near"))
 
 
