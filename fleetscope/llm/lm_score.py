@@ -408,6 +408,7 @@ def score(docs: DataFrame, train: Column, pieces: dict[bytes, float], run: Works
 
     p_names = [f"p{k}" for k in range(kinds)]
     scored = run.table(vocabulary.mapInArrow(marginal, "word binary, c long, " + ", ".join(f"{p} float" for p in p_names)), "scored")
+    run.drop("vocabulary")
     tidy(spark)
     per_group = (words.select(F.col("grp").alias("in_grp"), "number", "word").repartition(parts, "word").join(scored, "word")
                  .select("in_grp", "number", "c", *p_names).repartition(parts, "in_grp"))
