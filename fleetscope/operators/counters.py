@@ -10,7 +10,9 @@ interval of a segment counts from zero, so no delta is ever negative.
 The previous row comes from a window over one entity's own snapshots, so no
 partition holds more than an entity's history, whatever a server's share of the
 rows; the snapshot before comes from the distinct snapshot times of a series
-(one row per snapshot), joined by ``salted_lookup``.
+(one row per snapshot), joined by ``salted_lookup``. An entity that is a series
+of its own (a server) has it in the same window, so nothing is joined: there the
+lookup has as many rows as the table.
 """
 
 from __future__ import annotations
@@ -37,9 +39,15 @@ def counter_deltas(rows: DataFrame, keys: Sequence[str], counters: Sequence[str]
     snapshot and the reset is unknown). The first snapshot of a series ends no
     interval. A null counter gives a null delta and never counts as a fall.
     ``keys`` and ``snap_ts`` identify a row."""
-    entity = Window.partitionBy(*keys).orderBy("snap_ts")
+    entity = Window.partitionBy(*keys).orderBy(F.unix_micros("snap_ts"))
     before = F.lag(F.struct("snap_ts", *([reset] if reset else []), *counters)).over(entity)
-    spans = salted_lookup(rows.withColumn("_before", before), previous_snapshots(rows, series), [*series, "snap_ts"], how="inner")
+    if set(keys) == set(series):
+        for k in keys:
+            rows = rows.where(F.col(k).isNotNull())
+        earlier = F.max("snap_ts").over(entity.rangeBetween(Window.unboundedPreceding, -1))
+        spans = rows.select("*", before.alias("_before"), earlier.alias("from_ts"))
+    else:
+        spans = salted_lookup(rows.withColumn("_before", before), previous_snapshots(rows, series), [*series, "snap_ts"], how="inner")
     fell = F.lit(False)
     for c in counters:
         fell = fell | F.coalesce(F.col(c) < F.col(f"_before.{c}"), F.lit(False))
