@@ -176,6 +176,21 @@ def test_deadlock_groups(spark):
     assert [got[n] for n in randoms] == [_plain_groups(graphs[n]) for n in randoms] and sum(map(bool, (got[n] for n in randoms))) > 5
 
 
+def test_parts_of_a_large_scope_are_solved_apart(spark, monkeypatch):
+    # one server: 60 separate rings of two to four sessions with a waiter each, and the chain 9000 -> 9001 -> ...
+    rings = [[10 * k + i for i in range(2 + k % 3)] for k in range(60)]
+    edges = [(r[i], r[(i + 1) % len(r)]) for r in rings for i in range(len(r))] + [(10 * k + 9, 10 * k) for k in range(60)]
+    edges += [(p, p + 1) for p in range(9000, 9020)]
+    run = Workspace(spark, "test-parts")
+    waits, holds = g.lock_graph(snapshot_frame(spark, "locks", _waits(edges)), run)
+    want = {p: r[0] for r in rings for p in r}
+    for rows in (4, 40):  # rings of three and four go over all tasks, or all rings to a few tasks
+        if rows == 40:
+            monkeypatch.setattr(g, "colour_groups", lambda *_: pytest.fail("a small part went over all tasks"))
+        assert {r.pid: r.deadlock_group for r in g.deadlock_groups(waits, holds, run, local_rows=rows).collect()} == want
+    run.release()
+
+
 def test_cycle_below_a_free_root(spark):
     # 2 and 3 wait on each other, 3 on the free 9 too: the cycle hangs under 9 and keeps its mark
     act = snapshot_frame(spark, "lock_activity", [_session(p, "active") for p in (2, 3, 9)])
