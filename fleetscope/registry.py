@@ -39,6 +39,10 @@ def _lock_tree_all_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lock_trees.lock_tree_all_blockers(load(spark, sf_dir, "lock_activity"), load(spark, sf_dir, "locks"))
 
 
+# Rows of one file of a feed: what a task writes, and at least what it reads, whatever the feed holds.
+FEED_ROWS = 100_000
+
+
 def _ordered_feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 4) -> DataFrame:
     """Like ``_feed``, but the files are written one after the other: a file
     stream takes them by their time, so batches come in event-time order
@@ -63,14 +67,18 @@ def _lock_tree_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 2) -> DataFrame:
-    """Snapshot rows written as files by event time and read back as a stream,
-    one file a batch, in any order of the files. A last row far ahead moves
-    the watermark past every window, so all of them are final."""
-    ordered = snapshots.repartitionByRange(files, "snap_ts").sortWithinPartitions("snap_ts")
+    """Snapshot rows written as files by event time and read back as a stream
+    in ``files`` batches, in any order of the files. A batch has a file per
+    ``FEED_ROWS`` rows, over which the rows of one moment are dealt too. A last
+    row far ahead moves the watermark past every window, so all of them are
+    final."""
+    each = max(1, -(-snapshots.count() // (files * FEED_ROWS)))
+    by = ["snap_ts"] if each == 1 else ["snap_ts", F.xxhash64(*snapshots.columns)]
+    ordered = snapshots.repartitionByRange(files * each, *by).sortWithinPartitions("snap_ts")
     ordered.write.parquet(f"{base}/feed/part=0")
     last = snapshots.limit(1).withColumn("snap_ts", F.expr("timestamp '2100-01-01 00:00:00'"))
     last.coalesce(1).write.parquet(f"{base}/feed/part=1")
-    return (spark.readStream.schema(StructType([*snapshots.schema.fields, StructField("part", IntegerType())])).option("maxFilesPerTrigger", 1)
+    return (spark.readStream.schema(StructType([*snapshots.schema.fields, StructField("part", IntegerType())])).option("maxFilesPerTrigger", each)
             .parquet(f"{base}/feed").drop("part"))
 
 
