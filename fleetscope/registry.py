@@ -44,20 +44,37 @@ FEED_ROWS = 100_000
 
 
 def _ordered_feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 4) -> DataFrame:
-    """Like ``_feed``, but the files are written one after the other: a file
-    stream takes them by their time, so batches come in event-time order
-    whatever the lateness, as from a collector."""
-    cuts = snapshots.select(F.percentile_approx(F.unix_micros("snap_ts"), [i / files for i in range(1, files)], F.lit(1000)).alias("c")).first()["c"] or []
-    us, edges = F.unix_micros("snap_ts"), [None, *cuts, None]
-    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        part = snapshots if low is None else snapshots.where(us > low)
-        (part if high is None else part.where(us <= high)).coalesce(1).write.parquet(f"{base}/feed/part={i}")
+    """Like ``_feed``, but the batches are written one after the other: a file
+    stream takes files by their time, so batches come in event-time order
+    whatever the lateness, as from a collector. Each batch has as many files
+    as the largest one needs; those a batch has no rows for are empty."""
+    us = F.unix_micros("snap_ts")
+    known = snapshots.select(F.percentile_approx(us, [i / files for i in range(1, files)], F.lit(1000)).alias("c")).first()["c"] or []
+    edges = [None, *known, None]
+    parts = [(us > F.lit(low) if low is not None else F.lit(True)) & (us <= F.lit(high) if high is not None else F.lit(True))
+             for low, high in zip(edges[:-1], edges[1:], strict=True)]
+    sizes = snapshots.select(*[F.count_if(p).alias(f"n{i}") for i, p in enumerate(parts)]).first()
+    each = max(1, -(-max(sizes) // FEED_ROWS))
+    for i, part in enumerate(parts):
+        _write_batch(snapshots if len(parts) == 1 else snapshots.where(part), f"{base}/feed/part={i}", each)
     last = snapshots.limit(1).withColumn("snap_ts", F.expr("timestamp '2100-01-01 00:00:00'"))
     last.coalesce(1).write.parquet(f"{base}/feed/part={files}")
-    return (spark.readStream.schema(StructType([*snapshots.schema.fields, StructField("part", IntegerType())])).option("maxFilesPerTrigger", 1)
+    return (spark.readStream.schema(StructType([*snapshots.schema.fields, StructField("part", IntegerType())])).option("maxFilesPerTrigger", each)
             .parquet(f"{base}/feed").drop("part"))
 
 
+def _write_batch(rows: DataFrame, path: str, files: int) -> None:
+    """Exactly ``files`` files, the rows dealt evenly: a batch that got fewer
+    would be filled up with the next one's first files, and their times would
+    make the rest of that one late."""
+    if files == 1:
+        rows.coalesce(1).write.parquet(path)
+        return
+    rows.repartition(files).write.parquet(path)
+    for _ in range(files - len(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())):
+        rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+
+
 def _lock_tree_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R18 over locks and sessions collected at different moments: sessions of
     the last snapshot at most 60 seconds before the locks'."""

@@ -2,10 +2,13 @@
 snapshots are dropped by the watermark, and windows bound the state."""
 
 import datetime as dt
+import glob
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from fleetscope import registry
 from fleetscope.plans import activity
 from fleetscope.sources.fixtures import load
 from fleetscope.sources.readers import snapshot_frame
@@ -98,3 +101,17 @@ def test_ties_of_one_instant_are_resolved(spark):
     prog = snapshot_frame(spark, "progress_vacuum", rows)
     got = {st.stream_latest_progress(prog.repartition(n)).first().relid for n in (1, 3, 7)}
     assert len(got) == 1
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_a_batch_of_a_feed_has_many_files(spark, tmp_path, monkeypatch, ordered):
+    # two moments, 90 and 30 sessions: a batch of 90 rows in one file was read, sorted and written by one task
+    monkeypatch.setattr(registry, "FEED_ROWS", 20, raising=False)
+    rows = [dict(instance="i0", snap_ts=T0 + dt.timedelta(hours=3 * (p >= 90)), pid=p, relid=p, phase="scanning heap") for p in range(120)]
+    feed = registry._ordered_feed if ordered else registry._feed
+    stream = feed(spark, str(tmp_path), snapshot_frame(spark, "progress_vacuum", rows).repartition(3), files=2)
+    for part in ("part=0", "part=1") if ordered else ("part=0",):
+        sizes = [pq.read_metadata(f).num_rows for f in glob.glob(f"{tmp_path}/feed/{part}/*.parquet")]
+        assert max(sizes) <= 45 and (not ordered or len(sizes) == 5), sizes
+    out = st.run_available(st.stream_latest_progress(stream, lateness="10 minutes" if ordered else "60 days"), f"{tmp_path}/out", f"{tmp_path}/chk")
+    assert sorted(r.pid for r in out.where("window_start < '2100-01-01'").collect()) == list(range(120))
