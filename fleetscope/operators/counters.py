@@ -47,7 +47,7 @@ def counter_deltas(rows: DataFrame, keys: Sequence[str], counters: Sequence[str]
         earlier = F.max("snap_ts").over(entity.rangeBetween(Window.unboundedPreceding, -1))
         spans = rows.select("*", before.alias("_before"), earlier.alias("from_ts"))
     else:
-        spans = salted_lookup(rows.withColumn("_before", before), previous_snapshots(rows, series), [*series, "snap_ts"], how="inner")
+        spans = salted_lookup(rows.withColumn("_before", before), previous_snapshots(rows, series), [*series, "snap_ts"], how="inner", grows=True)
     fell = F.lit(False)
     for c in counters:
         fell = fell | F.coalesce(F.col(c) < F.col(f"_before.{c}"), F.lit(False))
