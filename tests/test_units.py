@@ -1,8 +1,10 @@
 """Unit rows for each NULL, zero and edge rule of the reports."""
 
 import datetime as dt
+import glob
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +229,32 @@ def test_all_blockers_cycle_left_out(spark):
     assert lock_trees.lock_tree_all_blockers(sess).count() == 0
 
 
+
+def test_all_blockers_rounds_write_what_changes(spark):
+    # a chain of ten; 200 sessions wait on targets of their own that a placed session and one that is never placed hold
+    locks = [lock for p in range(1, 10) for lock in (_lock(p, p, True), _lock(p + 1, p, False))]
+    locks += [lock for p in range(100, 300) for lock in (_lock(p, p, False), _lock(50, p, True), _lock(99, p, True))]
+    act = [_session(p, "active") for p in (*range(1, 11), 50, *range(100, 300))] + [_session(99, "idle")]
+    run = Workspace(spark, "test-rounds")
+    waits, holds = g.lock_graph(snapshot_frame(spark, "locks", locks), run)
+    keys = snapshot_frame(spark, "lock_activity", act).where("state <> 'idle'").select(*g.PID)
+    tree, depth = g.all_blockers_forest(waits, holds, keys, run)
+    assert depth == 10 and {r.pid: (r.level, r.parent) for r in tree.collect()} == {50: (1, None), 1: (1, None)} | {p: (p, p - 1) for p in range(2, 11)}
+    folder = run.path.removeprefix("file:")
+    for k in (2, 3):
+        for table in glob.glob(f"{folder}/*{k}"):
+            assert sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{table}/*.parquet")) <= 2, table
+    run.release()
+
+
+def test_all_blockers_waiter_that_holds_alone(spark):
+    # 2 holds and waits on r1, which 1 holds too and nobody else waits on: 2 is placed below 1
+    locks = snapshot_frame(spark, "locks", [_lock(1, 1, True), _lock(2, 1, True), _lock(2, 1, False)])
+    act = snapshot_frame(spark, "lock_activity", [_session(p, "active") for p in (1, 2)])
+    rows = {r.pid: (r.level, r.parent, r.blocked_by) for r in lock_trees.lock_tree_all_blockers(act, locks).collect()}
+    assert rows == {1: (1, None, []), 2: (2, 1, [1])}
+
+
 def _rel(oid, **kw):
     base = dict(SC, datname="db", oid=oid, relname=f"t{oid}", nspname="public", relowner="u", tablespace_oid=0,
                 relkind="r", reltuples=1000.0, relpages=10, size_bytes=81920, total_size_bytes=81920)
