@@ -239,7 +239,7 @@ def test_all_blockers_rounds_write_what_changes(spark):
     waits, holds = g.lock_graph(snapshot_frame(spark, "locks", locks), run)
     keys = snapshot_frame(spark, "lock_activity", act).where("state <> 'idle'").select(*g.PID)
     tree, depth = g.all_blockers_forest(waits, holds, keys, run)
-    assert depth == 10 and {r.pid: (r.level, r.parent) for r in tree.collect()} == {50: (1, None), 1: (1, None)} | {p: (p, p - 1) for p in range(2, 11)}
+    assert depth == 9 and {r.pid: (r.level, r.parent) for r in tree.collect()} == {50: (1, None), 1: (1, None)} | {p: (p, p - 1) for p in range(2, 11)}
     folder = run.path.removeprefix("file:")
     for k in (2, 3):
         for table in glob.glob(f"{folder}/*{k}"):
