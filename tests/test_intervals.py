@@ -3,6 +3,7 @@ rows: resets, late views, touching spans, cycles."""
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,28 @@ def test_overlaps_come_once(spark, salts):
     assert len(rows) == len(set(rows)) and set(rows) == set(want) and len(want) > 500
 
 
+def test_pairs_of_a_hot_group_are_dealt_to_tasks(spark, monkeypatch):
+    from fleetscope.operators import overlap
+
+    monkeypatch.setattr(overlap, "PART_ROWS", 25, raising=False)
+    left = [("hot", i, at(0, i), at(0, i + 100)) for i in range(120)] + [("cold", 500, at(0), at(1)), (None, 501, at(0), at(1))]
+    right = [("hot", j, at(0, 2 * j), at(0, 2 * j + 60)) for j in range(90)] + [("cold", 600, at(0), at(1)), (None, 601, at(0), at(1))]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        rows = (overlap.overlap_join(spark.createDataFrame(left, "k string, i long, a timestamp, b timestamp"),
+                                     spark.createDataFrame(right, "k string, j long, c timestamp, d timestamp"), ["k"], ("a", "b"), ("c", "d"))
+                .withColumn("task", F.spark_partition_id()).collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = {(i, j) for k, i, a, b in left for m, j, c, d in right if k is not None and k == m and max(a, c) < min(b, d)}
+    assert len(rows) == len(want) and {(r.i, r.j) for r in rows} == want and (500, 600) in want
+    hot = Counter(r.task for r in rows if r.k == "hot")
+    assert len(hot) >= 4 and max(hot.values()) < sum(hot.values()) / 2
+
+
 # --- privileges -------------------------------------------------------------------
 
 def test_paths_through_cycles(spark):
