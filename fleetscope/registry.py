@@ -83,29 +83,34 @@ def _lock_tree_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lock_trees.lock_tree(locks, align(activity, pair_snapshots(locks, activity, tolerance_s=60)))
 
 
-def _feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 2) -> DataFrame:
+def _feed(spark: SparkSession, base: str, snapshots: DataFrame, files: int = 2, closing: dict | None = None) -> DataFrame:
     """Snapshot rows written as files by event time and read back as a stream
     in ``files`` batches, in any order of the files. A batch has a file per
     ``FEED_ROWS`` rows, over which the rows of one moment are dealt too. A last
     row far ahead moves the watermark past every window, so all of them are
-    final."""
+    final; ``closing`` has what it takes for the report to read that row."""
     each = max(1, -(-snapshots.count() // (files * FEED_ROWS)))
     by = ["snap_ts"] if each == 1 else ["snap_ts", F.xxhash64(*snapshots.columns)]
     ordered = snapshots.repartitionByRange(files * each, *by).sortWithinPartitions("snap_ts")
     ordered.write.parquet(f"{base}/feed/part=0")
-    last = snapshots.limit(1).withColumn("snap_ts", F.expr("timestamp '2100-01-01 00:00:00'"))
+    last = snapshots.limit(1).withColumns({"snap_ts": F.expr("timestamp '2100-01-01 00:00:00'"), **{c: F.lit(v) for c, v in (closing or {}).items()}})
     last.coalesce(1).write.parquet(f"{base}/feed/part=1")
     return (spark.readStream.schema(StructType([*snapshots.schema.fields, StructField("part", IntegerType())])).option("maxFilesPerTrigger", each)
             .parquet(f"{base}/feed").drop("part"))
 
 
 def _stream_session_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 run as a stream over the activity feed until every window is final."""
+    """S1 run as a stream over the activity feed until every window is final.
+    The feed has every row, with the columns the report reads and the pid that
+    tells rows apart: statement texts are most of a sessions table, and none is
+    read. The report filters before its watermark, so the closing row must pass."""
     from fleetscope.streaming import reports as st
 
     configure(spark)
     base = st.stream_folder(spark, "session-mix")
-    stream = st.stream_session_mix(_feed(spark, base, load(spark, sf_dir, "activity")), lateness="60 days")
+    sessions = load(spark, sf_dir, "activity").select("pid", *st.SESSION_MIX_COLUMNS)
+    feed = _feed(spark, base, sessions, closing={"backend_type": "client backend", "is_collector": False})
+    stream = st.stream_session_mix(feed, lateness="60 days")
     return st.run_available(stream, f"{base}/out", f"{base}/chk").where("window_start < '2100-01-01'")
 
 

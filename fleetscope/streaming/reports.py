@@ -15,6 +15,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from fleetscope.workspace import Workspace
 
 
+# What the session mix reads of a sessions feed.
+SESSION_MIX_COLUMNS = ["instance", "snap_ts", "backend_type", "state", "is_collector"]
+
+
 def stream_session_mix(activity: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Client backends (collector excluded) per instance, tumbling
     window of ``snap_ts`` and state. Snapshots later than ``lateness``

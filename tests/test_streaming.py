@@ -115,3 +115,17 @@ def test_a_batch_of_a_feed_has_many_files(spark, tmp_path, monkeypatch, ordered)
         assert max(sizes) <= 45 and (not ordered or len(sizes) == 5), sizes
     out = st.run_available(st.stream_latest_progress(stream, lateness="10 minutes" if ordered else "60 days"), f"{tmp_path}/out", f"{tmp_path}/chk")
     assert sorted(r.pid for r in out.where("window_start < '2100-01-01'").collect()) == list(range(120))
+
+
+def test_session_mix_feed_has_what_the_report_reads(spark, monkeypatch):
+    # statement texts stay out of the feed, and windows close whichever session the closing row is taken from
+    from fleetscope import registry
+    from fleetscope.streaming import reports
+
+    rows = [dict(_session(p, T0), backend_type="autovacuum worker" if p < 3 else "client backend", is_collector=p == 5) for p in range(1, 9)]
+    sessions = snapshot_frame(spark, "activity", rows).coalesce(1)
+    monkeypatch.setattr(registry, "load", lambda *_: sessions)
+    read = []
+    monkeypatch.setattr(reports, "stream_session_mix", lambda feed, mix=reports.stream_session_mix, **how: read.append(feed.columns) or mix(feed, **how))
+    assert [r.sess_count for r in registry.queries()["stream_session_mix"](spark, "").collect()] == [5]
+    assert set(read[0]) == {"pid", *reports.SESSION_MIX_COLUMNS}
