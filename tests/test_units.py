@@ -464,3 +464,34 @@ def test_fixture_reaches_the_hard_branches(spark):
     assert heavy.agg(F.max("level")).first()[0] >= 3 and heavy.where("size(blocked_by) > 1").count() > 0
     found = {r.diagnosis for r in registry.queries()["replication_diagnosis"](spark, "/root/testdata/sf0.01").collect()}
     assert found == {"n/a", "ok", "long-running transaction", "consumer cannot keep up"}
+
+
+def test_what_a_task_can_solve_is_not_contracted(spark, monkeypatch):
+    # a server of 800 lock rows: after trimming, two rings are left, which one task solves without looking for parts
+    edges = [(1, 2), (2, 1), (3, 4), (4, 5), (5, 3)] + [(p, p + 1) for p in range(100, 500, 2)]
+    run = Workspace(spark, "test-trimmed")
+    waits, holds = g.lock_graph(snapshot_frame(spark, "locks", _waits(edges)), run)
+    monkeypatch.setattr(g, "connected_parts", lambda *_: pytest.fail("parts of a graph that fits one task"))
+    assert {r.pid: r.deadlock_group for r in g.deadlock_groups(waits, holds, run, local_rows=40).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
+    run.release()
+
+
+def test_levels_pass_on_only_what_waits(spark):
+    # ten sessions in a row, and 100 that wait on the first: after level 1 the waits of 8 sessions are left, and sizes need no rounds
+    locks = _waits([(p + 1, p) for p in range(1, 10)] + [(p, 1) for p in range(100, 200)])
+    run = Workspace(spark, "test-levels")
+    tree, depth = g.wait_forest(*g.lock_graph(snapshot_frame(spark, "locks", locks), run), run)
+    sizes = {r.pid: r.size for r in g.subtree_sizes(tree, depth, run).collect()}
+    assert depth == 9 and (sizes[1], sizes[2], sizes[10], sizes[100]) == (109, 8, 0, 0)
+    tables = {t.rsplit("/", 1)[1]: sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{t}/*.parquet")) for t in glob.glob(f"{run.path.removeprefix('file:')}/*")}
+    assert [tables[f"treewaits{k}"] for k in (1, 2, 8)] == [8, 7, 1] and not any(t.startswith("sizes") for t in tables if t != "sizes-whole")
+    run.release()
+
+
+def test_target_text_tells_targets_apart(spark):
+    rows = [dict(_lock(1, None, True), **kw) for kw in (
+        {}, {"locktype": None}, {"locktype": ""}, {"locktype": "relationb1"}, {"database": 1}, {"database": 11}, {"database": 1, "relation": 1},
+        {"relation": 11}, {"relation": -1}, {"page": 1}, {"virtualxid": "1"}, {"virtualxid": ""}, {"transactionid": 1}, {"virtualxid": "1g1"},
+        {"virtualxid": "1", "transactionid": 1}, {"objid": 1}, {"objsubid": 1}, {"classid": 1})]
+    locks = snapshot_frame(spark, "locks", rows)
+    assert locks.select(g.target_text()).distinct().count() == locks.select(g.lock_target()).distinct().count() == len(rows)
